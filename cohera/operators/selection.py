@@ -66,6 +66,7 @@ def order_statistics(
         .withColumn("_v", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")))
         .groupBy(*by, "n", "_name", "_k", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
+        .repartition(*by)  # the counts inside the brackets: serves both the running sum and the last aggregation
     )
     upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first())
     cum = F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -98,11 +99,10 @@ def median(df: DataFrame, keys: list[str], value: str, name: str = "median") ->
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def one_per_group(df: DataFrame, keys: list[str], order: list[Column], payload: list[str]) -> DataFrame:
-    """The row with the smallest order key per group, combined on the map side (no window over the group)."""
-    ordered = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), ordered).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
+def one_per_group(df: DataFrame, keys: list[str], order: Column, payload: list[str]) -> DataFrame:
+    """The row with the smallest order value per group, combined on the map side (no window over the group)."""
+    rows = df.withColumn("_o", order)
+    return rows.groupBy(*keys).agg(*[F.min_by(c, "_o").alias(c) for c in payload])
 
 
 def first_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohera.functions.keys import hash52, uniform
 from cohera.operators.selection import one_per_group, order_statistics
-from cohera.session import settle
+from cohera.session import settle_parameters
 
 ROLES = ("train", "cal", "test")
 SPLIT = ["protocol", "seed", "fold"]
@@ -25,15 +25,16 @@ def _seeded(df: DataFrame, protocol: str, seeds: list[int]) -> DataFrame:
 
 
 def split_cuts(
-    df: DataFrame, key: str, protocol: str, seeds: list[int], test: float = 0.2, cal: float = 0.25
+    df: DataFrame, keys: dict[str, str], seeds: list[int], test: float = 0.2, cal: float = 0.25
 ) -> DataFrame:
-    """Hash cuts per seed: the first ceil(test G) groups are test, the next ceil(cal rest) are calibration.
+    """Hash cuts per (protocol, seed): the first ceil(test G) groups are test, the next ceil(cal rest) calibration.
 
-    With ``test = 0`` only the train / calibration cut is made. Output: protocol, seed, test_cut, cal_cut (null test
-    cut means no test group).
+    ``keys`` maps each protocol to its grouping column. Output: protocol, seed, test_cut, cal_cut.
     """
-    groups = _seeded(df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct(), protocol, seeds)
-    hashed = groups.select("protocol", "seed", hash52(F.col("protocol"), F.col("seed"), F.col("_key")).alias("_h"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.col(k).cast("string").alias("key")) for p, k in keys.items()]))
+    groups = df.select(each.alias("_e")).select("_e.*").where(F.col("key").isNotNull()).distinct()
+    groups = groups.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    hashed = groups.select("protocol", "seed", hash52(F.col("protocol"), F.col("seed"), F.col("key")).alias("_h"))
 
     def n_test(n: Column) -> Column:
         return F.ceil(F.lit(test) * n - F.lit(1e-9))
@@ -43,26 +44,35 @@ def split_cuts(
 
     ranks = {"test_cut": n_test, "cal_cut": lambda n: n_test(n) + n_cal(n)}
     cuts = order_statistics(hashed, ["protocol", "seed"], "_h", ranks, [test, test + cal * (1 - test)])
-    return settle(cuts.select("protocol", "seed", "test_cut", "cal_cut"))
+    return settle_parameters(cuts.select("protocol", "seed", "test_cut", "cal_cut"))
 
 
-def label_roles(df: DataFrame, key: str, cuts: DataFrame, protocol: str, seeds: list[int]) -> DataFrame:
-    """Rows repeated once per seed with their role. ``cuts`` holds one row per seed, so it is broadcast."""
-    rows = _seeded(df, protocol, seeds).withColumn("_h", hash52(F.col("protocol"), F.col("seed"), F.col(key)))
-    role = (
-        F.when(F.col("_h") <= F.col("test_cut"), "test").when(F.col("_h") <= F.col("cal_cut"), "cal").otherwise("train")
+def label_roles(df: DataFrame, keys: dict[str, str], cuts: DataFrame, seeds: list[int]) -> DataFrame:
+    """Rows repeated once per (protocol, seed) with their role. ``cuts`` has one row per split, so it is broadcast."""
+    each = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(p).alias("protocol"), F.lit(s).alias("seed"), hash52(p, F.lit(s), F.col(k)).alias("h"))
+                for p, k in keys.items()
+                for s in seeds
+            ]
+        )
+    )
+    role = F.when(F.col("_e.h") <= F.col("test_cut"), "test").when(F.col("_e.h") <= F.col("cal_cut"), "cal")
+    rows = df.select("*", each.alias("_e")).select("*", "_e.protocol", "_e.seed")
+    return (
+        rows.join(F.broadcast(cuts), ["protocol", "seed"])
+        .withColumn("role", role.otherwise("train"))
+        .drop("_e", "test_cut", "cal_cut")
     )
-    return rows.join(F.broadcast(cuts), ["protocol", "seed"]).withColumn("role", role).drop("_h", "test_cut", "cal_cut")
 
 
 def group_split(
-    df: DataFrame, key: str, seeds: list[int], protocol: str = "group", test: float = 0.2, cal: float = 0.25
+    df: DataFrame, keys: dict[str, str], seeds: list[int], test: float = 0.2, cal: float = 0.25
 ) -> DataFrame:
-    """Grouped shuffle split by number of groups, one per seed."""
-    out = label_roles(df, key, split_cuts(df, key, protocol, seeds, test, cal), protocol, seeds)
-    return out.withColumn("fold", F.lit(0)).withColumn("test_unit", F.lit(protocol)).withColumn(
-        "descriptive_only", F.lit(False)
-    )
+    """Grouped shuffle splits by number of groups: one per protocol (grouping column) and seed."""
+    out = label_roles(df, keys, split_cuts(df, keys, seeds, test, cal), seeds)
+    return out.withColumns({"fold": F.lit(0), "test_unit": F.col("protocol"), "descriptive_only": F.lit(False)})
 
 
 MAX_UNITS = 1000  # leave-one-out repeats every row once per unit, so the unit list must stay short
@@ -112,7 +122,7 @@ def leave_unit_out(
         F.count(F.lit(1)).alias("n_test_groups")
     )
     small = (F.col("n_test_groups") < min_groups) | F.col("test_unit").isin(*always_descriptive)
-    plan = settle(cuts.join(sizes, "test_unit").withColumn("descriptive_only", small))  # units x seeds rows
+    plan = settle_parameters(cuts.join(sizes, "test_unit").withColumn("descriptive_only", small))  # units x seeds rows
     rows = df.select("*", folds.alias("_f")).select(*df.columns, "_f.*").join(F.broadcast(plan), ["test_unit", "seed"])
     h = hash52(protocol, F.col("seed"), F.col("test_unit"), F.col(group))
     in_unit = F.col(unit).eqNullSafe(F.col("test_unit"))
@@ -282,7 +292,7 @@ def random_holdout(df: DataFrame, split: list[str], id_col: str, share: float =
     cut = order_statistics(
         rows, split, "_h", {"_cut": lambda n: F.bround(F.lit(float(share)) * n)}, [share]
     ).select(*split, "_cut")
-    cut = settle(cut)
+    cut = settle_parameters(cut)
     held = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
     return rows.join(F.broadcast(cut), split).withColumn("held", held).drop("_h", "_cut")
 
@@ -310,7 +320,7 @@ def group_draws(groups: DataFrame, split: list[str], group: str, grid: list[int]
 def sample_one_per_group(df: DataFrame, split: list[str], group: str, id_col: str, payload: list[str], purpose="gsub"):
     """One uniformly drawn row per (split, group), whatever the row order."""
     h = hash52(purpose, *[F.col(s) for s in split], F.col(id_col))
-    return one_per_group(df, [*split, group], [h, F.col(id_col)], payload)
+    return one_per_group(df, [*split, group], h, payload)
 
 
 def split_iterator(df: DataFrame, seeds: list[int] | None = None) -> DataFrame:

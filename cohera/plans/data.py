@@ -14,9 +14,9 @@ from cohera.operators.intervals import absolute_score, apply_quantile, conformal
 from cohera.operators.models import fit_line, fit_median, with_fallback
 from cohera.operators.splits import group_split, sample_one_per_group
 from cohera.plans.base import part, table
-from cohera.session import settle
+from cohera.session import settle_parameters
 
-SEEDS = [0, 1, 2, 3]
+SEEDS = [0, 1, 2]
 ALPHAS = (0.1, 0.2)
 SPLIT2 = ["protocol", "seed"]
 CELL = ["protocol", "seed", "model", "method", "alpha"]
@@ -33,26 +33,30 @@ def r(expr: str, digits: int = 6) -> str:
 
 
 # ---------------------------------------------------------------- samples
-def samples(spark, sf) -> DataFrame:
+def events(spark, sf) -> DataFrame:
+    """Samples without their place: a plain scan."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value", "props")
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf, "nation")
-    g = table(spark, sf, "region")
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).try_cast("int")
     e = e.where(F.col("value") > 0).withColumn("k", k).withColumn("hr", F.hour("ts"))
     x = F.when((F.col("k") > 0) & (F.col("hr") > 0), F.round(F.log10(F.col("k") / F.col("hr")), 9))
-    places = n.join(F.broadcast(g), n.n_regionkey == g.r_regionkey)  # nations and regions: 25 and 5 rows by design
-    return (
-        e.join(c, e.user_id == c.c_custkey)
-        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("event_id").alias("id"), F.col("user_id").alias("grp"), F.col("n_name").alias("unit"),
-            F.col("r_name").alias("region"), F.col("event_type").alias("kind"), "ts", "value",
-            F.round(F.log10("value"), 9).alias("y"), "k", "hr", x.alias("x"),
-        )
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("grp"), F.col("event_type").alias("kind"), "ts", "value",
+        F.round(F.log10("value"), 9).alias("y"), "k", "hr", x.alias("x"),
     )
 
 
+def places(spark, sf) -> DataFrame:
+    """grp, unit, region per customer. Nations and regions have 25 and 5 rows by design."""
+    n, g = table(spark, sf, "nation"), table(spark, sf, "region")
+    dim = n.join(F.broadcast(g), n.n_regionkey == g.r_regionkey)
+    c = table(spark, sf, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.col("c_custkey").alias("grp"), F.col("n_name").alias("unit"), F.col("r_name").alias("region"))
+
+
+def samples(spark, sf) -> DataFrame:
+    return events(spark, sf).join(places(spark, sf), "grp")
+
+
 part(
     "samples",
     r"""
@@ -68,13 +72,9 @@ JOIN region r ON r.r_regionkey = n.n_regionkey
 
 
 # ---------------------------------------------------------------- splits
-def job(spark, sf, seeds=SEEDS, protocols=("group", "random")) -> DataFrame:
-    s = samples(spark, sf)
-    out = None
-    for p in protocols:
-        d = group_split(s, "grp" if p == "group" else "id", seeds, p)
-        out = d if out is None else out.unionByName(d)
-    return out
+def job(spark, sf, seeds=SEEDS, protocols=("group",)) -> DataFrame:
+    keys = {"group": "grp", "random": "id"}
+    return group_split(events(spark, sf), {p: keys[p] for p in protocols}, seeds)
 
 
 def roles_sql(protocol: str, key: str, seeds=SEEDS, source: str = "samples") -> str:
@@ -94,10 +94,8 @@ part(
     "job",
     """
 SELECT r.protocol, r.seed, 0 AS fold, r.role, s.* FROM samples s JOIN roles_group r USING (grp)
-UNION ALL BY NAME
-SELECT r.protocol, r.seed, 0 AS fold, r.role, s.* FROM samples s JOIN roles_random r USING (id)
 """,
-    "samples", "roles_group", "roles_random",
+    "samples", "roles_group",
 )
 
 
@@ -105,7 +103,7 @@ SELECT r.protocol, r.seed, 0 AS fold, r.role, s.* FROM samples s JOIN roles_rand
 def fits(j: DataFrame, split=SPLIT2) -> DataFrame:
     tr = j.where(F.col("role") == "train")
     med = fit_median(tr, split).withColumnRenamed("pred", "med")
-    return settle(med.join(fit_line(tr, split, "x"), split, "left"))
+    return settle_parameters(med.join(fit_line(tr, split, "x"), split, "left"))
 
 
 def scored_wide(j: DataFrame, split=SPLIT2, roles=("cal", "test")) -> DataFrame:
@@ -162,9 +160,8 @@ part("gsub_long", _long("gsub_wide"), "gsub_wide")
 part("test_long", _long("scored_wide", "role='test'"), "scored_wide")
 
 
-def gsub(cal_wide: DataFrame) -> DataFrame:
-    cols = [c for c in cal_wide.columns if c not in ("protocol", "seed", "grp")]
-    return sample_one_per_group(cal_wide, SPLIT2, "grp", "id", cols)
+def gsub(cal_wide: DataFrame, payload=("y", "p_const", "p_ratio")) -> DataFrame:
+    return sample_one_per_group(cal_wide, SPLIT2, "grp", "id", list(payload))
 
 
 # ---------------------------------------------------------------- intervals
@@ -174,7 +171,7 @@ def scp_qhat(w: DataFrame, alphas=ALPHAS) -> DataFrame:
     scores = models_long(cal).select(*SPLIT2, "model", F.lit("scp_pool").alias("method"), score.alias("s")).unionByName(
         models_long(gsub(cal)).select(*SPLIT2, "model", F.lit("scp_gsub").alias("method"), score.alias("s"))
     )
-    return settle(conformal_quantile(scores, [*SPLIT2, "model", "method"], "s", alphas))
+    return settle_parameters(conformal_quantile(scores, [*SPLIT2, "model", "method"], "s", alphas))
 
 
 def rank_sql(n: str, a: str) -> str:
@@ -281,7 +278,7 @@ def sizes(j: DataFrame) -> DataFrame:
     return per.groupBy(*SPLIT2).agg(*aggs)
 
 
-def cells(spark, sf, seeds=SEEDS, protocols=("group", "random"), alphas=ALPHAS) -> DataFrame:
+def cells(spark, sf, seeds=SEEDS, protocols=("group",), alphas=ALPHAS) -> DataFrame:
     """Per-split metric rows of the base run: (protocol, seed, model, method, alpha)."""
     j = job(spark, sf, seeds, protocols)
     w = scored_wide(j)
@@ -293,3 +290,64 @@ def cells(spark, sf, seeds=SEEDS, protocols=("group", "random"), alphas=ALPHAS)
         .join(F.broadcast(sizes(j)), SPLIT2)
         .join(F.broadcast(q), CELL)
     )
+
+
+# ---------------------------------------------------------------- result rows straight from the line items
+RESULT_KEYS = ["target", "protocol", "model", "method", "alpha", "seed"]
+
+
+def results(spark, sf) -> DataFrame:
+    """A result table in the shape of the metric rows of many runs, from one aggregation over all line items.
+
+    target = return flag, protocol = line status, seed = line number, model / method / alpha from supplier, part and
+    discount; "coverage" is a share of lines, "width" a mean factor. Cells with an extreme line get an infinite width.
+    """
+    li = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey", "l_partkey", "l_discount", "l_quantity", "l_tax",
+        "l_orderkey",
+    )
+    c = F.col
+    keyed = li.select(
+        c("l_returnflag").alias("target"),
+        F.when(c("l_linestatus") == "O", "group").otherwise("random").alias("protocol"),
+        F.when(c("l_suppkey") % 2 == 0, "const").otherwise("ratio").alias("model"),
+        F.when(c("l_partkey") % 3 == 0, "scp_pool").when(c("l_partkey") % 3 == 1, "scp_gsub").otherwise("cqr_gsub").alias("method"),
+        F.when(c("l_discount") < 0.05, 0.1).otherwise(0.2).alias("alpha"),
+        (c("l_linenumber") - 1).alias("seed"),
+        "l_quantity", "l_tax", "l_orderkey",
+    )
+    share = F.avg((c("l_quantity") <= 45).cast("double"))
+    by = keyed.groupBy(*RESULT_KEYS).agg(
+        F.count(F.lit(1)).alias("n_test"),
+        share.alias("cov_group"),
+        F.avg(((c("l_quantity") <= 45) & (c("l_tax") < 0.08)).cast("double")).alias("cov_pooled"),
+        F.avg(c("l_quantity") / 10 + c("l_tax")).alias("width0"),
+        F.min("l_orderkey").alias("_o"),
+    )
+    inf = c("_o") % 29 == 0
+    return by.select(
+        *RESULT_KEYS, F.lit(0).alias("fold"), (c("seed") == 6).alias("descriptive_only"), "n_test",
+        (c("n_test") * 3).alias("n_train"), c("n_test").alias("n_cal"),
+        F.lit(40).alias("n_cal_units"), "cov_group", "cov_pooled",
+        F.when(inf, F.lit(float("inf"))).otherwise(c("width0")).alias("width"), inf.alias("inf_flag"),
+        F.when(inf, F.lit(float("inf"))).otherwise(F.log10("width0")).alias("width_log10"),
+    )
+
+
+part(
+    "results",
+    """
+SELECT target, protocol, model, method, alpha, seed, 0 AS fold, seed = 6 AS descriptive_only, n_test,
+  n_test*3 AS n_train, n_test AS n_cal, 40 AS n_cal_units, cov_group, cov_pooled,
+  CASE WHEN o % 29 = 0 THEN 'inf'::DOUBLE ELSE width0 END AS width, o % 29 = 0 AS inf_flag,
+  CASE WHEN o % 29 = 0 THEN 'inf'::DOUBLE ELSE log10(width0) END AS width_log10
+FROM (SELECT l_returnflag AS target, CASE WHEN l_linestatus='O' THEN 'group' ELSE 'random' END AS protocol,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'const' ELSE 'ratio' END AS model,
+  CASE l_partkey % 3 WHEN 0 THEN 'scp_pool' WHEN 1 THEN 'scp_gsub' ELSE 'cqr_gsub' END AS method,
+  CASE WHEN l_discount < 0.05::DOUBLE THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS alpha, l_linenumber-1 AS seed,
+  count(*) AS n_test, avg((l_quantity <= 45)::INTEGER::DOUBLE) AS cov_group,
+  avg((l_quantity <= 45 AND l_tax < 0.08::DOUBLE)::INTEGER::DOUBLE) AS cov_pooled,
+  avg(l_quantity/10+l_tax) AS width0, min(l_orderkey) AS o
+FROM lineitem GROUP BY ALL)
+""",
+)

@@ -49,3 +49,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+PARAMETER_ROWS = 20_000
+
+
+def settle_parameters(df: DataFrame, max_rows: int = PARAMETER_ROWS) -> DataFrame:
+    """Fix a table of run parameters (one row per split, model and level).
+
+    Up to ``max_rows`` rows become a local relation, whose size is then known to be broadcast-safe; a longer table is
+    written once with :func:`settle` and joins like any other.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return settle(df)
+    return df.sparkSession.createDataFrame(rows, df.schema)
