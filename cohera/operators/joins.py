@@ -1,0 +1,218 @@
+"""Joins with checks, theta joins without all-pairs work, and set operations."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cohera.functions.numeric import EARTH_RADIUS_KM, haversine_km
+from cohera.operators.selection import first_k_per_group
+
+
+def join_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that fails the job if a key repeats on either side."""
+    return _unique(a, keys, "left").join(_unique(b, keys, "right"), keys)
+
+
+def join_many_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join onto a table with unique keys; a repeated key on the right fails the job."""
+    return a.join(_unique(b, keys, "right"), keys, "left")
+
+
+def _unique(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """The rows themselves, after a grouped check: map-side counts keep a hot key from piling up."""
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_r"))
+    bad = F.raise_error(F.concat(F.lit(f"repeated key on the {side} side: "), F.concat_ws("|", *keys)))
+    ok = F.when(F.col("_n") > 1, bad.cast("boolean")).otherwise(F.lit(True))
+    return g.where(ok).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tags: tuple[str, str]) -> DataFrame:
+    """Full outer pairing with suffixes; ``pairing`` tells whether a key has both sides."""
+    x = a.select(*keys, *[F.col(v).alias(f"{v}_{tags[0]}") for v in values], F.lit(True).alias("_a"))
+    y = b.select(*keys, *[F.col(v).alias(f"{v}_{tags[1]}") for v in values], F.lit(True).alias("_b"))
+    j = x.join(y, keys, "full_outer")
+    state = F.when(F.col("_a").isNull(), f"only {tags[1]}").when(F.col("_b").isNull(), f"only {tags[0]}").otherwise("paired")
+    return j.withColumn("pairing", state).drop("_a", "_b")
+
+
+def drop_keys_of(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    return df.join(other.select(key).distinct(), key, "left_anti")
+
+
+def keep_keys_of(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    return df.join(other.select(key).distinct(), key, "left_semi")
+
+
+# ---------------------------------------------------------------- spatial
+KM_PER_DEGREE = 2 * 3.141592653589793 * EARTH_RADIUS_KM / 360
+
+
+def _cells(df: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """Latitude band and longitude cell; a cell is never narrower than ``km`` anywhere in its band and its neighbours."""
+    step = km / KM_PER_DEGREE
+    band = F.floor((F.col(lat) + 90) / step).cast("long")
+    far = F.greatest(F.abs(F.col("_band") * step - 90), F.abs((F.col("_band") + 1) * step - 90)) + step
+    width = F.when(far >= 89.0, F.lit(360.0)).otherwise(F.least(F.lit(360.0), F.lit(step) / F.cos(F.radians(far))))
+    count = F.greatest(F.lit(1.0), F.floor(F.lit(360.0) / width))
+    return df.withColumn("_band", band).withColumn("_count", count)
+
+
+def _cell_of(lon: Column, count: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / (F.lit(360.0) / count)), count).cast("long")
+
+
+def points_within(df: DataFrame, keys: list[str], lat: str, lon: str, km: float) -> DataFrame:
+    """Pairs of distinct located points (``keys_a < keys_b`` in struct order) within ``km``, with their distance.
+
+    Equal coordinates of one key are one point. A grid turns the search into an equi-join: the left point is looked up
+    in its cell and the neighbouring cells of the three latitude bands (wrapping at 180 degrees), the right point sits
+    in one cell.
+    """
+    pts = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*keys, lat, lon).distinct()
+    grid = _cells(pts, lat, lon, km)
+    right = grid.withColumn("_cell", _cell_of(F.col(lon), F.col("_count")))
+    right = right.select("_band", "_cell", *[F.col(c).alias(f"{c}_b") for c in [*keys, lat, lon]])
+    step = km / KM_PER_DEGREE
+    near_band = grid.select(*keys, lat, lon, F.explode(F.array(*[F.col("_band") + i for i in (-1, 0, 1)])).alias("_band"))
+    far = F.greatest(F.abs(F.col("_band") * step - 90), F.abs((F.col("_band") + 1) * step - 90)) + step
+    width = F.when(far >= 89.0, F.lit(360.0)).otherwise(F.least(F.lit(360.0), F.lit(step) / F.cos(F.radians(far))))
+    near_band = near_band.withColumn("_count", F.greatest(F.lit(1.0), F.floor(F.lit(360.0) / width)))
+    own = _cell_of(F.col(lon), F.col("_count"))
+    cells = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(own + i, F.col("_count")).cast("long")))
+    left = near_band.select("_band", F.explode(cells).alias("_cell"), *[F.col(c).alias(f"{c}_a") for c in [*keys, lat, lon]])
+    d = haversine_km(F.col(f"{lat}_a"), F.col(f"{lon}_a"), F.col(f"{lat}_b"), F.col(f"{lon}_b"))
+    a = F.struct(*[F.col(f"{c}_a").alias(c) for c in [*keys, lat, lon]])
+    b = F.struct(*[F.col(f"{c}_b").alias(c) for c in [*keys, lat, lon]])
+    j = left.join(right, ["_band", "_cell"]).where(a < b).withColumn("km", d)
+    return j.where(F.col("km") <= km).drop("_band", "_cell")
+
+
+def nearest_between_groups(df: DataFrame, group: str, lat: str, lon: str, km: float) -> DataFrame:
+    """Smallest distance between two groups, for pairs within ``km``. Output: group_a < group_b, min_km.
+
+    Equal coordinates of a group are one point, and the minimum is combined on the map side.
+    """
+    pairs = points_within(df, [group], lat, lon, km).where(F.col(f"{group}_a") != F.col(f"{group}_b"))
+    a = F.least(f"{group}_a", f"{group}_b").alias("group_a")
+    b = F.greatest(f"{group}_a", f"{group}_b").alias("group_b")
+    return pairs.groupBy(a, b).agg(F.min("km").alias("min_km"))
+
+
+# ---------------------------------------------------------------- tokens
+def token_links(df: DataFrame, group: str, text: Column, stop: set[str], min_len: int = 4) -> DataFrame:
+    """Groups joined by shared distinctive tokens, as star links: each token links its smallest group to the others.
+
+    Linear in the number of (group, token) rows: a token shared by m groups gives m - 1 links, not m(m-1)/2 pairs.
+    Output: token, hub, group.
+    """
+    tok = F.explode(F.array_distinct(F.split(text, r"[\s,/()\-]+")))
+    t = df.select(F.col(group).alias("_g"), tok.alias("token"))
+    t = t.where((F.length("token") >= min_len) & ~F.col("token").isin(*sorted(stop))).distinct()
+    hub = t.groupBy("token").agg(F.min("_g").alias("hub"), F.count(F.lit(1)).alias("n_groups"))
+    return t.join(hub.where(F.col("n_groups") > 1), "token").where(F.col("_g") != F.col("hub")).select(
+        "token", "hub", F.col("_g").alias("group"))
+
+
+# ---------------------------------------------------------------- near duplicates and neighbours
+def near_duplicates(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float) -> DataFrame:
+    """Links between rows of equal block key whose root-mean-square vector difference is below ``limit``.
+
+    Rows with the same vector are one member. Inside a block a fine cell of the first component cuts the search: a
+    difference below the limit over p components implies a first-component difference below ``limit * sqrt(p)``, so only
+    the own and the next cell can hold a partner.
+    """
+    rows = df.where(F.forall(vec, lambda v: v.isNotNull())).groupBy(*block, vec).agg(F.min(id_col).alias(id_col))
+    p = F.size(vec)
+    first = F.get(vec, F.lit(0)).cast("double")
+    cell = F.floor(first / (F.lit(limit) * F.sqrt(p)))
+    a = rows.select(*block, F.col(id_col).alias("a"), F.col(vec).alias("va"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
+    b = rows.select(*block, F.col(id_col).alias("b"), F.col(vec).alias("vb"), cell.alias("_c"))
+    sq = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v.cast("double"))
+    j = a.join(b, [*block, "_c"]).where(F.col("a") < F.col("b")).withColumn("rms", F.sqrt(sq / F.size("va")))
+    return j.where(F.col("rms") < limit).select(*block, "a", "b", "rms")
+
+
+def knn_mean_distance(train: DataFrame, test: DataFrame, split: list[str], id_col: str, vec: str, k: int = 5, tile: int = 256):
+    """Mean distance to the k nearest training vectors, in space standardised on the training rows of the split.
+
+    Both sides are cut into tiles by a hash of the id; a tile pair is one bounded NumPy block in an Arrow task and
+    returns only k distances per test row, which are merged by a final k-smallest step.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows_per_tile = 20_000  # bounds the block a task holds, whatever the table size
+    n_tiles = max(1, math.ceil(max(train.count(), test.count()) / rows_per_tile))
+    pos = train.select(*split, F.posexplode(vec).alias("j", "v"))
+    stat = pos.groupBy(*split, "j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stat = stat.groupBy(*split).agg(F.sort_array(F.collect_list(F.struct("j", "m", "s"))).alias("_st"))  # one entry per component
+
+    def scaled(df: DataFrame) -> DataFrame:
+        z = F.zip_with(vec, "_st", lambda v, t: (v.cast("double") - t["m"]) / F.when(t["s"] == 0, 1.0).otherwise(t["s"]))
+        return df.join(F.broadcast(stat), split).select(*split, F.col(id_col).alias("_id"), z.alias("_z"))
+
+    tiles = F.array(*[F.lit(i) for i in range(n_tiles)])
+    tr = scaled(train).withColumn("_ta", F.pmod(F.xxhash64("_id"), F.lit(n_tiles)).cast("int"))
+    te = scaled(test).withColumn("_tb", F.pmod(F.xxhash64("_id"), F.lit(n_tiles)).cast("int")).withColumn("_ta", F.explode(tiles))
+    tr = tr.withColumn("_tb", F.explode(tiles))
+    tr = tr.select(*[F.col(c).alias(c) for c in tr.columns])  # fresh column ids: both sides come from one table
+    types = dict(te.dtypes)
+    key = [*split, "_ta", "_tb"]
+
+    def block(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({**{c: [] for c in split}, "_id": [], "_d": []})
+        a = np.stack(left["_z"].to_numpy())
+        out_id, out_d = [], []
+        for s in range(0, len(right), tile):
+            part = right.iloc[s : s + tile]
+            b = np.stack(part["_z"].to_numpy())
+            d2 = np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2 * b @ a.T, 0.0)
+            kk = min(k, d2.shape[1])
+            best = np.sqrt(np.partition(d2, kk - 1, axis=1)[:, :kk])
+            out_id.append(np.repeat(part["_id"].to_numpy(), kk))
+            out_d.append(best.ravel())
+        head = {c: keys[i] for i, c in enumerate(split)}
+        return pd.DataFrame({"_id": np.concatenate(out_id), "_d": np.concatenate(out_d)}).assign(**head)[[*split, "_id", "_d"]]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in split) + f", _id {types['_id']}, _d double"
+    near = tr.groupBy(*key).cogroup(te.groupBy(*key)).applyInPandas(block, schema)
+    best = first_k_per_group(near, [*split, "_id"], [F.col("_d").asc()], k)
+    return best.groupBy(*split, F.col("_id").alias(id_col)).agg(F.avg("_d").alias("dist"))
+
+
+# ---------------------------------------------------------------- set operations
+def union_all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key, the first in a total order."""
+    return first_k_per_group(df, keys, order, 1, "_r").drop("_r")
+
+
+def replace_slice(base: DataFrame, other: DataFrame, in_slice: Column) -> DataFrame:
+    """Rows of one slice come from another run, all other rows from the base run."""
+    return base.where(~F.coalesce(in_slice, F.lit(False))).unionByName(other.where(in_slice), allowMissingColumns=True)
+
+
+def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All copies of rows whose key repeats: counts per key first, then a semi join with the repeated keys."""
+    rep = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    return df.join(rep, keys, "left_semi")
+
+
+def check_claims(claims: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Printed text against the recomputed ledger value under its rounding rule. ``claims``: key, printed, rule."""
+    from cohera.functions.numeric import round_by_rule
+
+    rules = ["i0", "i1", "d1", "d2", "d3", "d4", "s3", "p1"]
+    text = F.coalesce(*[F.when(F.col("rule") == r, round_by_rule(F.col("value"), r)) for r in rules])
+    return claims.join(ledger, "key", "left").withColumn("recomputed", text).withColumn(
+        "agrees", F.coalesce(F.col("printed") == F.col("recomputed"), F.lit(False)))

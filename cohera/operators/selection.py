@@ -120,3 +120,27 @@ def quantile_position(n: int, p: float) -> tuple[int, int]:
     """1-based ranks used for probability p on n values (for tests)."""
     pos = p * (n - 1)
     return math.floor(pos) + 1, math.ceil(pos) + 1
+
+
+def cumulative(df: DataFrame, split: list[str], value: str, amount: Column, buckets: int = 128) -> DataFrame:
+    """Running total of ``amount`` in value order per split, ties taken together.
+
+    Equal values are added first; sketch edges cut the distinct values into buckets, bucket totals give the offsets,
+    and only the rows of one bucket meet in a window. Output: split, value, ``amount``, ``upto``, ``total``.
+    """
+    by = split or ["_all"]
+    base = df if split else df.withColumn("_all", F.lit(1))
+    v = base.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(amount).alias("amount"))
+    edges = v.groupBy(*by).agg(
+        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], ACCURACY).alias("_e")
+    )
+    b = v.join(edges, by).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    sums = b.groupBy(*by, "_b").agg(F.sum("amount").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(
+        *by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
+        F.sum("_s").over(Window.partitionBy(*by)).alias("total"),
+    )
+    local = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.withColumn("_local", F.sum("amount").over(local)).join(offs, [*by, "_b"])
+    return out.select(*split, value, "amount", (F.col("_before") + F.col("_local")).alias("upto"), "total")

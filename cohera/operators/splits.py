@@ -225,8 +225,8 @@ def contributor_folds(
     cal = fill_calibration(pool, ["seed", "fold"], purpose=protocol).select("seed", "fold", "unit", "is_cal")
     tests = per_fold.where(is_test).select("seed", "fold", "unit", F.lit("test").alias("role"))
     rest = cal.select("seed", "fold", "unit", F.when(F.col("is_cal"), "cal").otherwise("train").alias("role"))
-    roles = tests.unionByName(rest)
-    rows = df.join(roles, df[unit].cast("string") == roles["unit"]).drop("unit")
+    roles = tests.unionByName(rest).withColumnRenamed("unit", "_unit")
+    rows = df.join(roles, F.col(unit).cast("string") == F.col("_unit")).drop("_unit")
     if drop_leaks:
         rows = _drop_leaks(rows, group)
     return rows.withColumn("protocol", F.lit(protocol)).withColumn(
