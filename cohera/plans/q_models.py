@@ -338,12 +338,12 @@ def interval_recalibrated(spark, sf):
 
 @query(
     "interval_native__I8",
-    sql(f"SELECT protocol, seed, id, {r(f'p_ratio-{SIG}/2', 9)} AS lower, {r(f'p_ratio+{SIG}/2', 9)} AS upper FROM scored_wide WHERE role='test'", "scored_wide"),
+    sql(f"SELECT protocol, seed, id, {r(f'p_ratio-{SIG}/2', 10)} AS lower, {r(f'p_ratio+{SIG}/2', 10)} AS upper FROM scored_wide WHERE role='test'", "scored_wide"),
 )
 def interval_native(spark, sf):
     half = (F.lit(1.0) + F.abs(F.coalesce("x", F.lit(0.0)))) / 2
     w = d.scored_wide(d.job(spark, sf), roles=("test",))
-    return w.select(*SPLIT2, "id", rnd(F.col("p_ratio") - half, 9).alias("lower"), rnd(F.col("p_ratio") + half, 9).alias("upper"))
+    return w.select(*SPLIT2, "id", rnd(F.col("p_ratio") - half, 10).alias("lower"), rnd(F.col("p_ratio") + half, 10).alias("upper"))
 
 
 @query(
@@ -406,7 +406,7 @@ part(
     f"""SELECT g.protocol, g.seed, g.grp, k, variant, s FROM
 (SELECT protocol, seed, grp, ts, id, abs(y-p_const) AS s, row_number() OVER (PARTITION BY protocol, seed, grp ORDER BY ts, id) AS rk FROM scored_wide WHERE role='test') g,
 (SELECT unnest({KGRID})::INTEGER AS k), (SELECT unnest(['augment','local','hybrid']) AS variant) WHERE rk<=k
-UNION ALL SELECT t.protocol, t.seed, t.grp, k, variant, abs(y-p_const) FROM (SELECT DISTINCT protocol, seed, grp FROM scored_wide WHERE role='test') t JOIN gsub_wide g ON g.protocol=t.protocol AND g.seed=t.seed,
+UNION ALL SELECT t.protocol, t.seed, t.grp, k, variant, s FROM (SELECT DISTINCT protocol, seed, grp FROM scored_wide WHERE role='test') t JOIN (SELECT protocol, seed, abs(y-p_const) AS s FROM gsub_wide) g ON g.protocol=t.protocol AND g.seed=t.seed,
 (SELECT unnest({KGRID})::INTEGER AS k), (SELECT unnest(['global','augment','hybrid']) AS variant) WHERE NOT (variant='hybrid' AND k>=9)""",
     "scored_wide", "gsub_wide",
 )
