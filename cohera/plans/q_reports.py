@@ -32,13 +32,13 @@ def group_count(spark, sf):
 
 @query(
     "group_table__A3",
-    sql(f"SELECT grp, count(*) AS n_samples, min(region) AS region, min(unit) AS unit, count(DISTINCT kind) AS n_kinds, {r('avg(value)', 6)} AS value_mean, "
+    sql(f"SELECT grp, count(*) AS n_samples, min(region) AS region, min(unit) AS unit, count(DISTINCT kind) AS n_kinds, {r('avg(value)', 10)} AS value_mean, "
         "count(DISTINCT date_trunc('day', ts)) AS n_days FROM samples GROUP BY grp", "samples"),
 )
 def group_table(spark, sf):
     return d.samples(spark, sf).groupBy("grp").agg(
         F.count(F.lit(1)).alias("n_samples"), F.min("region").alias("region"), F.min("unit").alias("unit"),
-        F.count_distinct("kind").alias("n_kinds"), rnd(F.avg("value")).alias("value_mean"),
+        F.count_distinct("kind").alias("n_kinds"), rnd(F.avg("value"), 10).alias("value_mean"),
         F.count_distinct(F.to_date("ts")).alias("n_days"))
 
 
@@ -164,8 +164,8 @@ def cell_summary(spark, sf):
 
 @query(
     "cell_distribution__A14",
-    sql(f"SELECT concat_ws('.','cell',target,protocol,model,method,'a'||lpad(round(alpha*1000)::INTEGER::VARCHAR,3,'0'),name) AS key, {r('v', 8)} AS value FROM (SELECT {CELL_T}, unnest(['cov_group_mean','cov_group_p025','cov_group_p975','cov_group_median','n_splits']) AS name, "
-        "unnest([avg(cov_group), quantile_cont(cov_group,0.025), quantile_cont(cov_group,0.975), quantile_cont(cov_group,0.5), count(*)::DOUBLE]) AS v FROM fin GROUP BY ALL)", "fin"),
+    sql(f"SELECT concat_ws('.','cell',target,protocol,model,method,'a'||lpad(round(alpha*1000)::INTEGER::VARCHAR,3,'0'),name) AS key, {r('v', 8)} AS value FROM (SELECT {CELL_T}, unnest(['cov_group_mean','cov_group_p025','cov_group_p975','cov_group_median','n_splits']) AS name, unnest(l) AS v FROM "
+        f"(SELECT {CELL_T}, [avg(cov_group), quantile_cont(cov_group,0.025), quantile_cont(cov_group,0.975), quantile_cont(cov_group,0.5), count(*)::DOUBLE] AS l FROM fin GROUP BY {CELL_T}))", "fin"),
 )
 def cell_distribution(spark, sf):
     s = R.cell_summary(finite_results(spark, sf), CELL, ["cov_group"], (0.025, 0.975)).withColumn("n_splits", F.col("n_splits").cast("double"))
@@ -241,7 +241,7 @@ def largest_gap(spark, sf):
 @query(
     "condition_audit__A19",
     sql("""SELECT protocol, count(*) AS n_splits, count(*) FILTER (t >= n/10) AS n_hold, count(*) FILTER (NOT t >= n/10) AS n_fail, count(*) FILTER ((1-10/n)/11 < 2*(1-0.1::DOUBLE)/(n/10+1)) AS n_second, count(*) FILTER ((1-10/n)/11 < 2*(1-0.1::DOUBLE)/(n/10+1) AND NOT t >= n/10) AS n_fail_second
-FROM (SELECT protocol, seed, target, sum(n_test)::DOUBLE/100 AS t, sum(n_train)::DOUBLE/(1+seed*10) AS n FROM results GROUP BY ALL) GROUP BY protocol""", "results"),
+FROM (SELECT protocol, seed, target, sum(n_test)::DOUBLE/100 AS t, sum(n_train)::DOUBLE/(1+seed*10) AS n FROM results GROUP BY protocol, seed, target) GROUP BY protocol""", "results"),
 )
 def condition_audit(spark, sf):
     s = d.results(spark, sf).groupBy("protocol", "seed", "target").agg(
@@ -258,15 +258,15 @@ def condition_audit(spark, sf):
     f"""WITH s AS (SELECT user_id, ts AS a, ts + to_seconds(value*60) AS b FROM events WHERE value>0),
 m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM s),
 g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a, b) AS blk FROM m)
-SELECT user_id, count(*) AS n_blocks, sum(n)::BIGINT AS n_spans, {r('sum(epoch(e)-epoch(s))/3600', 3)} AS busy_hours FROM (SELECT user_id, blk, min(a) AS s, max(b) AS e, count(*) AS n FROM g GROUP BY 1,2) GROUP BY 1""",
+SELECT user_id, count(*) AS n_blocks, sum(n)::BIGINT AS n_spans, {r('sum(epoch_us(e)-epoch_us(s))::DOUBLE/3.6e9', 9)} AS busy_hours FROM (SELECT user_id, blk, min(a) AS s, max(b) AS e, count(*) AS n FROM g GROUP BY 1,2) GROUP BY 1""",
 )
 def coalesce_intervals(spark, sf):
     e = table(spark, sf, "events").where(F.col("value") > 0)
     end = F.col("ts") + F.make_dt_interval(secs=(F.col("value") * 60).cast("decimal(18,6)"))
     blocks = R.coalesce_spans(e.select("user_id", F.col("ts").alias("a"), end.alias("b")), ["user_id"], "a", "b")
-    hours = (F.unix_micros(F.col("block_end").cast("timestamp")) - F.unix_micros(F.col("block_start").cast("timestamp"))) / 3.6e9
+    micros = F.unix_micros(F.col("block_end").cast("timestamp")) - F.unix_micros(F.col("block_start").cast("timestamp"))
     return blocks.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.sum("n_spans").alias("n_spans"), rnd(F.sum(hours), 3).alias("busy_hours"))
+        F.count(F.lit(1)).alias("n_blocks"), F.sum("n_spans").alias("n_spans"), rnd(F.sum(micros) / 3.6e9, 9).alias("busy_hours"))
 
 
 @query(
@@ -329,7 +329,7 @@ def local_pivot(spark, sf):
 
 @query(
     "unique_ledger__A26",
-    sql(f"SELECT target||'.'||method||'.'||name AS key, {r('v', 8)} AS value, 1::BIGINT AS copies FROM (SELECT target, method, unnest(['cov','pool','rows']) AS name, unnest([avg(cov_group), avg(cov_pooled), sum(n_test)::DOUBLE]) AS v FROM results GROUP BY ALL)", "results"),
+    sql(f"SELECT target||'.'||method||'.'||name AS key, {r('v', 8)} AS value, 1::BIGINT AS copies FROM (SELECT target, method, unnest(['cov','pool','rows']) AS name, unnest(l) AS v FROM (SELECT target, method, [avg(cov_group), avg(cov_pooled), sum(n_test)::DOUBLE] AS l FROM results GROUP BY target, method))", "results"),
 )
 def unique_ledger(spark, sf):
     m = d.results(spark, sf).groupBy("target", "method").agg(F.avg("cov_group").alias("cov"), F.avg("cov_pooled").alias("pool"), F.sum("n_test").cast("double").alias("rows"))
