@@ -29,11 +29,11 @@ def metric_point(spark, sf):
 
 @query(
     "interval_score__E2",
-    sql(f"SELECT protocol, seed, model, method, alpha, id, {r('score', 7)} AS score FROM ivrows", "ivrows"),
+    sql(f"SELECT protocol, seed, model, method, alpha, id, {r('score', 10)} AS score FROM ivrows", "ivrows"),
 )
 def interval_score(spark, sf):
     iv = d.scp_intervals(d.scored_wide(d.job(spark, sf)))
-    return E.interval_rows(iv).select(*CELL, "id", rnd("score", 7).alias("score"))
+    return E.interval_rows(iv).select(*CELL, "id", rnd("score", 10).alias("score"))
 
 
 def group_hits(spark, sf):
