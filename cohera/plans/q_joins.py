@@ -67,7 +67,8 @@ HAV = (
         "JOIN coords a ON a.vec_id=ai JOIN coords b ON b.vec_id=bi WHERE km<=60", "coords"),
 )
 def join_radius(spark, sf):
-    p = J.points_within(coords(spark, sf), ["vec_id"], "lat", "lon", 60.0)
+    places = coords(spark, sf).groupBy("lat", "lon").agg(F.min("vec_id").alias("vec_id"))  # one point per place
+    p = J.points_within(places, ["vec_id"], "lat", "lon", 60.0)
     return p.select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), rnd("km", 4).alias("km"))
 
 
