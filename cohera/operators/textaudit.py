@@ -31,9 +31,9 @@ SPELLING = {
     "generalis(e|ed|es|ing|ation)": "generaliz...", "modelled": "modeled", "travelled": "traveled",
 }
 EXEMPT = ["European Organisation", "Ocean and Land Colour Instrument"]
-# Code points of dashes and invisible characters.
+# Code points of dashes and invisible characters, and the typed dash.
 AUDITED = {
-    "em dash": 0x2014, "en dash": 0x2013, "soft hyphen": 0x00AD, "zero-width space": 0x200B,
+    "typed dash": (0x2D, 0x2D), "em dash": 0x2014, "en dash": 0x2013, "soft hyphen": 0x00AD, "zero-width space": 0x200B,
     "zero-width non-joiner": 0x200C, "zero-width joiner": 0x200D, "left-to-right mark": 0x200E,
     "right-to-left mark": 0x200F, "word joiner": 0x2060, "byte order mark": 0xFEFF, "no-break space": 0x00A0,
 }
@@ -109,9 +109,12 @@ def lint(df: DataFrame, doc: str, text: str, rules: dict[str, str], exempt: list
 
 def character_audit(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Counts of dashes and invisible characters: keys, character, n_docs, n."""
-    items = F.array(*[
-        F.struct(F.lit(n).alias("character"), (F.length(text) - F.length(F.replace(F.col(text), F.lit(chr(c)), F.lit("")))).alias("n"))
-        for n, c in AUDITED.items()])
+    items = []
+    for name, code in AUDITED.items():
+        s = "".join(map(chr, code)) if isinstance(code, tuple) else chr(code)
+        n = (F.length(text) - F.length(F.replace(F.col(text), F.lit(s), F.lit("")))) / F.lit(len(s))
+        items.append(F.struct(F.lit(name).alias("character"), n.cast("long").alias("n")))
+    items = F.array(*items)
     rows = df.select(*keys, F.explode(F.filter(items, lambda e: e["n"] > 0)).alias("e"))
     return rows.groupBy(*keys, F.col("e.character").alias("character")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("e.n").cast("long").alias("n"))

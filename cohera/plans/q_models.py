@@ -360,6 +360,24 @@ def interval_cv_plus(spark, sf):
     return iv.select(*SPLIT2, "alpha", "id", "n_cal", "inf_flag", rnd("lower", 10).alias("lower"), rnd("upper", 10).alias("upper"))
 
 
+@query(
+    "join_residual_fold__J13",
+    sql(f"SELECT protocol, seed, id, count(*) AS n, {r('min(mu-r)', 9)} AS lowest, {r('max(mu+r)', 9)} AS highest FROM job JOIN cvp_res USING (protocol, seed) JOIN cvp_mu USING (protocol, seed, fold_id) WHERE role='test' GROUP BY ALL", "job", "cvp_res", "cvp_mu"),
+)
+def join_residual_fold(spark, sf):
+    """Every test row meets every residual of its split through the prediction of the residual's fold model.
+
+    mu takes K values per row and the extremes of mu[k] -/+ r over a fold need only the largest residual of the fold.
+    """
+    res, test = cv_plus_parts(d.job(spark, sf))
+    per = res.groupBy(*SPLIT2, "fold").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    per = settle_parameters(per.groupBy(*SPLIT2).agg(F.sum("n").alias("n"), F.collect_list(F.struct("fold", "r")).alias("top")))  # K entries
+    o = test.join(F.broadcast(per), SPLIT2)
+    low = F.array_min(F.transform("top", lambda e: F.get("mu", e["fold"]) - e["r"]))
+    high = F.array_max(F.transform("top", lambda e: F.get("mu", e["fold"]) + e["r"]))
+    return o.select(*SPLIT2, "id", "n", rnd(low, 9).alias("lowest"), rnd(high, 9).alias("highest"))
+
+
 @query(
     "cv_plus_bound__I10",
     f"SELECT k, n, {r('1.0-0.2-least(2.0*(1.0-1.0/10.0)/(n/10.0+1.0),(1.0-10.0/n)/11.0)', 9)} AS bound FROM (SELECT c_nationkey AS k, count(*)::DOUBLE AS n FROM customer GROUP BY 1)",

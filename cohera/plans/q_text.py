@@ -66,12 +66,22 @@ def word_list_lint(spark, sf):
     return X.lint(table(spark, sf, "documents"), "doc_id", "text", RULES)
 
 
-@query(
-    "character_audit__X5",
-    "SELECT lang, character, count(*) AS n_docs, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT lang, {lit(n)} AS character, length(text)-length(replace(text,chr({c}),'')) AS n FROM documents" for n, c in X.AUDITED.items()) + ") WHERE n>0 GROUP BY 1,2",
-)
+def _char_sql():
+    src = "(SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations)"
+    one = []
+    for n, c in X.AUDITED.items():
+        ch = "||".join(f"chr({x})" for x in (c if isinstance(c, tuple) else (c,)))
+        one.append(f"SELECT src, {lit(n)} AS character, (length(text)-length(replace(text,{ch},'')))//{len(c) if isinstance(c, tuple) else 1} AS n FROM {src}")
+    return "SELECT src, character, count(*) AS n_docs, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(one) + ") WHERE n>0 GROUP BY 1,2"
+
+
+@query("character_audit__X5", _char_sql())
 def character_audit(spark, sf):
-    return X.character_audit(table(spark, sf, "documents"), ["lang"], "text")
+    t = None
+    for name, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        part = table(spark, sf, name).select(F.lit(name).alias("src"), F.col(col).alias("text"))
+        t = part if t is None else t.unionByName(part)
+    return X.character_audit(t, ["src"], "text")
 
 
 WK = "unnest(list_transform(list_filter(regexp_extract_all(lower(text),'[a-z]+'), lambda x: length(x)>=2), lambda x: regexp_replace(x,'f+[il]?','','g')))"
