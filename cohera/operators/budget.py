@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohera.functions.numeric import INF, conformal_rank
 from cohera.operators.selection import first_k_per_group, order_statistics
-from cohera.session import settle
+from cohera.session import settle, settle_parameters
 
 VARIANTS = ("global", "augment", "local", "hybrid")
 
@@ -58,10 +58,10 @@ def _quantiles(pooled, first, groups, split, group, ks, alpha):
     ranks = {f"r{i}": (lambda m, i=i: conformal_rank(m, alpha) - F.lit(span) + F.lit(i)) for i in range(2 * span + 1)}
     near = order_statistics(pooled, split, "s", ranks, [1 - alpha]).drop("n")
     arr = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"r{i}").alias("v")) for i in range(2 * span + 1)])
-    window = near.select(*split, arr.alias("near")).join(n, split)
+    window = settle_parameters(near.select(*split, arr.alias("near")).join(n, split))
     kk = F.explode(F.array(*map(F.lit, ks)))
     loc = first.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("rk", "s"))).alias("loc"))  # at most max(ks) entries
-    g = groups.join(loc, own, "left").join(F.broadcast(window), split).withColumn("k", kk)
+    g = groups.join(loc, own, "left").join(window, split).withColumn("k", kk)
     g = g.withColumn("mine", F.transform(F.filter(F.coalesce("loc", F.array().cast("array<struct<rk:int,s:double>>")), lambda e: e["rk"] <= F.col("k")), lambda e: e["s"]))
     g = g.where(F.size("mine") == F.col("k"))
     g = g.withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS))))

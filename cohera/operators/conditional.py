@@ -18,7 +18,7 @@ def quantile_bin(df: DataFrame, keys: list[str], value: str, bins: int = 5) -> D
     b = F.lit(0)
     for e in names:
         b = b + (F.col(value) > F.col(e)).cast("int")
-    return base.join(F.broadcast(edges), by).withColumn("bin", b).drop(*names, "_all")
+    return base.join(edges, by).withColumn("bin", b).drop(*names, "_all")
 
 
 def conditional_shares(rows: DataFrame, keys: list[str], split: list[str], group: str, min_n: int = 5) -> DataFrame:

@@ -38,7 +38,7 @@ def apply_quantile(test: DataFrame, qhat: DataFrame, keys: list[str], lo: Column
     """
     s = F.lit(1.0) if scale is None else scale
     q = F.col("qhat")
-    out = test.join(F.broadcast(qhat), keys)
+    out = test.join(qhat, keys)
     return out.withColumn("lower", F.when(F.col("inf_flag"), F.lit(-INF)).otherwise(lo - q * s)).withColumn(
         "upper", F.when(F.col("inf_flag"), F.lit(INF)).otherwise(hi + q * s)
     )

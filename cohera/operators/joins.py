@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import EARTH_RADIUS_KM, haversine_km
 from cohera.operators.selection import first_k_per_group
+from cohera.session import settle_parameters
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,10 +150,11 @@ def knn_mean_distance(train: DataFrame, test: DataFrame, split: list[str], id_co
     pos = train.select(*split, F.posexplode(vec).alias("j", "v"))
     stat = pos.groupBy(*split, "j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     stat = stat.groupBy(*split).agg(F.sort_array(F.collect_list(F.struct("j", "m", "s"))).alias("_st"))  # one entry per component
+    stat = settle_parameters(stat)
 
     def scaled(df: DataFrame) -> DataFrame:
         z = F.zip_with(vec, "_st", lambda v, t: (v.cast("double") - t["m"]) / F.when(t["s"] == 0, 1.0).otherwise(t["s"]))
-        return df.join(F.broadcast(stat), split).select(*split, F.col(id_col).alias("_id"), z.alias("_z"))
+        return df.join(stat, split).select(*split, F.col(id_col).alias("_id"), z.alias("_z"))
 
     tiles = F.array(*[F.lit(i) for i in range(n_tiles)])
     tr = scaled(train).withColumn("_ta", F.pmod(F.xxhash64("_id"), F.lit(n_tiles)).cast("int"))

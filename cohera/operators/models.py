@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import normal_cdf
 from cohera.operators.selection import quantiles
+from cohera.session import settle_parameters
 
 LOG_FLOOR = 1e-5  # fixed value: non-positive inputs are floored here before logs
 RIDGE_GRID = tuple(float(v) for v in np.logspace(-3, 3, 13))
@@ -147,7 +148,7 @@ def fit_saturating(train: DataFrame, split: list[str], r: str, y: str = "y", poi
     """
     rows = train.where(F.col(r) > 0).select(*split, F.col(r).alias("_r"), F.col(y).alias("_y"))
     lim = rows.groupBy(*split).agg((F.max("_r") * 1.01).alias("lo"))
-    lim = lim.withColumn("hi", F.col("lo") * 1e4)
+    lim = settle_parameters(lim.withColumn("hi", F.col("lo") * 1e4))
     best = None
     for _ in range(rounds):
         steps = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("i")
@@ -156,11 +157,11 @@ def fit_saturating(train: DataFrame, split: list[str], r: str, y: str = "y", poi
             "c", F.col("lo") * F.pow(ratio, F.col("i") / F.lit(float(points)))
         )
         e = F.col("_y") - F.log10(F.col("_r") / F.greatest(F.lit(1.0) - F.col("_r") / F.col("c"), F.lit(1e-6)))
-        sse = rows.join(F.broadcast(grid), split).groupBy(*split, "i", "c", "lo", "hi").agg(
+        sse = rows.join(grid, split).groupBy(*split, "i", "c", "lo", "hi").agg(
             F.avg(e).alias("log_a"), (F.var_pop(e) * F.count(e)).alias("sse")
         )
         best = sse.groupBy(*split).agg(F.min_by(F.struct("i", "c", "lo", "hi", "log_a"), F.struct("sse", "i")).alias("b"))
-        best = best.select(*split, "b.*")
+        best = settle_parameters(best.select(*split, "b.*"))
         step = F.pow(F.col("hi") / F.col("lo"), F.lit(1.0 / points))
         lim = best.select(
             *split,
@@ -215,9 +216,8 @@ def forest_leaf_quantiles(
     def leaves(df: DataFrame, keep: list[str]) -> DataFrame:
         return model.transform(df).select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
 
-    table = quantiles(leaves(train, [y]), ["tree", "leaf"], y, probs).drop("n")
-    # trees x 2^depth rows at most, far below any broadcast limit
-    hit = leaves(score, [id_col]).join(F.broadcast(table), ["tree", "leaf"])
+    table = settle_parameters(quantiles(leaves(train, [y]), ["tree", "leaf"], y, probs).drop("n"))  # trees x 2^depth rows
+    hit = leaves(score, [id_col]).join(table, ["tree", "leaf"])
     return hit.groupBy(id_col).agg(*[F.avg(q).alias(q) for q in probs])
 
 

@@ -133,25 +133,26 @@ def largest_gap(df: DataFrame, scopes: dict[str, Column], gap: Column, where: li
         F.max("gap").alias("max_gap"), F.min_by("label", F.struct((-F.col("gap")).alias("g"), "label")).alias("at"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def coalesce_spans(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+def coalesce_spans(spans: DataFrame, keys: list[str], start: str, end: str, slot_seconds: int = 86_400) -> DataFrame:
     """Union of overlapping or touching spans per key: block start, block end, number of spans.
 
-    Spans are cut at fixed-width slots of the start time; blocks inside a slot come from windows over that slot only,
-    then the few block ends per slot are joined up across slots.
+    Spans are cut into slots by their start time. One row per slot carries the latest end and the latest block start of
+    the earlier slots, so a window only ever holds the spans of one slot and a key with most of the rows is spread over
+    its slots. Blocks are then named by their start and added up on the map side.
     """
-    slot = F.unix_micros(F.col(start).cast("timestamp")) / F.lit(86_400_000_000)
-    s = spans.withColumn("_slot", F.floor(slot))
-    inner = _islands(s, [*keys, "_slot"], start, end, F.lit(1))
-    return _islands(inner, keys, "block_start", "block_end", F.col("n_spans"))
-
-
-def _islands(s: DataFrame, part: list[str], start: str, end: str, weight: Column) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(F.col(start), F.col(end))
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(seen.isNull() | (F.col(start) > seen), 1).otherwise(0)
-    m = s.withColumn("_w", weight).withColumn("_new", opened).withColumn("_block", F.sum("_new").over(w))
-    return m.groupBy(*part, "_block").agg(
-        F.min(start).alias("block_start"), F.max(end).alias("block_end"), F.sum("_w").alias("n_spans")).drop("_block")
+    by = [*keys, "_slot"]
+    s = spans.withColumn("_slot", F.floor(F.unix_micros(F.col(start).cast("timestamp")) / F.lit(slot_seconds * 1_000_000)))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = s.groupBy(*by).agg(F.max(end).alias("_m")).select(*by, F.max("_m").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*by).orderBy(F.col(start), F.col(end))
+    seen = F.greatest(F.col("_carry"), F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    m = s.join(ends, by).withColumn("_seen", seen)
+    m = m.withColumn("_open", F.when(F.col("_seen").isNull() | (F.col(start) > F.col("_seen")), F.col(start)))
+    opened = m.groupBy(*by).agg(F.max("_open").alias("_o")).select(*by, F.max("_o").over(earlier).alias("_from"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = m.withColumn("_here", F.max("_open").over(upto)).join(opened, by)
+    named = named.withColumn("block_start", F.coalesce("_here", "_from"))
+    return named.groupBy(*keys, "block_start").agg(F.max(end).alias("block_end"), F.count(F.lit(1)).alias("n_spans"))
 
 
 def pivot_cells(df: DataFrame, rows: list[str], col: str, values: list[str], what: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def scale_on_training(df: DataFrame, split: list[str], col: str, role: str = "ro
     iqr = F.when(F.col("_q3") == F.col("_q1"), F.lit(1.0)).otherwise(F.col("_q3") - F.col("_q1"))
     span = F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo"))
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    out = df.join(F.broadcast(p), split)
+    out = df.join(p, split)
     return out.withColumns(
         {
             "robust": (F.col(col) - F.col("_md")) / iqr,

@@ -61,7 +61,7 @@ def label_roles(df: DataFrame, keys: dict[str, str], cuts: DataFrame, seeds: lis
     role = F.when(F.col("_e.h") <= F.col("test_cut"), "test").when(F.col("_e.h") <= F.col("cal_cut"), "cal")
     rows = df.select("*", each.alias("_e")).select("*", "_e.protocol", "_e.seed")
     return (
-        rows.join(F.broadcast(cuts), ["protocol", "seed"])
+        rows.join(cuts, ["protocol", "seed"])
         .withColumn("role", role.otherwise("train"))
         .drop("_e", "test_cut", "cal_cut")
     )
@@ -123,7 +123,7 @@ def leave_unit_out(
     )
     small = (F.col("n_test_groups") < min_groups) | F.col("test_unit").isin(*always_descriptive)
     plan = settle_parameters(cuts.join(sizes, "test_unit").withColumn("descriptive_only", small))  # units x seeds rows
-    rows = df.select("*", folds.alias("_f")).select(*df.columns, "_f.*").join(F.broadcast(plan), ["test_unit", "seed"])
+    rows = df.select("*", folds.alias("_f")).select(*df.columns, "_f.*").join(plan, ["test_unit", "seed"])
     h = hash52(protocol, F.col("seed"), F.col("test_unit"), F.col(group))
     in_unit = F.col(unit).eqNullSafe(F.col("test_unit"))
     role = F.when(in_unit, "test").when(h <= F.col("cal_cut"), "cal").otherwise("train")
@@ -294,7 +294,7 @@ def random_holdout(df: DataFrame, split: list[str], id_col: str, share: float =
     ).select(*split, "_cut")
     cut = settle_parameters(cut)
     held = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-    return rows.join(F.broadcast(cut), split).withColumn("held", held).drop("_h", "_cut")
+    return rows.join(cut, split).withColumn("held", held).drop("_h", "_cut")
 
 
 def group_draws(groups: DataFrame, split: list[str], group: str, grid: list[int], draws: int, purpose: str = "draw"):

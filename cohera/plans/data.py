@@ -48,8 +48,8 @@ def events(spark, sf) -> DataFrame:
 def places(spark, sf) -> DataFrame:
     """grp, unit, region per customer. Nations and regions have 25 and 5 rows by design."""
     n, g = table(spark, sf, "nation"), table(spark, sf, "region")
-    dim = n.join(F.broadcast(g), n.n_regionkey == g.r_regionkey)
-    c = table(spark, sf, "customer").join(F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"))
+    dim = n.join(g, n.n_regionkey == g.r_regionkey)
+    c = table(spark, sf, "customer").join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(F.col("c_custkey").alias("grp"), F.col("n_name").alias("unit"), F.col("r_name").alias("region"))
 
 
@@ -108,7 +108,7 @@ def fits(j: DataFrame, split=SPLIT2) -> DataFrame:
 
 def scored_wide(j: DataFrame, split=SPLIT2, roles=("cal", "test")) -> DataFrame:
     """Scored rows with one column per model; the fits table has one row per split and is broadcast."""
-    rows = j.where(F.col("role").isin(*roles)).join(F.broadcast(fits(j, split)), split)
+    rows = j.where(F.col("role").isin(*roles)).join(fits(j, split), split)
     med = F.round("med", 9)
     line = F.round(F.col("intercept") + F.col("slope") * F.col("x"), 9)
     return rows.withColumn("p_const", med).withColumn("p_ratio", with_fallback(line, F.col("x").isNotNull(), med)).drop(
@@ -287,8 +287,8 @@ def cells(spark, sf, seeds=SEEDS, protocols=("group",), alphas=ALPHAS) -> DataFr
     iv = apply_quantile(test, q, [*SPLIT2, "model"], F.col("pred"), F.col("pred"))
     return (
         interval_metrics(iv, CELL, "grp")
-        .join(F.broadcast(sizes(j)), SPLIT2)
-        .join(F.broadcast(q), CELL)
+        .join(sizes(j), SPLIT2)
+        .join(q, CELL)
     )
 
 

@@ -35,7 +35,7 @@ def model_ridge(spark, sf):
     j = pair(spark, sf)
     basis = [F.log10(F.col("k") + 1.0), F.log10(F.col("hr") + 1.0), F.col("k") / 100.0]
     fit = settle_parameters(M.fit_ridge(folded_moments(j, basis), SPLIT2, len(basis)))
-    scored = j.where("role='test'").join(F.broadcast(fit), SPLIT2)
+    scored = j.where("role='test'").join(fit, SPLIT2)
     return scored.select(*SPLIT2, "id", "penalty", M.linear_prediction(F.col("coef"), basis).alias("pred"))
 
 
@@ -44,7 +44,7 @@ def _ols(spark, sf, basis, valid):
     mom = M.moments(j.where("role='train'").where(valid), [*SPLIT2, "grp"], basis)
     fit = M.solve_ols(M.add_moments(mom, SPLIT2, len(basis)), SPLIT2)
     par = settle_parameters(fit.join(M.fit_median(j.where("role='train'"), SPLIT2), SPLIT2))
-    scored = j.where("role='test'").join(F.broadcast(par), SPLIT2)
+    scored = j.where("role='test'").join(par, SPLIT2)
     pred = M.with_fallback(M.linear_prediction(F.col("coef"), basis), valid, F.col("pred"))
     return scored.select(*SPLIT2, "id", pred.alias("pred"))
 
@@ -64,7 +64,7 @@ def model_difference_quadratic(spark, sf):
 def model_saturating(spark, sf):
     j = pair(spark, sf).withColumn("ref", F.lit(3.141592653589793) * F.col("k") * 1e-3)
     fit = settle_parameters(M.fit_saturating(j.where("role='train'"), SPLIT2, "ref"))
-    scored = j.where("role='test'").join(F.broadcast(fit), SPLIT2)
+    scored = j.where("role='test'").join(fit, SPLIT2)
     pred = M.saturating_prediction(F.col("log_a"), F.col("c"), F.when(F.col("ref") > 0, F.col("ref")))
     return scored.select(*SPLIT2, "id", pred.alias("pred"))
 
@@ -94,12 +94,12 @@ def registry() -> M.ModelRegistry:
     reg = M.ModelRegistry()
 
     def const(train, score):
-        return score.join(F.broadcast(settle_parameters(M.fit_median(train, SPLIT2))), SPLIT2)
+        return score.join(settle_parameters(M.fit_median(train, SPLIT2)), SPLIT2)
 
     def ratio(train, score):
         par = settle_parameters(M.fit_line(train, SPLIT2, "x").join(M.fit_median(train, SPLIT2).withColumnRenamed("pred", "m"), SPLIT2))
         p = M.with_fallback(F.col("intercept") + F.col("slope") * F.col("x"), F.col("x").isNotNull(), F.col("m"))
-        return score.join(F.broadcast(par), SPLIT2).withColumn("pred", p).drop("slope", "intercept", "m")
+        return score.join(par, SPLIT2).withColumn("pred", p).drop("slope", "intercept", "m")
 
     reg.register("const", const)
     reg.register("ratio", ratio)
@@ -150,7 +150,7 @@ def oof_median(j):
     rows = tr.join(folds.withColumnRenamed("fold", "own"), [*SPLIT2, "grp"])
     others = rows.withColumn("left", F.explode(F.array(*[F.lit(i) for i in range(K)]))).where(F.col("left") != F.col("own"))
     med = settle_parameters(M.fit_median(others, [*SPLIT2, "left"]).withColumnRenamed("left", "own"))
-    return rows.join(F.broadcast(med.withColumn("pred_oof", F.round("pred", 9)).drop("pred")), [*SPLIT2, "own"])
+    return rows.join(med.withColumn("pred_oof", F.round("pred", 9)).drop("pred"), [*SPLIT2, "own"])
 
 
 part(
@@ -197,9 +197,9 @@ def cv_plus_parts(j):
     others = rows.withColumn("left", F.explode(F.array(*[F.lit(i) for i in range(CVK)]))).where(F.col("left") != F.col("fold_id"))
     mu = settle_parameters(M.fit_median(others, [*SPLIT2, "left"]).select(*SPLIT2, F.col("left").alias("fold_id"), F.round("pred", 9).alias("mu")))
     one = T.sample_one_per_group(rows, SPLIT2, "grp", "id", ["y", "fold_id"], purpose="cvsub")
-    res = one.join(F.broadcast(mu), [*SPLIT2, "fold_id"]).select(*SPLIT2, F.col("fold_id").alias("fold"), F.abs(F.col("y") - F.col("mu")).alias("r"))
+    res = one.join(mu, [*SPLIT2, "fold_id"]).select(*SPLIT2, F.col("fold_id").alias("fold"), F.abs(F.col("y") - F.col("mu")).alias("r"))
     arr = mu.groupBy(*SPLIT2).agg(F.transform(F.sort_array(F.collect_list(F.struct("fold_id", "mu"))), lambda e: e["mu"]).alias("mu"))  # K entries
-    return res, j.where("role='test'").join(F.broadcast(arr), SPLIT2)
+    return res, j.where("role='test'").join(arr, SPLIT2)
 
 
 @query(
@@ -247,14 +247,18 @@ def mixture_quantile(spark, sf):
     return m.select("vec_id", *[M.mixture_quantile(F.col("w"), F.col("m"), F.col("s"), p).alias(n) for n, p in (("q05", 0.05), ("q95", 0.95))])
 
 
-@query("model_scale__M15")
+@query(
+    "model_scale__M15",
+    sql(f"""WITH f AS (SELECT protocol, seed, regr_slope(abs(y-pred_oof),x) AS b, regr_intercept(abs(y-pred_oof),x) AS a FROM oof GROUP BY ALL)
+SELECT protocol, seed, id, {r('greatest(a+b*coalesce(x,0),1e-3)', 7)} AS sigma FROM job JOIN f USING (protocol, seed) WHERE role='test' AND seed<2""", "oof", "job"),
+)
 def model_scale(spark, sf):
     """Scale model: ridge-free line of |residual| on the log ratio, floored above zero."""
     o = oof_median(pair(spark, sf)).withColumn("a", F.abs(F.col("y") - F.col("pred_oof")))
     fit = settle_parameters(M.fit_line(o, SPLIT2, "x", "a"))
-    test = pair(spark, sf).where("role='test'").join(F.broadcast(fit), SPLIT2)
+    test = pair(spark, sf).where("role='test'").join(fit, SPLIT2)
     sigma = F.greatest(F.col("intercept") + F.col("slope") * F.coalesce("x", F.lit(0.0)), F.lit(1e-3))
-    return test.select(*SPLIT2, "id", sigma.alias("sigma"))
+    return test.select(*SPLIT2, "id", rnd(sigma, 7).alias("sigma"))
 
 
 # ------------------------------------------------------------------------------------------------ I
@@ -327,11 +331,11 @@ def interval_recalibrated(spark, sf):
     cal, test = w.where("role='cal'"), w.where("role='test'")
     sd = settle_parameters(cal.groupBy(*SPLIT2).agg((F.stddev_samp(F.col("y") - F.col("p_ratio")) * 0.7).alias("sd")))
     z = (F.col("y") - F.col("p_ratio")) / F.col("sd")
-    pit = cal.join(F.broadcast(sd), SPLIT2).select(*SPLIT2, N.normal_cdf(z).alias("pit"))
+    pit = cal.join(sd, SPLIT2).select(*SPLIT2, N.normal_cdf(z).alias("pit"))
     lv = I.recalibration_levels(pit, SPLIT2, [0.05, 0.95])
     wide = settle_parameters(lv.groupBy(*SPLIT2).agg(
         F.max(F.when(F.col("level") < 0.5, F.col("recal"))).alias("lo"), F.max(F.when(F.col("level") > 0.5, F.col("recal"))).alias("hi")))
-    t = test.join(F.broadcast(sd), SPLIT2).join(F.broadcast(wide), SPLIT2)
+    t = test.join(sd, SPLIT2).join(wide, SPLIT2)
     p = N.normal_cdf((F.col("y") - F.col("p_ratio")) / F.col("sd"))
     return t.groupBy(*SPLIT2, "lo", "hi").agg(F.avg(p.between(F.col("lo"), F.col("hi")).cast("double")).alias("cov"))
 
@@ -372,7 +376,7 @@ def join_residual_fold(spark, sf):
     res, test = cv_plus_parts(d.job(spark, sf))
     per = res.groupBy(*SPLIT2, "fold").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n"))
     per = settle_parameters(per.groupBy(*SPLIT2).agg(F.sum("n").alias("n"), F.collect_list(F.struct("fold", "r")).alias("top")))  # K entries
-    o = test.join(F.broadcast(per), SPLIT2)
+    o = test.join(per, SPLIT2)
     low = F.array_min(F.transform("top", lambda e: F.get("mu", e["fold"]) - e["r"]))
     high = F.array_max(F.transform("top", lambda e: F.get("mu", e["fold"]) + e["r"]))
     return o.select(*SPLIT2, "id", "n", rnd(low, 9).alias("lowest"), rnd(high, 9).alias("highest"))

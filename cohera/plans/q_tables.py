@@ -105,7 +105,7 @@ def resume_units(spark, sf):
     units = ev.select("event_type").distinct()
 
     def work(todo):
-        return ev.join(F.broadcast(todo), "event_type", "left_semi").groupBy("event_type").agg(
+        return ev.join(todo, "event_type", "left_semi").groupBy("event_type").agg(
             F.count(F.lit(1)).alias("n"), rnd(F.sum("value"), 4).alias("total"))
 
     W.run_pending(spark, units.where(F.col("event_type") < "error"), ["event_type"], p, work)  # a first, partial run

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "cohera", cores: str = "*", **conf) -> SparkSession:
@@ -57,10 +57,10 @@ PARAMETER_ROWS = 20_000
 def settle_parameters(df: DataFrame, max_rows: int = PARAMETER_ROWS) -> DataFrame:
     """Fix a table of run parameters (one row per split, model and level).
 
-    Up to ``max_rows`` rows become a local relation, whose size is then known to be broadcast-safe; a longer table is
-    written once with :func:`settle` and joins like any other.
+    Up to ``max_rows`` rows become a local relation that carries a broadcast hint; a longer table is written once with
+    :func:`settle` and joins like any other. This check is the only place where the library asks for a broadcast.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return settle(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
