@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohera.functions.numeric import INF, conformal_rank
 from cohera.operators.selection import first_k_per_group, order_statistics
@@ -52,13 +52,20 @@ def _quantiles(pooled, first, groups, split, group, ks, alpha):
     """Quantile per (split, group, k, variant)."""
     own = [*split, group]
     switch = math.ceil(1 / alpha) - 1
-    # pooled scores around every rank that any k can ask for: rank(n + k) - k .. rank(n + k)
-    n = pooled.groupBy(*split).agg(F.count(F.lit(1)).alias("n_pool"))
+    # pooled scores between the lowest and the highest rank that any k can ask for: a few dozen distinct values
     span = max(ks)
-    ranks = {f"r{i}": (lambda m, i=i: conformal_rank(m, alpha) - F.lit(span) + F.lit(i)) for i in range(2 * span + 1)}
-    near = order_statistics(pooled, split, "s", ranks, [1 - alpha]).drop("n")
-    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"r{i}").alias("v")) for i in range(2 * span + 1)])
-    window = settle_parameters(near.select(*split, arr.alias("near")).join(n, split))
+    ranks = {
+        "_lo": lambda m: F.greatest(F.lit(1), conformal_rank(m, alpha) - F.lit(span)),
+        "_hi": lambda m: F.least(m, conformal_rank(m, alpha) + F.lit(span)),
+    }
+    ends = settle_parameters(order_statistics(pooled, split, "s", ranks, [1 - alpha]).withColumnRenamed("n", "n_pool"))
+    inside = pooled.join(ends, split).where(F.col("s") <= F.col("_hi"))
+    inside = inside.withColumn("v", F.when(F.col("s") >= F.col("_lo"), F.col("s")))  # lower scores only count
+    steps = inside.groupBy(*split, "n_pool", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*split).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("r", F.sum("c").over(upto)).where(F.col("v").isNotNull())
+    window = settle_parameters(
+        steps.groupBy(*split, "n_pool").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("near")))
     kk = F.explode(F.array(*map(F.lit, ks)))
     loc = first.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("rk", "s"))).alias("loc"))  # at most max(ks) entries
     g = groups.join(loc, own, "left").join(window, split).withColumn("k", kk)
@@ -71,9 +78,7 @@ def _quantiles(pooled, first, groups, split, group, ks, alpha):
     n_cal = F.when(uses_pool, F.col("n_pool")).otherwise(0) + F.size("_own")
     rank = conformal_rank(n_cal, alpha)
     # value with exactly `rank` scores at or below it, merging the local scores into the pooled ranks nearby
-    base = conformal_rank(F.col("n_pool"), alpha) - F.lit(span)  # pooled rank of near[0]
-    pool_vals = F.filter(F.transform("near", lambda e: F.struct((base + e["i"]).alias("r"), e["v"].alias("v"))),
-                         lambda e: e["v"].isNotNull())
+    pool_vals = F.col("near")  # (pooled scores at or below v, v)
 
     def below_own(v):
         return F.size(F.filter("_own", lambda s: s <= v))

@@ -20,11 +20,12 @@ def star_edges(df: DataFrame, id_col: str, code: Column, rule: str) -> DataFrame
 
 def identity_links(df: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:
     """Union of the star edges of several equality rules (a rule gives null where it does not apply)."""
-    out = None
-    for name, code in rules.items():
-        e = star_edges(df, id_col, code, name)
-        out = e if out is None else out.unionByName(e)
-    return out
+    codes = F.filter(F.array(*[F.struct(F.lit(n).alias("rule"), c.cast("string").alias("code")) for n, c in rules.items()]), lambda e: e["code"].isNotNull())
+    # the rows are read once; what is settled is one short code per row and rule
+    rows = settle(df.select(F.col(id_col).alias("dst"), F.explode(codes).alias("e")).select("dst", "e.rule", "e.code"))
+    hub = rows.groupBy("rule", "code").agg(F.min("dst").alias("src"), F.count(F.lit(1)).alias("n"))
+    linked = rows.join(hub.where("n > 1"), ["rule", "code"]).where("src <> dst")
+    return linked.select("src", "dst", "rule")
 
 
 def link_report(edges: DataFrame) -> DataFrame:

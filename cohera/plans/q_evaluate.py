@@ -10,6 +10,7 @@ from cohera.plans.base import part, query, rnd, rounded, sql, table
 from cohera.plans.data import CELL, SPLIT2, h, r, rank_sql
 from cohera.plans.q_joins import knn, vec_split
 from cohera.plans.q_splits import HOLM, holm_rows
+from cohera.session import settle_parameters
 
 RC = ["target", "protocol", "model", "method", "alpha"]
 RCT = ", ".join(RC)
@@ -107,30 +108,33 @@ query("holm_step_down__E9", HOLM)(holm_rows)
 def hypotheses(spark, sf):
     """H1 intersection-union of two arms, H2 non-inferiority, H3 paired widths, H4 difference of protocols."""
     m = d.results(spark, sf).where((F.abs(F.col("alpha") - 0.1) < 1e-9) & ~F.col("descriptive_only"))
-    m = m.withColumn("tr", F.col("n_train") + F.col("n_cal"))
+    m = settle_parameters(m.withColumn("tr", F.col("n_train") + F.col("n_cal")))
     g = m.where("protocol='group'")
 
     def stat(rows, value, mu0):
         return T.resampled_stats(rows, ["target"], value, "n_test", "tr", mu0)
 
-    def tested(st, name, alt):
-        st = T.add_p_value(st, "t", F.col("J") - 1, F.lit(alt), "mean", "se")
-        return st.select(F.lit(name).alias("hypothesis"), "target", F.col("mean").alias("estimate"), "ci_lo", "ci_hi", "t", "p_raw")
+    def one(st, name, arm, alt, estimate="mean", dof=None):
+        dof = F.col("J") - 1 if dof is None else dof
+        return st.select(F.lit(name).alias("hypothesis"), "target", F.lit(arm).alias("arm"), F.lit(alt).alias("alternative"),
+                         F.col(estimate).alias("estimate"), "se", "t", dof.cast("double").alias("df"))
 
-    arm1 = tested(stat(g.where("model='ratio' and method='scp_pool'"), "cov_group", 0.88), "H1", "less")
-    arm2 = tested(stat(g.where("model='const' and method='scp_pool'"), "cov_group", 0.88), "H1", "less")
-    both = arm1.withColumn("arm", F.lit("ratio")).unionByName(arm2.withColumn("arm", F.lit("const")))
-    h1 = both.groupBy("hypothesis", "target").agg(F.max_by(F.struct("estimate", "ci_lo", "ci_hi", "t", "p_raw"), F.struct("p_raw", "arm")).alias("b")).select("hypothesis", "target", "b.*")
-    h2 = tested(stat(g.where("model='const' and method='scp_gsub'"), "cov_group", 0.88), "H2", "greater")
     keys = ["target", "seed"]
     a = g.where("model='const' and method='cqr_gsub'").select(*keys, F.col("width_log10").alias("wa"))
     b = g.where("model='const' and method='scp_gsub'").select(*keys, F.col("width_log10").alias("wb"), "n_test", "tr")
-    h3 = tested(stat(a.join(b, keys).withColumn("dw", F.col("wa") - F.col("wb")), "dw", 0.0), "H3", "less")
     pool = m.where("model='const' and method='scp_pool'")
     diff = T.difference_stats(stat(pool.where("protocol='random'"), "cov_pooled", 0.0), stat(pool.where("protocol='group'"), "cov_group", 0.0), ["target"], 0.02)
-    h4 = T.add_p_value(diff, "t", F.col("df"), F.lit("greater"), "diff", "se").select(
-        F.lit("H4").alias("hypothesis"), "target", F.col("diff").alias("estimate"), "ci_lo", "ci_hi", "t", "p_raw")
-    return T.test_family(h1.unionByName(h2).unionByName(h3).unionByName(h4))
+    rows = one(stat(g.where("model='ratio' and method='scp_pool'"), "cov_group", 0.88), "H1", "ratio", "less")
+    for part_ in (
+        one(stat(g.where("model='const' and method='scp_pool'"), "cov_group", 0.88), "H1", "const", "less"),
+        one(stat(g.where("model='const' and method='scp_gsub'"), "cov_group", 0.88), "H2", "gsub", "greater"),
+        one(stat(a.join(b, keys).withColumn("dw", F.col("wa") - F.col("wb")), "dw", 0.0), "H3", "cqr-scp", "less"),
+        one(diff, "H4", "random-group", "greater", "diff", F.col("df")),
+    ):
+        rows = rows.unionByName(part_)
+    p = settle_parameters(T.add_p_value(rows, "t", F.col("df"), F.col("alternative"), "estimate", "se"))
+    binding = F.max_by(F.struct("arm", "estimate", "ci_lo", "ci_hi", "t", "p_raw"), F.struct("p_raw", "arm"))
+    return T.test_family(p.groupBy("hypothesis", "target").agg(binding.alias("b")).select("hypothesis", "target", "b.*"))
 
 
 @query("confirmatory_family__E10")
