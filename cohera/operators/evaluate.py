@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohera.functions.keys import hash52
 from cohera.functions.numeric import INF, conformal_rank, is_infinite, pow10
 from cohera.functions.special import beta_quantile_udf
-from cohera.operators.selection import median, quantiles
+from cohera.operators.selection import median
 
 LN10 = math.log(10.0)
 
@@ -154,6 +154,3 @@ def beta_quantiles(df: DataFrame, n: str, alpha: str, level: float = 0.95) -> Da
         "beta_q_hi", F.coalesce(beta_quantile_udf(F.lit(hi), a, b), F.lit(1.0))
     )
 
-
-def row_quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    return quantiles(rows, keys, value, probs)

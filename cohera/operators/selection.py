@@ -7,7 +7,6 @@ bracket itself is ranked. The answer is exact whatever the sketch error inside i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -111,17 +110,6 @@ def first_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: in
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def ceil_share(p: float) -> Callable[[Column], Column]:
-    """Rank function ceil(p n)."""
-    return lambda n: F.ceil(F.lit(float(p)) * n - F.lit(1e-9))
-
-
-def quantile_position(n: int, p: float) -> tuple[int, int]:
-    """1-based ranks used for probability p on n values (for tests)."""
-    pos = p * (n - 1)
-    return math.floor(pos) + 1, math.ceil(pos) + 1
-
-
 def cumulative(df: DataFrame, split: list[str], value: str, amount: Column, buckets: int = 128) -> DataFrame:
     """Running total of ``amount`` in value order per split, ties taken together.
 

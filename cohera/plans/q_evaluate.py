@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohera.operators import conditional as C, evaluate as E, inference as T, reports as R, splits as SP
+from cohera.operators import conditional as C, evaluate as E, inference as T, reports as R
 from cohera.plans import data as d
 from cohera.plans.base import part, query, rnd, rounded, sql, table
-from cohera.plans.data import CELL, SPLIT2, h, r, rank_sql
-from cohera.plans.q_joins import knn, vec_split
+from cohera.plans.data import CELL, SPLIT2, r, rank_sql
+from cohera.plans.q_joins import knn
 from cohera.plans.q_splits import HOLM, holm_rows
 from cohera.session import settle_parameters
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohera.functions import numeric as N
-from cohera.functions.keys import hash52
 from cohera.operators import evaluate as E, intervals as I, models as M, splits as T
 from cohera.plans import data as d
 from cohera.plans.base import part, query, rnd, rounded, sql

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohera.operators import evaluate as E, intervals as I, reports as R, selection as S
+from cohera.operators import evaluate as E, reports as R, selection as S
 from cohera.plans import data as d, q_models as QM
 from cohera.plans.base import part, query, rnd, rounded, sql, table
-from cohera.plans.data import RESULT_KEYS, SPLIT2, r, rank_sql
-from cohera.plans.q_splits import unit_sizes  # noqa: F401
+from cohera.plans.data import SPLIT2, r, rank_sql
 from cohera.plans.q_tables import COORD, LABELLED, coords, labelled
 
 CELL = ["target", "protocol", "model", "method", "alpha"]

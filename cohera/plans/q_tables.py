@@ -85,10 +85,10 @@ def write_ordered_csv(spark, sf):
     # line number = lines of earlier files + position in the file, both from file metadata
     lines = spark.read.text(p).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"))
     key = F.split("value", ",")[0].cast("long")
-    return K_rank(lines.withColumn("k", key)).select("value", "line")
+    return number_lines(lines.withColumn("k", key)).select("value", "line")
 
 
-def K_rank(lines):
+def number_lines(lines):
     """Global line number: rank inside each file (files are bounded by the writer) plus the lines of earlier files."""
     from pyspark.sql import Window
 
