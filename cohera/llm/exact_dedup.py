@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cohera.llm.registry import query, table
 from cohera.llm.shared import Stored, ascii_lower, join_checked, work_path
@@ -59,7 +60,7 @@ def stream_groups(spark: SparkSession, index: Stored, batch_mb: int | None = Non
             .option("checkpointLocation", work_path(spark, "dedup-stream")).trigger(availableNow=True).start()
         )
         run.awaitTermination()
-    schema = grouped.schema.add("batch", "int")
+    schema = StructType([*grouped.schema.fields, StructField("batch", IntegerType())])
     if index.df.isEmpty():
         return spark.createDataFrame([], grouped.schema)
     last = spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max(F.struct("batch", "keep", "n")).alias("s"))
