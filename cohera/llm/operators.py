@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing this module registers them."""
 
-from cohera.llm import exact_dedup, warc_store  # noqa: F401
+from cohera.llm import exact_dedup, language_id, toxicity, warc_store  # noqa: F401
 from cohera.llm.registry import QUERIES, SQL  # noqa: F401

@@ -69,9 +69,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     head = header_block(F.col("url"), record_urn(F.col("id")), kind, F.col("digest"), F.col("bytes"), refers)
     at = Archive(work_path(spark, "warc-payloads"), work_path(spark, "warc-headers"))
     rows.select("id", "first_id", "address", head.cast("binary").alias("header")).write.parquet(at.headers)
-    # one copy of each payload: the row of the smallest id brings it
-    own = p.join(first.withColumnRenamed("first_id", "id"), ["address", "id"]) if not p.where("id IS NULL").head(1) else p.join(first, "address").where(F.col("id").eqNullSafe(F.col("first_id")))
-    own.select("address", "payload").dropDuplicates(["address"]).write.option("compression", "zstd").parquet(at.payloads)
+    # one copy of each payload: copies are dropped within each task first, then across tasks
+    p.select("address", "payload").dropDuplicates(["address"]).write.option("compression", "zstd").parquet(at.payloads)
     return at
 
 
