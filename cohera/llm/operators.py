@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing this module registers them."""
 
-from cohera.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, token_counts, toxicity, warc_store  # noqa: F401
+from cohera.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, repeated_bytes, token_counts, toxicity, warc_store  # noqa: F401
 from cohera.llm.registry import QUERIES, SQL  # noqa: F401
