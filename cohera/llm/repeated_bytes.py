@@ -180,7 +180,7 @@ def _collections(length: int):
                     who.append(i)
                     col.append(j)
         if hashes:  # within a part a kind that is repeated already needs one row only
-            kind = np.array([f"{anchor[i]}|{j}|".encode() + h for i, j, h in zip(who, col, hashes)], dtype=object)
+            kind = np.array([f"{anchor[i]}|{salt[i]}|{j}|".encode() + h for i, j, h in zip(who, col, hashes)], dtype=object)
             firsts: dict[bytes, int] = {}
             keep = [firsts.setdefault(k, z) == z or not flags[who[z], col[z]] for z, k in enumerate(kind)]
         else:
