@@ -83,8 +83,9 @@ def mean_logits(table_: np.ndarray, bucket: np.ndarray, offs: np.ndarray) -> np.
     return out
 
 
-def fit(texts: pa.Array, langs: list[str], epochs: int = 6, rate: float = 2.0, seed: int = 7, accept: float = 0.999) -> LanguageModel:
-    """Train on four fifths of the rows, calibrate on the rest.
+def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: float = 2.0, seed: int = 7, accept: float = 0.999) -> LanguageModel:
+    """Train on four fifths of the rows, calibrate on the rest. Rows are passed over six times at least, and until
+    ``least_examples`` have been seen: small samples need more passes.
 
     The temperature minimises the log loss of the calibration rows. The threshold is their (1 - ``accept``) quantile of
     the winning probability, but at most one and a half times chance: only texts that look like no learned language,
@@ -103,8 +104,9 @@ def fit(texts: pa.Array, langs: list[str], epochs: int = 6, rate: float = 2.0, s
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     share = {int(i): (rows[i][1] / rows[i][1].sum()).astype(np.float32) for i in keep}
-    steps, done = max(1, epochs * len(train)), 0
-    for _ in range(epochs):
+    passes = max(6, -(-least_examples // max(1, len(train))))
+    steps, done = max(1, passes * len(train)), 0
+    for _ in range(passes if len(train) else 0):
         for batch in np.array_split(rng.permutation(train), max(1, len(train) // 16)):
             if not len(batch):
                 continue

@@ -99,6 +99,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     """
     docs = docs.drop(f"{prefix}block", f"{prefix}slot", f"{prefix}place")
     weights = root_weights(docs, source_col) if weights is None else weights.select("source", "weight")
+    weights = Stored(weights.where("weight > 0"), "mix-weights").df
+    if weights.limit(period + 1).count() > period:
+        raise ValueError(f"more sources than the {period} slots of a period")
     plan = Stored(period_schedule(shares(weights, period), period), "mix-period").df
     rows = ranked(docs, id_col, source_col, "_mix_")
     number = F.floor(F.col("_mix_rank") / F.lit(block)).cast("long")
