@@ -1,8 +1,9 @@
 """Exact order statistics over groups of any size.
 
 A window or a list over a group puts the whole group into one task. Here a mergeable quantile sketch gives a bracket
-that provably holds the wanted rank, everything below the bracket is counted on the map side, and only the narrow
-bracket itself is ranked. The answer is exact whatever the sketch error inside its guarantee.
+that holds the wanted rank; the brackets, one row per key and rank, are settled, so every task reads them and drops the
+rows above its bracket and counts those below before anything is shuffled. Values inside are counted by value, brackets
+are cut into pieces, and only the piece that holds the rank is ordered. A sketch outside its guarantee raises an error.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohera.session import settle_parameters
+
 ACCURACY = 10_000  # sketch rank error is at most n / ACCURACY
+PIECES = 1024  # equal value ranges that a bracket is cut into
 
 
 def _edge_grid(near: list[float]) -> list[float]:
@@ -41,7 +45,8 @@ def order_statistics(
     by = keys or ["_all"]
     grid = _edge_grid(near)
     sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, ACCURACY).alias("_edges")
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.percentile_approx("_v", grid, ACCURACY).alias("_edges"),
     )
     targets = F.array(
         *[F.struct(F.lit(name).alias("name"), fn(F.col("n")).cast("long").alias("k")) for name, fn in ranks.items()]
@@ -51,30 +56,38 @@ def order_statistics(
     margin = F.lit(2.0 / ACCURACY)
     below = F.size(F.filter(levels, lambda g: g <= share - margin))
     inside = F.size(F.filter(levels, lambda g: g < share + margin))
-    bracket = sketch.select(*by, "n", "_edges", F.explode(targets).alias("_t")).select(
-        *by,
-        "n",
-        F.col("_t.name").alias("_name"),
-        F.col("_t.k").alias("_k"),
-        F.when(below > 0, F.get("_edges", below - 1)).alias("_lo"),
-        F.when(inside < F.lit(len(grid)), F.get("_edges", inside)).alias("_hi"),
+    bracket = settle_parameters(
+        sketch.select(*by, "n", "_least", "_most", "_edges", F.explode(targets).alias("_t")).select(
+            *by,
+            "n",
+            F.col("_t.name").alias("_name"),
+            F.col("_t.k").alias("_k"),
+            F.coalesce(F.when(below > 0, F.get("_edges", below - 1)), "_least").alias("_lo"),
+            F.coalesce(F.when(inside < F.lit(len(grid)), F.get("_edges", inside)), "_most").alias("_hi"),
+        )
     )
+    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    place = F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / span * PIECES)
+    piece = F.when(F.col("_v") < F.col("_lo"), -1).when(span > 0, F.least(place, F.lit(PIECES - 1))).otherwise(0).cast("int")
     held = (
-        rows.join(bracket, by)
-        .where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-        .withColumn("_v", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")))
-        .groupBy(*by, "n", "_name", "_k", "_v")
+        rows.join(bracket.select(*by, "_name", "_k", "_lo", "_hi"), by)
+        .where(F.col("_v") <= F.col("_hi"))
+        .select(*by, "_name", "_k", piece.alias("_piece"), F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+        .groupBy(*by, "_name", "_k", "_piece", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .repartition(*by)  # the counts inside the brackets: serves both the running sum and the last aggregation
-    )
-    upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first())
-    cum = F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = held.withColumn("_cum", cum)
-    at_rank = F.col("_v").isNotNull() & (F.col("_k") >= 1) & (F.col("_cum") >= F.col("_k"))
-    out = ranked.groupBy(*by).agg(
-        F.max("n").alias("n"),
-        *[F.min(F.when(at_rank & (F.col("_name") == name), F.col("_v"))).alias(name) for name in ranks],
     )
+    upto = Window.partitionBy(*by, "_name").orderBy("_piece")  # PIECES + 1 rows
+    pieces = held.groupBy(*by, "_name", "_k", "_piece").agg(F.sum("_c").alias("_s")).withColumn("_end", F.sum("_s").over(upto))
+    chosen = pieces.where((F.col("_end") >= F.col("_k")) & (F.col("_end") - F.col("_s") < F.col("_k")) & (F.col("_piece") >= 0))
+    chosen = chosen.select(*by, "_name", "_piece", (F.col("_end") - F.col("_s")).alias("_before"))
+    inner = Window.partitionBy(*by, "_name").orderBy("_v")
+    found = held.join(chosen, [*by, "_name", "_piece"]).withColumn("_cum", F.col("_before") + F.sum("_c").over(inner))
+    found = found.where(F.col("_cum") >= F.col("_k")).groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
+    got = bracket.join(found, [*by, "_name"], "left")
+    missed = F.col("_v").isNull() & F.col("_k").between(1, F.col("n"))
+    error = F.raise_error(F.lit("a quantile sketch missed its bracket")).cast(got.schema["_v"].dataType)
+    got = got.withColumn("_v", F.when(missed, error).otherwise(F.col("_v")))
+    out = got.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
     return out if keys else out.drop("_all")
 
 

@@ -50,19 +50,20 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
 
 
-PARAMETER_ROWS = 20_000
+def release(df: DataFrame) -> None:
+    """Free a settled table that nothing reads any more: it is overwritten with no rows, in whatever store it lies."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.settled_path)
 
 
-def settle_parameters(df: DataFrame, max_rows: int = PARAMETER_ROWS) -> DataFrame:
+def settle_parameters(df: DataFrame) -> DataFrame:
     """Fix a table of run parameters (one row per split, model and level).
 
-    Up to ``max_rows`` rows become a local relation that carries a broadcast hint; a longer table is written once with
-    :func:`settle` and joins like any other. This check is the only place where the library asks for a broadcast.
+    The table is written like any other; the size of its file decides between a broadcast and a shuffled join, under
+    ``spark.sql.autoBroadcastJoinThreshold``. Nothing is collected and no hint is given.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return settle(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return settle(df)
