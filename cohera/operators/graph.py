@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import EARTH_RADIUS_KM, haversine_km
 from cohera.operators.joins import KM_PER_DEGREE
-from cohera.session import settle
+from cohera.session import release, settle
 
 
 def star_edges(df: DataFrame, id_col: str, code: Column, rule: str) -> DataFrame:
@@ -32,27 +32,27 @@ def link_report(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rule").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("src").alias("sets"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node in ``edges`` (src, dst), labelled by its smallest member. Output: node, component.
 
-    Alternating large-star and small-star steps. A round is two grouped minima with their joins; it is written to the
-    checkpoint folder, and a count with a hash sum tells when nothing changes any more.
+    Alternating large-star and small-star steps until a count with a hash sum tells that nothing changes any more. A
+    round is two grouped minima with their joins; it is written to the checkpoint folder, and the round before is freed.
     """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     e, mark = _settle_marked(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low2, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low2.select(F.col("m").alias("a"), "b"))
+        before = e
         e, new_mark = _settle_marked(small.where("a <> b").distinct())
+        release(before)
         if new_mark == mark:
             break
         mark = new_mark
-    else:
-        raise RuntimeError("components did not settle")
     hubs = e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(hubs)
 
@@ -74,7 +74,7 @@ def bipartite_components(df: DataFrame, left: str, right: str) -> DataFrame:
     """Components of the graph (left value) - (right value); label = smallest left value. Output: left, component."""
     pairs = df.select(F.concat(F.lit("L:"), F.col(left).cast("string")).alias("src"), F.concat(F.lit("R:"), F.col(right).cast("string")).alias("dst")).distinct()
     comps = connected_components(pairs)
-    return comps.where(F.col("node").startswith("L:")).select(F.substring("node", 3, 10_000).alias(left), F.substring("component", 3, 10_000).alias("component"))
+    return comps.where(F.col("node").startswith("L:")).select(F.expr("substring(node, 3)").alias(left), F.expr("substring(component, 3)").alias("component"))
 
 
 def override_edges(names: DataFrame, merges: list[list[str]]) -> tuple[DataFrame, DataFrame]:

@@ -268,7 +268,7 @@ def identity_unit(spark, sf):
     return G.attach_components(table(spark, sf, "documents").select("doc_id"), "doc_id", comps, "iid:", "unit")
 
 
-part("bip", "SELECT DISTINCT 'L:'||p_brand AS src, 'R:'||p_name AS dst FROM part WHERE p_size > 45 AND p_type IN ('PROMO','ECONOMY') AND p_retailprice < 1000")
+part("bip", "SELECT DISTINCT 'L:'||p_brand AS src, 'R:'||p_name AS dst FROM part")
 
 
 @query(
@@ -277,8 +277,7 @@ part("bip", "SELECT DISTINCT 'L:'||p_brand AS src, 'R:'||p_name AS dst FROM part
 SELECT substr(node,3) AS p_brand, substr(min(lab),3) AS component FROM cc WHERE node LIKE 'L:%' GROUP BY node""", "bip"),
 )
 def bipartite_components(spark, sf):
-    p = table(spark, sf, "part").where((F.col("p_size") > 45) & F.col("p_type").isin("PROMO", "ECONOMY") & (F.col("p_retailprice") < 1000))
-    return G.bipartite_components(p, "p_brand", "p_name")
+    return G.bipartite_components(table(spark, sf, "part"), "p_brand", "p_name")
 
 
 MERGES = [["Brand#1", "Brand#11", "Brand#99"], ["Brand#2", "Brand#22"]]

@@ -99,14 +99,14 @@ def join_shared_tokens(spark, sf):
 @query(
     "merge_candidates__J8",
     sql(f"""WITH near AS (SELECT least(a.label,b.label) AS group_a, greatest(a.label,b.label) AS group_b, {r(f'min({HAV})', 4)} AS min_km FROM coords a JOIN coords b ON a.label<b.label AND {HAV}<=120 GROUP BY 1,2),
-t AS (SELECT DISTINCT g, token FROM (SELECT (p_partkey%10)::INTEGER AS g, unnest(regexp_split_to_array(p_name, '[\\s,/()\\-]+')) AS token FROM part WHERE p_size>47) WHERE length(token)>=4 AND token NOT IN ('small','large','part')),
+t AS (SELECT DISTINCT g, token FROM (SELECT (p_partkey%10)::INTEGER AS g, unnest(regexp_split_to_array(p_name, '[\\s,/()\\-]+')) AS token FROM part) WHERE length(token)>=4 AND token NOT IN ('small','large','part')),
 hb AS (SELECT token, min(g) AS hub FROM t GROUP BY 1 HAVING count(*)>1),
 sh AS (SELECT least(hub,g) AS group_a, greatest(hub,g) AS group_b, string_agg(token, ' ' ORDER BY token) AS shared_tokens FROM t JOIN hb USING (token) WHERE g<>hub GROUP BY 1,2)
 SELECT group_a, group_b, min_km, shared_tokens FROM near FULL JOIN sh USING (group_a, group_b)""", "coords"),
 )
 def merge_candidates(spark, sf):
     near = J.nearest_between_groups(coords(spark, sf), "label", "lat", "lon", 120.0).withColumn("min_km", rnd("min_km", 4))
-    names = table(spark, sf, "part").where("p_size > 47").withColumn("g", (F.col("p_partkey") % 10).cast("int"))
+    names = table(spark, sf, "part").withColumn("g", (F.col("p_partkey") % 10).cast("int"))
     return J.merge_candidates(near, J.token_links(names, "g", F.col("p_name"), STOP))
 
 
