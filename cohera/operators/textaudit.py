@@ -31,11 +31,11 @@ SPELLING = {
     "generalis(e|ed|es|ing|ation)": "generaliz...", "modelled": "modeled", "travelled": "traveled",
 }
 EXEMPT = ["European Organisation", "Ocean and Land Colour Instrument"]
-# Code points of dashes and invisible characters, and the typed dash.
+# Dashes, invisible characters and the typed dash.
 AUDITED = {
-    "typed dash": (0x2D, 0x2D), "em dash": 0x2014, "en dash": 0x2013, "soft hyphen": 0x00AD, "zero-width space": 0x200B,
-    "zero-width non-joiner": 0x200C, "zero-width joiner": 0x200D, "left-to-right mark": 0x200E,
-    "right-to-left mark": 0x200F, "word joiner": 0x2060, "byte order mark": 0xFEFF, "no-break space": 0x00A0,
+    "typed dash": "--", "em dash": "\u2014", "en dash": "\u2013", "soft hyphen": "\u00ad", "zero-width space": "\u200b",
+    "zero-width non-joiner": "\u200c", "zero-width joiner": "\u200d", "left-to-right mark": "\u200e",
+    "right-to-left mark": "\u200f", "word joiner": "\u2060", "byte order mark": "\ufeff", "no-break space": "\u00a0",
 }
 WORD = r"[A-Za-z0-9][A-Za-z0-9'+\-]*"
 BLANKS = r"[ \t\n\r\f]+"
@@ -68,15 +68,17 @@ def scan(df: DataFrame, doc: str, text: str, patterns: dict[str, str] | None = N
     return rows.select(doc, F.col("h.label").alias("label"), F.explode("h.found").alias("match"))
 
 
+def sentence_breaks(no_split: list[str] = NO_SPLIT) -> str:
+    """Blanks after an end mark that no abbreviation holds, before a capital or an opening bracket. A decimal point has no
+    blank after it, so it is none."""
+    held = "|".join(_quote(a) for a in no_split)
+    return rf"(?<=[.?!])(?<!{held}) +(?=[A-Z(\[])"
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences; abbreviations and decimals do not end one."""
-    t = F.trim(F.regexp_replace(text, BLANKS, " "))
-    for i, a in enumerate(NO_SPLIT):
-        t = F.replace(t, F.lit(a), F.lit(a.replace(".", "\u0001")))
-    t = F.regexp_replace(t, r"([0-9])\.([0-9])", "$1\u0001$2")
-    t = F.regexp_replace(t, r"([.?!]) +([A-Z(\[])", "$1\u0002$2")
-    parts = F.transform(F.split(t, "\u0002"), lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit("."))))
-    return F.filter(parts, lambda s: s != "")
+    found = F.split(F.trim(F.regexp_replace(text, BLANKS, " ")), sentence_breaks())
+    return F.filter(found, lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:
@@ -112,8 +114,7 @@ def lint(df: DataFrame, doc: str, text: str, rules: dict[str, str], exempt: list
 def character_audit(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Counts of dashes and invisible characters: keys, character, n_docs, n."""
     items = []
-    for name, code in AUDITED.items():
-        s = "".join(map(chr, code)) if isinstance(code, tuple) else chr(code)
+    for name, s in AUDITED.items():
         n = (F.length(text) - F.length(F.replace(F.col(text), F.lit(s), F.lit("")))) / F.lit(len(s))
         items.append(F.struct(F.lit(name).alias("character"), n.cast("long").alias("n")))
     items = F.array(*items)
@@ -137,16 +138,35 @@ def multiset_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
         F.sum(F.greatest(nb - na, F.lit(0))).alias("only_b"))
 
 
-def abbreviations(df: DataFrame, doc: str, text: str, slack: int = 400) -> DataFrame:
-    """First use of each abbreviation (two capitals or more) against its definition ``(ABC``: ok, used before
-    definition, never defined."""
-    toks = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z][A-Za-z0-9]*"), F.lit(0)))
-    caps = F.filter(toks, lambda t: (F.length(F.regexp_replace(t, "[^A-Z]", "")) >= 2) & ~t.rlike("^[A-Z][a-z]+[A-Z]?$") & ~t.rlike("[0-9]{2}"))
-    a = df.select(doc, text, F.explode(caps).alias("abbreviation"))
-    first = F.expr(f"instr({text}, abbreviation)")
-    defined = F.expr(f"instr({text}, concat('(', abbreviation))")
-    status = F.when(defined == 0, "never defined").when(defined > first + F.length("abbreviation") + slack, "used before definition").otherwise("ok")
-    return a.select(doc, "abbreviation", first.alias("first_use"), F.when(defined > 0, defined).alias("defined_at"), status.alias("status"))
+#: Word characters before a token: ASCII ones, the backslash of a command, and all letters outside ASCII.
+BEFORE = r"(?<![A-Za-z0-9_\\]|[^\x00-\x7F])"
+TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[+\-][A-Za-z0-9]+)*\+?"
+TAIL = r"(?:-[a-z][a-z0-9]*)+$"  # SRF-weighted counts as SRF
+
+
+def abbreviations(df: DataFrame, doc: str, text: str, slack: int = 400, mixed: tuple[str, ...] = (), allow: tuple[str, ...] = ()) -> DataFrame:
+    """First use of each abbreviation against its definition ``(ABC``: ok, used before definition, never defined.
+
+    A token may be hyphenated; lower-case tails are cut. It counts with two capitals or more, or if listed in ``mixed``;
+    names such as ``Ab`` or ``AbC``, tokens with two digits in a row or three hyphens, and ``allow`` don't. Positions are
+    those of whole tokens (from 1); a definition is the token after an opening bracket, with no letter or digit behind.
+    The text of a row is not copied per abbreviation.
+    """
+    t = F.col(text)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(BEFORE + f"({TOKEN})"), F.lit(1)), lambda x: F.regexp_replace(x, TAIL, "")))
+    capitals = lambda x: F.length(F.regexp_replace(x, "[^A-Z]", "")) >= 2
+    listed = (lambda x: x.isin(*mixed)) if mixed else (lambda x: F.lit(False))
+    allowed = (lambda x: x.isin(*allow)) if allow else (lambda x: F.lit(False))
+    hyphens = lambda x: F.length(x) - F.length(F.replace(x, F.lit("-"), F.lit("")))
+    caps = F.filter(found, lambda x: (capitals(x) | listed(x)) & ~allowed(x) & ~x.rlike("^[A-Z][a-z]+[A-Z]?$") & ~x.rlike("[0-9]{2}") & (hyphens(x) < 3))
+    quoted = lambda x: F.regexp_replace(x, r"([+\-])", r"\\$1")
+    first = lambda x: F.regexp_instr(t, F.concat(F.lit(BEFORE), quoted(x), F.lit(r"(?:-[a-z][a-z0-9]*)*(?![A-Za-z0-9+]|-[A-Za-z0-9])")))
+    defined = lambda x: F.regexp_instr(t, F.concat(F.lit(r"\(\s*"), quoted(x), F.lit("(?![A-Za-z0-9])")))
+    hits = F.transform(caps, lambda x: F.struct(x.alias("abbreviation"), first(x).alias("first_use"), defined(x).alias("defined")))
+    a = df.select(doc, F.inline(hits))
+    late = F.col("defined") > F.col("first_use") + F.length("abbreviation") + slack
+    status = F.when(F.col("defined") == 0, "never defined").when(late, "used before definition").otherwise("ok")
+    return a.select(doc, "abbreviation", "first_use", F.when(F.col("defined") > 0, F.col("defined")).alias("defined_at"), status.alias("status"))
 
 
 def fuzzy_match(titles: DataFrame, refs: DataFrame, min_ratio: float = 0.6) -> DataFrame:

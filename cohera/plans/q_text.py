@@ -70,8 +70,7 @@ def _char_sql():
     src = "(SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations)"
     one = []
     for n, c in X.AUDITED.items():
-        ch = "||".join(f"chr({x})" for x in (c if isinstance(c, tuple) else (c,)))
-        one.append(f"SELECT src, {lit(n)} AS character, (length(text)-length(replace(text,{ch},'')))//{len(c) if isinstance(c, tuple) else 1} AS n FROM {src}")
+        one.append(f"SELECT src, {lit(n)} AS character, (length(text)-length(replace(text,{lit(c)},'')))//{len(c)} AS n FROM {src}")
     return "SELECT src, character, count(*) AS n_docs, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(one) + ") WHERE n>0 GROUP BY 1,2"
 
 
@@ -99,11 +98,17 @@ def word_multiset(spark, sf):
     return X.multiset_difference(a, b, ["conv_id"])
 
 
+# the rule without lookaround: a token follows the start or a character that no word has, and its end is one, too
+_SPLIT = r"(?:^|[^A-Za-z0-9_\\\x{80}-\x{10FFFF}])"
+_QUOTE = r"regexp_replace(a,'([+\-])','\\\1','g')"
+
+
 @query(
     "abbreviation_use__X7",
-    """WITH t AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text,'[A-Za-z][A-Za-z0-9]*'))) AS a FROM documents),
-c AS (SELECT * FROM t WHERE length(regexp_replace(a,'[^A-Z]','','g'))>=2 AND NOT regexp_matches(a,'^[A-Z][a-z]+[A-Z]?$') AND NOT regexp_matches(a,'[0-9]{2}')),
-p AS (SELECT doc_id, a, instr(text,a) AS f, instr(text,'('||a) AS d FROM c)
+    rf"""WITH t AS (SELECT doc_id, text, unnest(list_distinct(list_transform(regexp_extract_all(text,'{_SPLIT}([A-Za-z][A-Za-z0-9]*(?:[+\-][A-Za-z0-9]+)*\+?)',1), lambda x: regexp_replace(x,'(?:-[a-z][a-z0-9]*)+$','')))) AS a FROM documents),
+c AS (SELECT * FROM t WHERE length(regexp_replace(a,'[^A-Z]','','g'))>=2 AND NOT regexp_matches(a,'^[A-Z][a-z]+[A-Z]?$') AND NOT regexp_matches(a,'[0-9]{{2}}') AND length(a)-length(replace(a,'-',''))<3),
+p AS (SELECT doc_id, a, length(regexp_extract(text,'(?s)^(.*?{_SPLIT})'||{_QUOTE}||'(?:-[a-z][a-z0-9]*)*(?:$|[^A-Za-z0-9+\-]|-(?:$|[^A-Za-z0-9]))',1))+1 AS f,
+  CASE WHEN regexp_matches(text,'\(\s*'||{_QUOTE}||'(?:$|[^A-Za-z0-9])') THEN length(regexp_extract(text,'(?s)^(.*?)\(\s*'||{_QUOTE}||'(?:$|[^A-Za-z0-9])',1))+1 ELSE 0 END AS d FROM c)
 SELECT doc_id, a AS abbreviation, f::INTEGER AS first_use, CASE WHEN d>0 THEN d::INTEGER END AS defined_at, CASE WHEN d=0 THEN 'never defined' WHEN d>f+length(a)+400 THEN 'used before definition' ELSE 'ok' END AS status FROM p""",
 )
 def abbreviation_use(spark, sf):
