@@ -51,13 +51,14 @@ MAX_FOLDS = 10
 
 
 def member_seed(purpose: Column, seed: Column, member: Column, fold: Column) -> Column:
-    """Injective (purpose, seed, member, fold) to integer; null outside the collision-free range."""
+    """Injective (purpose, seed, member, fold) to integer; values outside the collision-free range stop the job."""
     base = F.lit(MODEL_SEED_BASE) + seed * 10 + member
     ok = seed.between(0, MAX_SPLIT_SEED) & member.between(0, MAX_MEMBERS - 1) & fold.between(0, MAX_FOLDS - 1)
     return (
         F.when(ok & (purpose == "full"), base)
         .when(ok & (purpose == "r80"), base + HOLDOUT_SEED_OFFSET)
         .when(ok & (purpose == "cv"), base + FOLD_SEED_OFFSET + fold * FOLD_SEED_STRIDE)
+        .otherwise(F.raise_error(F.lit("seed, member or fold out of range, or unknown purpose")).cast("long"))
     )
 
 

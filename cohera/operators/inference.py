@@ -102,6 +102,22 @@ def power_ledger(cells: DataFrame, null_value: float, truths: tuple[float, ...]
     return d
 
 
+def planned_arms(found: DataFrame, targets: DataFrame, arms: list[tuple[str, str]]) -> DataFrame:
+    """Every planned (hypothesis, arm) of every target with its test; a missing or short cell has p = 1.
+
+    ``found``: hypothesis, target, arm, p_raw, ... with one row a cell; a cell that comes twice stops the job. ``complete``
+    tells whether the test could be made.
+    """
+    plan = F.explode(F.array(*[F.struct(F.lit(h).alias("hypothesis"), F.lit(a).alias("arm")) for h, a in arms]))
+    cells = targets.select("target").distinct().select("target", plan.alias("p")).select("target", "p.*")
+    keys = ["hypothesis", "target", "arm"]
+    twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a cell of the family came twice")).cast("boolean")).otherwise(False)
+    once = found.groupBy(*keys).agg(twice.alias("_twice"), *[F.first(c).alias(c) for c in found.columns if c not in keys])
+    out = cells.join(once, keys, "left").where(~F.coalesce("_twice", F.lit(False))).drop("_twice")
+    complete = F.coalesce(F.col("p_raw").isNotNull() & ~F.isnan("p_raw"), F.lit(False))
+    return out.withColumns({"complete": complete, "p_raw": F.when(complete, F.col("p_raw")).otherwise(1.0)})
+
+
 def test_family(hypotheses: DataFrame, level: float = 0.05) -> DataFrame:
     """Holm over all rows and the decision. ``hypotheses``: hypothesis, target, estimate, p_raw, ..."""
     h = hypotheses.withColumn("_fam", F.lit(1)).withColumn("_key", F.concat_ws("|", "hypothesis", "target"))

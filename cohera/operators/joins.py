@@ -221,11 +221,20 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(rep, keys, "left_semi")
 
 
+CLAIM_DIGITS = 6
+
+
 def check_claims(claims: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Printed text against the recomputed ledger value under its rounding rule. ``claims``: key, printed, rule."""
+    """Printed text against the recomputed ledger value under its rounding rule. ``claims``: key, printed, rule.
+
+    Every rule of :func:`round_by_rule` up to ``CLAIM_DIGITS`` digits is known; any other stops the job, so that it can't
+    pass for a disagreement.
+    """
     from cohera.functions.numeric import round_by_rule
 
-    rules = ["i0", "i1", "d1", "d2", "d3", "d4", "s3", "p1"]
-    text = F.coalesce(*[F.when(F.col("rule") == r, round_by_rule(F.col("value"), r)) for r in rules])
+    rules = ["i0", "i1", "h0", *[f"{kind}{n}" for kind in "dspuf" for n in range(CLAIM_DIGITS + 1) if n or kind != "s"]]
+    text = F.raise_error(F.concat(F.lit("unknown rounding rule "), F.coalesce("rule", F.lit("null")))).cast("string")
+    for r in rules:
+        text = F.when(F.col("rule") == r, round_by_rule(F.col("value"), r)).otherwise(text)
     return claims.join(ledger, "key", "left").withColumn("recomputed", text).withColumn(
         "agrees", F.coalesce(F.col("printed") == F.col("recomputed"), F.lit(False)))

@@ -7,6 +7,7 @@ split and fold, and only the p x p solve (one small row per split) runs in an Ar
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -171,8 +172,10 @@ def fit_saturating(train: DataFrame, split: list[str], r: str, y: str = "y", poi
     return best.select(*split, "log_a", "c")
 
 
-def saturating_prediction(log_a: Column, c: Column, r: Column) -> Column:
-    return log_a + F.log10(r / F.greatest(F.lit(1.0) - r / c, F.lit(1e-6)))
+def saturating_prediction(log_a: Column, c: Column, r: Column, fallback: Column) -> Column:
+    """The form inside its range 0 < r < C; other rows, and splits without a fit, get the fallback (the training median)."""
+    inside = (r > 0) & (r < c)
+    return with_fallback(F.when(inside, log_a + F.log10(r / (F.lit(1.0) - r / c))), inside, fallback)
 
 
 # ---------------------------------------------------------------- trees
@@ -236,40 +239,45 @@ def fit_each_split(train: DataFrame, split_values: list[tuple], split: list[str]
 def mixture_summary(weights: Column, means: Column, sds: Column, members: int) -> Column:
     """Struct of mixture mean, total SD and the median over members of the top component mean.
 
-    Arrays hold the members one after another, each with the same number of components.
+    Arrays hold the members one after another, each with the same number of components. The total variance is the
+    average within components plus the average squared distance of their means from the mixture mean.
     """
-    w = F.transform(weights, lambda v: v / F.lit(float(members)))
-    mean = F.aggregate(F.zip_with(w, means, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    second = F.aggregate(
-        F.zip_with(w, F.zip_with(means, sds, lambda m, s: m * m + s * s), lambda a, b: a * b),
-        F.lit(0.0), lambda s, v: s + v,
-    )
+    parts = F.arrays_zip(weights.alias("w"), means.alias("m"), sds.alias("s"))
+    add = lambda f: F.aggregate(parts, F.lit(0.0), lambda acc, q: acc + f(q)) / F.lit(float(members))
+    mean = add(lambda q: q["w"] * q["m"])
+    spread = add(lambda q: q["w"] * (q["s"] * q["s"] + (q["m"] - mean) * (q["m"] - mean)))
     size = (F.size(weights) / F.lit(members)).cast("int")
+    weighed = lambda k: F.transform(F.slice(parts, k * size + 1, size), lambda q, i: F.struct(q["w"], -i, q["m"].alias("m")))
+    tops = F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda k: F.array_max(weighed(k))["m"])
+    tops = F.array_sort(tops)
+    middle = (F.get(tops, F.lit((members - 1) // 2)) + F.get(tops, F.lit(members // 2))) / 2
+    return F.struct(mean.alias("mix_mean"), F.sqrt(F.greatest(spread, F.lit(1e-12))).alias("mix_sd"), middle.alias("point"))
 
-    def top(m: Column) -> Column:
-        wm = F.slice(weights, m * size + 1, size)
-        return F.get(F.slice(means, m * size + 1, size), (F.array_position(wm, F.array_max(wm)) - 1).cast("int"))
-
-    tops = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(members - 1)), top))
-    mid = (F.get(tops, F.lit((members - 1) // 2)) + F.get(tops, F.lit(members // 2))) / 2
-    sd = F.sqrt(F.greatest(second - mean * mean, F.lit(1e-12)))
-    return F.struct(mean.alias("mix_mean"), sd.alias("mix_sd"), mid.alias("point"))
 
+def mixture_quantile(weights: Column, means: Column, sds: Column, level: float, steps: int = 40) -> Column:
+    """Quantile of a row's Gaussian mixture: Newton steps on its distribution function, inside one expression.
 
-def mixture_quantile(weights: Column, means: Column, sds: Column, level: float, rounds: int = 60) -> Column:
-    """Quantile of a row's Gaussian mixture by bisection, inside one expression."""
-    lo = F.array_min(F.zip_with(means, sds, lambda m, s: m - 12 * s))
-    hi = F.array_max(F.zip_with(means, sds, lambda m, s: m + 12 * s))
+    The root lies between the least and the greatest component quantile. A step that would leave the part still open is
+    replaced by its middle, so the search can't run away where the density is flat; it ends early in effect, as later
+    steps move by nothing.
+    """
     parts = F.arrays_zip(weights.alias("w"), means.alias("m"), sds.alias("s"))
-
-    def halve(ab: Column, _i: Column) -> Column:
-        mid = (ab["a"] + ab["b"]) / 2
-        cdf = F.aggregate(parts, F.lit(0.0), lambda acc, q: acc + q["w"] * normal_cdf((mid - q["m"]) / q["s"]))
-        left = cdf < level
-        return F.struct(F.when(left, mid).otherwise(ab["a"]).alias("a"), F.when(left, ab["b"]).otherwise(mid).alias("b"))
-
-    start = F.struct(lo.alias("a"), hi.alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda ab: (ab["a"] + ab["b"]) / 2)
+    z = float(NormalDist().inv_cdf(level))
+    single = F.transform(parts, lambda q: q["m"] + q["s"] * z)
+    density = lambda u: F.exp(-u * u / 2) * F.lit(0.3989422804014327)  # noqa: E731  1 / sqrt(2 pi)
+
+    def newton(at: Column, _i: Column) -> Column:
+        x = at["x"]
+        over = F.aggregate(parts, F.lit(-level), lambda acc, q: acc + q["w"] * normal_cdf((x - q["m"]) / q["s"]))
+        slope = F.aggregate(parts, F.lit(0.0), lambda acc, q: acc + q["w"] / q["s"] * density((x - q["m"]) / q["s"]))
+        low, high = F.when(over < 0, x).otherwise(at["low"]), F.when(over < 0, at["high"]).otherwise(x)
+        step = x - over / F.greatest(slope, F.lit(1e-300))
+        inside = (step > low) & (step < high)
+        return F.struct(low.alias("low"), high.alias("high"), F.when(inside, step).otherwise((low + high) / 2).alias("x"))
+
+    low, high = F.array_min(single), F.array_max(single)
+    start = F.struct(low.alias("low"), high.alias("high"), ((low + high) / 2).alias("x"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton, lambda at: at["x"])
 
 
 # ---------------------------------------------------------------- registry

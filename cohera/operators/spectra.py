@@ -9,7 +9,6 @@ from cohera.functions.keys import gaussian
 from cohera.operators.selection import quantiles
 
 SUPPORT = 0.01  # fixed value: share of the peak a response must reach
-MAX_BAND_ROWS = 100_000
 
 
 def wide_to_array(df: DataFrame, prefix: str, out: str) -> DataFrame:
@@ -33,13 +32,9 @@ def band_weights(srf: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def _bands(weights: DataFrame) -> dict[str, list[tuple[int, float, bool]]]:
-    rows = weights.select("band", "pos", "w", "inside").limit(MAX_BAND_ROWS + 1).collect()
-    if len(rows) > MAX_BAND_ROWS:
-        raise ValueError("a band table is a small dimension; this one is not")
-    out: dict[str, list[tuple[int, float, bool]]] = {}
-    for r in sorted(rows, key=lambda r: (r.band, r.pos)):
-        out.setdefault(r.band, []).append((r.pos, r.w, r.inside))
-    return out
+    """One entry per band, that is per column of the result."""
+    rows = weights.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("pos", "w", "inside"))).alias("s")).orderBy("band").collect()
+    return {r.band: [tuple(x) for x in r.s] for r in rows}
 
 
 def weighted_mean(vec: Column, support: list[tuple[int, float, bool]]) -> Column:

@@ -105,6 +105,9 @@ def test_difference(spark, sf):
 query("holm_step_down__E9", HOLM)(holm_rows)
 
 
+ARMS = [("H1", "ratio"), ("H1", "const"), ("H2", "gsub"), ("H3", "cqr-scp"), ("H4", "random-group")]
+
+
 def hypotheses(spark, sf):
     """H1 intersection-union of two arms, H2 non-inferiority, H3 paired widths, H4 difference of protocols."""
     m = d.results(spark, sf).where((F.abs(F.col("alpha") - 0.1) < 1e-9) & ~F.col("descriptive_only"))
@@ -132,8 +135,9 @@ def hypotheses(spark, sf):
         one(diff, "H4", "random-group", "greater", "diff", F.col("df")),
     ):
         rows = rows.unionByName(part_)
-    p = settle_parameters(T.add_p_value(rows, "t", F.col("df"), F.col("alternative"), "estimate", "se"))
-    binding = F.max_by(F.struct("arm", "estimate", "ci_lo", "ci_hi", "t", "p_raw"), F.struct("p_raw", "arm"))
+    found = T.add_p_value(rows, "t", F.col("df"), F.col("alternative"), "estimate", "se")
+    p = settle_parameters(T.planned_arms(found, d.results(spark, sf), ARMS))
+    binding = F.max_by(F.struct("arm", "estimate", "ci_lo", "ci_hi", "t", "p_raw", "complete"), F.struct("p_raw", "arm"))
     return T.test_family(p.groupBy("hypothesis", "target").agg(binding.alias("b")).select("hypothesis", "target", "b.*"))
 
 

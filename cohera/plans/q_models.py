@@ -62,9 +62,10 @@ def model_difference_quadratic(spark, sf):
 @query("model_saturating__M5")
 def model_saturating(spark, sf):
     j = pair(spark, sf).withColumn("ref", F.lit(3.141592653589793) * F.col("k") * 1e-3)
-    fit = settle_parameters(M.fit_saturating(j.where("role='train'"), SPLIT2, "ref"))
+    train = j.where("role='train'")
+    fit = settle_parameters(M.fit_median(train, SPLIT2).withColumnRenamed("pred", "m").join(M.fit_saturating(train, SPLIT2, "ref"), SPLIT2, "left"))
     scored = j.where("role='test'").join(fit, SPLIT2)
-    pred = M.saturating_prediction(F.col("log_a"), F.col("c"), F.when(F.col("ref") > 0, F.col("ref")))
+    pred = M.saturating_prediction(F.col("log_a"), F.col("c"), F.col("ref"), F.col("m"))
     return scored.select(*SPLIT2, "id", pred.alias("pred"))
 
 

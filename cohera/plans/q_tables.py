@@ -338,14 +338,14 @@ def select_cells(spark, sf):
 
 @query(
     "keyed_seeds__P15",
-    f"SELECT event_id, {h(chr(39)+'p15'+chr(39), '0', 'event_id')} AS h, CASE WHEN event_id % 1000 <= 899 THEN 1000+10*(event_id%1000)+(event_id%10)+600000+10000*(event_id%7) END AS member "
+    f"SELECT event_id, {h(chr(39)+'p15'+chr(39), '0', 'event_id')} AS h, 1000+10*(event_id%900)+(event_id%10)+600000+10000*(event_id%7) AS member "
     "FROM events",
 )
 def keyed_seeds(spark, sf):
     e = F.col("event_id")
     return table(spark, sf, "events").select(
         "event_id", K.hash52("p15", F.lit(0), e).alias("h"),
-        K.member_seed(F.lit("cv"), e % 1000, e % 10, e % 7).alias("member"))
+        K.member_seed(F.lit("cv"), e % 900, e % 10, e % 7).alias("member"))
 
 
 @query(
