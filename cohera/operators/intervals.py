@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -56,13 +57,14 @@ def quantile_score(y: Column, qlo: Column, qhi: Column) -> Column:
     return F.greatest(qlo - y, y - qhi)
 
 
-# Two-sided standard normal quantiles per level.
-NORMAL_Z = {0.01: 2.5758293035489004, 0.05: 1.959963984540054, 0.1: 1.6448536269514722, 0.2: 1.2815515655446004}
+def normal_z(alpha: float) -> float:
+    """Two-sided standard normal quantile of any level."""
+    return NormalDist().inv_cdf(1 - alpha / 2)
 
 
 def gaussian_halfwidth(oof: DataFrame, keys: list[str], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """z times the sample SD of out-of-fold residuals. ``oof``: keys, y, pred_oof."""
-    levels = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(NORMAL_Z[a]).alias("z")) for a in alphas]))
+    levels = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(normal_z(a)).alias("z")) for a in alphas]))
     sd = oof.groupBy(*keys).agg(
         F.stddev_samp(F.col("y") - F.col("pred_oof")).alias("sd"), F.count(F.lit(1)).alias("n_cal")
     )

@@ -176,20 +176,19 @@ def knn_mean_distance(train: DataFrame, test: DataFrame, split: list[str], id_co
     key = [*split, "_ta", "_tb"]
 
     def block(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({**{c: [] for c in split}, "_id": [], "_d": []})
-        a = np.stack(left["_z"].to_numpy())
-        out_id, out_d = [], []
-        for s in range(0, len(right), tile):
-            part = right.iloc[s : s + tile]
-            b = np.stack(part["_z"].to_numpy())
-            d2 = np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2 * b @ a.T, 0.0)
-            kk = min(k, d2.shape[1])
-            best = np.sqrt(np.partition(d2, kk - 1, axis=1)[:, :kk])
-            out_id.append(np.repeat(part["_id"].to_numpy(), kk))
-            out_d.append(best.ravel())
-        head = {c: keys[i] for i, c in enumerate(split)}
-        return pd.DataFrame({"_id": np.concatenate(out_id), "_d": np.concatenate(out_d)}).assign(**head)[[*split, "_id", "_d"]]
+        """The k least distances of each test row of a tile pair: training rows come by in chunks, the best so far stay."""
+        head = dict(zip(split, keys))
+        if left.empty or right.empty:
+            return pd.DataFrame({"_id": [], "_d": []}).assign(**head)[[*split, "_id", "_d"]]
+        asked = np.vstack(right["_z"].to_list())
+        nearest = np.full((len(asked), k), np.inf)
+        for known in np.array_split(np.vstack(left["_z"].to_list()), -(-len(left) // tile)):
+            square = np.zeros((len(asked), len(known)))
+            for j in range(asked.shape[1]):  # one component at a time: no cancellation, one matrix of memory
+                square += np.square(asked[:, j, None] - known[None, :, j])
+            nearest = np.sort(np.concatenate([nearest, square], axis=1), axis=1)[:, :k]
+        ids = pd.DataFrame({"_id": np.repeat(right["_id"].to_numpy(), k), "_d": np.sqrt(nearest).ravel()})
+        return ids[np.isfinite(ids["_d"])].assign(**head)[[*split, "_id", "_d"]]
 
     schema = ", ".join(f"{c} {types[c]}" for c in split) + f", _id {types['_id']}, _d double"
     near = tr.groupBy(*key).cogroup(te.groupBy(*key)).applyInPandas(block, schema)
