@@ -20,6 +20,7 @@ from cohera.llm.textcore import Texts, U, letters_in, mix, rows_of, runs, span_h
 BITS = 15  # 2^BITS hash buckets
 DIM = 16
 UNKNOWN = "und"
+SMALL = 1 << 18  # bytes of a slice in the driver, where training has little memory
 #: Letters (a-z and bytes of letters outside ASCII) stay, everything else is a word border.
 AS_LETTER = np.full(256, 32, dtype=np.uint8)
 AS_LETTER[97:123] = np.arange(97, 123)
@@ -93,17 +94,22 @@ def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: f
     """
     names = tuple(sorted(set(langs)))
     y = np.array([names.index(v) for v in langs], dtype=np.int64)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in text_slices(texts):
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for t in text_slices(texts, limit=SMALL):
         bucket, offs = subwords(t)
-        rows += [np.unique(bucket[a:b], return_counts=True) for a, b in zip(offs[:-1], offs[1:])]
-    keep = np.array([i for i, r in enumerate(rows) if len(r[0])], dtype=np.int64)
+        key, n = np.unique((np.repeat(np.arange(len(offs) - 1), np.diff(offs)) << BITS) | bucket, return_counts=True)
+        row = key >> BITS
+        found.append(((key & ((1 << BITS) - 1)).astype(np.uint16), (n / np.diff(offs)[row]).astype(np.float32), np.bincount(row, minlength=len(offs) - 1)))
+    ids_all, part_all, sizes = (np.concatenate(x) for x in zip(*found))  # a few large arrays, freed as a whole
+    del found
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    rows = lambda i: slice(at[i], at[i + 1])
+    keep = np.flatnonzero(sizes)
     rng = np.random.default_rng(seed)
     order = rng.permutation(keep)
     train, held = order[len(order) // 5 :], order[: len(order) // 5]
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
-    share = {int(i): (rows[i][1] / rows[i][1].sum()).astype(np.float32) for i in keep}
     passes = max(6, -(-least_examples // max(1, len(train))))
     steps, done = max(1, passes * len(train)), 0
     for _ in range(passes if len(train) else 0):
@@ -111,9 +117,9 @@ def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: f
             if not len(batch):
                 continue
             lr = rate * max(0.05, 1 - done / steps)
-            ids = np.concatenate([rows[i][0] for i in batch])
-            part = np.concatenate([share[int(i)] for i in batch])[:, None]
-            of = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
+            ids = np.concatenate([ids_all[rows(i)] for i in batch])
+            part = np.concatenate([part_all[rows(i)] for i in batch])[:, None]
+            of = np.repeat(np.arange(len(batch)), sizes[batch])
             starts = np.searchsorted(of, np.arange(len(batch)))
             hidden = np.add.reduceat(embed[ids] * part, starts, axis=0)
             z = hidden @ weight + bias
@@ -128,8 +134,7 @@ def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: f
     model = LanguageModel(names, (embed @ weight + bias).astype(np.float32), 1.0, 0.0)
     if not len(held):
         return model
-    sizes = np.array([rows[i][1].sum() for i in held])
-    z = mean_logits(model.logits, np.concatenate([np.repeat(*rows[i]) for i in held]), np.concatenate([[0], np.cumsum(sizes)]))
+    z = np.stack([part_all[rows(i)] @ model.logits[ids_all[rows(i)]] for i in held])
 
     def loss(t: float) -> float:
         p = LanguageModel(names, model.logits, t, 0.0).probabilities(z)
@@ -149,7 +154,7 @@ def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, to
     return rows.where(u < rate).limit(total)
 
 
-def train(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int = 1500, total: int = 12_000, max_chars: int = 20_000) -> LanguageModel | None:
+def train(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int = 800, total: int = 8_000, max_chars: int = 20_000) -> LanguageModel | None:
     """Fit on a bounded sample of the rows that ``may_learn`` allows: at most ``per_lang`` rows a language and ``total``
     rows in all, of texts up to ``max_chars`` characters. None if there is nothing to learn from."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
