@@ -102,7 +102,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("lines_before", "lines_deleted")
     gone = Stored(repeated_lines(docs, id_col, text_col, min_words), "line-gone").df.withColumnsRenamed({"id": "_gid", "content": "_gc", "gone": "_gone"})
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (content_key(F.col(text_col)) == F.col("_gc")), "left")
+    # always by a sort-merge join: the texts then move alike at every size, whatever the size of ``gone``
+    rows = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gid")) & (content_key(F.col(text_col)) == F.col("_gc")), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return rows.select(
