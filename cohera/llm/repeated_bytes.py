@@ -2,8 +2,10 @@
 
 Any ``length`` consecutive bytes hold an anchor: the least hash of the 32-byte grams in them, wherever the same bytes
 stand. So equal strings meet at equal anchors, and only the surroundings of anchors that occur more than once need be
-compared. Equal surroundings are one fragment; a fragment that occurs twice is repeated as a whole. The other fragments
-of a shared anchor are a collection whose suffix order, Burrows-Wheeler style, grows by one symbol of every fragment a
+compared. Equal surroundings are one fragment; a fragment that occurs twice is repeated as a whole. A string of
+``length`` bytes around an anchor takes in half of what is beside it on the left or on the right, so fragments meet by
+equal left halves and, for the other strings, by equal right halves; a half that no other fragment has is done. Those
+that share a half are a collection whose suffix order, Burrows-Wheeler style, grows by one symbol of every fragment a
 round, from the last column to the first: fragments are aligned at their anchor, so the suffixes that a round inserts
 only compare with each other, the round's segment follows from the order of the round before (a stable sort by the new
 symbol) and so do the common prefixes (one more than the least between neighbours). Symbols come from and common
@@ -27,7 +29,7 @@ from cohera.llm.textcore import BYTE, U, gram_mask, mix, powers, text_slices
 LENGTH = 400
 GRAM = 32
 COLLECTION = 16_384  # fragments that a task orders at once
-CROWD = 4_096  # fragments of one anchor that are ordered together; larger crowds are split and their windows compared by hash
+CROWD = 4_096  # fragments with one half that are ordered together; larger crowds are split and their windows compared by hash
 BYTE2 = mix(BYTE ^ U(0x589965CC75374CC3))
 
 
@@ -57,9 +59,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return at, g[at]
 
 
+class Side:
+    """Columns of the fragments of one side: how far they reach from the anchor, and which starts of strings are theirs."""
+
+    def __init__(self, side: int, length: int):
+        beside = length - GRAM
+        half = beside // 2
+        self.left, self.right = (beside, length - half) if side == 0 else (half - 1, length)
+        self.starts = beside - half + 1 if side == 0 else half  # start columns 0 .. starts - 1, column ``left`` is the anchor
+
+
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(content, text) to one row per anchor: place, gram hash, 128-bit hash of the fragment around it, its reach."""
-    reach = length - GRAM
+    """(content, text) to one row per anchor: place, gram hash, 128-bit hash of the fragment around it, its reach, and
+    hashes of its left and right halves (null where the text ends before)."""
+    reach, half = length - GRAM, (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,45 +81,56 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 row = np.searchsorted(t.offs, at, "right") - 1
                 lo, hi = np.maximum(t.offs[row], at - reach), np.minimum(t.offs[row + 1], at + length)
                 down = powers(len(t.data) + 1)[1]
-                f = []
-                for values in (BYTE, BYTE2):
-                    total = _sums(t.data, values)
-                    f.append(mix(mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)) + (at - lo).astype(np.uint64)))
+                one, two = _sums(t.data, BYTE), _sums(t.data, BYTE2)
+                f = [mix(mix((x[hi] - x[lo]) * down[lo] + (hi - lo).astype(np.uint64)) + (at - lo).astype(np.uint64)) for x in (one, two)]
+                far = [at - half, np.minimum(at + GRAM + half, len(t.data))]
+                halves = [mix((one[at] - one[np.maximum(far[0], 0)]) * down[np.maximum(far[0], 0)]), mix((one[far[1]] - one[at]) * down[at])]
+                short = [at - lo < half, hi - at < GRAM + half]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[t.lo : t.hi].take(pa.array(row)), pa.array(at - t.offs[row], pa.int64()), pa.array(g.view(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), pa.array(at - lo, pa.int32()), pa.array(hi - at, pa.int32()),
-                ], names=["content", "pos", "anchor", "f1", "f2", "left", "right"])
+                    *[pa.array(h.view(np.int64), mask=no) for h, no in zip(halves, short)],
+                ], names=["content", "pos", "anchor", "f1", "f2", "left", "right", "h0", "h1"])
+
+    return texts.mapInArrow(run, "content binary, pos long, anchor long, f1 long, f2 long, left int, right int, h0 long, h1 long")
 
-    return texts.mapInArrow(run, "content binary, pos long, anchor long, f1 long, f2 long, left int, right int")
 
+FRAGMENT = "side int, anchor long, half long, salt int, f1 long, f2 long, c long, left int, bytes binary"
+GROUP = ["side", "anchor", "half", "salt"]
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, list of wanted fragments) to the fragments' bytes."""
-    for batch in batches:
-        out: list[tuple] = []
-        for text, wanted in zip(batch.column(0), batch.column(1)):
-            raw = (text.as_py() or "").encode()
-            for w in wanted.as_py():
-                out.append((w["anchor"], w["salt"], w["f1"], w["f2"], w["c"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]))
-            if len(out) >= 4096:
-                yield _fragments(out)
-                out = []
-        yield _fragments(out)
 
+def _cut(length: int):
+    """(text, list of wanted fragments) to the fragments' bytes, as far as their side reaches."""
+    sides = (Side(0, length), Side(1, length))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-def _fragments(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["anchor", "salt", "f1", "f2", "c", "left", "bytes"])
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=[*GROUP, "f1", "f2", "c", "left", "bytes"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                raw = (text.as_py() or "").encode()
+                for w in wanted.as_py():
+                    side = sides[w["side"]]
+                    left, right = min(w["left"], side.left), min(w["right"], side.right)
+                    out.append((*(w[x] for x in GROUP), w["f1"], w["f2"], w["c"], left, raw[w["pos"] - left : w["pos"] + right]))
+                if len(out) >= 4096:
+                    yield pack(out)
+                    out = []
+            yield pack(out)
+
+    return run
 
-def repeated_starts(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: int) -> np.ndarray:
-    """Which windows of each fragment stand in another fragment of its group at the same place: n x (reach + 1).
 
-    ``group`` is sorted. Column ``reach`` is the anchor's first byte.
+def repeated_starts(group: np.ndarray, left: np.ndarray, pieces: list[bytes], side: Side, length: int) -> np.ndarray:
+    """Which strings of each fragment stand in another fragment of its group at the same place: n x side.starts.
+
+    ``group`` is sorted. Column ``side.left`` is the anchor's first byte.
     """
-    n, reach = len(pieces), length - GRAM
-    width = reach + length
+    n, width = len(pieces), side.left + side.right
     size = np.array([len(p) for p in pieces], dtype=np.int64)
-    first = reach - left.astype(np.int64)
+    first = side.left - left.astype(np.int64)
     last = first + size
     with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as prefixes:
         cells = np.zeros((width, n), dtype=np.uint8)
@@ -131,13 +155,13 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, pieces: list[bytes], le
                 pairs = np.stack([to[at - 1] + 1, to[at] + 1], axis=1).ravel()
                 grown[at] = np.minimum(np.minimum.reduceat(common, pairs)[::2] + 1, length)
             order, common = new, grown
-            if j <= reach:
+            if j < side.starts:
                 most = np.empty(n, dtype=np.int16)
                 most[order] = np.maximum(common[:-1], common[1:])
                 most.tofile(prefixes)
         prefixes.seek(0)
-        out = np.zeros((n, reach + 1), dtype=bool)
-        for j in range(reach, -1, -1):
+        out = np.zeros((n, side.starts), dtype=bool)
+        for j in range(side.starts - 1, -1, -1):
             out[:, j] = np.fromfile(prefixes, dtype=np.int16, count=n) >= length
     return out
 
@@ -149,50 +173,70 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.nonzero(edge == -1)[1] - 1
 
 
-def _window_hash(piece: bytes, offset: int, length: int) -> bytes:
-    import hashlib
+SOLVED = "anchor long, f1 long, f2 long, a int, b int, w1 long, w2 long, half long, open boolean"
+
 
-    return hashlib.blake2b(piece[offset : offset + length], digest_size=16).digest()
+def _part_windows(of: np.ndarray, pieces: list[bytes], left: np.ndarray, side: Side, length: int) -> tuple[np.ndarray, ...]:
+    """One fragment, start column and 128-bit hash for each distinct string of a part."""
+    size = np.array([len(pieces[i]) for i in of])
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(pieces[i] for i in of), dtype=np.uint8)
+    count = np.maximum(size - length + 1, 0)
+    k = np.repeat(np.arange(len(of)), count)
+    step = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+    col, place = side.left - left[of][k] + step, begin[k] + step
+    mine = col < side.starts
+    k, col, place = k[mine], col[mine], place[mine]
+    down = powers(len(data) + 1)[1]
+    w1, w2 = (mix((x[place + length] - x[place]) * down[place]).view(np.int64) for x in (_sums(data, BYTE), _sums(data, BYTE2)))
+    order = np.lexsort((w2, w1, col))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (w1, w2, col)])
+    at = order[new]
+    return of[k[at]], col[at], w1[at], w2[at]
+
+
+def _solve(rows: pa.Table, side: Side, length: int) -> pa.RecordBatch:
+    """Sorted fragments of one side to the first and last start (from the anchor) of each run of repeated strings.
+
+    Of parts of a split crowd also the hashes of strings that are not yet repeated (``open`` if the fragment occurs once)
+    and of one of each kind that is, to be compared across the parts.
+    """
+    anchor, half, salt, f1, f2, c, left = (rows[x].to_numpy() for x in ("anchor", "half", "salt", "f1", "f2", "c", "left"))
+    group = np.stack([anchor, half, salt.astype(np.int64)])
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
+    at = np.flatnonzero(new)  # the same fragment comes once from each copy of its text
+    anchor, half, salt, f1, f2, c, left, group = anchor[at], half[at], salt[at], f1[at], f2[at], c[at], left[at], group[:, at]
+    pieces = rows["bytes"].take(pa.array(at)).to_pylist()
+    border = np.ones(len(anchor), dtype=bool)
+    border[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
+    number = np.cumsum(border)
+    flags = repeated_starts(number, left, pieces, side, length)
+    single = c == 1
+    row, a, b = _runs(flags & single[:, None])
+    found = [(np.zeros(0, np.int64),) * 4]
+    for part in np.unique(number[salt >= 0]):  # at most CROWD fragments each, in the mean
+        found.append(_part_windows(np.arange(*np.searchsorted(number, [part, part + 1])), pieces, left, side, length))
+    who, col, w1, w2 = (np.concatenate(x) for x in zip(*found))
+    source = np.concatenate([row, who]).astype(np.int64)
+    none = np.arange(len(source)) < len(row)
+    hashes = [pa.array(np.concatenate([np.zeros(len(row), np.int64), x]), mask=none) for x in (w1, w2)]
+    starts = [pa.array(np.concatenate([x, col]) - side.left, pa.int32()) for x in (a, b)]
+    open_ = np.concatenate([np.zeros(len(row), bool), single[who] & ~flags[who, col]])
+    return pa.RecordBatch.from_arrays([pa.array(anchor[source]), pa.array(f1[source]), pa.array(f2[source]), *starts, *hashes, pa.array(half[source]), pa.array(open_)], names=["anchor", "f1", "f2", "a", "b", "w1", "w2", "half", "open"])
 
 
 def _collections(length: int):
-    """Sorted fragments to their repeated starts; of split crowds also the hashes of windows that are not yet repeated
-    and of one of each kind that is, to be compared across the parts."""
-    reach = length - GRAM
+    """Fragments sorted by group to :func:`_solve`, in whole groups of about COLLECTION fragments at a time."""
+    sides = (Side(0, length), Side(1, length))
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, salt, f1, f2, c, left = (rows[x].to_numpy() for x in ("anchor", "salt", "f1", "f2", "c", "left"))
-        new = np.ones(len(anchor), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
-        at = np.flatnonzero(new)  # the same fragment comes once from each copy of its text
-        anchor, salt, f1, f2, c, left = (x[at] for x in (anchor, salt, f1, f2, c, left))
-        pieces = rows["bytes"].take(pa.array(at)).to_pylist()
-        border = np.ones(len(anchor), dtype=bool)
-        border[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
-        flags = repeated_starts(np.cumsum(border), left, pieces, length)
-        single = c == 1
-        row, a, b = _runs(flags & single[:, None])
-        hashes, who, col = [], [], []
-        for i in np.flatnonzero(salt >= 0):
-            for j in range(reach - left[i], len(pieces[i]) - length + reach - left[i] + 1):
-                if 0 <= j <= reach:
-                    hashes.append(_window_hash(pieces[i], j - (reach - left[i]), length))
-                    who.append(i)
-                    col.append(j)
-        if hashes:  # within a part a kind that is repeated already needs one row only
-            kind = np.array([f"{anchor[i]}|{salt[i]}|{j}|".encode() + h for i, j, h in zip(who, col, hashes)], dtype=object)
-            firsts: dict[bytes, int] = {}
-            keep = [firsts.setdefault(k, z) == z or not flags[who[z], col[z]] for z, k in enumerate(kind)]
-        else:
-            keep = []
-        picked = [z for z, k in enumerate(keep) if k]
-        w, cc = np.array([who[z] for z in picked], dtype=np.int64), np.array([col[z] for z in picked], dtype=np.int64)
-        source = np.concatenate([row, w]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(anchor[source]), pa.array(f1[source]), pa.array(f2[source]), pa.array(np.concatenate([a, cc]), pa.int32()), pa.array(np.concatenate([b, cc]), pa.int32()),
-            pa.array([None] * len(row) + [hashes[z] for z in picked], pa.binary()),
-            pa.array(np.concatenate([np.ones(len(row), bool), flags[w, cc] & single[w] if len(w) else np.zeros(0, bool)])), pa.array(np.concatenate([single[row], single[w]]).astype(bool) if len(source) else np.zeros(0, bool)),
-        ], names=["anchor", "f1", "f2", "a", "b", "window", "done", "single"])
+        side = rows["side"].to_numpy()
+        for k in (0, 1):
+            lo, hi = np.searchsorted(side, [k, k + 1])
+            if hi > lo:
+                yield _solve(rows.slice(lo, hi - lo), sides[k], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -201,17 +245,15 @@ def _collections(length: int):
             if sum(len(h) for h in held) < COLLECTION:
                 continue
             rows = pa.Table.from_batches(held)
-            anchor, salt = rows["anchor"].to_numpy(), rows["salt"].to_numpy()
-            border = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
-            if not len(border):
-                continue
+            group = np.stack([rows[x].to_numpy().astype(np.int64) for x in GROUP])
+            border = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
             begin = 0
-            while begin < border[-1]:  # whole groups, about COLLECTION fragments at a time
+            while len(border) and begin < border[-1]:
                 end = int(border[max(np.searchsorted(border, begin + COLLECTION, "right") - 1, np.searchsorted(border, begin, "right"))])
                 yield from solve(rows.slice(begin, end - begin))
                 begin = end
             held = rows.slice(begin).to_batches()
-        if held and sum(len(h) for h in held):
+        if sum(len(h) for h in held):
             yield from solve(pa.Table.from_batches(held))
 
     return run
@@ -219,32 +261,39 @@ def _collections(length: int):
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """Per distinct text (``content``: MD5 of it) that has repeated bytes: ``spans``, an unsorted list of (lo, hi)."""
-    reach = length - GRAM
     texts = docs.select(content_key(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     places = Stored(anchor_rows(texts, length), "repeat-anchors")
-    fragment = places.df.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("content", "pos", "left", "right")).alias("at"))
+    fragment = places.df.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("content", "pos", "left", "right", "h0", "h1")).alias("at"))
     fragment = Stored(fragment, "repeat-fragments")
     shared = fragment.df.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total")).where("total > 1")
     known = Stored(fragment.df.join(shared, "anchor").select("anchor", "f1", "f2", "c", "kinds", "at"), "repeat-shared")
+    fragment.drop()
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("at.h0").alias("half")), F.struct(F.lit(1).alias("side"), F.col("at.h1").alias("half")))
+    half = known.df.where("kinds > 1").select("anchor", "f1", "f2", "c", "at.content", "at.pos", "at.left", "at.right", F.explode(sides).alias("s"))
+    half = half.select("*", "s.*").drop("s").where(F.col("half").isNotNull() & (F.col("left") + F.col("right") >= length))
+    met = half.groupBy("side", "anchor", "half").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     parts = F.ceil(F.col("kinds") / F.lit(float(crowd))).cast("long")
     salt = F.when(F.col("kinds") > crowd, F.pmod(F.xxhash64("f1", "f2"), parts)).otherwise(-1).cast("int")
-    wanted = known.df.where("kinds > 1").groupBy("at.content").agg(F.collect_list(F.struct("anchor", salt.alias("salt"), "f1", "f2", "c", "at.pos", "at.left", "at.right")).alias("wanted"))
-    pieces = texts.join(wanted, "content").select("text", "wanted").mapInArrow(_cut, "anchor long, salt int, f1 long, f2 long, c long, left int, bytes binary")
-    ordered = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "f1", "f2")
-    solved = Stored(ordered.mapInArrow(_collections(length), "anchor long, f1 long, f2 long, a int, b int, window binary, done boolean, single boolean"), "repeat-solved")
-    starts = solved.df.where("single AND window IS NULL").select("anchor", "f1", "f2", "a", "b")
-    crowds = solved.df.where("window IS NOT NULL")
+    wanted = half.join(met, ["side", "anchor", "half"]).withColumn("salt", salt)
+    wanted = wanted.groupBy("content").agg(F.collect_list(F.struct(*GROUP, "f1", "f2", "c", "pos", "left", "right")).alias("wanted"))
+    pieces = texts.join(wanted, "content").select("text", "wanted").mapInArrow(_cut(length), FRAGMENT)
+    ordered = pieces.repartition(*GROUP).sortWithinPartitions(*GROUP, "f1", "f2")
+    solved = Stored(ordered.mapInArrow(_collections(length), SOLVED), "repeat-solved")
+    starts = solved.df.where("w1 IS NULL").select("anchor", "f1", "f2", "a", "b")
+    crowds = solved.df.where("w1 IS NOT NULL")
     if not crowds.isEmpty():
-        twice = crowds.groupBy("anchor", "a", "window").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", "a", "window")
-        starts = starts.unionByName(crowds.where("single AND NOT done").join(twice, ["anchor", "a", "window"], "left_semi").select("anchor", "f1", "f2", "a", "b"))
+        same = ["anchor", "half", "a", "w1", "w2"]
+        twice = crowds.groupBy(*same).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*same)
+        starts = starts.unionByName(crowds.where("open").join(twice, same, "left_semi").select("anchor", "f1", "f2", "a", "b"))
     partial = starts.groupBy("anchor", "f1", "f2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     whole = known.df.where("c > 1").select("anchor", "f1", "f2", F.lit(None).cast(partial.schema["runs"].dataType).alias("runs"))
     hit = places.df.join(whole.unionByName(partial), ["anchor", "f1", "f2"])
     pos = F.col("pos")
     all_of_it = F.array(F.struct((pos - F.col("left")).alias("lo"), (pos + F.col("right")).alias("hi")))
-    some = F.transform("runs", lambda r: F.struct((pos + r["a"] - reach).alias("lo"), (pos + r["b"] - reach + length).alias("hi")))
+    some = F.transform("runs", lambda r: F.struct((pos + r["a"]).alias("lo"), (pos + r["b"] + length).alias("hi")))
     spans = F.when(F.col("runs").isNull(), F.when(F.col("left") + F.col("right") >= length, all_of_it)).otherwise(some)
-    return hit.select("content", F.explode(spans).alias("s")).groupBy("content").agg(F.collect_list("s").alias("spans"))
+    each = hit.select("content", F.explode(spans).alias("s")).distinct()  # copies of a text bring the same spans
+    return each.groupBy("content").agg(F.collect_list("s").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
