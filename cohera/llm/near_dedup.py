@@ -6,9 +6,11 @@ weight in its block, and belongs to a bag if its weight is at most the bag's cou
 that falls into it; processes stop once they are past the last register of their bag. Two bags agree in a register with
 the probability of their weighted Jaccard similarity.
 
-Bags that are equal are one node. Nodes that share a band meet their bucket's smallest and largest node, not each
-other; the likeliest pairs are verified first, and only nodes of a bucket that are not connected by then are paired
-with each other. So every pair that shares a band ends up connected or verified, without all pairs of a group of copies.
+Bags that are equal are one node. Shingles that a node of a crowded bucket has alone bound what it can share with any
+other, so nodes with too many of them are out; the node with the fewest is the centre of its bucket, and the others meet
+it, not each other. The likeliest pairs are verified first, and only nodes of a bucket that are not connected by then, and
+could share enough, are paired. So every pair that shares a band ends up connected, verified or excluded by a bound,
+without all pairs of a group of copies.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int
 
 
 def sketch(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """Per row: kept columns (k0, k1, ...), 16-byte key of the bag, band keys, one-bit registers, text."""
+    """Per row: kept columns (k0, k1, ...), 16-byte key and size of the bag, band keys, one-bit registers, text."""
     base = docs.select(*[F.col(c).alias(f"k{j}") for j, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     nk = len(keep)
     ids = "".join(f"k{j} {base.schema[j].dataType.simpleString()}, " for j in range(nk))
@@ -110,11 +112,11 @@ def sketch(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
                 for j, salt in enumerate((0x589965CC75374CC3, 0x1D8E4E27C47D124F)):
                     np.add.at(key[:, j], row, mix(mix(h ^ U(salt)) + count.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([
-                    *[c[t.lo : t.hi] for c in batch.columns[:nk]], pa.array([k.tobytes() for k in key], pa.binary()),
+                    *[c[t.lo : t.hi] for c in batch.columns[:nk]], pa.array([k.tobytes() for k in key], pa.binary()), pa.array(np.bincount(row, weights=count, minlength=n).astype(np.int64)),
                     list_column(band.view(np.int64).ravel(), np.arange(n + 1) * BANDS, pa.int64()), list_column(lanes.view(np.int64).ravel(), np.arange(n + 1) * LANES, pa.int64()), batch.column(nk)[t.lo : t.hi],
-                ], names=[*batch.schema.names[:nk], "bag", "bands", "bits", "text"])
+                ], names=[*batch.schema.names[:nk], "bag", "size", "bands", "bits", "text"])
 
-    return base.mapInArrow(run, f"{ids}bag binary, bands array<long>, bits array<long>, text string")
+    return base.mapInArrow(run, f"{ids}bag binary, size long, bands array<long>, bits array<long>, text string")
 
 
 def overlap(a: str, b: str) -> float:
@@ -127,6 +129,20 @@ def overlap(a: str, b: str) -> float:
     return common / total if total else 1.0
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """Per node the weight of the shingles that no other of the given nodes has: node, own (nodes with none are absent)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_slices(batch.column(1)):
+                row, h, count = bags(words(t))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[t.lo : t.hi].take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(count, pa.int64())], names=["node", "shingle", "c"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, c long")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"), F.min("c").alias("c")).where("k = 1")
+    return single.groupBy("node").agg(F.sum("c").alias("own"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b) whose texts are at least that similar."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -148,6 +164,10 @@ def _apart(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
     return j.where("ca <> cb")
 
 
+def _label(label: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    return label if label is not None else nodes.limit(0).select("node", F.col("node").alias("component"))
+
+
 def _differing_bits(x: str, y: str):
     return sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(LANES)), F.lit(0))
 
@@ -165,51 +185,58 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
         raise ValueError(f"the bands find similarities of {SIMILARITY} and more")
     keep = tuple(keep)
     rows = Stored(sketch(docs, text_col, keep), "near-rows")
-    nodes = Stored(rows.df.select("bag", "bands", "bits").dropDuplicates(["bag"]).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    nodes = Stored(rows.df.select("bag", "size", "bands", "bits").dropDuplicates(["bag"]).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     member = nodes.df.select("node", F.explode("bands").alias("bucket"))
     buckets = Stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "near-buckets")
-    crowded = buckets.df.where("n > 2")
-    inside = Stored(member.join(crowded.select("bucket", F.col("a").alias("lo"), F.col("b").alias("hi")), "bucket"), "near-crowded")
-    star = inside.df.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b")
-    pairs = buckets.df.select("a", "b").unionByName(star).distinct()
     bits = nodes.df.select("node", "bits")
     near = lambda p: p.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").withColumn("d", _differing_bits("x", "y")).where(F.col("d") <= MOST_BITS).drop("x", "y")
-    likely = Stored(near(pairs), "near-pairs")
-    involved = likely.df.select(F.col("a").alias("node")).unionByName(likely.df.select(F.col("b").alias("node")))
-    involved = involved.unionByName(inside.df.select("node")).distinct().join(nodes.df.select("node", "bag"), "node")
+    alone = Stored(near(buckets.df.where("n = 2").select("a", "b").distinct()), "near-alone")
+    crowd = Stored(member.join(buckets.df.where("n > 2").select("bucket"), "bucket"), "near-crowd")
+    involved = alone.df.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.df.select("node")).distinct().join(nodes.df.select("node", "bag"), "node")
     texts = Stored(join_checked(rows.df.select("bag", "text"), involved, ["bag"], "inner").select("node", "text").dropDuplicates(["node"]), "near-texts")
-
-    links: list[Stored] = []
+    # what a node of a crowded bucket has alone bounds what it can share: beyond a fifth of its bag it has no link there
+    own = Stored(_own_shingles(texts.df.join(crowd.df.select("node").distinct(), "node", "left_semi")), "near-own").df
+    crowd = Stored(crowd.df.join(nodes.df.select("node", "size"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= F.lit(1 - similarity) * F.col("size") + 1e-6), "near-linkable")
+    centre = crowd.df.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    star = crowd.df.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    likely = Stored(alone.df.unionByName(near(star)).distinct(), "near-pairs")
     tried: list[Stored] = []
     label: DataFrame | None = None
 
     def settle_links(chosen: DataFrame) -> None:
+        """Verify pairs and merge the components that the true ones join: only components are nodes of a later graph."""
         nonlocal label
         tried.append(Stored(chosen.select("a", "b"), "near-tried"))
-        links.append(Stored(_verify(tried[-1].df, texts.df, similarity), "near-links"))
-        edges = links[0].df
-        for x in links[1:]:
-            edges = edges.unionByName(x.df)
-        label = Stored(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "near-classes").df
+        links = Stored(_apart(_verify(tried[-1].df, texts.df, similarity), label).select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "near-links").df
+        if links.isEmpty():
+            return
+        merged = connected_components(links)
+        if label is not None:
+            joins = merged.withColumnsRenamed({"node": "old", "component": "new"})
+            inner = label.join(joins, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+            merged = inner.unionByName(merged.join(label.select("node"), "node", "left_anti"))
+        label = Stored(merged, "near-classes").df
 
     def untried(p: DataFrame) -> DataFrame:
         for x in tried:
             p = p.join(x.df, ["a", "b"], "left_anti")
         return p
 
-    for _ in range(2):  # the likeliest open pair of every node
-        open_ = untried(_apart(likely.df, label))
-        best = open_.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-        settle_links(best)
+    # the likeliest pair of every node first; then what is still open between components
+    best = likely.df.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+    settle_links(best)
     settle_links(untried(_apart(likely.df, label)))
     # nodes of one crowded bucket that are still apart: pair them with each other, not only with the ends
-    tagged = inside.df.select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = crowd.df.select("bucket", "node", "own", "size").join(_label(label, nodes.df), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = tagged.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
     loose = Stored(tagged.join(split, "bucket").join(bits, "node"), "near-loose")
-    left, right = (loose.df.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}"), F.col("bits").alias(x)) for n, x in (("a", "x"), ("b", "y")))
-    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differing_bits("x", "y") <= MOST_BITS)).select("a", "b").distinct()
+    left, right = (loose.df.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "bits", "own", "size")]) for x in "ab")
+    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))  # what the two can share
+    could = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    cross = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & could & (_differing_bits("bits_a", "bits_b") <= MOST_BITS))
+    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     settle_links(untried(cross))
-    named = rows.df.select(*[F.col(f"k{j}") for j in range(len(keep))], "bag").join(nodes.df.select("bag", "node"), "bag").join(label, "node", "left")
+    named = rows.df.select(*[F.col(f"k{j}") for j in range(len(keep))], "bag").join(nodes.df.select("bag", "node"), "bag").join(_label(label, nodes.df), "node", "left")
     return named.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], F.coalesce("component", "node").alias("class"))
 
 
