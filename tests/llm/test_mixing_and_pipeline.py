@@ -66,6 +66,26 @@ def test_too_many_sources_are_refused(spark):
         mixing.mix_sources(docs_of(spark, {f"s{i}": 1 for i in range(9)}), period=8)
 
 
+@pytest.mark.parametrize("weights", [{"a": 300, **{f"s{i:02}": 14 + i % 3 for i in range(49)}}, {"a": 3, "b": 1}, {"a": 10**15 + 1, "b": 10**14, None: 3 * 10**14}])
+def test_deviation_from_the_weights_themselves(spark, weights):
+    """More sources than a rounded period can serve fairly, common factors, and weights too large for whole periods."""
+    total, seen = sum(weights.values()), {}
+    docs = docs_of(spark, {s: min(60, max(1, 300 * w // total)) for s, w in weights.items()})
+    w = spark.createDataFrame(list(weights.items()), "source string, weight long")
+    for r in mixing.mix_sources(docs, w, block=1).collect():
+        assert seen.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block)
+        n = weights[r.source]
+        assert r.mix_block * total // n <= r.mix_slot < -(-(r.mix_block + 1) * total // n)
+    assert len(seen) == docs.count()
+
+
+def test_decimal_weights_without_common_factor(spark):
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.25), (None, 0.25), ("no", 0.0)], "source string, weight double")
+    for kind in ("double", "decimal(5,2)"):
+        got = mixing.whole_weights(w.withColumn("weight", F.col("weight").cast(kind))).collect()
+        assert {r.source: r.share for r in got} == {"a": 2, "b": 1, None: 1}
+
+
 def test_ranges_rank_like_one_window(spark):
     docs = docs_of(spark, {"big": 3000, "small": 3})
     got = {r.doc_id: r._mix_rank for r in mixing.ranked(docs, "doc_id", "source", "_mix_", bucket=64).collect()}
