@@ -4,6 +4,10 @@ A pre-token is a word with the space before it. The distinct pre-tokens of a sli
 node (the best sum of piece scores that spells the prefix) is computed once, however many words share the prefix, level
 by level over all nodes of a depth; where a word ends, the number of pieces on its best path is stored. Counts of words
 already met in a task are looked up. No row leaves its task: a document's count is a sum over its words.
+
+A unigram model file brings log-probabilities. The scores of a BPE file are merge ranks and can't be added, so only its
+pieces are used: their log-probabilities are estimated from all documents by expectation maximisation over the table of
+distinct pre-tokens and their counts (:func:`estimated`).
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohera.llm.registry import query, table
+from cohera.llm.shared import Stored
 from cohera.llm.textcore import BYTE, U, Texts, _P, _PI, is_in, mix, rows_of, runs, span_hashes, text_slices
 
 MARK = 32  # the byte that stands for the space before a word; no word contains it
@@ -25,6 +30,10 @@ MEMORY = 500_000  # word counts that a task keeps (16 bytes each); words beyond
 FILTER_BITS = 22
 #: What a character without a piece costs beyond the worst piece; it is then spelled in one token per byte.
 NO_PIECE = 10.0
+ROUNDS = 4  # of expectation maximisation
+UNIT = 1 << 16  # expected counts are added in whole parts of 1 / UNIT, so that their sum has no order
+HELD = 200_000  # words that a task merges before it sends them on
+CHUNK = 1 << 20  # bytes of words that are segmented together
 
 
 @dataclass(frozen=True)
@@ -51,18 +60,144 @@ class Vocabulary:
 
     @staticmethod
     def from_sentencepiece(path: str) -> Vocabulary:
-        """Pieces and scores of a model file; control, unknown and byte pieces spell no text and are left out, as are
-        pieces with a space anywhere but at their start."""
-        import sentencepiece
+        """Pieces and scores of a unigram model file (see :func:`pieces_of`)."""
+        return Vocabulary.of(pieces_of(path))
+
+
+def pieces_of(path: str) -> dict[bytes, float]:
+    """Pieces and scores of a model file; control, unknown and byte pieces spell no text and are left out, as are
+    pieces with a space anywhere but at their start."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
+            p = sp.id_to_piece(i).replace("▁", " ")
+            if p and " " not in p[1:]:
+                pieces[p.encode()] = sp.get_score(i)
+    return pieces
+
+
+def are_ranks(pieces: dict[bytes, float]) -> bool:
+    """Whether the scores are merge ranks: whole numbers, which log-probabilities are not."""
+    return all(float(x).is_integer() for x in pieces.values())
+
+
+def expected_counts(words: list[bytes], counts: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Expected uses of each piece (in the order of ``v.hashes``, times UNIT) over all segmentations of the words.
+
+    The edges of all words are ordered by the depth at which they end; forward and backward sums take a depth at a time.
+    """
+    size = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    data = np.frombuffer(b"".join(b" " + w for w in words), dtype=np.uint8)
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(words)), size)
+    depth = np.arange(len(data)) - begin[of]
+    left = size[of] - depth
+    edges = []
+    for k in range(1, v.longest + 1):
+        at = np.flatnonzero(left >= k)
+        h = span_hashes(data, at, at + k)
+        may = v.filter[h >> U(64 - FILTER_BITS)]
+        at, h = at[may], h[may]
+        hit = is_in(h, v.hashes)
+        edges.append((at[hit], np.full(int(hit.sum()), k), np.searchsorted(v.hashes, h[hit])))
+    head = np.flatnonzero((data & 0xC0) != 0x80)  # whole characters as bytes
+    edges.append((head, np.diff(np.append(head, len(data))), np.full(len(head), -1)))
+    at, k, piece = (np.concatenate(x).astype(np.int64) for x in zip(*edges))
+    score = np.where(piece < 0, v.no_piece, v.scores[piece])
+    node = begin + np.arange(len(words))  # a word has a node more than bytes
+    source = at + of[at]
+    target = source + k
+    forward, backward = np.full(len(data) + len(words), -np.inf), np.full(len(data) + len(words), -np.inf)
+    forward[node], backward[node + size] = 0.0, 0.0
+
+    def sweep(total: np.ndarray, here: np.ndarray, there: np.ndarray, level: np.ndarray) -> None:
+        order = np.lexsort((here, level))
+        cuts = np.flatnonzero(np.diff(level[order])) + 1
+        for part in np.split(order, cuts):
+            x, to = total[there[part]] + score[part], here[part]
+            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            top = np.maximum.reduceat(x, first)
+            base = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                total[to[first]] = base + np.log(np.add.reduceat(np.exp(x - np.repeat(base, np.diff(np.append(first, len(x))))), first))
+
+    if len(at):
+        sweep(forward, target, source, depth[at] + k)
+        sweep(backward, source, target, left[at])
+    share = np.exp(forward[source] + score + backward[target] - backward[node][of[at]])
+    used = np.flatnonzero(piece >= 0)
+    out = np.zeros(len(v.hashes), dtype=np.int64)
+    np.add.at(out, piece[used], np.rint(share[used] * UNIT).astype(np.int64) * counts[of[at[used]]])
+    return out
+
+
+def word_table(docs: DataFrame, text_col: str = "text") -> Stored:
+    """Distinct pre-tokens of all texts with their counts: word, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        room = 0
+
+        def pack() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for t in text_slices(batch.column(0), lower=False, limit=1 << 20):
+                starts, ends = runs(~SPACES[t.data], t.offs)
+                _, first, n = np.unique(span_hashes(t.data, starts, ends), return_index=True, return_counts=True)
+                raw = t.data.tobytes()
+                for a, b, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
+                    w = raw[a:b]
+                    if w not in held:
+                        room += len(w)
+                    held[w] = held.get(w, 0) + c
+                if len(held) > HELD or room > 32 * CHUNK:
+                    yield pack()
+                    held.clear()
+                    room = 0
+        yield pack()
+
+    words = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = Stored(words, "token-words")
+    size = words.df.agg(F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()[0]
+    spread = Stored(words.df.repartition(1 + size // CHUNK), "token-words-spread")  # the rounds take long for their bytes
+    words.drop()
+    return spread
+
+
+def estimated(docs: DataFrame, pieces: list[bytes], text_col: str = "text", rounds: int = ROUNDS) -> Vocabulary:
+    """Unigram log-probabilities of the pieces from all texts: ``rounds`` of expectation maximisation from equal ones.
+
+    Every piece counts once more than it is expected, so unseen pieces have a score, and of no text all are equal.
+    """
+    v = Vocabulary.of(dict.fromkeys(pieces, -float(np.log(len(pieces)))))
+    words = word_table(docs, text_col)
+
+    def expect(v: Vocabulary):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(v.hashes), dtype=np.int64)
+            for batch in batches:
+                size = np.cumsum([len(w.as_py()) + 1 for w in batch.column(0)])
+                cuts = [0, *(np.flatnonzero(np.diff(size // CHUNK)) + 1).tolist(), len(batch)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b > a:
+                        total += expected_counts(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_numpy(), v)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["piece", "n"])
+
+        return run
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = {}
-        for i in range(sp.get_piece_size()):
-            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
-                p = sp.id_to_piece(i).replace("▁", " ")
-                if p and " " not in p[1:]:
-                    pieces[p.encode()] = sp.get_score(i)
-        return Vocabulary.of(pieces)
+    for _ in range(rounds):
+        got = words.df.mapInArrow(expect(v), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # a row a piece
+        n = np.ones(len(v.hashes))
+        n[got["piece"].to_numpy(dtype=np.int64)] += got["n"].to_numpy(dtype=np.float64) / UNIT
+        scores = np.log(n / n.sum())
+        v = Vocabulary(v.hashes, scores, v.filter, v.longest, float(scores.min()) - NO_PIECE)
+    words.drop()
+    return v
 
 
 def count_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -173,6 +308,7 @@ def count_tokens(docs: DataFrame, v: Vocabulary, text_col: str = "text", names:
 
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
-    v = Vocabulary.from_sentencepiece(vocabulary)
-    out = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), v)
+    docs, pieces = table(spark, sf_dir, "documents"), pieces_of(vocabulary)
+    v = estimated(docs, list(pieces)) if are_ranks(pieces) else Vocabulary.of(pieces)
+    out = count_tokens(docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")), v)
     return out.select("doc_id", "n_bytes", "n_pretokens", "n_tokens")

@@ -118,3 +118,39 @@ def test_token_counts_against_brute_force(spark, memory):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     assert [r.n_tokens for r in tc.count_tokens(docs, v).orderBy("doc_id").collect()] == expect
     assert tc.count_tokens(docs.limit(0), v).count() == 0
+
+
+def test_expected_counts_against_all_segmentations():
+    pieces = {" ": -2.0, "a": -1.5, "b": -2.5, " a": -1.0, "ab": -1.2, " ab": -3.0, "ba": -2.2, "é": -2.0}
+    v = tc.Vocabulary.of({p.encode(): s for p, s in pieces.items()})
+    words, counts = ["ab", "abab", "é", "bé?a", "a"], [3, 1, 2, 5, 7]
+
+    def paths(text):
+        if not text:
+            yield [], 0.0
+        for k in range(1, len(text) + 1):
+            for rest, s in paths(text[k:]):
+                if text[:k] in pieces:
+                    yield [text[:k], *rest], s + pieces[text[:k]]
+                if k == 1:
+                    yield rest, s + v.no_piece
+
+    expect = dict.fromkeys(pieces, 0.0)
+    for w, n in zip(words, counts):
+        every = list(paths(" " + w))
+        total = sum(np.exp(s) for _, s in every)
+        for used, s in every:
+            for p in used:
+                expect[p] += n * np.exp(s) / total
+    got = tc.expected_counts([w.encode() for w in words], np.array(counts), v) / tc.UNIT
+    for p, n in expect.items():
+        h = tc.span_hashes(np.frombuffer(p.encode(), np.uint8), np.array([0]), np.array([len(p.encode())]))
+        assert abs(got[np.searchsorted(v.hashes, h[0])] - n) < 1e-3
+
+
+def test_merge_ranks_are_not_added(spark, tmp_path):
+    rows = [(1, "information university performance\n" * 20), (2, "performance"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tc.op9(spark, str(tmp_path)).collect()}
+    assert got == {1: (60, 60), 2: (1, 1), 3: (0, 0)}
+    assert tc.estimated(spark.createDataFrame([], "text string"), [b"a", b"b"]).scores.tolist() == [-np.log(2)] * 2
