@@ -206,7 +206,7 @@ def _solve(rows: pa.Table, side: Side, length: int) -> pa.RecordBatch:
     group = np.stack([anchor, half, salt.astype(np.int64)])
     new = np.ones(len(anchor), dtype=bool)
     new[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])
-    at = np.flatnonzero(new)  # the same fragment comes once from each copy of its text
+    at = np.flatnonzero(new)
     anchor, half, salt, f1, f2, c, left, group = anchor[at], half[at], salt[at], f1[at], f2[at], c[at], left[at], group[:, at]
     pieces = rows["bytes"].take(pa.array(at)).to_pylist()
     border = np.ones(len(anchor), dtype=bool)
@@ -276,7 +276,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     salt = F.when(F.col("kinds") > crowd, F.pmod(F.xxhash64("f1", "f2"), parts)).otherwise(-1).cast("int")
     wanted = half.join(met, ["side", "anchor", "half"]).withColumn("salt", salt)
     wanted = wanted.groupBy("content").agg(F.collect_list(F.struct(*GROUP, "f1", "f2", "c", "pos", "left", "right")).alias("wanted"))
-    pieces = texts.join(wanted, "content").select("text", "wanted").mapInArrow(_cut(length), FRAGMENT)
+    once = texts.groupBy("content").agg(F.min("text").alias("text"))  # copies merge before the shuffle, so a group's rows are its kinds
+    pieces = once.join(wanted, "content").select("text", "wanted").mapInArrow(_cut(length), FRAGMENT)
     ordered = pieces.repartition(*GROUP).sortWithinPartitions(*GROUP, "f1", "f2")
     solved = Stored(ordered.mapInArrow(_collections(length), SOLVED), "repeat-solved")
     starts = solved.df.where("w1 IS NULL").select("anchor", "f1", "f2", "a", "b")

@@ -168,6 +168,33 @@ def test_repeated_bytes_against_brute_force(spark, crowd):
     assert rb.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_send_their_fragments_once(spark, monkeypatch):
+    rng, sent = random.Random(4), spark.sparkContext.accumulator(0)
+    cut = rb._cut
+
+    def counted(length):
+        run = cut(length)
+
+        def each(batches):
+            for b in run(batches):
+                sent.add(len(b))
+                yield b
+
+        return each
+
+    monkeypatch.setattr(rb, "_cut", counted)
+    base = "".join(rng.choices("abcdef ", k=300))
+    near = base[:150] + "#" + base[151:]
+    numbers = []
+    for copies in (1, 40):
+        texts = [base] * copies + [near]
+        before = sent.value
+        got = rb.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=48).orderBy("doc_id").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got] == brute_repeats(texts, 48)
+        numbers.append(sent.value - before)
+    assert numbers[0] == numbers[1] > 0
+
+
 def brute_lines(docs, least):
     order = sorted(range(len(docs)), key=lambda d: (docs[d][0] is not None, docs[d][0], hashlib.md5((docs[d][1] or "").encode()).digest()))
     lines = {d: [x.rstrip("\r") for x in (docs[d][1] or "").split("\n")] for d in order}
