@@ -100,7 +100,7 @@ def interval_metrics(rows: DataFrame, keys: list[str], group: str, min_group_n:
     return out.join(pooled, keys)
 
 
-def cluster_bootstrap(groups: DataFrame, keys: list[str], group: str, b: int = 200, seed: int = 0, level=0.95):
+def cluster_bootstrap(groups: DataFrame, keys: list[str], group: str, b: int = 2000, seed: int = 0, level=0.95):
     """Percentile interval of both coverages under resampling of whole groups.
 
     ``groups``: keys, group, hits, n. In replicate r, slot i draws the group whose rank equals a keyed uniform index;

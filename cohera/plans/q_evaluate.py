@@ -38,13 +38,13 @@ def interval_score(spark, sf):
 
 
 def group_hits(spark, sf):
-    iv = E.interval_rows(d.scp_intervals(d.scored_wide(d.job(spark, sf, seeds=d.SEEDS[:1]))))
+    iv = E.interval_rows(d.scp_intervals(d.scored_wide(d.job(spark, sf))))
     return iv.groupBy(*CELL, "grp").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
 @query("cluster_bootstrap__E5")
 def cluster_bootstrap(spark, sf):
-    return E.cluster_bootstrap(group_hits(spark, sf), CELL, "grp", b=200)
+    return E.cluster_bootstrap(group_hits(spark, sf), CELL, "grp")
 
 
 @query(

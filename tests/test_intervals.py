@@ -103,3 +103,14 @@ def test_one_row_per_group_is_valid_where_pooling_is_not(spark):
         out[name] = hit.agg(F.avg("c")).first()[0]
     assert abs(out["gsub"] - 28 / 31) < 0.02
     assert out["pool"] < out["gsub"] - 0.02
+
+
+def test_registered_bootstrap_has_all_seeds_and_replicates(spark, monkeypatch):
+    import inspect
+
+    from cohera.plans import data, q_evaluate
+
+    seen, default = {}, inspect.signature(q_evaluate.E.cluster_bootstrap).parameters["b"].default
+    monkeypatch.setattr(q_evaluate.E, "cluster_bootstrap", lambda groups, *a, **kw: seen.update(kw, seeds=groups.select("seed").distinct().collect()))
+    q_evaluate.cluster_bootstrap(spark, "/root/testdata/sf0.001")
+    assert seen.get("b", default) == 2000 and sorted(r.seed for r in seen["seeds"]) == data.SEEDS
