@@ -211,12 +211,12 @@ def books_digest(books: list[np.ndarray]) -> str:
 
 def _sql() -> str:
     steps = [
-        f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""parts AS MATERIALIZED (SELECT vec_id, p, list_slice(v, p * (len(v) // {PARTS}) + 1, (p + 1) * (len(v) // {PARTS})) AS x FROM kept, range({PARTS}) AS r(p))""",
         f"""book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < {ENTRIES})""",
     ]
-    chosen = """SELECT vec_id, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), z -> (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+    chosen = """SELECT vec_id, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
   FROM parts JOIN book{r} USING (p) GROUP BY ALL"""
     for r in range(ROUNDS):
         steps.append(f"near{r} AS MATERIALIZED ({chosen.format(r=r)})")
