@@ -8,13 +8,16 @@ class), so there is no shuffle and no shared state. When a task ends, rests in o
 the open exact bins are closed as sequences whose lengths are powers of two, which need no padding.
 
 Ids come from the ``tokenizers`` file, for every distinct word of a slice once: no match of the splitting pattern has a
-character that is no white space before one that is, so a text may be cut there and its ids are those of the whole text.
+character that is no white space before one that is, nor a letter or digit before a sign other than an apostrophe, so a
+text may be cut there and its ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from cohera.llm.textcore import is_in, span_hashes, text_slices
 CAPACITY = 2048
 SMALLEST = 64  # exact pieces are not cut below this length, but for the rests of a task's last bins
 END = 1  # the id after each document
-MEMORY = 300_000  # words whose ids a task keeps; others are looked up again when they come again
+MEMORY = 1_000_000  # words whose ids a task keeps; others are looked up again when they come again
 OUT_BYTES = 4 << 20
 TASK_BITS = 36  # sequence ids: the task's number above this many bits, the number in the task below
 #: White space of ASCII, with the four separators that some engines count as such.
@@ -35,8 +38,16 @@ ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
+#: ASCII signs before which a word may be cut; the bar is part of the file's special token.
+SIGN = np.zeros(256, dtype=bool)
+SIGN[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'|"]] = True
+PLAIN = np.zeros(256, dtype=bool)
+PLAIN[[i for i in range(128) if chr(i).isalnum()]] = True
+
+
 def word_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where texts may be cut: at row starts and at ASCII white space after a character that is certainly no white space."""
+    """Where texts may be cut: at row starts, at ASCII white space after a character that is certainly no white space, and
+    at signs after what is certainly a letter (ASCII or Latin-1) or a digit."""
     n = len(data)
     start = np.zeros(n + 1, dtype=bool)
     if n > 1:
@@ -45,11 +56,18 @@ def word_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         second, third = np.zeros(n - 1, np.uint8), np.zeros(n - 1, np.uint8)
         second[1:], third[2:] = data[:-2], data[:-3]
         wide = (before >= 0x80) & ((second == 0xC2) | ((third >= 0xE1) & (third <= 0xE3)))  # Unicode spaces among others
-        start[1:n] = ASCII_SPACE[data[1:]] & plain & ~wide
+        letter = PLAIN[before] | ((second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+        start[1:n] = (ASCII_SPACE[data[1:]] & plain & ~wide) | (SIGN[data[1:]] & letter)
     start[offs[:-1][offs[1:] > offs[:-1]]] = True
     return np.flatnonzero(start[:n])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process: the words it remembers serve the next task too."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, word by word, with a bounded memory of words."""
 
@@ -64,9 +82,9 @@ class Encoder:
         self.spans = np.zeros((0, 2), np.int64)  # place and number of the ids of each known word
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.array([len(g) for g in got], dtype=np.int64)
-        return np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, one after the other, and the n + 1 offsets of the rows."""
@@ -88,8 +106,7 @@ class Encoder:
         edge = np.append(0, np.cumsum(n))
         pick = np.repeat(place[at] - edge[:-1], n) + np.arange(edge[-1])
         rows = edge[np.searchsorted(starts, offs)]
-        room = self.memory - len(self.known)
-        if room >= len(new) > 0:
+        if 0 < len(new) <= self.memory - len(self.known):
             keys = np.concatenate([self.known, h[new]])
             spans = np.concatenate([self.spans, np.stack([place[new], sizes], axis=1)])
             order = np.argsort(keys, kind="stable")
@@ -174,7 +191,7 @@ def pack(
     kind = slim.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_type = Encoder(tokenizer), None
+        encoder, doc_type = encoder_of(tokenizer), None
         bins, ready, room = Bins(capacity, smallest, TaskContext.get().partitionId()), [], 0
 
         def flush() -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from tests.conftest import SF
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", None, " ", "\n\n x  y\t z", "a b  c　 d   e", "don't  we'll <|endoftext|> x<|endoftext|>", "\u0085 a\u0085 b", "é è  à", "日本 語 です",
-    "😀 😀😀  x", "12 345,6 7", "word " * 30_000, "x" * 5_000, "tail ", " \x1c a\x1f b", "a\r\n\r\n b", "tie", "tie",
+    "😀 😀😀  x", "12 345,6 7", "word " * 30_000, "x" * 5_000, "tail ", "à, é! (x)×. ÷- y÷. a|b <|endoftext|>, it's-x'S _a_b 5% \u00b7.", " \x1c a\x1f b", "a\r\n\r\n b", "tie", "tie",
 ]
 
 
