@@ -262,45 +262,47 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), pa.array(turns, TURNS_TYPE)], names=["conv", *names, "turns"])
 
 
-CELLS = "kinds string, blank long, duplicate long, truncated long, illegal long, first string, last string, n long, costs array<long>, audits array<string>"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv, turn, role, text, later) -> blocks with their cells and turns."""
-    task, number = TaskContext.get().partitionId(), 0
-    held: list[tuple[Turn, bool]] = []
-    conv, room, before = None, 0, None
-
-    def close() -> pa.RecordBatch:
-        nonlocal number, room
-        rows = [r for r, _ in held]
-        kinds = kinds_of(rows, [d for _, d in held])
-        cells = parse(kinds, block=True)
-        initials = [r.role[:1] for r in rows]
-        values = [
-            conv, task, number, kinds, *_counts(kinds), illegal_pairs(initials), initials[0], initials[-1], len(rows), [c for c, _ in cells], [a for _, a in cells],
-            [{"role": r.role, "text": r.text} for r in rows],
-        ]
-        i, s = pa.int64(), pa.string()
-        types = [conv_type, i, i, s, i, i, i, i, s, s, i, pa.list_(i), pa.list_(s), TURNS_TYPE]
-        names = ["conv", "task", "number", *(f.split()[0] for f in CELLS.split(", ")), "turns"]
-        number, room = number + 1, 0
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
-
-    for batch in batches:
-        conv_type = batch.schema.field(0).type
-        for a in range(0, len(batch), BLOCK):  # rows become Python objects a few at a time
-            for c, turn, role, text, later in zip(*(col.slice(a, BLOCK).to_pylist() for col in batch.columns)):
-                row = Turn(turn, role, text)
-                if held and (c != conv or len(held) >= BLOCK or room > BLOCK_BYTES):
-                    yield close()
-                same = before is not None and c == conv and before == row
-                conv, before = c, row
-                held.append((row, later or same))
-                room += len(text)
-    if held:
-        yield close()
+CELLS = "blank long, duplicate long, truncated long, illegal long, first string, last string, n long, costs array<long>, audits array<string>"
+
+
+def _blocks(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows (conv, turn, role, text, later) -> blocks with their cells and turns."""
+        task, number = TaskContext.get().partitionId(), 0
+        held: list[tuple[Turn, bool]] = []
+        conv, room, before = None, 0, None
+
+        def close() -> pa.RecordBatch:
+            rows = [r for r, _ in held]
+            kinds = kinds_of(rows, [d for _, d in held])
+            cells = parse(kinds, block=True)
+            initials = [r.role[:1] for r in rows]
+            values = [
+                conv, task, number, *_counts(kinds), illegal_pairs(initials), initials[0], initials[-1], len(rows), [c for c, _ in cells], [a for _, a in cells],
+                [{"role": r.role, "text": r.text} for r in rows],
+            ]
+            held.clear()
+            i, s = pa.int64(), pa.string()
+            types = [conv_type, i, i, i, i, i, i, s, s, i, pa.list_(i), pa.list_(s), TURNS_TYPE]
+            names = ["conv", "task", "number", *(f.split()[0] for f in CELLS.split(", ")), "turns"]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+
+        for batch in batches:
+            conv_type = batch.schema.field(0).type
+            for a in range(0, len(batch), BLOCK):  # rows become Python objects a few at a time
+                for c, turn, role, text, later in zip(*(col.slice(a, BLOCK).to_pylist() for col in batch.columns)):
+                    row = Turn(turn, role, text)
+                    if held and (c != conv or len(held) >= block or room > BLOCK_BYTES):
+                        yield close()
+                        number, room = number + 1, 0
+                    same = before is not None and c == conv and before == row
+                    conv, before = c, row
+                    held.append((row, later or same))
+                    room += len(text)
+        if held:
+            yield close()
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +371,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _long(rows: DataFrame, kind: str) -> Repaired:
+def _long(rows: DataFrame, kind: str, block: int) -> Repaired:
     """Reports and turns of conversations that are more than a block."""
     digest = F.sha2(F.concat_ws(":", F.length("role").cast("string"), "role", "text").cast("binary"), 256)
     order = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
@@ -380,19 +382,19 @@ def _long(rows: DataFrame, kind: str) -> Repaired:
     marked = marked.select("conv", "turn", "role", "text", F.coalesce(order > F.col("first"), F.lit(False)).alias("later"))
     nulls = [F.asc_nulls_first(c) for c in ("conv", "turn", "role")]
     dealt = marked.repartitionByRange(*nulls, F.substring("text", 1, 64)).sortWithinPartitions(*nulls, "text")
-    blocks = Stored(dealt.mapInArrow(_blocks, f"conv {kind}, task long, number long, {CELLS}, {TURNS}"), "turn-blocks")
-    place = Window.partitionBy("conv").orderBy("task", "number")
-    blocks = Stored(blocks.df.withColumn("at", (F.row_number().over(place) - 1).cast("long")), "turn-blocks-at")
-    total = blocks.df.groupBy("conv").agg(
+    blocks = Stored(dealt.mapInArrow(_blocks(block), f"conv {kind}, task long, number long, {CELLS}, {TURNS}"), "turn-blocks")
+    place = (F.row_number().over(Window.partitionBy("conv").orderBy("task", "number")) - 1).cast("long")
+    spans = Stored(blocks.df.drop("turns").withColumn("at", place), "turn-spans")
+    total = spans.df.groupBy("conv").agg(
         *(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")), F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda s: s["n"]).alias("sizes"),
     )
     fields = ["illegal", "first", "last", "costs", "audits"]
-    level = Stored(blocks.df.select("conv", "at", *fields), "turn-spans")
-    most = blocks.df.agg(F.max("at")).first()[0] or 0
+    level = Stored(spans.df.select("conv", "at", *fields), "turn-level")
+    most = spans.df.agg(F.max("at")).first()[0] or 0
     schema = f"conv {kind}, at long, illegal long, first string, last string, costs array<long>, audits array<string>"
     while most > 0:
-        parts = level.df.groupBy("conv", F.floor(F.col("at") / FAN).alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "illegal", "first", "last", "costs", "audits"))).alias("parts"))
-        above = Stored(parts.mapInArrow(_merge, schema), "turn-spans")
+        parts = level.df.groupBy("conv", F.floor(F.col("at") / FAN).alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", *fields))).alias("parts"))
+        above = Stored(parts.mapInArrow(_merge, schema), "turn-level")
         level.drop()
         level, most = above, most // FAN
     top = level.df.join(total.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")))
@@ -400,7 +402,8 @@ def _long(rows: DataFrame, kind: str) -> Repaired:
         top.select("conv", "costs", "audits", "sizes").mapInArrow(_finish, f"conv {kind}, cost long, audit string, pieces array<struct<at:long,audit:string,position:long,odd:boolean>>"), "turn-audits",
     )
     pieces = done.df.select(F.col("conv").alias("c"), F.explode("pieces").alias("p"))
-    both = blocks.df.join(pieces, F.col("conv").eqNullSafe(F.col("c")) & (F.col("at") == F.col("p.at")))
+    pieces = spans.df.select("conv", "at", "task", "number").join(pieces, F.col("conv").eqNullSafe(F.col("c")) & (F.col("at") == F.col("p.at"))).drop("conv", "c")
+    both = blocks.df.select("conv", "task", "number", "turns").join(pieces, ["task", "number"])
     turns = Stored(both.select("conv", "at", "turns", "p.audit", "p.position", "p.odd").mapInArrow(_repair_blocks, f"conv {kind}, block long, {TURNS}"), "turns-repaired")
     digests = turns.df.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(_digests, f"conv {kind}, repaired_sha256 string")
     gaps = rows.df.groupBy("conv").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).cast("long").alias("gaps"))
@@ -437,7 +440,7 @@ def repair(
     reports, repaired = done.drop("turns"), done.select("conv", F.lit(0).cast("long").alias("block"), "turns")
     if some:
         copies = rows.join(long.df, which, "left_semi").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-        more = _long(copies.select("conv", "turn", "role", "text"), kind)
+        more = _long(copies.select("conv", "turn", "role", "text"), kind, block)
         reports, repaired = reports.unionByName(more.reports), repaired.unionByName(more.turns)
     return Repaired(reports, repaired)
 
