@@ -167,16 +167,3 @@ def abbreviations(df: DataFrame, doc: str, text: str, slack: int = 400, mixed: t
     late = F.col("defined") > F.col("first_use") + F.length("abbreviation") + slack
     status = F.when(F.col("defined") == 0, "never defined").when(late, "used before definition").otherwise("ok")
     return a.select(doc, "abbreviation", "first_use", F.when(F.col("defined") > 0, F.col("defined")).alias("defined_at"), status.alias("status"))
-
-
-def fuzzy_match(titles: DataFrame, refs: DataFrame, min_ratio: float = 0.6) -> DataFrame:
-    """Best reference per title by edit-distance ratio among references with the same first word.
-
-    ``titles``, ``refs``: one column ``title`` / ``ref`` (normalised). Distinct strings only; one row per title.
-    """
-    t = titles.select("title").distinct().withColumn("_k", F.split("title", " ")[0])
-    r = refs.select("ref").distinct().withColumn("_k", F.split("ref", " ")[0])
-    ratio = F.lit(1.0) - F.levenshtein("title", "ref") / F.greatest(F.length("title"), F.length("ref"), F.lit(1))
-    j = t.join(r, "_k").withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio)
-    best = j.groupBy("title").agg(F.min_by(F.struct("ref", "ratio"), F.struct((-F.col("ratio")).alias("q"), "ref")).alias("b"))
-    return best.select("title", "b.ref", "b.ratio")

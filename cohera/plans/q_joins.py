@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohera.operators import joins as J
+from cohera.operators import joins as J, neighbours as N
 from cohera.plans import data as d
 from cohera.plans.base import part, query, rnd, sql, table
 from cohera.plans.data import r
@@ -152,7 +152,7 @@ SELECT e.seed, vec_id, role, list((v-m)/CASE WHEN s=0 THEN 1 ELSE s END ORDER BY
 
 def knn(spark, sf):
     v = vec_split(spark, sf)
-    return J.knn_mean_distance(v.where("role='train'"), v.where("role='test'"), ["seed"], "vec_id", "embedding")
+    return N.knn_mean_distance(v.where("role='train'"), v.where("role='test'"), ["seed"], "vec_id", "embedding")
 
 
 @query("knn_mean_distance__J10", sql(f"SELECT seed, vec_id, {r('dist', 6)} AS dist FROM knn", "knn"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohera.functions.text import normalise_title
 from cohera.operators import textaudit as X
+from cohera.operators.titles import best_matches
 from cohera.plans.base import query, rnd, table
 from cohera.plans.data import r
 
@@ -121,10 +122,10 @@ NT = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}),'<[^>]+>',' '
 @query(
     "fuzzy_title_match__X8",
     f"""WITH t AS (SELECT DISTINCT {NT.format("p_name||' <b>'||p_type||'</b>'")} AS title FROM part), f AS (SELECT DISTINCT {NT.format('p_name')} AS ref FROM part),
-j AS (SELECT title, ref, 1.0::DOUBLE-levenshtein(title,ref)::DOUBLE/greatest(length(title),length(ref),1) AS ratio FROM t JOIN f ON split_part(title,' ',1)=split_part(ref,' ',1))
+j AS (SELECT title, ref, 1.0::DOUBLE-levenshtein(title,ref)::DOUBLE/greatest(length(title),length(ref),1) AS ratio FROM t CROSS JOIN f)
 SELECT title, ref, {r('ratio', 9)} AS ratio FROM j WHERE ratio>=0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY title ORDER BY ratio DESC, ref)=1""",
 )
 def fuzzy_title_match(spark, sf):
     p = table(spark, sf, "part")
     t = p.select(normalise_title(F.concat("p_name", F.lit(" <b>"), "p_type", F.lit("</b>"))).alias("title"))
-    return X.fuzzy_match(t, p.select(normalise_title(F.col("p_name")).alias("ref")), 0.5).withColumn("ratio", rnd("ratio", 9))
+    return best_matches(t, p.select(normalise_title(F.col("p_name")).alias("ref")), 0.5).withColumn("ratio", rnd("ratio", 9))

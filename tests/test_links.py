@@ -104,19 +104,6 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == want and want
 
 
-def test_knn_distance_matches_brute_force(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(0, 1, (120, 5)) * [1, 5, 0.1, 2, 1]
-    df = spark.createDataFrame([(0, i, "test" if i % 4 == 0 else "train", x[i].tolist()) for i in range(120)], "seed int, id int, role string, v array<double>")
-    got = {r.id: r.dist for r in J.knn_mean_distance(df.where("role='train'"), df.where("role='test'"), ["seed"], "id", "v").collect()}
-    tr = np.array([i for i in range(120) if i % 4])
-    z = (x - x[tr].mean(0)) / x[tr].std(0)
-    for i, dist in got.items():
-        d = np.sort(np.sqrt(((z[tr] - z[i]) ** 2).sum(1)))[:5].mean()
-        assert dist == pytest.approx(d, rel=1e-9)
-    assert len(got) == 30
-
-
 def test_checked_joins_fail_on_repeated_keys(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "p"), (1, "q")], "k int, w string")
