@@ -23,6 +23,7 @@ tasks; a block's cells say how its repaired turns begin and end, and adjacent bl
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from typing import NamedTuple
 
@@ -36,10 +37,11 @@ from cohera.llm.registry import query, table
 from cohera.llm.shared import Stored
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
-BLOCK = 256  # turns parsed as one table of spans
+BLOCK = 64  # turns parsed as one table of spans
 BLOCK_BYTES = 4 << 20
 FAN = 64  # blocks combined in one step
-MEMORY = 50_000  # parses that a task keeps; other conversations of a kind are parsed again
+MEMORY = 50_000  # parses that a worker process keeps, for all its tasks
+TASK_TURNS = 4_096  # turns of long conversations in a task: parsing takes long for their bytes
 BLANK = " \t\n\x0b\x0c\r"
 NONE = 1 << 40  # the cost of what can't be derived
 ROLES = {"u": "user", "a": "assistant"}
@@ -179,6 +181,11 @@ def cheapest(cells: list[tuple[int, str | None]]) -> tuple[int, str]:
     return min((cells[TYPES.index(t)] for t in ("", "ua", "sa") if cells[TYPES.index(t)][1] is not None))
 
 
+@lru_cache(maxsize=MEMORY)
+def best_parse(kinds: str) -> tuple[int, str]:
+    return cheapest(parse(kinds))
+
+
 def apply(rows: list[Turn], audit: str, position: int = 0, odd: bool | None = None) -> list[tuple[str, str]]:
     """Role and text of the repaired turns; ``position`` turns come before, ``odd`` says that a system turn is first."""
     if odd is None:
@@ -240,17 +247,12 @@ def _counts(kinds: str) -> tuple[int, int, int]:
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """conv, rows (turn, role, text in order) -> conv, the report, the repaired turns."""
-    known: dict[str, tuple[int, str]] = {}
     for batch in batches:
         reports, turns = [], []
         for rows in batch.column(1).to_pylist():
             rows = [Turn(r["turn"], r["role"], r["text"]) for r in rows]
             kinds = kinds_of(rows)
-            if kinds not in known:
-                if len(known) >= MEMORY:
-                    known.clear()
-                known[kinds] = cheapest(parse(kinds))
-            cost, audit = known[kinds]
+            cost, audit = best_parse(kinds)
             at = {r.turn for r in rows if r.turn is not None}
             repaired = apply(rows, audit)
             gaps = max(at) - min(at) + 1 - len(at) if at else 0
@@ -381,7 +383,8 @@ def _long(rows: DataFrame, kind: str, block: int) -> Repaired:
     marked = rows.df.join(first.df, F.col("conv").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("d")), "left")
     marked = marked.select("conv", "turn", "role", "text", F.coalesce(order > F.col("first"), F.lit(False)).alias("later"))
     nulls = [F.asc_nulls_first(c) for c in ("conv", "turn", "role")]
-    dealt = marked.repartitionByRange(*nulls, F.substring("text", 1, 64)).sortWithinPartitions(*nulls, "text")
+    tasks = max(rows.spark.sparkContext.defaultParallelism, rows.df.count() // TASK_TURNS)
+    dealt = marked.repartitionByRange(tasks, *nulls, F.substring("text", 1, 64)).sortWithinPartitions(*nulls, "text")
     blocks = Stored(dealt.mapInArrow(_blocks(block), f"conv {kind}, task long, number long, {CELLS}, {TURNS}"), "turn-blocks")
     place = (F.row_number().over(Window.partitionBy("conv").orderBy("task", "number")) - 1).cast("long")
     spans = Stored(blocks.df.drop("turns").withColumn("at", place), "turn-spans")

@@ -121,7 +121,7 @@ def test_a_long_conversation():
     assert cheapest(parse(kinds)) == search(kinds)
 
 
-@pytest.mark.parametrize("block", [256, 5])
+@pytest.mark.parametrize("block", [64, 5])
 def test_repair_against_search(spark, block):
     df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "conv_id long, turn long, role string, text string, conv string, cost int").repartition(5)
     assert got(repair(df, block=block)) == expected(ROWS, False)
