@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohera.functions.numeric import INF, conformal_rank
-from cohera.operators.selection import first_k_per_group, order_statistics
+from cohera.operators.selection import first_k_per_group, order_statistics, running_total
 from cohera.session import settle, settle_parameters
 
 VARIANTS = ("global", "augment", "local", "hybrid")
@@ -22,7 +22,8 @@ def local_budget(
     ``pooled``: split columns and the score ``s`` of one calibration row per group. ``test``: group, id, time, score.
     The k-th smallest of (pooled scores + k local scores) is found from ranks: local scores are at most max(ks) per
     group, so only the pooled scores near the wanted rank matter. They are ranked once per split and joined on the few
-    ranks asked for, never repeated per group.
+    ranks asked for, never repeated per group. Coverage comes from counts of scores at or below each quantile, so a test
+    row is visited once for all k, variants and evaluation sets; a missing score is not covered.
     """
     k_max = max(ks)
     own = [*split, group]
@@ -30,22 +31,31 @@ def local_budget(
     first = settle(first_k_per_group(test, own, order, k_max, "rk").select(*own, "rk", time, id_col, "s"))
     quant = _quantiles(pooled, first, test.groupBy(*own).agg(F.count(F.lit(1)).alias("n_rows")), split, group, ks, alpha)
 
-    # rows after the k-th: compared with the k-th row's (time, id), so no rank over a whole group is needed
-    starts = first.select(*own, F.col("rk").alias("start"), F.col(time).alias("_t"), F.col(id_col).alias("_i"))
-    nothing = test.select(*own).distinct().select(
-        *own, F.lit(0).alias("start"), F.lit(None).cast(dict(first.dtypes)[time]).alias("_t"),
-        F.lit(None).cast(dict(first.dtypes)[id_col]).alias("_i"))
-    starts = starts.unionByName(nothing)
     plan = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("eval_set"), F.lit(k_max if e == "common" else k).alias("start"))
                                for k in ks for e in ("common", "per_k")]))
     q = quant.select("*", plan.alias("_p")).where(F.col("_p.k") == F.col("k")).select(
         *quant.columns, F.col("_p.eval_set").alias("eval_set"), F.col("_p.start").alias("start"))
-    q = q.where(F.col("n_rows") >= F.col("start") + min_eval).join(starts, [*own, "start"])
-    later = F.col("_t").isNull() | (F.struct(F.col(time), F.col(id_col)) > F.struct(F.col("_t"), F.col("_i")))
-    hit = F.col("inf_flag") | (F.col("s") <= F.col("qhat"))
-    ev = test.join(q, own).where(later)
-    return ev.groupBy(*split, "eval_set", group, "k", "variant", "n_cal", "inf_flag").agg(
-        F.count(F.lit(1)).alias("n_eval"), F.avg(hit.cast("double")).alias("coverage"))
+    q = settle(q.where(F.col("n_rows") >= F.col("start") + min_eval))
+    # rows after the k-th that are covered: those of the whole group less those among its first k
+    upto = counts_at_cuts(test, q.where("not inf_flag").select(*own, F.col("qhat").alias("s")), own, "s")
+    loc = first.groupBy(*own).agg(F.collect_list(F.struct("rk", "s")).alias("loc"))  # at most max(ks) entries
+    ev = q.join(upto.withColumnRenamed("s", "qhat"), [*own, "qhat"], "left").join(loc, own, "left")
+    early = F.size(F.filter("loc", lambda e: (e["rk"] <= F.col("start")) & (e["s"] <= F.col("qhat"))))
+    n_eval = F.col("n_rows") - F.col("start")
+    hits = F.when(F.col("inf_flag"), n_eval).otherwise(F.col("upto") - early)
+    return ev.select(*split, "eval_set", group, "k", "variant", "n_cal", "inf_flag", n_eval.alias("n_eval"), (hits / n_eval).alias("coverage"))
+
+
+def counts_at_cuts(rows: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """For each cut the number of rows of its key at or below it: ``by``, ``value``, upto.
+
+    Rows and cuts form one ordered stream with running counts, so a row is met once however many cuts there are. Rows of
+    one value are counted first, and a large key is dealt over several tasks.
+    """
+    scores = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).withColumn("cut", F.lit(False))
+    marks = cuts.select(*by, value).distinct().withColumn("c", F.lit(0).cast("long")).withColumn("cut", F.lit(True))
+    stream = scores.unionByName(marks).groupBy(*by, value).agg(F.sum("c").alias("c"), F.max("cut").alias("cut"))
+    return running_total(stream, by, [value], {"upto": "c"}).where("cut").select(*by, value, "upto")
 
 
 def _quantiles(pooled, first, groups, split, group, ks, alpha):

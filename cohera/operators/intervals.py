@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cohera.functions.numeric import INF, RANK_TOL, conformal_rank
+from cohera.functions.numeric import INF, conformal_rank
+from cohera.operators.cvplus import cv_plus  # noqa: F401
 from cohera.operators.selection import order_statistics
 
 ALPHAS = (0.05, 0.1, 0.2)
@@ -74,66 +72,6 @@ def gaussian_halfwidth(oof: DataFrame, keys: list[str], alphas: tuple[float, ...
     )
 
 
-ROWS_PER_BLOCK = 100_000  # test rows of one split that meet its residuals in one task
-
-
-def _kth_shifted(mu: np.ndarray, res: list[np.ndarray], k: int) -> np.ndarray:
-    """k-th smallest of {mu[f] + r : r in res[f]} for each row of ``mu``, by bisection on counts over sorted residuals."""
-    lo = np.min([mu[:, f] + r[0] for f, r in enumerate(res) if len(r)], axis=0) - 1.0
-    hi = np.max([mu[:, f] + r[-1] for f, r in enumerate(res) if len(r)], axis=0)
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        enough = sum(np.searchsorted(r, mid - mu[:, f], "right") for f, r in enumerate(res)) >= k
-        lo, hi = np.where(enough, lo, mid), np.where(enough, mid, hi)
-    best = np.full(len(mu), np.inf)  # the first value above lo
-    for f, r in enumerate(res):
-        at = np.searchsorted(r, lo - mu[:, f], "right")
-        best = np.minimum(best, np.where(at < len(r), mu[:, f] + r[np.minimum(at, len(r) - 1)], np.inf) if len(r) else np.inf)
-    return best
-
-
-def cv_plus(
-    residuals: DataFrame, test: DataFrame, split: list[str], alphas: tuple[float, ...] = ALPHAS
-) -> DataFrame:
-    """CV+ intervals for every test row and level.
-
-    ``residuals``: split columns, ``fold``, ``r`` (one per held-out unit). ``test``: split columns, payload and ``mu``,
-    an array of the K fold-model predictions. The bounds are order statistics of {mu[fold] -/+ r}. The test rows of a
-    split are cut into blocks of bounded size; a block meets the residuals of its split (8 bytes per unit) and finds
-    all its bounds by bisection on counts, so the work per row grows with the logarithm of the number of units.
-    """
-    n_max = test.groupBy(*split).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    blocks = max(1, math.ceil(n_max / ROWS_PER_BLOCK))
-    salted = test.withColumn("_blk", F.pmod(F.xxhash64(*[c for c in test.columns if c != "mu"]), F.lit(blocks)).cast("int"))
-    res = residuals.select(*[F.col(c).alias(c) for c in [*split, "fold", "r"]]).withColumn(
-        "_blk", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
-    keep = list(test.columns)
-    out = T.StructType(
-        [*test.schema.fields, T.StructField("n_cal", T.LongType()), T.StructField("alpha", T.DoubleType()),
-         T.StructField("inf_flag", T.BooleanType()), T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({f.name: [] for f in out.fields})
-        n = len(right)
-        mu = np.stack(left["mu"].to_numpy()).astype(float)
-        folds = right["fold"].to_numpy()
-        by_fold = [np.sort(right["r"].to_numpy(float)[folds == f]) for f in range(mu.shape[1])]
-        parts = []
-        for a in alphas:
-            k_hi, k_lo = math.ceil((1 - a) * (n + 1) - RANK_TOL), math.floor(a * (n + 1) + RANK_TOL)
-            inf = k_hi > n or k_lo < 1
-            part = left[keep].copy()
-            part["n_cal"], part["alpha"], part["inf_flag"] = n, a, inf
-            part["lower"] = -np.inf if inf else -_kth_shifted(-mu, by_fold, n + 1 - k_lo)
-            part["upper"] = np.inf if inf else _kth_shifted(mu, by_fold, k_hi)
-            parts.append(part)
-        return pd.concat(parts, ignore_index=True)
-
-    key = [*split, "_blk"]
-    return salted.groupBy(*key).cogroup(res.groupBy(*key)).applyInPandas(block, out)
-
-
 def cv_plus_bound(n: Column, k: Column, alpha: Column) -> Column:
     """Worst-case coverage of CV+ with n units and k folds."""
     first = F.lit(2.0) * (F.lit(1.0) - F.lit(1.0) / k) / (n / k + F.lit(1.0))

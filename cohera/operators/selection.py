@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohera.session import settle_parameters
+from cohera.session import settle, settle_parameters
 
 ACCURACY = 10_000  # sketch rank error is at most n / ACCURACY
 PIECES = 1024  # equal value ranges that a bracket is cut into
@@ -123,25 +123,29 @@ def first_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: in
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def cumulative(df: DataFrame, split: list[str], value: str, amount: Column, buckets: int = 128) -> DataFrame:
-    """Running total of ``amount`` in value order per split, ties taken together.
+def running_total(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
+    """``df`` with running totals (new column -> summed column) in ``order`` within ``keys``.
 
-    Equal values are added first; sketch edges cut the distinct values into buckets, bucket totals give the offsets,
-    and only the rows of one bucket meet in a window. Output: split, value, ``amount``, ``upto``, ``total``.
+    Rows are dealt by ranges of (keys, order), so a large key lies in several tasks; a task sums its own rows, and one row
+    per task and key gives what came before. Rows equal in keys and order come in any order.
     """
-    by = split or ["_all"]
-    base = df if split else df.withColumn("_all", F.lit(1))
-    v = base.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(amount).alias("amount"))
-    edges = v.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], ACCURACY).alias("_e")
-    )
-    b = v.join(edges, by).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
-    sums = b.groupBy(*by, "_b").agg(F.sum("amount").alias("_s"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(
-        *by, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
-        F.sum("_s").over(Window.partitionBy(*by)).alias("total"),
-    )
-    local = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = b.withColumn("_local", F.sum("amount").over(local)).join(offs, [*by, "_b"])
-    return out.select(*split, value, "amount", (F.col("_before") + F.col("_local")).alias("upto"), "total")
+    dealt = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    by = ["_part", *keys]
+    sums = dealt.groupBy(*by).agg(*[F.sum(c).alias(f"_b_{name}") for name, c in amounts.items()])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in amounts])
+    offsets = settle_parameters(offsets)
+    local = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    return rows.join(offsets, same).select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in amounts])
+
+
+def cumulative(df: DataFrame, split: list[str], value: str, amount: Column) -> DataFrame:
+    """Running total of ``amount`` in value order per split, ties taken together: split, value, ``amount``, ``upto``, ``total``."""
+    v = df.where(F.col(value).isNotNull()).groupBy(*split, value).agg(F.sum(amount).alias("amount"))
+    out = running_total(v, split, [value], {"upto": "amount"})
+    if not split:
+        return out.crossJoin(out.agg(F.max("upto").alias("total")))  # one row
+    total = settle_parameters(out.groupBy(*split).agg(F.max("upto").alias("total")))
+    return out.join(total, split)

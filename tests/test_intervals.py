@@ -81,6 +81,63 @@ def test_cv_plus_against_numpy(spark):
     assert I.cv_plus(few, t, ["s"], (alpha,)).where("not inf_flag").count() == 0
 
 
+@pytest.mark.parametrize("cell", [1, 3, 1000])
+def test_cv_plus_over_small_cells(spark, cell):
+    """Ties, folds of very different spread and size, an empty fold, rows with equal predictions, two splits."""
+    from cohera.operators import cvplus
+
+    rng = np.random.default_rng(4)
+    frames, mus = [], []
+    for s, n in ((0, 300), (1, 57)):
+        fold = rng.choice([0, 1, 2, 4], n, p=[0.5, 0.2, 0.2, 0.1])
+        res = np.round(rng.exponential(1, n) * np.array([0.1, 1, 10, 3, 1])[fold], 1)
+        mu = np.round(rng.normal(0, 2, (40, 5)), 1)
+        mu[:15] = mu[0]
+        frames.append(pd.DataFrame({"s": s, "fold": fold, "r": res}))
+        mus.append(mu)
+    r = spark.createDataFrame(pd.concat(frames)).repartition(5)
+    t = spark.createDataFrame([(s, j, m.tolist()) for s, mu in enumerate(mus) for j, m in enumerate(mu)], "s long, j int, mu array<double>")
+    got = cvplus.cv_plus(r, t, ["s"], (0.05, 0.2), cell).toPandas()
+    assert len(got) == 160
+    for s, mu in enumerate(mus):
+        fold, res = frames[s]["fold"].to_numpy(), frames[s]["r"].to_numpy()
+        for alpha in (0.05, 0.2):
+            hi, lo = math.ceil((1 - alpha) * (len(res) + 1) - 1e-9), math.floor(alpha * (len(res) + 1) + 1e-9)
+            rows = got[(got.s == s) & (got.alpha == alpha)].sort_values("j")
+            assert np.allclose(rows.lower, np.sort(mu[:, fold] - res, axis=1)[:, lo - 1], atol=1e-12)
+            assert np.allclose(rows.upper, np.sort(mu[:, fold] + res, axis=1)[:, hi - 1], atol=1e-12)
+    cells = cvplus.residual_cells(r, ["s"], 10)
+    assert cells.agg(F.max(F.size("values"))).first()[0] <= 10 and cells.agg(F.sum("n")).first()[0] == 357
+    cells = cvplus.residual_cells(r, ["s"], 2)
+    needs = cvplus.asked_cells(cells, t.where("j = 0"), ["s"], (0.2,))
+    assert needs.count() < 0.6 * 2 * cells.count()
+
+
+def test_local_budget_against_loops(spark):
+    from cohera.operators.budget import counts_at_cuts, local_budget
+
+    rng = np.random.default_rng(12)
+    pool = {s: np.round(rng.exponential(1, 40), 1) for s in (0, 1)}
+    rows = [(s, g, i, int(rng.integers(0, 30)), float(np.round(rng.exponential(1 + g % 3), 1))) for s in (0, 1) for g in range(6) for i in range([3, 9, 14, 40, 70, 6][g])]
+    p = spark.createDataFrame([(s, float(v)) for s, x in pool.items() for v in x], "seed int, s double")
+    t = spark.createDataFrame(rows, "seed int, g int, id int, at int, s double").repartition(4)
+    got = {(r.seed, r.eval_set, r.g, r.k, r.variant): (r.n_cal, r.inf_flag, r.n_eval, r.coverage) for r in local_budget(p, t, ["seed"], "g", "id", "at", [0, 1, 4, 12], 0.1).collect()}
+    want = {}
+    for s in (0, 1):
+        for g in range(6):
+            own = [r[4] for r in sorted((r for r in rows if r[:2] == (s, g)), key=lambda r: (r[3], r[2]))]
+            for k in (0, 1, 4, 12):
+                for name, scores in {"global": [*pool[s]], "augment": [*pool[s], *own[:k]], "local": own[:k], "hybrid": [*pool[s], *own[:k]] if k < 9 else own[:k]}.items():
+                    rank = math.ceil(0.9 * (len(scores) + 1) - 1e-9)
+                    q = np.inf if rank > len(scores) else sorted(scores)[rank - 1]
+                    for kind, start in (("common", 12), ("per_k", k)):
+                        if len(own) >= start + 5 and len(own) >= k:
+                            want[s, kind, g, k, name] = (len(scores), bool(np.isinf(q)), len(own) - start, pytest.approx(np.mean([v <= q for v in own[start:]])))
+    assert got == want
+    cuts = spark.createDataFrame([(s, c) for s in (0, 1) for c in (0.5, 1.0, 9.9)], "seed int, s double")
+    assert {(r.seed, r.s): r.upto for r in counts_at_cuts(t, cuts, ["seed"], "s").collect()} == {(s, c): sum(r[0] == s and r[4] <= c for r in rows) for s in (0, 1) for c in (0.5, 1.0, 9.9)}
+
+
 def test_one_row_per_group_is_valid_where_pooling_is_not(spark):
     """Groups share an effect; a few groups are large. Repeated calibration / test draws over groups."""
     rng = np.random.default_rng(11)

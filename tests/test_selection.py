@@ -55,7 +55,7 @@ def test_infinite_values_rank_last(spark):
 def test_running_total_matches_pandas(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 4000, p=[0.9, 0.1]), "v": rng.integers(0, 900, 4000)})
-    got = S.cumulative(spark.createDataFrame(pdf), ["g"], "v", F.lit(1), buckets=16).toPandas()
+    got = S.cumulative(spark.createDataFrame(pdf), ["g"], "v", F.lit(1)).toPandas()
     for g, part in got.groupby("g"):
         part = part.sort_values("v")
         want = pdf[pdf.g == g].groupby("v").size().cumsum()
@@ -70,3 +70,17 @@ def test_one_row_per_group_ignores_order_and_partitions(spark):
     b = sample_one_per_group(spark.createDataFrame(pdf.sample(frac=1, random_state=3)).repartition(5), ["seed"], "g", "id", ["id"]).toPandas()
     assert sorted(a.g) == ["a", "b", "c"]
     assert a.sort_values("g").id.tolist() == b.sort_values("g").id.tolist()
+
+
+def test_running_totals_over_many_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 7 == 0 else int(g), int(v), int(a)) for i, (g, v, a) in enumerate(zip(rng.integers(0, 2, 300), rng.permutation(300), rng.integers(-5, 9, 300)))]
+    df = spark.createDataFrame(rows, "g int, v int, a int").repartition(5)
+    got = {(r.g, r.v): (r.t, r.n) for r in S.running_total(df.withColumn("one", F.lit(1)), ["g"], ["v"], {"t": "a", "n": "one"}).collect()}
+    want, sums = {}, {}
+    for g, v, a in sorted(rows, key=lambda r: r[1]):
+        t, n = sums.get(g, (0, 0))
+        want[g, v] = sums[g] = (t + a, n + 1)
+    assert got == want
+    total = S.running_total(df, [], ["v"], {"t": "a"}).where("v = 299").first().t
+    assert total == sum(a for _, _, a in rows)
