@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohera.functions import numeric as N
-from cohera.operators import evaluate as E, intervals as I, models as M, splits as T
+from cohera.operators import crossfit as C, evaluate as E, intervals as I, models as M, splits as T
 from cohera.plans import data as d
 from cohera.plans.base import part, query, rnd, rounded, sql
 from cohera.plans.data import ALPHAS, SPLIT2, alpha_rel, h, r, rank_sql
 from cohera.plans.q_splits import draws
-from cohera.session import settle_parameters
+from cohera.session import settle, settle_parameters
 
 K = 5  # folds of the out-of-fold models
 FEATURES = ["k", "hr"]
@@ -32,7 +32,7 @@ def folded_moments(j, basis, by_split=SPLIT2):
 @query("model_ridge__M2")
 def model_ridge(spark, sf):
     j = pair(spark, sf)
-    basis = [F.log10(F.col("k") + 1.0), F.log10(F.col("hr") + 1.0), F.col("k") / 100.0]
+    basis = ridge_basis()
     fit = settle_parameters(M.fit_ridge(folded_moments(j, basis), SPLIT2, len(basis)))
     scored = j.where("role='test'").join(fit, SPLIT2)
     return scored.select(*SPLIT2, "id", "penalty", M.linear_prediction(F.col("coef"), basis).alias("pred"))
@@ -143,14 +143,25 @@ def model_leaf_quantiles(spark, sf):
     return q.select("id", "qlo", "qhi")
 
 
-def oof_median(j):
-    """Out-of-fold constant model: each training row gets the median of the other folds."""
+def ridge_basis():
+    return [F.log10(F.col("k") + 1.0), F.log10(F.col("hr") + 1.0), F.col("k") / 100.0]
+
+
+def fold_models() -> dict[str, C.FoldModel]:
+    """Models with fold fits: the constant one, the log-ratio line, ridge on the numeric columns."""
+    return {"const": C.constant(digits=9), "ratio": C.linear([F.col("x")], F.col("x").isNotNull(), "grp"), "ridge": C.ridge(ridge_basis(), F.lit(True), "grp")}
+
+
+def oof(j, model):
+    """Training rows with their unit fold (``own``) and the out-of-fold prediction of one model."""
     tr = j.where("role='train'")
-    folds = T.unit_folds(tr, SPLIT2, "grp", K)
+    folds = settle_parameters(T.unit_folds(tr, SPLIT2, "grp", K))
     rows = tr.join(folds.withColumnRenamed("fold", "own"), [*SPLIT2, "grp"])
-    others = rows.withColumn("left", F.explode(F.array(*[F.lit(i) for i in range(K)]))).where(F.col("left") != F.col("own"))
-    med = settle_parameters(M.fit_median(others, [*SPLIT2, "left"]).withColumnRenamed("left", "own"))
-    return rows.join(med.withColumn("pred_oof", F.round("pred", 9)).drop("pred"), [*SPLIT2, "own"])
+    return C.out_of_fold(model, C.cross_fit(model, rows, SPLIT2, "own", K), rows, SPLIT2, "own")
+
+
+def oof_median(j):
+    return oof(j, C.constant(digits=9))
 
 
 part(
@@ -162,10 +173,33 @@ SELECT t.*, pred_oof FROM t JOIN m USING (protocol, seed, own)""",
 )
 
 
-@query("model_out_of_fold__M11", sql(f"SELECT protocol, seed, own, count(*) AS n, {r('min(pred_oof)', 10)} AS pred FROM oof GROUP BY ALL", "oof"))
+part(
+    "oof_ratio",
+    f"""WITH f AS (SELECT protocol, seed, l AS own, regr_slope(y,x) AS b, regr_intercept(y,x) AS a, quantile_cont(y,0.5) AS m FROM oof t JOIN (SELECT unnest(range({K}))::INTEGER AS l) ON l<>t.own GROUP BY ALL)
+SELECT t.*, CASE WHEN x IS NULL THEN m ELSE a+b*x END AS pred_ratio FROM oof t JOIN f USING (protocol, seed, own)""",
+    "oof",
+)
+
+
+@query(
+    "model_out_of_fold__M11",
+    sql(f"SELECT protocol, seed, own, 'const' AS model, count(*) AS n, {r('avg(pred_oof)', 7)} AS pred, {r('avg(abs(y-pred_oof))', 7)} AS gap FROM oof GROUP BY ALL "
+        f"UNION ALL SELECT protocol, seed, own, 'ratio', count(*), {r('avg(pred_ratio)', 7)}, {r('avg(abs(y-pred_ratio))', 7)} FROM oof_ratio GROUP BY ALL", "oof", "oof_ratio"),
+)
 def model_out_of_fold(spark, sf):
-    o = oof_median(d.job(spark, sf))
-    return o.groupBy(*SPLIT2, "own").agg(F.count(F.lit(1)).alias("n"), rnd(F.min("pred_oof"), 10).alias("pred"))
+    j, out = settle(d.job(spark, sf)), None
+    for name in ("const", "ratio"):
+        o = oof(j, fold_models()[name]).groupBy(*SPLIT2, "own").agg(
+            F.count(F.lit(1)).alias("n"), rnd(F.avg("pred_oof"), 7).alias("pred"), rnd(F.avg(F.abs(F.col("y") - F.col("pred_oof"))), 7).alias("gap"))
+        o = o.withColumn("model", F.lit(name))
+        out = o if out is None else out.unionByName(o)
+    return out
+
+
+@query("model_out_of_fold_ridge__M11r")
+def model_out_of_fold_ridge(spark, sf):
+    """Ridge has no SQL twin (its penalty is chosen by inner cross-validation); see tests/test_crossfit.py."""
+    return oof(d.job(spark, sf), fold_models()["ridge"]).select(*SPLIT2, "id", "own", "pred_oof")
 
 
 # CV+ pool: train and calibration groups, folds of equal unit counts, one residual per group
@@ -190,27 +224,44 @@ part(
 )
 
 
-def cv_plus_parts(j):
+part(
+    "cvp_line",
+    f"""SELECT protocol, seed, l AS fold_id, regr_slope(y,x) AS b, regr_intercept(y,x) AS a, quantile_cont(y,0.5) AS m
+FROM cvp_pool p JOIN (SELECT unnest(range({CVK}))::INTEGER AS l) ON l<>p.fold_id GROUP BY ALL""",
+    "cvp_pool",
+)
+
+
+def cv_plus_rows(j):
+    """Rows of the CV+ pool with their fold: all groups not in the test set, in folds of equal unit counts."""
     pool = j.where("role <> 'test'")
-    folds = T.unit_folds(pool, SPLIT2, "grp", CVK, purpose="cvplus", exact=True)
-    rows = pool.join(folds.withColumnRenamed("fold", "fold_id"), [*SPLIT2, "grp"])
-    others = rows.withColumn("left", F.explode(F.array(*[F.lit(i) for i in range(CVK)]))).where(F.col("left") != F.col("fold_id"))
-    mu = settle_parameters(M.fit_median(others, [*SPLIT2, "left"]).select(*SPLIT2, F.col("left").alias("fold_id"), F.round("pred", 9).alias("mu")))
-    one = T.sample_one_per_group(rows, SPLIT2, "grp", "id", ["y", "fold_id"], purpose="cvsub")
-    res = one.join(mu, [*SPLIT2, "fold_id"]).select(*SPLIT2, F.col("fold_id").alias("fold"), F.abs(F.col("y") - F.col("mu")).alias("r"))
-    arr = mu.groupBy(*SPLIT2).agg(F.transform(F.sort_array(F.collect_list(F.struct("fold_id", "mu"))), lambda e: e["mu"]).alias("mu"))  # K entries
-    return res, j.where("role='test'").join(arr, SPLIT2)
+    folds = settle_parameters(T.unit_folds(pool, SPLIT2, "grp", CVK, purpose="cvplus", exact=True))
+    return pool.join(folds.withColumnRenamed("fold", "fold_id"), [*SPLIT2, "grp"])
+
+
+def cv_plus_parts(j, model=None):
+    """Residuals, one per group of the pool, and the test rows with the fold predictions of a model."""
+    model, rows = model or C.constant(digits=9), cv_plus_rows(j)
+    params = C.cross_fit(model, rows, SPLIT2, "fold_id", CVK)
+    one = T.sample_one_per_group(rows, SPLIT2, "grp", "id", ["y", "x", "k", "hr", "fold_id"], purpose="cvsub")
+    res = C.out_of_fold(model, params, one, SPLIT2, "fold_id").select(*SPLIT2, F.col("fold_id").alias("fold"), F.abs(F.col("y") - F.col("pred_oof")).alias("r"))
+    return res, C.fold_predictions(model, params, j.where("role='test'"), SPLIT2, "fold_id")
 
 
 @query(
     "model_fold_predictions__M12",
-    sql(f"SELECT protocol, seed, id, {r('list_sum(list_transform(m, lambda v: v))', 9)} AS mu_sum, len(m)::INTEGER AS folds FROM job JOIN (SELECT protocol, seed, list(mu ORDER BY fold_id) AS m "
-        "FROM cvp_mu GROUP BY ALL) USING (protocol, seed) WHERE role='test'", "cvp_mu"),
+    sql(f"SELECT protocol, seed, id, 'const' AS model, {r('list_sum(list_transform(m, lambda v: v))', 9)} AS mu_sum, len(m)::INTEGER AS folds FROM job JOIN (SELECT protocol, seed, list(mu ORDER BY fold_id) AS m "
+        "FROM cvp_mu GROUP BY ALL) USING (protocol, seed) WHERE role='test' UNION ALL "
+        f"SELECT protocol, seed, id, 'ratio', {r('sum(CASE WHEN x IS NULL THEN m ELSE a+b*x END)', 6)}, count(*)::INTEGER FROM job JOIN cvp_line USING (protocol, seed) WHERE role='test' GROUP BY ALL", "cvp_mu", "cvp_line", "job"),
 )
 def model_fold_predictions(spark, sf):
-    _, test = cv_plus_parts(d.job(spark, sf))
-    total = F.aggregate("mu", F.lit(0.0), lambda a, b: a + b)
-    return test.select(*SPLIT2, "id", rnd(total, 9).alias("mu_sum"), F.size("mu").alias("folds"))
+    j, out = settle(d.job(spark, sf)), None
+    for name, digits in (("const", 9), ("ratio", 6)):
+        _, test = cv_plus_parts(j, fold_models()[name])
+        total = F.aggregate("mu", F.lit(0.0), lambda a, b: a + b)
+        part_ = test.select(*SPLIT2, "id", F.lit(name).alias("model"), rnd(total, digits).alias("mu_sum"), F.size("mu").alias("folds"))
+        out = part_ if out is None else out.unionByName(part_)
+    return out
 
 
 def mixtures(spark, sf):
