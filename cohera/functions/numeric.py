@@ -58,12 +58,16 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
 
 
+# Fixed values of the series.
+NORMAL_P = 0.3275911
+NORMAL_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function (Abramowitz and Stegun 7.1.26, error below 7.5e-8)."""
-    p = 0.3275911
-    a1, a2, a3, a4, a5 = 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429  # fixed values
+    a1, a2, a3, a4, a5 = NORMAL_A
     z = F.abs(x) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(p) * z)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(NORMAL_P) * z)
     poly = ((((F.lit(a5) * t + F.lit(a4)) * t + F.lit(a3)) * t + F.lit(a2)) * t + F.lit(a1)) * t
     erf = F.lit(1.0) - poly * F.exp(-z * z)
     return F.lit(0.5) * (F.lit(1.0) + F.signum(x) * erf)

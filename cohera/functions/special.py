@@ -108,3 +108,23 @@ def beta_quantile_udf(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def nct_sf_udf(t: pd.Series, df: pd.Series, nc: pd.Series) -> pd.Series:
     return pd.Series(nct_sf(t, df, nc))
+
+
+def normal_quantile(p, rounds: int = 70):
+    """Inverse of :func:`cohera.functions.numeric.normal_cdf`, the same series, by bisection; infinite at 0 and 1."""
+    from cohera.functions.numeric import NORMAL_A, NORMAL_P
+
+    p = np.asarray(p, float)
+    lo, hi = np.full(p.shape, -9.0), np.full(p.shape, 9.0)
+    for _ in range(rounds):
+        mid = (lo + hi) / 2
+        t = 1.0 / (1.0 + NORMAL_P * np.abs(mid) / math.sqrt(2.0))
+        erf = 1.0 - sum(a * t ** (i + 1) for i, a in enumerate(NORMAL_A)) * np.exp(-mid * mid / 2.0)
+        low = 0.5 * (1.0 + np.sign(mid) * erf) < p
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, hi))
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_quantile_udf(p: pd.Series) -> pd.Series:
+    return pd.Series(normal_quantile(p.fillna(0.5))).where(p.notna().reset_index(drop=True))

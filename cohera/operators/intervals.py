@@ -6,9 +6,11 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohera.functions.numeric import INF, conformal_rank
+from cohera.functions.numeric import INF, RANK_TOL, conformal_rank, normal_cdf
+from cohera.functions.special import normal_quantile_udf
 from cohera.operators.cvplus import cv_plus  # noqa: F401
 from cohera.operators.selection import order_statistics
+from cohera.session import settle_parameters
 
 ALPHAS = (0.05, 0.1, 0.2)
 
@@ -79,31 +81,45 @@ def cv_plus_bound(n: Column, k: Column, alpha: Column) -> Column:
     return F.lit(1.0) - F.lit(2.0) * alpha - F.least(first, second)
 
 
-def recalibration_levels(pit: DataFrame, keys: list[str], levels: list[float], bins: int = 100) -> DataFrame:
+def recalibration_levels(pit: DataFrame, keys: list[str], levels: list[float]) -> DataFrame:
     """Quantile recalibration: for each wanted level, the nominal level whose observed share equals it.
 
-    The observed share at nominal level j / bins is the share of rows with PIT at or below it, a cumulative histogram
-    (monotone by construction, so the isotonic fit is itself); the inverse is read off by linear interpolation.
-    ``pit``: keys and ``pit`` in [0, 1]. Output: keys, level, recal.
+    The observed share at nominal level t is the share of rows with PIT at or below t. It rises at the distinct PIT
+    values only, so it is inverted exactly there, with straight lines between them and from (0, 0): the wanted rank is an
+    exact order statistic v, and one more pass counts the rows at and below it and finds the value before it.
+    ``pit``: keys and ``pit`` in [0, 1], missing values ignored. Output: keys, level, recal.
     """
-    b = F.ceil(F.col("pit") * F.lit(float(bins))).cast("int")
-    counts = pit.select(*keys, F.least(F.greatest(b, F.lit(0)), F.lit(bins)).alias("b")).groupBy(*keys, "b").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    per = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("h"))
-    steps = F.sequence(F.lit(0), F.lit(bins))
-    share = F.transform(
-        steps,
-        lambda j: F.aggregate(F.sequence(F.lit(0), j), F.lit(0.0), lambda s, i: s + F.coalesce(F.try_element_at("h", i), F.lit(0)))
-        / F.col("n"),
-    )
-    curve = per.select(*keys, share.alias("obs"), F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    at = F.size(F.filter("obs", lambda o: o < F.col("level")))  # first index with obs >= level
-    o1 = F.get("obs", at)
-    o0 = F.when(at > 0, F.get("obs", at - 1)).otherwise(F.lit(0.0))
-    frac = F.when(o1 > o0, (F.col("level") - o0) / (o1 - o0)).otherwise(F.lit(0.0))
-    recal = F.when(at == 0, F.lit(0.0)).otherwise((at - 1 + frac) / F.lit(float(bins)))
-    return curve.select(*keys, "level", recal.alias("recal"))
+    ranks = {f"_v{i}": (lambda n, p=p: F.greatest(F.lit(1), F.ceil(n * p - RANK_TOL))) for i, p in enumerate(levels)}
+    at = settle_parameters(order_statistics(pit, keys, "pit", ranks, levels))
+    rows, found = pit.where("pit is not null").join(at, keys), []
+    for i in range(len(levels)):
+        v = F.col(f"_v{i}")
+        found += [F.count_if(F.col("pit") <= v).alias(f"_le{i}"), F.count_if(F.col("pit") < v).alias(f"_lt{i}"), F.max(F.when(F.col("pit") < v, F.col("pit"))).alias(f"_b{i}")]
+    got = rows.groupBy(*keys, "n", *ranks).agg(*found)
+
+    def recal(i: int, level: float) -> Column:
+        before, below = F.coalesce(F.col(f"_b{i}"), F.lit(0.0)), F.col(f"_lt{i}")
+        share = F.greatest(F.lit(level) * F.col("n") - below, F.lit(0.0)) / (F.col(f"_le{i}") - below)
+        return before + F.least(share, F.lit(1.0)) * (F.col(f"_v{i}") - before)
+
+    each = F.array(*[F.struct(F.lit(float(p)).alias("level"), recal(i, p).alias("recal")) for i, p in enumerate(levels)])
+    return got.select(*keys, F.inline(each))
+
+
+def recalibrated_intervals(fit: DataFrame, test: DataFrame, keys: list[str], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """Gaussian intervals with recalibrated levels: ``test`` with alpha, level_lo, level_hi, lower, upper.
+
+    ``fit`` and ``test``: keys, ``mean``, ``sd``; ``fit`` also ``y``, on rows that the model has not seen.
+    """
+    pit = fit.select(*keys, normal_cdf((F.col("y") - F.col("mean")) / F.col("sd")).alias("pit"))
+    levels = sorted({p for a in alphas for p in (a / 2, 1 - a / 2)})
+    by = settle_parameters(recalibration_levels(pit, keys, levels).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("level") == p, F.col("recal"))).alias(f"_r{i}") for i, p in enumerate(levels)]))
+    ends = F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_r{levels.index(a / 2)}").alias("level_lo"), F.col(f"_r{levels.index(1 - a / 2)}").alias("level_hi")) for a in alphas])
+    ends = by.select(*keys, F.inline(ends))
+    ends = settle_parameters(ends.withColumn("_zl", normal_quantile_udf("level_lo")).withColumn("_zh", normal_quantile_udf("level_hi")))
+    side = lambda z: F.col("mean") + F.col("sd") * F.col(z)
+    return test.join(ends, keys).withColumn("lower", side("_zl")).withColumn("upper", side("_zh")).drop("_zl", "_zh")
 
 
 def calibration_record(scheme: str, scores: DataFrame, keys: list[str], group: str, folds: int | None = None) -> DataFrame:

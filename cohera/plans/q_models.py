@@ -376,19 +376,66 @@ def interval_gaussian(spark, sf):
     return g.select(*SPLIT2, "alpha", "n_cal", rnd("qhat", 7).alias("qhat"))
 
 
-@query("interval_recalibrated__I7")
+def _cdf_sql(x):
+    """The normal distribution function of :func:`cohera.functions.numeric.normal_cdf` as SQL."""
+    t = f"(1.0::DOUBLE/(1.0::DOUBLE+0.3275911::DOUBLE*abs({x})/sqrt(2.0::DOUBLE)))"
+    poly = f"(((((1.061405429::DOUBLE*{t}-1.453152027::DOUBLE)*{t}+1.421413741::DOUBLE)*{t}-0.284496736::DOUBLE)*{t}+0.254829592::DOUBLE)*{t})"
+    return f"(0.5::DOUBLE*(1.0::DOUBLE+sign({x})*(1.0::DOUBLE-{poly}*exp(-({x})*({x})/2.0::DOUBLE))))"
+
+
+RECAL_LEVELS = sorted({p for a in ALPHAS for p in (a / 2, 1 - a / 2)})
+part(
+    "recal_rows",
+    f"""WITH held AS (SELECT protocol, seed, id FROM (SELECT *, row_number() OVER (PARTITION BY protocol, seed ORDER BY {h("'holdout'", 'protocol', 'seed', 'id')}, id) AS rk,
+count(*) OVER (PARTITION BY protocol, seed) AS n FROM job WHERE role='train') WHERE rk <= round_even(0.2*n,0)),
+rs AS (SELECT 'cal' AS scheme, * FROM job UNION ALL SELECT 'train20', * REPLACE (CASE WHEN (protocol, seed, id) IN (SELECT (protocol, seed, id) FROM held) THEN 'held' ELSE role END AS role) FROM job WHERE role<>'cal'),
+f AS (SELECT scheme, protocol, seed, quantile_cont(y,0.5) AS med, regr_slope(y,x) AS b, regr_intercept(y,x) AS a FROM rs WHERE role='train' GROUP BY ALL),
+m AS (SELECT rs.*, CASE WHEN x IS NULL THEN round(med,9) ELSE round(a+b*x,9) END AS mean FROM rs JOIN f USING (scheme, protocol, seed)),
+v AS (SELECT scheme, protocol, seed, stddev_samp(y-mean) AS sd FROM m WHERE role='train' GROUP BY ALL)
+SELECT scheme, protocol, seed, role, id, {_cdf_sql('((y-mean)/sd)')} AS pit FROM m JOIN v USING (scheme, protocol, seed) WHERE role<>'train'""",
+    "job",
+)
+part(
+    "recal_levels",
+    f"""WITH p AS (SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION BY scheme, protocol, seed) AS n FROM recal_rows WHERE role<>'test' WINDOW w AS (PARTITION BY scheme, protocol, seed ORDER BY pit)),
+v AS (SELECT scheme, protocol, seed, level, n, pit AS v FROM p, (SELECT unnest({RECAL_LEVELS}::DOUBLE[]) AS level) WHERE rk = greatest(1, ceil(n*level-1e-9)))
+SELECT scheme, protocol, seed, level, coalesce(max(CASE WHEN pit<v THEN pit END),0.0::DOUBLE) AS t0, count(*) FILTER (pit<v) AS lt, count(*) FILTER (pit<=v) AS le, max(v.n) AS n, max(v) AS v,
+coalesce(max(CASE WHEN pit<v THEN pit END),0.0::DOUBLE)+least(greatest(level*max(v.n)-count(*) FILTER (pit<v),0)/(count(*) FILTER (pit<=v)-count(*) FILTER (pit<v)),1.0::DOUBLE)*(max(v)-coalesce(max(CASE WHEN pit<v THEN pit END),0.0::DOUBLE)) AS recal
+FROM v JOIN p USING (scheme, protocol, seed) GROUP BY scheme, protocol, seed, level""",
+    "recal_rows",
+)
+
+
+def recalibration_rows(j):
+    """Rows of both schemes with mean and spread of a model that has not seen the rows of recalibration.
+
+    ``cal``: fitted on the training rows, recalibrated on the calibration rows. ``train20``: a random fifth of the training
+    rows is held out for recalibration and the model is fitted on the rest.
+    """
+    held = settle_parameters(T.random_holdout(j.where("role='train'"), SPLIT2, "id").where("held").select(*SPLIT2, "id", "held"))
+    rest = j.where("role <> 'cal'").join(held, [*SPLIT2, "id"], "left")
+    rest = rest.withColumn("role", F.when(F.col("held"), "held").otherwise(F.col("role"))).drop("held")
+    both = j.withColumn("scheme", F.lit("cal")).unionByName(rest.withColumn("scheme", F.lit("train20")))
+    by = ["scheme", *SPLIT2]
+    w = d.scored_wide(both, by, ("train", "cal", "held", "test")).withColumnRenamed("p_ratio", "mean")
+    sd = w.where("role='train'").groupBy(*by).agg(F.stddev_samp(F.col("y") - F.col("mean")).alias("sd"))
+    return w.where("role <> 'train'").join(settle_parameters(sd), by)
+
+
+@query(
+    "interval_recalibrated__I7",
+    sql(f"""WITH e AS (SELECT lo.scheme, lo.protocol, lo.seed, alpha, lo.recal AS level_lo, hi.recal AS level_hi FROM {alpha_rel()} JOIN recal_levels lo ON abs(lo.level-alpha/2)<1e-9 JOIN recal_levels hi
+ON abs(hi.level-(1-alpha/2))<1e-9 AND hi.scheme=lo.scheme AND hi.protocol=lo.protocol AND hi.seed=lo.seed)
+SELECT scheme, protocol, seed, alpha, {r('level_lo', 7)} AS level_lo, {r('level_hi', 7)} AS level_hi, count(*) AS n, {r('avg((pit BETWEEN level_lo AND level_hi)::INTEGER)', 6)} AS cov, count(*) FILTER (pit<level_lo) AS n_below
+FROM recal_rows JOIN e USING (scheme, protocol, seed) WHERE role='test' GROUP BY ALL""", "recal_rows", "recal_levels"),
+)
 def interval_recalibrated(spark, sf):
-    w = d.scored_wide(pair(spark, sf))
-    cal, test = w.where("role='cal'"), w.where("role='test'")
-    sd = settle_parameters(cal.groupBy(*SPLIT2).agg((F.stddev_samp(F.col("y") - F.col("p_ratio")) * 0.7).alias("sd")))
-    z = (F.col("y") - F.col("p_ratio")) / F.col("sd")
-    pit = cal.join(sd, SPLIT2).select(*SPLIT2, N.normal_cdf(z).alias("pit"))
-    lv = I.recalibration_levels(pit, SPLIT2, [0.05, 0.95])
-    wide = settle_parameters(lv.groupBy(*SPLIT2).agg(
-        F.max(F.when(F.col("level") < 0.5, F.col("recal"))).alias("lo"), F.max(F.when(F.col("level") > 0.5, F.col("recal"))).alias("hi")))
-    t = test.join(sd, SPLIT2).join(wide, SPLIT2)
-    p = N.normal_cdf((F.col("y") - F.col("p_ratio")) / F.col("sd"))
-    return t.groupBy(*SPLIT2, "lo", "hi").agg(F.avg(p.between(F.col("lo"), F.col("hi")).cast("double")).alias("cov"))
+    rows = settle(recalibration_rows(d.job(spark, sf)))
+    by = ["scheme", *SPLIT2]
+    iv = I.recalibrated_intervals(rows.where("role <> 'test'"), rows.where("role='test'"), by, ALPHAS)
+    return iv.groupBy(*by, "alpha", rnd("level_lo", 7).alias("level_lo"), rnd("level_hi", 7).alias("level_hi")).agg(
+        F.count(F.lit(1)).alias("n"), rnd(F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double")), 6).alias("cov"),
+        F.count_if(F.col("y") < F.col("lower")).alias("n_below"))
 
 
 @query(

@@ -138,6 +138,22 @@ def test_local_budget_against_loops(spark):
     assert {(r.seed, r.s): r.upto for r in counts_at_cuts(t, cuts, ["seed"], "s").collect()} == {(s, c): sum(r[0] == s and r[4] <= c for r in rows) for s in (0, 1) for c in (0.5, 1.0, 9.9)}
 
 
+@pytest.mark.parametrize("digits", [12, 1])
+def test_recalibration_inverts_the_curve(spark, digits):
+    """Against numpy interpolation through the distinct values; intervals cover as asked on the rows of the fit."""
+    rng = np.random.default_rng(5)
+    levels = [0.025, 0.1, 0.5, 0.9, 0.975]
+    pit = {s: np.round(rng.beta(0.5, 0.7, n), digits) for s, n in ((0, 500), (1, 7), (2, 1))}
+    df = spark.createDataFrame([(s, float(v)) for s, x in pit.items() for v in x] + [(0, None)], "s int, pit double").repartition(3)
+    for r in I.recalibration_levels(df, ["s"], levels).collect():
+        v, n = np.unique(pit[r.s], return_counts=True)
+        share = n.cumsum() / n.sum()
+        assert r.recal == pytest.approx(np.interp(r.level, np.append(0.0, share), np.append(0.0, v)), abs=1e-9)
+    fit = spark.createDataFrame([(0, float(y), 1.0, 2.0) for y in 1 + rng.standard_t(3, 4000)], "s int, y double, mean double, sd double")
+    iv = I.recalibrated_intervals(fit, fit, ["s"], (0.1, 0.2)).withColumn("c", F.col("y").between(F.col("lower"), F.col("upper")).cast("double"))
+    assert {r.alpha: round(r.c, 2) for r in iv.groupBy("alpha").agg(F.avg("c").alias("c")).collect()} == {0.1: 0.9, 0.2: 0.8}
+
+
 def test_one_row_per_group_is_valid_where_pooling_is_not(spark):
     """Groups share an effect; a few groups are large. Repeated calibration / test draws over groups."""
     rng = np.random.default_rng(11)
