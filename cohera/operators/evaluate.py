@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.keys import hash52
@@ -100,26 +102,78 @@ def interval_metrics(rows: DataFrame, keys: list[str], group: str, min_group_n:
     return out.join(pooled, keys)
 
 
-def cluster_bootstrap(groups: DataFrame, keys: list[str], group: str, b: int = 2000, seed: int = 0, level=0.95):
+BLOCK = 8_192  # groups of a key that meet in one task
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective mixer of 32-bit numbers (held in 64 bits)."""
+    low = np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x7FEB352D)) & low
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def _share(key: int, b: int, groups: int, block: int, at_most: int) -> np.ndarray:
+    """Per replicate: how many of its ``groups`` draws fall into a block, by halving the range of blocks.
+
+    A node's draws go to its left half by a binomial law, from a generator keyed by the node, so every task on the path
+    finds the same numbers, and the counts of all blocks are multinomial.
+    """
+    blocks = -(-groups // at_most)
+    size = lambda x: min(x * at_most, groups)
+    lo, hi, n = 0, blocks, np.full(b, groups, dtype=np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([key, lo, hi]).binomial(n, (size(mid) - size(lo)) / (size(hi) - size(lo)))
+        if block < mid:
+            hi, n = mid, left
+        else:
+            lo, n = mid, n - left
+    return n
+
+
+def _replicate_sums(keys: list[str], b: int, at_most: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One block of a key's groups -> the sums of its draws in every replicate."""
+        pdf = pdf.sort_values("_rank")
+        m, block = len(pdf), int(pdf["_block"].iloc[0])
+        hits, n = pdf["hits"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        key = int(pdf["_key"].iloc[0]) & 0xFFFFFFFF
+        draws = _share(key, b, int(pdf["_n"].iloc[0]), block, at_most)
+        table = np.stack([hits / n, hits, n], axis=1).astype(float)
+        out = np.zeros((b, 3))
+        start = _mix(np.uint64(key) ^ _mix(np.arange(b, dtype=np.uint64)))
+        for r in range(b):
+            slot = np.arange(draws[r], dtype=np.uint64) + np.uint64(block * at_most)
+            at = (_mix((start[r] + slot) & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
+            out[r] = np.bincount(at.astype(np.int64), minlength=m) @ table
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "cov": [out[:, 0]], "hits": [out[:, 1]], "n": [out[:, 2]], "groups": [int(pdf["_n"].iloc[0])]})
+
+    return run
+
+
+def cluster_bootstrap(groups: DataFrame, keys: list[str], group: str, b: int = 2000, seed: int = 0, level=0.95, block: int = BLOCK):
     """Percentile interval of both coverages under resampling of whole groups.
 
-    ``groups``: keys, group, hits, n. In replicate r, slot i draws the group whose rank equals a keyed uniform index;
-    slots are generated from the group table and joined on rank, so no list of groups is built. Replicate means then
-    give the percentiles. Output: keys, cov_lo, cov_hi, pooled_lo, pooled_hi.
+    ``groups``: keys, group, hits, n. A replicate draws as many groups as there are, with replacement. Slot i of
+    replicate r draws by a number keyed by (keys, seed, r, i), and a task adds its draws up in vectors of ``b`` sums: no row
+    per group and replicate is made, and memory is bounded by ``b`` and ``block``. A key with more groups is cut into
+    blocks, among which the draws of a replicate are dealt by a multinomial law first.
+    Output: keys, cov_lo, cov_hi, pooled_lo, pooled_hi.
     """
     from cohera.operators.splits import dense_rank_by_hash
 
     h = hash52("bootrank", *[F.col(k) for k in keys], F.col(group))
-    ranked = dense_rank_by_hash(groups.withColumn("_h", h), keys, "_h", group)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_r")
-    slot = F.pmod(hash52(F.lit(f"boot{seed}"), *[F.col(k) for k in keys], F.col("_r"), F.col("_rank")), F.col("_n")) + 1
-    draws = ranked.select(*keys, "_rank", "_n", reps).select(*keys, "_r", slot.alias("_rank"))
-    drawn = draws.groupBy(*keys, "_r", "_rank").agg(F.count(F.lit(1)).alias("_m"))
-    got = drawn.join(ranked.select(*keys, "_rank", "hits", "n"), [*keys, "_rank"])
-    means = got.groupBy(*keys, "_r").agg(
-        (F.sum(F.col("_m") * F.col("hits") / F.col("n")) / F.sum("_m")).alias("cov"),
-        (F.sum(F.col("_m") * F.col("hits")) / F.sum(F.col("_m") * F.col("n"))).alias("pooled"),
-    )
+    ranked = dense_rank_by_hash(groups.select(*keys, group, "hits", "n").withColumn("_h", h), keys, "_h", group)
+    ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).withColumn("_key", hash52(F.lit(f"boot{seed}"), *[F.col(k) for k in keys]))
+    types = dict(groups.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cov array<double>, hits array<double>, n array<double>, groups long"
+    sums = ranked.drop(group).groupBy(*keys, "_block").applyInPandas(_replicate_sums([*keys], b, block), schema)
+    parts = sums.select(*keys, "groups", F.posexplode(F.arrays_zip("cov", "hits", "n")).alias("_r", "_s"))  # b rows a block
+    means = parts.groupBy(*keys, "groups", "_r").agg(
+        (F.sum("_s.cov") / F.col("groups")).alias("cov"), (F.sum("_s.hits") / F.sum("_s.n")).alias("pooled"))
     a = (1 - level) / 2
     # b replicates per key: a fixed, small number of values
     return means.groupBy(*keys).agg(

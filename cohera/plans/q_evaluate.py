@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohera.operators import conditional as C, evaluate as E, inference as T, reports as R
 from cohera.plans import data as d
 from cohera.plans.base import part, query, rnd, rounded, sql, table
-from cohera.plans.data import CELL, SPLIT2, r, rank_sql
+from cohera.plans.data import CELL, SPLIT2, h, r, rank_sql
 from cohera.plans.q_joins import knn
 from cohera.plans.q_splits import HOLM, holm_rows
 from cohera.session import settle_parameters
@@ -42,9 +42,25 @@ def group_hits(spark, sf):
     return iv.groupBy(*CELL, "grp").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-@query("cluster_bootstrap__E5")
+def _mix_sql(x):
+    """The 32-bit mixer of the bootstrap as SQL."""
+    one = f"list_transform([{x}], lambda v: xor(v, v>>16)*2146121005%4294967296)"
+    two = f"list_transform({one}, lambda v: (xor(v, v>>15)*2221713035::HUGEINT%4294967296)::BIGINT)"
+    return f"list_transform({two}, lambda v: xor(v, v>>16))[1]"
+
+
+@query(
+    "cluster_bootstrap__E5",
+    sql(f"""WITH c AS (SELECT protocol, seed, model, method, alpha, grp, count(*) AS n, sum((y>=lower AND y<=upper)::INTEGER)::BIGINT AS hits FROM ivals GROUP BY ALL),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY protocol, seed, model, method, alpha ORDER BY {h("'bootrank'", *CELL, 'grp')}, grp) AS rk FROM c),
+k AS MATERIALIZED (SELECT protocol, seed, model, method, alpha, count(*) AS m, {h("'boot0'", *CELL)} & 4294967295 AS key FROM g GROUP BY ALL),
+s AS MATERIALIZED (SELECT *, {_mix_sql(f"xor(key, {_mix_sql('r')})")} AS start FROM k, (SELECT unnest(range(2000)) AS r)),
+d AS (SELECT protocol, seed, model, method, alpha, m, r, ({_mix_sql('((start+i)&4294967295)')}*m)//4294967296+1 AS rk FROM (SELECT *, unnest(range(m)) AS i FROM s)),
+t AS (SELECT protocol, seed, model, method, alpha, r, sum(hits::DOUBLE/n)/max(m) AS cov, sum(hits)::DOUBLE/sum(n) AS pooled FROM d JOIN g USING (protocol, seed, model, method, alpha, rk) GROUP BY ALL)
+SELECT protocol, seed, model, method, alpha, {', '.join(r(f"quantile_cont({c},{q}::DOUBLE)", 8) + f" AS {c}_{e}" for c in ('cov', 'pooled') for e, q in (('lo', 0.025), ('hi', 0.975)))} FROM t GROUP BY ALL""", "ivals"),
+)
 def cluster_bootstrap(spark, sf):
-    return E.cluster_bootstrap(group_hits(spark, sf), CELL, "grp")
+    return rounded(E.cluster_bootstrap(group_hits(spark, sf), CELL, "grp"), "cov_lo", "cov_hi", "pooled_lo", "pooled_hi", digits=8)
 
 
 @query(

@@ -184,6 +184,44 @@ def test_registered_bootstrap_has_all_seeds_and_replicates(spark, monkeypatch):
     from cohera.plans import data, q_evaluate
 
     seen, default = {}, inspect.signature(q_evaluate.E.cluster_bootstrap).parameters["b"].default
-    monkeypatch.setattr(q_evaluate.E, "cluster_bootstrap", lambda groups, *a, **kw: seen.update(kw, seeds=groups.select("seed").distinct().collect()))
+    monkeypatch.setattr(q_evaluate.E, "cluster_bootstrap", lambda groups, *a, **kw: seen.update(kw, seeds=groups.select("seed").distinct().collect()) or groups.selectExpr("0.0 AS cov_lo", "0.0 AS cov_hi", "0.0 AS pooled_lo", "0.0 AS pooled_hi"))
     q_evaluate.cluster_bootstrap(spark, "/root/testdata/sf0.001")
     assert seen.get("b", default) == 2000 and sorted(r.seed for r in seen["seeds"]) == data.SEEDS
+
+
+def test_bootstrap_draws_and_law(spark):
+    """One block: the keyed draws themselves, in plain Python. Many blocks: the law of resampling whole groups."""
+    import hashlib
+
+    from cohera.operators import evaluate as EV
+
+    rng = np.random.default_rng(1)
+    data = {k: [(g, int(rng.binomial(n, 0.8)), int(n)) for g, n in enumerate(rng.integers(1, 30, m))] for k, m in (("a", 9), ("b", 60), ("c", 1))}
+    df = spark.createDataFrame([(k, *r) for k, rows in data.items() for r in rows], "k string, g int, hits long, n long").repartition(3)
+    got = {r.k: r for r in EV.cluster_bootstrap(df, ["k"], "g", b=300, seed=7).collect()}
+
+    def mix(x):
+        x ^= x >> 16
+        x = x * 0x7FEB352D % 2**32
+        x ^= x >> 15
+        x = x * 0x846CA68B % 2**32
+        return x ^ x >> 16
+
+    number = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+    for k, rows in data.items():
+        order, key = sorted(rows, key=lambda r: number("bootrank", k, r[0])), number("boot7", k) % 2**32
+        cov, pooled = [], []
+        for r in range(300):
+            start = mix(key ^ mix(r))
+            drawn = [order[mix((start + i) % 2**32) * len(rows) >> 32] for i in range(len(rows))]
+            cov.append(np.mean([h / n for _, h, n in drawn]))
+            pooled.append(sum(h for _, h, _ in drawn) / sum(n for _, _, n in drawn))
+        assert (got[k].cov_lo, got[k].cov_hi) == pytest.approx(tuple(np.quantile(cov, [0.025, 0.975])))
+        assert (got[k].pooled_lo, got[k].pooled_hi) == pytest.approx(tuple(np.quantile(pooled, [0.025, 0.975])))
+    many = {r.k: r for r in EV.cluster_bootstrap(df, ["k"], "g", b=4000, block=7).collect()}
+    rows = np.array(data["b"])
+    pick = np.random.default_rng(2).integers(0, 60, (4000, 60))
+    want = np.quantile((rows[:, 1] / rows[:, 2])[pick].mean(1), [0.025, 0.975])
+    assert (many["b"].cov_lo, many["b"].cov_hi) == pytest.approx(tuple(want), abs=0.01)
+    shares = [EV._share(5, 50, 60, i, 7) for i in range(9)]
+    assert (sum(shares) == 60).all() and len(set(map(tuple, shares))) == 9
