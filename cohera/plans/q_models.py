@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohera.functions import numeric as N
 from cohera.operators import crossfit as C, evaluate as E, intervals as I, models as M, splits as T
 from cohera.plans import data as d
+from cohera.operators.balance import row_balanced_folds
 from cohera.plans.base import part, query, rnd, rounded, sql
 from cohera.plans.data import ALPHAS, SPLIT2, alpha_rel, h, r, rank_sql
 from cohera.plans.q_splits import draws
@@ -17,7 +18,7 @@ FEATURES = ["k", "hr"]
 
 
 def pair(spark, sf):
-    return d.job(spark, sf, seeds=d.SEEDS[:2])
+    return d.job(spark, sf)
 
 
 # ------------------------------------------------------------------------------------------------ M
@@ -25,7 +26,7 @@ def folded_moments(j, basis, by_split=SPLIT2):
     """Per-group sums first (rows are read once), then sums per split and row-balanced fold."""
     tr = j.where("role='train'")
     per_group = M.moments(tr, [*by_split, "grp"], basis)
-    folds = T.unit_folds(tr, by_split, "grp", K)
+    folds = row_balanced_folds(tr, by_split, "grp", K).drop("n")
     return M.add_moments(per_group.join(folds, [*by_split, "grp"]), [*by_split, "fold"], len(basis))
 
 
@@ -301,7 +302,7 @@ def mixture_quantile(spark, sf):
 @query(
     "model_scale__M15",
     sql(f"""WITH f AS (SELECT protocol, seed, regr_slope(abs(y-pred_oof),x) AS b, regr_intercept(abs(y-pred_oof),x) AS a FROM oof GROUP BY ALL)
-SELECT protocol, seed, id, {r('greatest(a+b*coalesce(x,0),1e-3)', 7)} AS sigma FROM job JOIN f USING (protocol, seed) WHERE role='test' AND seed<2""", "oof", "job"),
+SELECT protocol, seed, id, {r('greatest(a+b*coalesce(x,0),1e-3)', 7)} AS sigma FROM job JOIN f USING (protocol, seed) WHERE role='test'""", "oof", "job"),
 )
 def model_scale(spark, sf):
     """Scale model: ridge-free line of |residual| on the log ratio, floored above zero."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohera.operators import selection as S, splits as T
 from cohera.plans import data as d
+from cohera.operators.balance import row_balanced_folds
 from cohera.plans.base import part, query, rnd, rounded, sql, table
 from cohera.plans.data import SEEDS, h, r
 
@@ -56,7 +57,7 @@ def split_contributor(spark, sf):
 def split_non_nested(spark, sf):
     mixed = F.when(F.col("id") % 97 == 0, "NATION_0").otherwise(F.col("unit"))  # some rows of many groups share a unit
     ev = d.samples(spark, sf).withColumn("source", mixed)
-    out = T.contributor_folds(ev, "source", "grp", SEEDS[:1], "contributor_source", drop_leaks=True)
+    out = T.contributor_folds(ev, "source", "grp", SEEDS, "contributor_source", drop_leaks=True)
     return out.groupBy("protocol", "seed", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("grp").alias("groups"))
 
 
@@ -87,10 +88,17 @@ def leakage_checks(spark, sf):
     return T.split_checks(d.job(spark, sf), "id", ["grp", "kind"])
 
 
-@query("folds_row_balanced__T10")
+@query(
+    "folds_row_balanced__T10",
+    sql("""WITH RECURSIVE c AS (SELECT protocol, seed, grp, count(*) AS n FROM job WHERE role='train' GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY protocol, seed ORDER BY n DESC, grp) AS rk FROM c),
+w(protocol, seed, rk, loads, fold) AS (SELECT DISTINCT protocol, seed, 0::BIGINT, [0,0,0,0,0]::BIGINT[], -1 FROM o
+UNION ALL SELECT w.protocol, w.seed, o.rk, list_transform(loads, lambda v, i: v+CASE WHEN i=list_position(loads, list_min(loads)) THEN n ELSE 0 END), list_position(loads, list_min(loads))-1
+FROM w JOIN o ON o.protocol=w.protocol AND o.seed=w.seed AND o.rk=w.rk+1)
+SELECT o.protocol, o.seed, grp, n, fold::INTEGER AS fold FROM o JOIN w USING (protocol, seed, rk)""", "job"),
+)
 def folds_row_balanced(spark, sf):
-    sizes = d.events(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    return T.balanced_folds(sizes, "grp", [0], 5, jitter=False)
+    return row_balanced_folds(d.job(spark, sf).where("role='train'"), d.SPLIT2, "grp", 5)
 
 
 FOLD_RANK = f"""SELECT protocol, seed, grp, row_number() OVER w AS rk, count(*) OVER (PARTITION BY protocol, seed) AS n FROM

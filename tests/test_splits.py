@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cohera.operators import splits as T
@@ -62,6 +63,23 @@ def test_balanced_folds_follow_the_greedy_rule(spark):
     assert dict(zip(got.unit, got.fold)) == want
 
 
+@pytest.mark.parametrize("k,sizes", [(5, None), (3, [1] * 50 + [2] * 3 + [40]), (4, [100, 1, 1, 1, 7, 7, 7, 7, 7, 3]), (5, [9, 9])])
+def test_row_balanced_folds_follow_the_greedy_rule(spark, k, sizes):
+    from cohera.operators.balance import row_balanced_folds
+
+    rng = np.random.default_rng(k)
+    pdf = pd.concat([pd.DataFrame({"s": s, "g": np.repeat(np.arange(len(n)), n)}) for s in (0, 1) for n in [sizes or rng.integers(1, 12, 90)]])
+    got = row_balanced_folds(spark.createDataFrame(pdf).repartition(4), ["s"], "g", k).toPandas()
+    for s, d in pdf.groupby("s"):
+        want, load = {}, np.zeros(k)
+        order = d.groupby("g").size().reset_index(name="n").sort_values(["n", "g"], ascending=[False, True])
+        for g, n in order.itertuples(index=False):
+            want[g] = int(np.argmin(load))
+            load[want[g]] += n
+        part = got[got.s == s]
+        assert dict(zip(part.g, part.fold)) == want
+
+
 def test_fill_calibration_rule(spark):
     rng = np.random.default_rng(4)
     units = pd.DataFrame({"seed": np.repeat([0, 1, 2], 12), "unit": [f"u{i}" for i in range(12)] * 3, "n": rng.integers(1, 60, 36)})
