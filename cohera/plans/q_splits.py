@@ -128,7 +128,7 @@ def holdout_random(spark, sf):
     return T.random_holdout(d.job(spark, sf).where("role='train'"), d.SPLIT2, "id").select("protocol", "seed", "id", "held")
 
 
-GRID, DRAWS = [10, 15, 20, 30, 40], 3
+GRID, DRAWS = [10, 15, 20, 30, 40], 20
 part(
     "draws",
     f"""SELECT protocol, seed, n_target, draw, grp FROM (SELECT *, row_number() OVER (PARTITION BY protocol, seed, n_target, draw ORDER BY hh) AS rk,
