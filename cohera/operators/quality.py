@@ -15,20 +15,39 @@ def keep_unless_flagged(*flags: str) -> Column:
     return ~bad
 
 
-def map_with_override(key: Column, mapping: dict[str, str], override_key: Column, overrides: dict[str, str]) -> Column:
-    """Dictionary lookup with overrides applied last; unmapped keys give null."""
+def map_with_override(key: Column, mapping: dict[str, str], override_key: Column, overrides: dict[str, str], strict: bool = False) -> Column:
+    """Dictionary lookup with overrides applied last; unmapped keys give null, or fail the job if ``strict``."""
 
     def lookup(c: Column, m: dict[str, str]) -> Column:
         return F.try_element_at(F.create_map(*[F.lit(v) for kv in m.items() for v in kv]), c)
 
     base = lookup(key, mapping)
-    return F.coalesce(lookup(override_key, overrides), base) if overrides else base
+    out = F.coalesce(lookup(override_key, overrides), base) if overrides else base
+    if not strict:
+        return out
+    lost = F.raise_error(F.concat(F.lit("unmapped value: "), key.cast("string"))).cast("string")
+    return F.when(out.isNull() & key.isNotNull(), lost).otherwise(out)
 
 
 def grid_cell(v: Column, step: float = 10.0) -> Column:
     return (F.floor(v / F.lit(step)) * F.lit(step)).cast("int")
 
 
+def cell_label(df: DataFrame, lat: str, lon: str, labels: DataFrame, key: str, overrides: dict, label: str = "label", step: float = 10.0, other: str = "other") -> DataFrame:
+    """Adds the label of the grid cell a row lies in (``labels``: lat_cell, lon_cell, name; one row per cell).
+
+    Rows without coordinates take the override of their ``key`` or stay null; cells without a label give ``other``.
+    """
+    place = df.withColumns({"_la": grid_cell(F.col(lat), step), "_lo": grid_cell(F.col(lon), step)})
+    names = labels.select(F.col("lat_cell").alias("_la"), F.col("lon_cell").alias("_lo"), F.col("name").alias("_name"))
+    out = place.join(names, ["_la", "_lo"], "left")
+    missing = F.col(lat).isNull() | F.col(lon).isNull()
+    manual = F.lit(None).cast("string")
+    for k, v in overrides.items():
+        manual = F.when(F.col(key) == k, F.lit(v)).otherwise(manual)
+    return out.withColumn(label, F.when(missing, manual).otherwise(F.coalesce("_name", F.lit(other)))).drop("_la", "_lo", "_name")
+
+
 def censored(value: Column, limit: Column, share: float = 0.95) -> Column:
     return F.coalesce((value > 0) & (value >= F.lit(share) * limit), F.lit(False))
 
@@ -112,8 +131,3 @@ def expectations(df: DataFrame, **rules: Column) -> DataFrame:
 
     agg = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
     return agg.select(F.expr(stack(["rows", *rules]).replace("(name, value)", "(rule, violations)")))
-
-
-def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once, with their count."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

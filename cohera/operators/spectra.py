@@ -89,6 +89,15 @@ def line_fit(vec: Column, lo: int, n: int) -> tuple[Column, Column]:
     return rms / F.abs(mean), mean
 
 
+def smooth_check(df: DataFrame, complete: Column, rel_rms: Column, value: Column, reference: Column, smooth_below: float = 0.02, tolerance: float = 0.05) -> DataFrame:
+    """Adds ``smooth`` (complete and nearly straight), ``within`` (``value`` within ``tolerance`` of ``reference``) and, on
+    every row, the shares of rows within it among the smooth and among the complete ones (null if there are none)."""
+    rows = df.withColumns({"smooth": complete & (rel_rms < smooth_below), "within": F.abs(value - reference) / F.abs(reference) <= tolerance, "_complete": complete})
+    hit = F.col("within").cast("double")
+    share = rows.agg(F.avg(F.when(F.col("smooth"), hit)).alias("share_smooth"), F.avg(F.when(F.col("_complete"), hit)).alias("share_complete"))
+    return rows.crossJoin(F.broadcast(share)).drop("_complete")  # one row
+
+
 def resample_curve(curve: DataFrame, key: str, x: str, y: str, step: float = 0.1) -> DataFrame:
     """Irregular curve to unit bins, integral preserving: linear interpolation at fine midpoints, averaged per bin; zero
     outside the curve. A curve's points are a small dimension (hundreds per key). Output: key, bin, value."""

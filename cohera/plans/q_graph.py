@@ -87,13 +87,17 @@ def flat_check(spark, sf):
 
 @query(
     "line_fit__B7",
-    f"""WITH x AS (SELECT vec_id, unnest(embedding[1:16])::DOUBLE+2 AS v, unnest(range(16))::DOUBLE AS p FROM embeddings)
-SELECT vec_id, {r('sqrt(greatest(0.0,(var_pop(v)*16-pow(covar_pop(v,p)*16,2)/(var_pop(p)*16))/16))/abs(avg(v))', 7)} AS rel_rms, {r('avg(v)', 9)} AS mean FROM x GROUP BY 1""",
+    f"""WITH x AS (SELECT vec_id, unnest(embedding[1:16])::DOUBLE+2 AS v, unnest(range(16))::DOUBLE AS p FROM embeddings),
+f AS (SELECT vec_id, sqrt(greatest(0.0,(var_pop(v)*16-pow(covar_pop(v,p)*16,2)/(var_pop(p)*16))/16))/abs(avg(v)) AS rel, avg(v) AS mean, min(v)>0 AS complete, max(CASE WHEN p=8 THEN v END) AS centre FROM x GROUP BY 1)
+SELECT vec_id, {r('rel', 7)} AS rel_rms, {r('mean', 9)} AS mean, complete AND rel<0.06::DOUBLE AS smooth, abs(mean-centre)/abs(centre)<=0.05::DOUBLE AS within,
+{r('avg((abs(mean-centre)/abs(centre)<=0.05::DOUBLE)::INTEGER) FILTER (complete AND rel<0.06::DOUBLE) OVER ()', 9)} AS share_smooth, {r('avg((abs(mean-centre)/abs(centre)<=0.05::DOUBLE)::INTEGER) FILTER (complete) OVER ()', 9)} AS share_complete FROM f""",
 )
 def line_fit(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") + 2).alias("e"))
     rel, mean = B.line_fit(F.col("e"), 0, 16)
-    return e.select("vec_id", rnd(rel, 7).alias("rel_rms"), rnd(mean, 9).alias("mean"))
+    f = e.select("vec_id", rel.alias("rel"), mean.alias("mean"), F.array_min(F.slice("e", 1, 16)).alias("low"), F.get("e", F.lit(8)).alias("centre"))
+    f = B.smooth_check(f, F.col("low") > 0, F.col("rel"), F.col("mean"), F.col("centre"), smooth_below=0.06)
+    return f.select("vec_id", rnd("rel", 7).alias("rel_rms"), rnd("mean", 9).alias("mean"), "smooth", "within", rnd("share_smooth", 9).alias("share_smooth"), rnd("share_complete", 9).alias("share_complete"))
 
 
 @query(
@@ -308,6 +312,9 @@ def majority_value(spark, sf):
     return G.majority(table(spark, sf, "events"), "user_id", "event_type")
 
 
+RADII = [25.0, 50.0, 100.0, 200.0]
+
+
 def radius_counts(spark, sf, radii):
     c, out = coords(spark, sf), None
     for km in radii:
@@ -322,9 +329,9 @@ def _cc_count(km):
 l AS (SELECT node, min(lab) AS lab FROM cc GROUP BY node), g AS (SELECT lab, count(*) AS n FROM l GROUP BY 1) SELECT {km}::DOUBLE AS km, count(*) AS n_groups, max(n) AS largest FROM g)"""
 
 
-@query("radius_diagnostics__G10", sql(f"SELECT * FROM {_cc_count(100.0)} UNION ALL SELECT * FROM {_cc_count(200.0)}", "coords"))
+@query("radius_diagnostics__G10", sql(" UNION ALL ".join(f"SELECT * FROM {_cc_count(km)}" for km in RADII), "coords"))
 def radius_diagnostics(spark, sf):
-    return radius_counts(spark, sf, [100.0, 200.0])
+    return radius_counts(spark, sf, RADII)
 
 
 @query(

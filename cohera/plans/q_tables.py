@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohera.functions import keys as K, numeric as N, text as X
-from cohera.operators import quality as Q
+from cohera.operators import checks as K, quality as Q
 from cohera.plans import data as d
 from cohera.plans.base import query, rnd, sql, table
 from cohera.plans.data import h, r
@@ -23,8 +23,10 @@ def scratch(spark) -> str:
 @query("load_keyed_csv__S1", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey IS NOT NULL")
 def load_keyed_csv(spark, sf):
     path = scratch(spark)
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").write.csv(path, header=True)
-    return R.read_keyed_csv(spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double", "c_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    keyless = c.agg(F.lit(None).cast("long").alias("c_custkey"), F.lit("no key").alias("c_name"), F.min("c_nationkey").alias("c_nationkey"), F.min("c_acctbal").alias("c_acctbal"))
+    c.unionByName(keyless).write.csv(path, header=True)
+    return R.read_keyed_csv(spark, path, "c_custkey long, c_name string, c_nationkey int, c_acctbal double", "c_custkey", null_keys=1, unique=True)
 
 
 @query(
@@ -63,7 +65,8 @@ def read_slice(spark, sf):
 def typed_result_rows(spark, sf):
     raw = d.results(spark, sf).withColumn("population", F.when(F.col("seed") > 2, "strict")).withColumn(
         "descriptive_only", F.when(F.col("seed") == 6, "true"))
-    return R.typed_results(raw).select(
+    flags = {"alpha_in_range": F.col("alpha").between(0.0, 1.0), "point_or_interval": F.col("method").isNotNull()}
+    return R.typed_results(raw, d.RESULT_KEYS, {"protocol": ["reserved"], "population": ["discarded"]}, flags).select(
         *d.RESULT_KEYS, "population", "noise_mult", "noise_add", "descriptive_only")
 
 
@@ -121,13 +124,24 @@ def output_manifest(spark, sf):
 
 @query(
     "table_expectations__S10",
-    "SELECT unnest(['rows','key_present','positive','known_type']) AS rule, unnest([count(*), count(*) FILTER (event_id IS NULL), "
-    "count(*) FILTER (coalesce(value <= 0, true)), count(*) FILTER (NOT coalesce(event_type IN ('click','view','error'), false))]) AS violations FROM events",
+    """SELECT unnest(['row_count','key_present','positive','known_type','strict_in_primary','unique_key','one_customer','customer_key','all_types']) AS rule, unnest([0, count(*) FILTER (event_id IS NULL),
+count(*) FILTER (coalesce(value <= 0, true)), count(*) FILTER (NOT coalesce(event_type IN ('click','view','error'), false)), count(*) FILTER (value > 100 AND NOT value > 1),
+(SELECT coalesce(sum(n-1),0)::BIGINT FROM (SELECT count(*) AS n FROM events GROUP BY user_id, ts)), (SELECT count(*) FROM events LEFT JOIN (SELECT c_custkey, count(*) AS n FROM customer GROUP BY 1) ON c_custkey=user_id WHERE coalesce(n,0)<>1),
+(SELECT coalesce(sum(n-1),0)::BIGINT FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey)), 4-(SELECT count(DISTINCT event_type) FILTER (event_type IN ('click','view','error','never')) FROM events)]) AS violations FROM events""",
 )
 def table_expectations(spark, sf):
-    return Q.expectations(
-        table(spark, sf, "events"), key_present=F.col("event_id").isNotNull(), positive=F.col("value") > 0,
-        known_type=F.col("event_type").isin("click", "view", "error"))
+    ev, cu = table(spark, sf, "events"), table(spark, sf, "customer")
+    strict, primary = F.col("value") > 100, F.col("value") > 1
+    reports = [
+        K.row_count(ev, ev.count()),
+        K.broken_rows(ev, key_present=F.col("event_id").isNotNull(), positive=F.col("value") > 0, known_type=F.col("event_type").isin("click", "view", "error"), strict_in_primary=~strict | primary),
+        K.unique_key(ev, ["user_id", "ts"]), K.join_cardinality(ev.select("user_id"), cu.select(F.col("c_custkey").alias("user_id")), ["user_id"], "one_customer"),
+        K.unique_key(cu, ["c_custkey"], "customer_key"), K.non_empty(ev, "event_type", ["click", "view", "error", "never"], "all_types"),
+    ]
+    out = reports[0]
+    for more in reports[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(
@@ -194,12 +208,12 @@ def keep_flags(spark, sf):
 @query(
     "map_with_override__P4",
     "SELECT n_nationkey, coalesce(CASE WHEN n_name='NATION_3' THEN 'MOVED' END, CASE r_name WHEN 'AFRICA' THEN 'SOUTH' WHEN "
-    "'AMERICA' THEN 'WEST' WHEN 'ASIA' THEN 'EAST' WHEN 'EUROPE' THEN 'NORTH' END) AS zone FROM nation JOIN region ON r_regionkey=n_regionkey",
+    "'AMERICA' THEN 'WEST' WHEN 'ASIA' THEN 'EAST' WHEN 'EUROPE' THEN 'NORTH' WHEN 'MIDDLE EAST' THEN 'CENTRE' END) AS zone FROM nation JOIN region ON r_regionkey=n_regionkey",
 )
 def map_with_override(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    zones = {"AFRICA": "SOUTH", "AMERICA": "WEST", "ASIA": "EAST", "EUROPE": "NORTH"}
-    return n.select("n_nationkey", Q.map_with_override(F.col("r_name"), zones, F.col("n_name"), {"NATION_3": "MOVED"}).alias("zone"))
+    zones = {"AFRICA": "SOUTH", "AMERICA": "WEST", "ASIA": "EAST", "EUROPE": "NORTH", "MIDDLE EAST": "CENTRE"}
+    return n.select("n_nationkey", Q.map_with_override(F.col("r_name"), zones, F.col("n_name"), {"NATION_3": "MOVED"}, strict=True).alias("zone"))
 
 
 COORD = (
@@ -217,10 +231,19 @@ def coords(spark, sf):
 
 @query(
     "grid_cell__P5",
-    f"SELECT vec_id, (floor(lat/10)*10)::INTEGER AS lat_cell, (floor(lon/10)*10)::INTEGER AS lon_cell FROM {COORD}",
+    f"""WITH c AS (SELECT vec_id, label, CASE WHEN vec_id%10<>7 THEN lat END AS lat, lon FROM {COORD}),
+n AS (SELECT DISTINCT (floor(lat/10)*10)::INTEGER AS lat_cell, (floor(lon/10)*10)::INTEGER AS lon_cell FROM c WHERE label=0 AND lat IS NOT NULL)
+SELECT vec_id, (floor(lat/10)*10)::INTEGER AS lat_cell, (floor(lon/10)*10)::INTEGER AS lon_cell,
+CASE WHEN lat IS NULL THEN CASE label WHEN 0 THEN 'zero' WHEN 1 THEN 'one' END WHEN n.lat_cell IS NOT NULL THEN 'core '||n.lat_cell||'/'||n.lon_cell ELSE 'other' END AS place
+FROM c LEFT JOIN n ON n.lat_cell=floor(lat/10)*10 AND n.lon_cell=floor(lon/10)*10""",
 )
 def grid_cell(spark, sf):
-    return coords(spark, sf).select("vec_id", Q.grid_cell(F.col("lat")).alias("lat_cell"), Q.grid_cell(F.col("lon")).alias("lon_cell"))
+    c = coords(spark, sf).withColumn("lat", F.when(F.col("vec_id") % 10 != 7, F.col("lat"))).select("vec_id", "label", "lat", "lon")
+    cells = [Q.grid_cell(F.col(a)).alias(f"{a}_cell") for a in ("lat", "lon")]
+    names = c.where("label = 0 AND lat IS NOT NULL").select(*cells).distinct()
+    names = names.withColumn("name", F.concat(F.lit("core "), "lat_cell", F.lit("/"), "lon_cell"))
+    out = Q.cell_label(c, "lat", "lon", names, "label", {0: "zero", 1: "one"}, "place")
+    return out.select("vec_id", *cells, "place")
 
 
 @query(

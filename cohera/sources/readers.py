@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cohera.operators.checks import broken_rows, require, row_count, unique_key
 
-def read_keyed_csv(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """CSV with a declared schema; rows without a key are dropped, bad numbers become missing."""
+
+def read_keyed_csv(spark: SparkSession, path: str, schema: str, key: str, null_keys: int | None = None, unique: bool = False) -> DataFrame:
+    """CSV with a declared schema; rows without a key are dropped, bad numbers become missing.
+
+    ``null_keys``: how many rows without a key the file must have. ``unique``: keys must not repeat. Both are counted over
+    the whole file first, and a difference raises ``ValueError``.
+    """
     df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
-    return df.where(F.col(key).isNotNull())
+    kept = df.where(F.col(key).isNotNull())
+    reports = [unique_key(kept, [key])] if unique else []
+    if null_keys is not None:
+        reports.append(row_count(df.where(F.col(key).isNull()), null_keys, "null_keys"))
+    if reports:
+        require(*reports)
+    return kept
 
 
 def read_result_files(spark: SparkSession, folders: dict[str, str], schemas: dict[str, str]) -> DataFrame:
@@ -30,8 +42,23 @@ def read_slice(spark: SparkSession, path: str, column: str, value) -> DataFrame:
     return spark.read.parquet(path).where(F.col(column) == value)
 
 
-def typed_results(df: DataFrame) -> DataFrame:
-    """Result rows with defaults: population ``primary``, no noise, boolean flags without nulls."""
+def typed_results(
+    df: DataFrame, keys: list[str] | None = None, forbidden: dict[str, list[str]] | None = None, flags: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Result rows with defaults: population ``primary``, no noise, boolean flags without nulls.
+
+    ``forbidden``: values that an origin column must not have; ``flags``: named conditions that every row must satisfy;
+    ``keys``: columns that identify a row. They are checked on the typed rows before they are returned (``ValueError``).
+    """
+    out = _typed(df)
+    rules = {f"{c}_allowed": ~F.coalesce(F.col(c).isin(v), F.lit(False)) for c, v in (forbidden or {}).items()} | (flags or {})
+    reports = ([broken_rows(out, **rules)] if rules else []) + ([unique_key(out, keys)] if keys else [])
+    if reports:
+        require(*reports)
+    return out
+
+
+def _typed(df: DataFrame) -> DataFrame:
     out = df
     for c, default in (("population", F.lit("primary")), ("noise_mult", F.lit(0.0)), ("noise_add", F.lit(0.0))):
         out = out.withColumn(c, F.coalesce(F.col(c), default) if c in df.columns else default)
