@@ -6,6 +6,9 @@ Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohera.llm import decontamination, language_id, line_dedup, mixing, near_dedup
@@ -16,14 +19,46 @@ from cohera.llm.shared import Stored
 ORACLE_SQL = None
 
 
+#: Columns that stages read; all others of a stage's input travel in one column, so that no name of theirs can meet a name
+#: that an operator uses inside, and come back as they were.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = "carried_columns"
+
+
+def sheltered(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage on the columns of ``READ``; columns that it adds replace carried ones of their name."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        rest = [c for c in docs.columns if c not in READ]
+        if not rest:
+            return stage(spark, docs, sf_dir)
+        slim = docs.select(*[c for c in docs.columns if c in READ], F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias(CARRIED))
+        out = stage(spark, slim, sf_dir)
+        new = [c for c in out.columns if c not in slim.columns]
+        place = lambda c: column(c) if c in READ else F.col(CARRIED).getField(f"c{rest.index(c)}").alias(c)
+        return out.select(*[place(c) for c in docs.columns if c not in new], *new)
+
+    return run_stage
+
+
+@sheltered
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised (no letters, or a score below the calibrated threshold) go."""
+    """Documents whose language is not recognised (no letters, or a score below the calibrated threshold) go.
+
+    Where no document has a language to learn from, none can be told apart: documents with a letter stay.
+    """
     learn = F.col("lang").isNotNull()
     names = ("_lang_pred", "_lang_score", "_lang_rejected")
-    found = language_id.identify(docs, language_id.train(docs, learn, "doc_id", "text", "lang"), "text", names)
+    model = language_id.train(docs, learn, "doc_id", "text", "lang")
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.identify(docs, model, "text", names)
     return found.where(~F.col("_lang_rejected")).drop(*names)
 
 
+@sheltered
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs of 50 words and more are deleted from the texts; documents of which nothing but
     white space is left go. ``n_chars`` follows the text."""
@@ -32,11 +67,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(out.where(left), docs)
 
 
+@sheltered
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five words, 0.8) the document with the smallest id stays."""
     return near_dedup.keep_one(docs)
 
 
+@sheltered
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of ten words (or a whole shorter item) with a benchmark item go."""
     marked = docs.withColumn("_content", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
@@ -45,6 +82,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return marked.join(bad, "_content", "left_anti").select(*docs.columns)
 
 
+@sheltered
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document in the mixture: by ``mix_slot``, then ``mix_place``."""
     return mixing.mix_sources(docs)

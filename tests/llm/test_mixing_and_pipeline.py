@@ -147,3 +147,35 @@ def test_pipeline_on_empty_tables(spark, small, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{small}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_come_back_whatever_their_names(spark, small):
+    """Every name that an operator uses inside, as an extra column: each stage keeps it and its values."""
+    import re
+    from pathlib import Path
+
+    import corpus_pipeline as c
+    from cohera.llm import decontamination, language_id, line_dedup, mixing, near_dedup
+
+    inner = {"_s", "_src", "_b", "_slot", "_gone", "_k", "_lang_pred", "_mark", "_content", "lines_deleted", "lines_before", "class", "score", "a.b", "id", "content", c.CARRIED}
+    for m in (decontamination, language_id, line_dedup, mixing, near_dedup):
+        inner |= set(re.findall(r'"(_[a-z_0-9]+)"', Path(m.__file__).read_text()))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    extra = sorted(inner)
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for i, n in enumerate(extra)])
+    for name, stage in c.STAGES:
+        plain = {r.doc_id: r for r in stage(spark, docs, small).collect()}
+        out = stage(spark, wide, small)
+        assert out.columns[: len(wide.columns)] == wide.columns
+        rows = {r["doc_id"]: r for r in out.collect()}
+        assert rows.keys() == plain.keys()
+        for i, r in rows.items():
+            assert all(r[n] == f"{k}/{i}" for k, n in enumerate(extra)) and r["text"] == plain[i].text
+
+
+def test_no_language_to_learn_from(spark, small):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in dict(c.STAGES)["language_id"](spark, docs, small).collect()}
+    assert {r.doc_id for r in docs.collect()} - kept == {102, 103}
