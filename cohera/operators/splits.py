@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohera.functions.keys import hash52, uniform
-from cohera.operators.selection import one_per_group, order_statistics
-from cohera.session import settle_parameters
+from cohera.operators.selection import one_per_group, order_statistics, running_total
+from cohera.session import settle, settle_parameters
 
 ROLES = ("train", "cal", "test")
 SPLIT = ["protocol", "seed", "fold"]
@@ -178,25 +178,38 @@ def fill_calibration(
     """Calibration units in keyed random order until ``lo`` of the pool is reached; a unit that would pass ``hi`` of
     the pool is skipped. When none fits, the smallest unit (ties: first in random order) is taken.
 
+    Below ``lo`` only a unit of more than ``hi - lo`` of the pool can pass ``hi``, so at most a few units a split (nine at
+    the defaults) can be skipped at all. The others are taken while the running total of their kind, with the large units
+    taken before, is below ``lo``: running totals are dealt over tasks, and only the few large ones go one by one.
+
     ``units``: split columns, ``unit``, ``n``. Output adds ``is_cal``.
     """
-    pool = units.groupBy(*split).agg(F.sum("n").alias("pool"), F.min("n").alias("n_min"))
-    u = units.join(pool, split).withColumn("_h", hash52(purpose, *[F.col(s) for s in split], F.col("unit")))
-    types = dict(u.dtypes)
-
-    def step(state, row):
-        acc, used_min = state or (0, False)
-        take = acc < lo * row.pool and acc + row.n <= hi * row.pool
-        acc = acc + row.n if take else acc
-        first_min = row.n == row.n_min and not used_min
-        out = (*[getattr(row, s) for s in split], row.unit, row.n, take, first_min)
-        return (acc, used_min or row.n == row.n_min), out
-
-    schema = ", ".join(f"{s} {types[s]}" for s in split) + ", unit string, n long, taken boolean, smallest boolean"
-    seen = _stream_by_split(u, split, [F.col("_h").asc(), F.col("unit").asc()], step, schema)
-    none = seen.groupBy(*split).agg((~F.max("taken")).alias("none_taken"))
-    is_cal = F.col("taken") | (F.col("none_taken") & F.col("smallest"))
-    return seen.join(none, split).select(*split, "unit", "n", is_cal.alias("is_cal"))
+    pool = settle_parameters(units.groupBy(*split).agg(F.sum("n").alias("pool"), F.min("n").alias("n_min")))
+    u = units.select(*split, F.col("unit").cast("string").alias("unit"), F.col("n").cast("long").alias("n"), hash52(purpose, *[F.col(s) for s in split], F.col("unit")).alias("_h"))
+    u = u.join(pool, split).withColumn("_large", F.col("n") > (hi - lo) * F.col("pool") - 1)
+    u = u.withColumn("_part_n", F.when(F.col("_large"), F.lit(0)).otherwise(F.col("n")))
+    u = settle(running_total(u, split, ["_h", "unit"], {"_upto": "_part_n"}))
+    place = F.struct("_h", "unit")
+    few = u.groupBy(*split, "pool").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_large"), F.struct("_h", "unit", "n", "_upto")))).alias("large"),  # below 1 / (hi - lo) + 1 units
+        F.min(F.when(F.col("n") == F.col("n_min"), place)).alias("smallest"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<_h:bigint,unit:string,n:bigint>>").alias("taken"))
+
+    def step(acc: Column, e: Column) -> Column:
+        before = e["_upto"] + acc["sum"]
+        take = (before < lo * F.col("pool")) & (before + e["n"] <= hi * F.col("pool"))
+        one = F.array(F.struct(e["_h"].alias("_h"), e["unit"].alias("unit"), e["n"].alias("n")))
+        return F.struct((acc["sum"] + F.when(take, e["n"]).otherwise(0)).alias("sum"), F.when(take, F.concat(acc["taken"], one)).otherwise(acc["taken"]).alias("taken"))
+
+    few = settle_parameters(few.select(*split, "smallest", F.aggregate("large", start, step)["taken"].alias("large")))
+    rows = u.join(few, split)
+    earlier = F.filter("large", lambda e: F.struct(e["_h"], e["unit"]) < place)
+    before = F.col("_upto") - F.col("_part_n") + F.aggregate(earlier, F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    taken = F.when(F.col("_large"), F.exists("large", lambda e: e["unit"] == F.col("unit"))).otherwise(before < lo * F.col("pool"))
+    rows = rows.withColumn("_taken", taken)
+    some = settle_parameters(rows.groupBy(*split).agg(F.bool_or("_taken").alias("_some")))
+    is_cal = F.col("_taken") | (~F.col("_some") & (F.col("smallest") == place))
+    return rows.join(some, split).select(*split, "unit", "n", is_cal.alias("is_cal"))
 
 
 def contributor_folds(

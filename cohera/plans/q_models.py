@@ -54,10 +54,16 @@ def model_ratio_polynomial(spark, sf):
     return _ols(spark, sf, M.powers(F.col("x"), 4), F.col("x").isNotNull())
 
 
-@query("model_difference_quadratic__M4")
+@query(
+    "model_difference_quadratic__M4",
+    sql(f"""WITH j AS MATERIALIZED (SELECT *, CASE WHEN k+hr>0 THEN (k-hr)::DOUBLE/(k+hr) END AS d FROM job), t AS (SELECT *, d*d AS q FROM j WHERE role='train' AND d IS NOT NULL),
+a AS MATERIALIZED (SELECT protocol, seed, regr_slope(q,d) AS sq, regr_intercept(q,d) AS iq, regr_slope(y,d) AS sy, regr_intercept(y,d) AS iy FROM t GROUP BY ALL),
+c AS (SELECT protocol, seed, sum((y-iy-sy*d)*(q-iq-sq*d))/sum(pow(q-iq-sq*d,2)) AS c2, max(sq) AS sq, max(iq) AS iq, max(sy) AS sy, max(iy) AS iy FROM t JOIN a USING (protocol, seed) GROUP BY ALL)
+SELECT protocol, seed, id, {r('CASE WHEN d IS NULL THEN med ELSE iy+sy*d+c2*(d*d-iq-sq*d) END', 6)} AS pred FROM j JOIN c USING (protocol, seed) JOIN fits USING (protocol, seed) WHERE role='test'""", "job", "fits"),
+)
 def model_difference_quadratic(spark, sf):
     nd = (F.col("k") - F.col("hr")) / F.when(F.col("k") + F.col("hr") > 0, F.col("k") + F.col("hr"))
-    return _ols(spark, sf, M.powers(nd, 2), nd.isNotNull())
+    return rounded(_ols(spark, sf, M.powers(nd, 2), nd.isNotNull()), "pred", digits=6)
 
 
 @query("model_saturating__M5")
@@ -293,10 +299,27 @@ def mixture_summary(spark, sf):
         "vec_id", rnd("r.mix_mean", 9).alias("mix_mean"), rnd("r.mix_sd", 7).alias("mix_sd"), rnd("r.point", 9).alias("point"))
 
 
-@query("mixture_quantile__M14")
+def _cdf_sql(x):
+    """The normal distribution function of :func:`cohera.functions.numeric.normal_cdf` as SQL."""
+    t = f"(1.0::DOUBLE/(1.0::DOUBLE+0.3275911::DOUBLE*abs({x})/sqrt(2.0::DOUBLE)))"
+    poly = f"(((((1.061405429::DOUBLE*{t}-1.453152027::DOUBLE)*{t}+1.421413741::DOUBLE)*{t}-0.284496736::DOUBLE)*{t}+0.254829592::DOUBLE)*{t})"
+    return f"(0.5::DOUBLE*(1.0::DOUBLE+sign({x})*(1.0::DOUBLE-{poly}*exp(-({x})*({x})/2.0::DOUBLE))))"
+
+
+def _mix_cdf(x):
+    return "+".join(f"w[{i}]*{_cdf_sql(f'(({x}-m[{i}])/s[{i}])')}/2" for i in (1, 2, 3, 4))
+
+
+@query(
+    "mixture_quantile__M14",
+    f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, 0.05::DOUBLE AS p FROM {MIX_SQL} UNION ALL SELECT *, 0.95::DOUBLE FROM {MIX_SQL}),
+b(vec_id, p, lo, hi, i) AS (SELECT vec_id, p, -20.0::DOUBLE, 20.0::DOUBLE, 0 FROM q UNION ALL
+SELECT vec_id, p, CASE WHEN f<p THEN (lo+hi)/2 ELSE lo END, CASE WHEN f<p THEN hi ELSE (lo+hi)/2 END, i+1 FROM (SELECT b.*, {_mix_cdf('((lo+hi)/2)')} AS f FROM b JOIN q USING (vec_id, p) WHERE i<52))
+SELECT vec_id, {r('max(CASE WHEN p<0.5 THEN hi END)', 6)} AS q05, {r('max(CASE WHEN p>0.5 THEN hi END)', 6)} AS q95 FROM b WHERE i=52 GROUP BY 1""",
+)
 def mixture_quantile(spark, sf):
     m = mixtures(spark, sf).withColumn("w", F.transform("w", lambda v: v / 2))
-    return m.select("vec_id", *[M.mixture_quantile(F.col("w"), F.col("m"), F.col("s"), p).alias(n) for n, p in (("q05", 0.05), ("q95", 0.95))])
+    return m.select("vec_id", *[rnd(M.mixture_quantile(F.col("w"), F.col("m"), F.col("s"), p), 6).alias(n) for n, p in (("q05", 0.05), ("q95", 0.95))])
 
 
 @query(
@@ -377,13 +400,6 @@ def interval_gaussian(spark, sf):
     return g.select(*SPLIT2, "alpha", "n_cal", rnd("qhat", 7).alias("qhat"))
 
 
-def _cdf_sql(x):
-    """The normal distribution function of :func:`cohera.functions.numeric.normal_cdf` as SQL."""
-    t = f"(1.0::DOUBLE/(1.0::DOUBLE+0.3275911::DOUBLE*abs({x})/sqrt(2.0::DOUBLE)))"
-    poly = f"(((((1.061405429::DOUBLE*{t}-1.453152027::DOUBLE)*{t}+1.421413741::DOUBLE)*{t}-0.284496736::DOUBLE)*{t}+0.254829592::DOUBLE)*{t})"
-    return f"(0.5::DOUBLE*(1.0::DOUBLE+sign({x})*(1.0::DOUBLE-{poly}*exp(-({x})*({x})/2.0::DOUBLE))))"
-
-
 RECAL_LEVELS = sorted({p for a in ALPHAS for p in (a / 2, 1 - a / 2)})
 part(
     "recal_rows",

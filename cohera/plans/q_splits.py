@@ -41,7 +41,14 @@ def unit_sizes(spark, sf):
     return d.samples(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("folds_balanced__T4")
+@query(
+    "folds_balanced__T4",
+    sql(f"""WITH RECURSIVE u AS (SELECT unit, count(*) AS n, seed FROM samples, (SELECT unnest({SEEDS})::INTEGER AS seed) GROUP BY unit, seed HAVING count(*)>=10),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n*(0.5::DOUBLE+({h("'balanced'", 'seed', 'unit')}::DOUBLE+0.5)/4503599627370496.0) DESC, unit) AS rk FROM u),
+w(seed, rk, loads, fold) AS (SELECT DISTINCT seed, 0::BIGINT, [0,0,0,0,0]::BIGINT[], -1 FROM o UNION ALL SELECT w.seed, o.rk,
+list_transform(loads, lambda v, i: v+CASE WHEN i=list_position(loads, list_min(loads)) THEN n ELSE 0 END), list_position(loads, list_min(loads))-1 FROM w JOIN o ON o.seed=w.seed AND o.rk=w.rk+1)
+SELECT o.seed, unit, n, fold::INTEGER AS fold FROM o JOIN w USING (seed, rk)""", "samples"),
+)
 def folds_balanced(spark, sf):
     return T.balanced_folds(unit_sizes(spark, sf).where("n >= 10"), "unit", SEEDS, 5)
 
@@ -214,7 +221,14 @@ def top_groups(spark, sf):
     return g.orderBy(F.col("n").desc(), "user_id").limit(6)
 
 
-@query("ordered_accumulation__W9")
+@query(
+    "ordered_accumulation__W9",
+    sql(f"""WITH RECURSIVE u AS (SELECT unit, count(*) AS n, seed FROM samples, (SELECT unnest({SEEDS})::INTEGER AS seed) GROUP BY unit, seed),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {h("'fill'", 'seed', 'unit')}, unit) AS rk, sum(n) OVER (PARTITION BY seed) AS pool, min(n) OVER (PARTITION BY seed) AS n_min FROM u),
+w(seed, rk, acc, taken) AS (SELECT DISTINCT seed, 0::BIGINT, 0::HUGEINT, false FROM o UNION ALL SELECT w.seed, o.rk, acc+CASE WHEN acc<0.25::DOUBLE*pool AND acc+n<=0.35::DOUBLE*pool THEN n ELSE 0 END,
+acc<0.25::DOUBLE*pool AND acc+n<=0.35::DOUBLE*pool FROM w JOIN o ON o.seed=w.seed AND o.rk=w.rk+1)
+SELECT o.seed, unit, n, taken OR (NOT bool_or(taken) OVER (PARTITION BY o.seed) AND o.rk=min(CASE WHEN n=n_min THEN o.rk END) OVER (PARTITION BY o.seed)) AS is_cal FROM o JOIN w USING (seed, rk)""", "samples"),
+)
 def ordered_accumulation(spark, sf):
     u = unit_sizes(spark, sf).select("unit", "n", F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))
     return T.fill_calibration(u, ["seed"])

@@ -104,6 +104,27 @@ def test_calibration_falls_back_to_the_smallest_unit(spark):
     assert [r.unit for r in got] == ["b"]
 
 
+def test_fill_calibration_with_large_units_and_many_seeds(spark):
+    """Skipped large units, small ones after them, and pools where nothing fits, against the sequential rule."""
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    sizes = {s: [int(v) for v in (rng.integers(1, 9, 40).tolist() + rng.integers(30, 120, 4).tolist())[: [44, 44, 44, 2, 1, 3, 44, 10][s]]] for s in range(8)}
+    sizes[6][:3] = [500, 200, 90]
+    rows = [(s, f"u{i}", n) for s, x in sizes.items() for i, n in enumerate(x)]
+    got = {(r.seed, r.unit): r.is_cal for r in T.fill_calibration(spark.createDataFrame(rows, "seed int, unit string, n long").repartition(4), ["seed"]).collect()}
+    want = {}
+    for s, x in sizes.items():
+        order = sorted(((int(hashlib.md5(f"fill|{s}|u{i}".encode()).hexdigest()[:13], 16), f"u{i}", n) for i, n in enumerate(x)))
+        pool, acc, taken = sum(x), 0, set()
+        for _, u, n in order:
+            if acc < 0.25 * pool and acc + n <= 0.35 * pool:
+                acc, taken = acc + n, taken | {u}
+        taken = taken or {next(u for _, u, n in order if n == min(x))}
+        want |= {(s, u): u in taken for _, u, _ in order}
+    assert got == want
+
+
 def test_contributor_folds_with_leak_removal(spark):
     _, df = frame(spark)
     mixed = df.withColumn("src", F.when(F.col("id") % 37 == 0, "u0").otherwise(F.col("u")))
