@@ -8,6 +8,7 @@ from cohera.functions import numeric as N
 from cohera.operators import crossfit as C, evaluate as E, intervals as I, models as M, splits as T
 from cohera.plans import data as d
 from cohera.operators.balance import row_balanced_folds
+from cohera.operators.factories import Inputs, default_registry
 from cohera.plans.base import part, query, rnd, rounded, sql
 from cohera.plans.data import ALPHAS, SPLIT2, alpha_rel, h, r, rank_sql
 from cohera.plans.q_splits import draws
@@ -97,20 +98,12 @@ def model_fallback(spark, sf):
         F.count_if(F.col("p_ratio") == F.col("p_const")).alias("n_at_median"))
 
 
-def registry() -> M.ModelRegistry:
-    reg = M.ModelRegistry()
-
-    def const(train, score):
-        return score.join(settle_parameters(M.fit_median(train, SPLIT2)), SPLIT2)
+def difference():
+    return (F.col("k") - F.col("hr")) / F.when(F.col("k") + F.col("hr") > 0, F.col("k") + F.col("hr"))
 
-    def ratio(train, score):
-        par = settle_parameters(M.fit_line(train, SPLIT2, "x").join(M.fit_median(train, SPLIT2).withColumnRenamed("pred", "m"), SPLIT2))
-        p = M.with_fallback(F.col("intercept") + F.col("slope") * F.col("x"), F.col("x").isNotNull(), F.col("m"))
-        return score.join(par, SPLIT2).withColumn("pred", p).drop("slope", "intercept", "m")
 
-    reg.register("const", const)
-    reg.register("ratio", ratio)
-    return reg
+def registry() -> M.ModelRegistry:
+    return default_registry(Inputs(SPLIT2, "grp", ridge_basis, "x", difference, lambda: F.lit(3.141592653589793) * F.col("k") * 1e-3, FEATURES))
 
 
 @query(
@@ -119,7 +112,8 @@ def registry() -> M.ModelRegistry:
 )
 def model_registry(spark, sf):
     j = d.job(spark, sf)
-    s = registry().run(["const", "ratio"], j.where("role='train'"), j.where("role='test'"))
+    names = [n for n in M.DEFAULT_MODELS["depth"] if n in ("const", "emp_ratio")]  # those with an SQL twin
+    s = registry().run(names, j.where("role='train'"), j.where("role='test'")).replace({"emp_ratio": "ratio"}, subset=["model"])
     return s.groupBy(*SPLIT2, "model").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("pred"), 7).alias("mean_pred"))
 
 

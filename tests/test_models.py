@@ -93,3 +93,22 @@ def test_mixture_summary(spark):
     mean = (w * m).sum()
     assert r.mix_mean == pytest.approx(mean) and r.mix_sd == pytest.approx(np.sqrt((w * (s**2 + m**2)).sum() - mean**2))
     assert r.point == pytest.approx(2.5)
+
+
+def test_default_models_are_registered_and_score_every_row(spark):
+    from cohera.operators import factories as X
+
+    rng = np.random.default_rng(2)
+    rows = [(s, int(g), i, None if i % 11 == 0 else float(rng.normal()), float(rng.uniform(0.1, 3))) for s in (0, 1) for i, g in enumerate(rng.integers(0, 12, 120))]
+    df = spark.createDataFrame(rows, "s int, g int, id int, x double, z double").withColumn("y", F.coalesce(F.col("x"), F.lit(0.0)) * 0.8 + F.col("z") * 0.1)
+    inputs = X.Inputs(["s"], "g", lambda: [F.col("z")], "x", lambda: F.col("x") / 10, lambda: F.col("z") / 10, ["z"], trees=2, depth=2)
+    made = X.factories(inputs)
+    assert {n for names in M.DEFAULT_MODELS.values() for n in names} == set(made)
+    train, score = df.where("id >= 20"), df.where("id < 20").drop("y")
+    out = X.default_registry(inputs).run(M.DEFAULT_MODELS["pigment"], train, score).toPandas()
+    assert len(out) == 5 * 40 and out["pred"].notna().all() and set(out["model"]) == set(M.DEFAULT_MODELS["pigment"])
+    med = train.toPandas().groupby("s")["y"].median()
+    for r in out[(out.model == "const") | ((out.model == "emp_oc") & out.x.isna())].itertuples():
+        assert r.pred == pytest.approx(med[r.s])
+    nechad = X.default_registry(inputs).run(["emp_nechad"], train, score)
+    assert nechad.where("pred IS NULL").count() == 0 and nechad.count() == 40
