@@ -176,28 +176,25 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
 
 SQL = f"""
 WITH RECURSIVE w AS (SELECT source, floor(sqrt(count(*)::DOUBLE))::BIGINT AS weight FROM documents GROUP BY 1),
-t AS (SELECT source, weight, count(*) OVER () AS n, sum(weight) OVER () AS total FROM w WHERE weight > 0),
-b AS (SELECT *, (weight * ({PERIOD} - n)) // total AS base FROM t),
-r AS (SELECT *, weight * ({PERIOD} - n) - base * total AS rest, {PERIOD} - n - sum(base) OVER () AS spare FROM b),
-sh AS (SELECT source, (1 + base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source ASC NULLS FIRST) <= spare THEN 1 ELSE 0 END)::INT AS share FROM r),
-arr AS (SELECT list(share ORDER BY source ASC NULLS FIRST) AS a, list(source ORDER BY source ASC NULLS FIRST) AS s FROM sh),
+f AS (SELECT list_reduce(list(weight), lambda x, y: gcd(x, y)) AS g FROM w),
+sh AS (SELECT source, (weight // g)::BIGINT AS share FROM w, f),
+arr AS (SELECT list(share ORDER BY source ASC NULLS FIRST) AS a, list(source ORDER BY source ASC NULLS FIRST) AS s, sum(share)::BIGINT AS q FROM sh),
 edf(slot, pick, used) AS (
-  SELECT -1, 0::BIGINT, list_transform(a, lambda x: 0) FROM arr
+  SELECT -1::BIGINT, 0::BIGINT, list_transform(a, lambda x: 0::BIGINT) FROM arr
   UNION ALL
   SELECT slot + 1, p, list_transform(used, lambda u, i: CASE WHEN i = p THEN u + 1 ELSE u END)
   FROM (SELECT slot, used, list_position(due, list_min(due))::BIGINT AS p
-        FROM (SELECT slot, used, list_transform(used, lambda u, i: CASE WHEN u < a[i] AND (u * {PERIOD}) // a[i] <= slot + 1 THEN ((u + 1) * {PERIOD} + a[i] - 1) // a[i] ELSE {2 * PERIOD} END) AS due
-              FROM edf, arr WHERE slot < {PERIOD} - 1))),
-plan AS (SELECT s[pick] AS source, a[pick] AS share, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf, arr WHERE slot >= 0),
+        FROM (SELECT slot, used, list_transform(used, lambda u, i: CASE WHEN (u * q) // a[i] <= slot + 1 THEN ((u + 1) * q + a[i] - 1) // a[i] ELSE 4 * q END) AS due
+              FROM edf, arr WHERE slot < q - 1))),
+plan AS (SELECT s[pick] AS source, a[pick] AS share, q, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf, arr WHERE slot >= 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS rank FROM documents)
 SELECT doc_id, d.source, (rank // {BLOCK})::BIGINT AS mix_block, (rank % {BLOCK})::INT AS mix_place,
-       (((rank // {BLOCK}) // share) * {PERIOD} + slot)::BIGINT AS mix_slot
+       (((rank // {BLOCK}) // share) * q + slot)::BIGINT AS mix_slot
 FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source AND (rank // {BLOCK}) % share = k
 """
 
 
 @query("op1_source_mixing", SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL's target: shares of 1,000 slots, rounded
-    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), period=PERIOD)
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))  # the weights themselves, not rounded
     return out.select("doc_id", "source", "mix_block", "mix_place", "mix_slot")
