@@ -3,6 +3,9 @@
 A text is the mean of the embeddings of its hashed byte 3- and 4-grams inside words (word borders included) and of its
 words. Training is stochastic gradient descent in numpy on a bounded sample; since mean and softmax layer are both
 linear before the softmax, scoring needs one logit per bucket and language, a table of fixed size that every task gets.
+
+A softmax is sure of itself on text unlike anything it was trained on, so rejection looks at two things: the winning
+probability, and the share of a text's subwords that no learned text has (its novelty). Both levels are calibrated.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from cohera.llm.textcore import Texts, U, letters_in, mix, rows_of, runs, span_h
 
 BITS = 15  # 2^BITS hash buckets
 DIM = 16
+SEEN_BITS = 22  # 2^SEEN_BITS places of the set of learned subwords (half a megabyte)
+PRIOR = 8  # subwords taken as known in every text, so that one new word does not make a short text foreign
 UNKNOWN = "und"
 SMALL = 1 << 18  # bytes of a slice in the driver, where training has little memory
 #: Letters (a-z and bytes of letters outside ASCII) stay, everything else is a word border.
@@ -27,8 +32,11 @@ AS_LETTER[97:123] = np.arange(97, 123)
 AS_LETTER[128:] = np.arange(128, 256)
 
 
-def subwords(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every subword of a slice and the n + 1 row offsets into them."""
+def subwords(t: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (one of 2^``bits``) of every subword of a slice and the n + 1 row offsets into them.
+
+    A bucket of fewer bits is the leading part of one of more.
+    """
     n = len(t.offs) - 1
     data = np.full(len(t.data) + n + 1, 32, dtype=np.uint8)
     data[np.arange(len(t.data)) + rows_of(t.offs) + 1] = AS_LETTER[t.data]
@@ -48,10 +56,10 @@ def subwords(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             g = (g << U(8)) | wide[at + j]
         where.append(at)
-        bucket.append((g + U(k << 40)) * U(0x9E3779B97F4A7C15) >> U(64 - BITS))
+        bucket.append((g + U(k << 40)) * U(0x9E3779B97F4A7C15) >> U(64 - bits))
     starts, ends = runs(letter, np.array([0, len(data)]))
     where.append(np.maximum(starts - 1, 0))
-    bucket.append(span_hashes(data, starts, ends) >> U(64 - BITS))
+    bucket.append(span_hashes(data, starts, ends) >> U(64 - bits))
     where, bucket = np.concatenate(where), np.concatenate(bucket).astype(np.int32)
     row = np.searchsorted(offs, where, "right") - 1
     order = np.argsort(row, kind="stable")
@@ -60,12 +68,15 @@ def subwords(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Logits per bucket and language (bias included), the temperature of the scores, and the rejection threshold."""
+    """Logits per bucket and language (bias included), the temperature of the scores, the probability below which and the
+    novelty above which a text is rejected, and the learned subwords as a packed bit set (None: novelty is not judged)."""
 
     langs: tuple[str, ...]
     logits: np.ndarray
     temperature: float
     reject_below: float
+    novel_above: float = 1.0
+    seen: np.ndarray | None = None
 
     def probabilities(self, mean_logits: np.ndarray) -> np.ndarray:
         z = mean_logits / self.temperature
@@ -84,13 +95,56 @@ def mean_logits(table_: np.ndarray, bucket: np.ndarray, offs: np.ndarray) -> np.
     return out
 
 
-def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: float = 2.0, seed: int = 7, accept: float = 0.999) -> LanguageModel:
+def novelty(known: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Share of the subwords of each row that are not ``known``, with ``PRIOR`` known ones added."""
+    strange = np.concatenate([[0], np.cumsum(~known)])[offs]
+    return np.diff(strange) / (np.diff(offs) + PRIOR)
+
+
+@dataclass
+class Learned:
+    """How many rows (up to 255), and which least and largest language, have a subword: three tables of fixed size."""
+
+    rows: np.ndarray
+    least: np.ndarray
+    largest: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, y: np.ndarray) -> Learned:
+        size = 1 << SEEN_BITS
+        got = cls(np.zeros(size, np.uint8), np.full(size, np.iinfo(np.int32).max, np.int32), np.full(size, -1, np.int32))
+        for t in text_slices(texts, limit=SMALL):
+            wide, offs = subwords(t, SEEN_BITS)
+            key = np.unique((np.repeat(np.arange(len(offs) - 1), np.diff(offs)) << SEEN_BITS) | wide)
+            at, lang = key & (size - 1), y[t.lo + (key >> SEEN_BITS)].astype(np.int32)
+            each, n = np.unique(at, return_counts=True)
+            got.rows[each] = np.minimum(got.rows[each] + n, 255)
+            np.minimum.at(got.least, at, lang)
+            np.maximum.at(got.largest, at, lang)
+        return got
+
+    def levels(self, texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Novelty of learned rows, each against the other rows, and against the rows of all languages but its own."""
+        own, other = [], []
+        for t in text_slices(texts, limit=SMALL):
+            wide, offs = subwords(t, SEEN_BITS)
+            lang = np.repeat(y[t.lo : t.hi], np.diff(offs))
+            own.append(novelty(self.rows[wide] > 1, offs))
+            other.append(novelty((self.least[wide] != lang) | (self.largest[wide] != lang), offs))
+        return np.concatenate(own), np.concatenate(other)
+
+
+def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: float = 2.0, seed: int = 7, accept: float = 0.998) -> LanguageModel:
     """Train on four fifths of the rows, calibrate on the rest. Rows are passed over six times at least, and until
     ``least_examples`` have been seen: small samples need more passes.
 
-    The temperature minimises the log loss of the calibration rows. The threshold is their (1 - ``accept``) quantile of
-    the winning probability, but at most one and a half times chance: only texts that look like no learned language,
-    or like all of them, are rejected.
+    The temperature minimises the log loss of the calibration rows. A text is rejected below the k-th smallest of their
+    winning probabilities, k = (1 - ``accept``) (rows + 1) rounded down, so that a clean text is rejected with probability
+    1 - ``accept`` at most (never by probability if k is 0); or above a level of novelty: each calibration row is compared
+    with all other rows (a clean text) and with the rows of all other languages (a text of a language not learned). The
+    level is the k-th largest of the clean ones (the largest if k is 0), moved half way up to the 5% quantile of the
+    foreign ones where that lies higher. With fewer than five rows that have a letter nothing can be calibrated and
+    nothing is rejected.
     """
     names = tuple(sorted(set(langs)))
     y = np.array([names.index(v) for v in langs], dtype=np.int64)
@@ -142,7 +196,12 @@ def fit(texts: pa.Array, langs: list[str], least_examples: int = 36_000, rate: f
 
     t = min((float(2.0**k) for k in np.arange(-3, 3.25, 0.25)), key=loss)
     best = np.sort(LanguageModel(names, model.logits, t, 0.0).probabilities(z).max(axis=1))
-    return LanguageModel(names, model.logits, t, float(min(best[int((1 - accept) * len(best))], 1.5 / len(names))))
+    learned = Learned.of(texts, y)
+    clean, foreign = learned.levels(texts.take(pa.array(held)), y[held])
+    k = int((1 - accept) * (len(held) + 1) + 1e-9)
+    level = float(np.sort(clean)[-max(k, 1)])
+    level = max(level, (level + float(np.quantile(foreign, 0.05, method="lower"))) / 2)
+    return LanguageModel(names, model.logits, t, float(best[k - 1]) if k else 0.0, level, np.packbits(learned.rows > 0))
 
 
 def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, total: int) -> DataFrame:
@@ -173,6 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     at = kept.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None if model is None or model.seen is None else np.unpackbits(model.seen).view(bool)
         for batch in batches:
             langs, probs, rejected = [], [], []
             column = batch.column(at)
@@ -183,15 +243,16 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                     probs += [0.0] * n
                     rejected += [True] * n
                     continue
-                bucket, offs = subwords(t)
-                p = model.probabilities(mean_logits(model.logits, bucket, offs))
+                wide, offs = subwords(t, SEEN_BITS)
+                p = model.probabilities(mean_logits(model.logits, wide >> (SEEN_BITS - BITS), offs))
+                strange = np.zeros(n) if seen is None else novelty(seen[wide], offs)
                 ascii_letters = np.concatenate([[0], np.cumsum((t.data >= 97) & (t.data <= 122))])[t.offs]
                 for i in range(n):
                     known = ascii_letters[i + 1] > ascii_letters[i] or letters_in(column[t.lo + i].as_py() or "")
                     best = int(p[i].argmax())
                     langs.append(model.langs[best] if known else UNKNOWN)
                     probs.append(round(float(p[i, best]), 9) if known else 0.0)
-                    rejected.append(not known or p[i, best] < model.reject_below)
+                    rejected.append(not known or p[i, best] < model.reject_below or strange[i] > model.novel_above)
             new = [pa.array(langs, pa.string()), pa.array(probs, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 

@@ -36,6 +36,44 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in lid.identify(docs, None).collect()} == {"und"}
 
 
+FOREIGN = [
+    "asdkjh qwoieu zxmcn bvlaks jdhfg qpwoei rutyal skdjfh gzmxn", "zzzzqqqq xxyyzz", "Това е изречение на български език за времето",
+    "日本語の文章はここにあります", "questo è un testo scritto in italiano per la prova", "ωραία μέρα σήμερα στην πόλη"]
+
+
+@pytest.mark.parametrize("sf, lost", [("0.01", 0.01), ("0.1", 0.004)])
+def test_unlearned_languages_and_noise_are_rejected_and_clean_texts_kept(spark, sf, lost):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = lid.train(docs, ~held, "doc_id", "text", "lang")
+    probes = spark.createDataFrame([(t,) for t in FOREIGN] + [(t * 2_000,) for t in FOREIGN[:3]], "text string")
+    assert all(r.rejected for r in lid.identify(probes, model).collect())
+    kept = spark.createDataFrame([("the and of",), ("le la les des",), ("der die und das",)], "text string")
+    assert not any(r.rejected for r in lid.identify(kept, model).collect())
+    assert lid.identify(docs.where(held), model).select(F.avg(F.col("rejected").cast("int"))).first()[0] <= lost
+
+
+def test_a_language_left_out_is_rejected(spark):
+    """Texts of a learned language pass, those of the one that was held back do not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.length("text") > 200)
+    model = lid.train(docs, F.col("lang") != "de", "doc_id", "text", "lang")
+    rate = {r.lang: r.r for r in lid.identify(docs, model).groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()}
+    assert rate["de"] > 0.95 and max(v for k, v in rate.items() if k != "de") < 0.004
+
+
+def test_novelty_levels_against_sets():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcde" if i % 3 else "cdefé", k=4)) for _ in range(rng.randint(0, 12))) for i in range(60)]
+    y = np.array([i % 3 for i in range(60)])
+    sets = [lid.subwords(t, lid.SEEN_BITS)[0] for x in texts for t in text_slices(pa.array([x]))]
+    got = lid.Learned.of(pa.array(texts), y).levels(pa.array(texts), y)
+    for i, found in enumerate(sets):
+        others = set(np.concatenate([s for j, s in enumerate(sets) if j != i]).tolist())
+        foreign = set(np.concatenate([s for j, s in enumerate(sets) if y[j] != y[i]]).tolist())
+        for level, known in zip(got, (others, foreign)):
+            assert abs(level[i] - sum(b not in known for b in found.tolist()) / (len(found) + lid.PRIOR)) < 1e-12
+
+
 def test_scores_do_not_depend_on_slices():
     texts = pa.array(["the of and", "der die das " * 50, "le la les", ""] * 30)
     model = lid.fit(texts, ["en", "de", "fr", "en"] * 30, least_examples=600)
