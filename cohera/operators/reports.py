@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohera.functions.numeric import finite_or_null
@@ -34,14 +38,66 @@ def protocol_summary(sizes: DataFrame, protocol: str = "protocol") -> DataFrame:
         F.percentile("groups_test", 0.5).alias("median_test_groups"), F.min("groups_cal").alias("min_cal_groups"))
 
 
+DIRECTIONS = (64, 256)  # corners of an outline polygon in the first and the second pass
+FEW = 32  # rows of a group in a batch that are not worth an outline
+
+
+def _outline(rows: DataFrame, group: str) -> DataFrame:
+    """Points that may be corners of their group's convex hull: ``group``, x, y, z.
+
+    ``rows``: group, unit vector x, y, z, the group's mean cx, cy, cz, and ``narrow`` (no two points of the group are more
+    than 90 degrees apart). Seen from the sphere's centre onto the plane that touches it at the mean, great circles are
+    straight lines, and the distance to a fixed point is convex along them, so a point inside a polygon of other points of
+    a narrow group is no end of its longest distance. Each batch drops the points inside the polygon of its own extremes
+    in ``DIRECTIONS`` directions, first where the rows lie, then once more by group: outlines of outlines merge, no
+    task holds a group, and a group of any size sends few rows to the second pass. Wide groups pass as they are.
+    """
+    def corners(p: np.ndarray, c: np.ndarray, towards: np.ndarray) -> np.ndarray:
+        c = c / np.linalg.norm(c)
+        side = np.cross(c, np.eye(3)[np.abs(c).argmin()])
+        side /= np.linalg.norm(side)
+        flat = p @ np.stack([side, np.cross(c, side)], axis=1) / (p @ c)[:, None]
+        ends = (flat @ towards).argmax(axis=0)
+        ends = ends[ends != np.roll(ends, 1)]  # a corner that is extreme in several directions counts once
+        inside = np.ones(len(p), dtype=bool)
+        for i, j in zip(ends, np.roll(ends, -1)):
+            edge, to = flat[j] - flat[i], flat - flat[i]
+            inside &= edge[0] * to[:, 1] - edge[1] * to[:, 0] > 1e-15
+        return ~inside
+
+    def reduce_to(directions: int):
+        angle = np.linspace(0, 2 * np.pi, directions, endpoint=False)
+        towards = np.stack([np.cos(angle), np.sin(angle)])
+
+        def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p, c = (np.stack([b.column(i).to_numpy() for i in part], axis=1) for part in ((1, 2, 3), (4, 5, 6)))
+                narrow = b.column(7).to_numpy(zero_copy_only=False)
+                code = b.column(0).dictionary_encode().indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                keep = np.ones(len(order), dtype=bool)
+                for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                    if len(at) >= FEW and narrow[at[0]]:
+                        keep[at] = corners(p[at], c[at[0]], towards)
+                yield b.filter(pa.array(keep))
+
+        return reduce
+
+    once, again = (reduce_to(n) for n in DIRECTIONS)
+    rows_once = rows.mapInArrow(once, rows.schema)
+    return rows_once.repartition(group).sortWithinPartitions(group).mapInArrow(again, rows.schema).select(group, "x", "y", "z")
+
+
 def group_extent(df: DataFrame, group: str, lat: str, lon: str) -> DataFrame:
     """Largest great-circle distance inside each group, exact, without all pairs.
 
     Points become unit vectors; the farthest pair of a set lies on its convex hull, so per group only points that are
     extreme in some direction are compared first to get a lower bound L. A point can belong to a longer pair only if
-    its distance to the group's centre plus the group's radius reaches L; the few points that pass are compared.
+    its distance to the group's centre plus the group's radius reaches L. Of the points that pass, those inside an outline
+    of others go (:func:`_outline`), and the corners that are left are compared. Rows without a group or a coordinate
+    do not count.
     """
-    pts = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(group, lat, lon).distinct()
+    pts = df.where(F.col(group).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(group, lat, lon).distinct()
     la, lo = F.radians(lat), F.radians(lon)
     pts = pts.withColumns({"x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)})
     box = pts.groupBy(group).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
@@ -61,6 +117,8 @@ def group_extent(df: DataFrame, group: str, lat: str, lon: str) -> DataFrame:
     low = F.array_max(F.transform("ends", lambda u: F.array_max(F.transform("ends", lambda v: dist2(u, v)))))
     ext = ext.select(group, "rmax", F.sqrt(low).alias("low"))
     cand = near.join(ext, group).where(F.col("r") + F.col("rmax") >= F.col("low") - 1e-12)
+    narrow = F.col("rmax") <= F.lit(0.7)  # pairs at most 1.4 apart, less than the chord of 90 degrees
+    cand = _outline(cand.select(group, "x", "y", "z", "cx", "cy", "cz", narrow.alias("narrow")), group)
     a = cand.select(group, *[F.col(c).alias(f"a{c}") for c in "xyz"])
     b = cand.select(group, *[F.col(c).alias(f"b{c}") for c in "xyz"])
     chord2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2
