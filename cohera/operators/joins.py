@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import EARTH_RADIUS_KM, haversine_km
+from cohera.operators.distances import ROWS, Known, squares
 from cohera.operators.selection import first_k_per_group
+from cohera.session import settle, settle_parameters
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,22 +133,89 @@ def merge_candidates(near: DataFrame, links: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- near duplicates
-def near_duplicates(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float) -> DataFrame:
+TILE_ROWS = 4_096  # rows of a side that meet in one task at once
+
+
+def near_duplicates(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links between rows of equal block key whose root-mean-square vector difference is below ``limit``.
 
-    Rows with the same vector are one member. Inside a block a fine cell of the first component cuts the search: a
-    difference below the limit over p components implies a first-component difference below ``limit * sqrt(p)``, so only
-    the own and the next cell can hold a partner.
+    Rows with the same vector are one member. A difference below the limit over p components implies a first-component
+    difference below ``limit * sqrt(p)``, so a block of more than ``tile_rows`` rows is cut into cells of at least that
+    width, and only the own and the next cell can hold a partner; a cell with more rows is cut into tiles. Tiles meet in
+    pairs, in tasks of bounded memory; small blocks share a task. Inside, rows lie in the order of the first component, a
+    matrix product leaves out most pairs in reach, and the rest is summed exactly. Where all vectors of a block are in
+    reach (no structure, wide limit), every pair of its tiles is visited.
     """
-    rows = df.where(F.forall(vec, lambda v: v.isNotNull())).groupBy(*block, vec).agg(F.min(id_col).alias(id_col))
+    finite = F.forall(vec, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
+    rows = df.where(finite & (F.size(vec) > 0))
+    for c in block:
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.groupBy(*block, vec).agg(F.min(id_col).alias("_id"))
     p = F.size(vec)
-    first = F.get(vec, F.lit(0)).cast("double")
-    cell = F.floor(first / (F.lit(limit) * F.sqrt(p)))
-    a = rows.select(*block, F.col(id_col).alias("a"), F.col(vec).alias("va"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
-    b = rows.select(*block, F.col(id_col).alias("b"), F.col(vec).alias("vb"), cell.alias("_c"))
-    sq = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v.cast("double"))
-    j = a.join(b, [*block, "_c"]).where(F.col("a") < F.col("b")).withColumn("rms", F.sqrt(sq / F.size("va")))
-    return j.where(F.col("rms") < limit).select(*block, "a", "b", "rms")
+    rows = settle(rows.select(*block, "_id", F.transform(vec, lambda v: v.cast("double")).alias("_v"), p.alias("_p")))
+    own = [*block, "_p"]
+    first = F.get("_v", F.lit(0))
+    sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_low"), F.max(first).alias("_high"))
+    sizes = settle_parameters(sizes.where("_n > 1"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    big = F.col("_n") > tile_rows
+    width = F.greatest(F.lit(limit * (1 + 1e-9)) * F.sqrt("_p"), (F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / tile_rows))
+    lot = F.when(big, F.xxhash64(*own).bitwiseOR(F.lit(-(2**63)))).otherwise(F.pmod(F.xxhash64(*own), F.lit(-(-total // tile_rows) or 1)))
+    cell = F.when(big, F.floor((first - F.col("_low")) / width)).otherwise(F.lit(0)).cast("long")
+    rows = rows.join(sizes, own).withColumn("_lot", lot).withColumn("_cell", cell).drop("_n", "_low", "_high")
+    tiles = rows.groupBy("_lot", "_cell").agg(F.when(F.col("_lot") >= 0, 1).otherwise(F.ceil(F.count(F.lit(1)) / tile_rows)).cast("int").alias("_tiles"))
+    tiles = settle_parameters(tiles)
+    rows = rows.join(tiles, ["_lot", "_cell"]).withColumn("_tile", F.pmod(F.xxhash64("_id"), "_tiles").cast("int")).drop("_tiles")
+    each = tiles.select("_lot", "_cell", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile"))
+    a, b = (each.select("_lot", F.col("_cell").alias(f"_cell_{s}"), F.col("_tile").alias(f"_tile_{s}")) for s in "ab")
+    meet = a.join(b, "_lot").where("_cell_b = _cell_a + 1 OR _cell_b = _cell_a AND _tile_a <= _tile_b")
+    meet = settle_parameters(meet)
+    key = ["_lot", "_cell_a", "_tile_a", "_cell_b", "_tile_b"]
+    place = lambda s: rows.withColumnsRenamed({"_cell": f"_cell_{s}", "_tile": f"_tile_{s}"}).join(
+        meet, ["_lot", f"_cell_{s}", f"_tile_{s}"])
+    left = place("a")
+    right = place("b").where("_cell_a <> _cell_b OR _tile_a <> _tile_b")  # a tile that meets itself comes once
+    right = right.toDF(*right.columns)  # columns of its own for the cogroup
+    types = dict(rows.dtypes)
+    out = [*block, "a", "b", "rms"]
+
+    def links(_, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        others = dict(list(two.groupby(own, sort=False))) if len(two) else {}
+        for name, x in one.groupby(own, sort=False):
+            alone = two.empty
+            y = x if alone else others.get(name)
+            if y is None:
+                continue
+            for i, j, rms in near_pairs(np.vstack(x["_v"].to_list()), np.vstack(y["_v"].to_list()), limit, alone):
+                m, n = x["_id"].to_numpy()[i], y["_id"].to_numpy()[j]
+                swap = m > n
+                found.append(pd.DataFrame({"a": np.where(swap, n, m), "b": np.where(swap, m, n), "rms": rms}).assign(**dict(zip(block, name))))
+        return pd.concat(found)[out] if found else pd.DataFrame({c: [] for c in out})
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in block), f"a {types['_id']}", f"b {types['_id']}", "rms double"])
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(links, schema)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and root-mean-square differences of the pairs below ``limit``; of one block with itself, each pair once."""
+    reach = limit * math.sqrt(x.shape[1])
+    at, to = np.argsort(x[:, 0], kind="stable"), np.argsort(y[:, 0], kind="stable")
+    x, y = x[at], y[to]
+    known, wide = Known(y), reach * (1 + 1e-9)
+    low, high = np.searchsorted(y[:, 0], x[:, 0] - wide), np.searchsorted(y[:, 0], x[:, 0] + wide, side="right")
+    for r in range(0, len(x), ROWS):
+        some = x[r : r + ROWS]
+        start, end = low[r], high[min(r + ROWS, len(x)) - 1]
+        if same:
+            start = max(start, r)
+        if start >= end:
+            continue
+        i, j = known.within(some, np.full(len(some), reach), start, end)
+        if same:
+            i, j = i[r + i < j], j[r + i < j]
+        rms = np.sqrt(squares(some[i], y[j]) / x.shape[1])
+        yield at[r + i[rms < limit]], to[j[rms < limit]], rms[rms < limit]
 
 
 # ---------------------------------------------------------------- set operations

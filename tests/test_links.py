@@ -104,6 +104,23 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("tile_rows", [7, 40, 4096])
+def test_near_duplicates_in_tiles_match_all_pairs(spark, tile_rows):
+    """A block of several cells, one whose rows share their first component, small blocks, odd vectors."""
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(0, 1, (260, 6))
+    vecs[:60] += 1e6
+    vecs[60:120, 0] = 0.25
+    keys = [0] * 120 + [int(k) for k in rng.integers(1, 60, 140)]
+    rows = [(i, k, v.tolist()) for i, (k, v) in enumerate(zip(keys, vecs))]
+    odd = [(900, 0, [0.25] * 5), (901, 0, []), (902, 0, None), (903, 0, [0.25, None, 0.0, 0.0, 0.0, 0.0]), (904, 0, [float("inf")] * 6), (905, None, vecs[70].tolist())]
+    df = spark.createDataFrame(rows + odd, "id int, k int, v array<double>").repartition(3)
+    got = [(r.k, r.a, r.b, r.rms) for r in J.near_duplicates(df, "id", "v", ["k"], 0.9, tile_rows).collect()]
+    rms = {(keys[a], a, b): np.sqrt(((vecs[a] - vecs[b]) ** 2).mean()) for a, b in itertools.combinations(range(260), 2) if keys[a] == keys[b]}
+    want = {k: v for k, v in rms.items() if v < 0.9}
+    assert len(got) == len(want) > 100 and all(d == pytest.approx(want[k, a, b], rel=1e-12) for k, a, b, d in got)
+
+
 def test_checked_joins_fail_on_repeated_keys(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "p"), (1, "q")], "k int, w string")
