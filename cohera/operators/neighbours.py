@@ -3,8 +3,10 @@
 Training rows lie in the cell of their nearest pivot. A test row first visits its own cell; the k-th distance found there
 bounds the true one. Every other cell whose ring around its pivot (least to greatest distance of its rows) comes no nearer
 to the test row than that bound can't hold a nearer neighbour and is left out of the second round; so is a cell whose
-half-space, on its pivot's side, begins beyond the bound. Equal training vectors are one row with a count, and a cell with
-more than ``CELL_ROWS`` rows is cut into tiles, so that a task holds bounded blocks of both sides.
+half-space, on its pivot's side, begins beyond the bound. Equal training vectors are one row with a count. A test row
+travels once to a lot of ``LOT_CELLS`` cells, with the list of those that it visits there; a lot with more than
+``LOT_CELLS * CELL_ROWS`` rows is cut into tiles, and its test rows are dealt in parts, so that a task holds bounded blocks
+of both sides. Blocks are compared by matrix products, and exact sums decide what these leave (``distances``).
 
 Pivots only steer the work: they are the training rows with the least hashes, at most ``PIVOTS`` a split, and any choice
 gives the same distances.
@@ -20,10 +22,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cohera.operators.distances import Known, distances, nearest
 from cohera.operators.selection import first_k_per_group
 from cohera.session import settle, settle_parameters
 
 CELL_ROWS = 4_096
+LOT_CELLS = 16
+GUESTS = 32_768  # test rows that meet a lot in one task
 PIVOTS = 512
 CHUNK = 256
 SLACK = 1e-9  # relative: computed distances may be this far from the true ones
@@ -44,14 +49,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All distances, a component at a time: no cancellation, one matrix of memory."""
-    square = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1] if len(x) else 0):
-        square += np.square(x[:, j, None] - y[None, :, j])
-    return np.sqrt(square)
-
-
 class Pivots:
     """Per split: the pivots, and of each cell the number of rows and the ring they lie in. Bounded by ``PIVOTS`` rows."""
 
@@ -61,6 +58,7 @@ class Pivots:
         for r in rows:
             self.points.setdefault(tuple(r[c] for c in split), []).append(r["z"])
         self.points = {k: np.array(sorted(v)) for k, v in self.points.items()}
+        self.apart: dict[tuple, np.ndarray] = {}
         self.rings = {k: np.tile([np.inf, -np.inf], (len(v), 1)) for k, v in self.points.items()}
         for r in rings or []:
             self.rings[tuple(r[c] for c in split)][r["cell"]] = r["low"], r["high"]
@@ -77,15 +75,17 @@ class Pivots:
             for key in set(keys):
                 at = np.flatnonzero([k == key for k in keys])
                 for part in np.array_split(at, -(-len(at) // CHUNK)):
-                    d = _distances(z[part], self.points[key])
+                    d = distances(z[part], self.points[key])
                     cell[part], away[part] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
 
     def others(self, key: tuple, z: np.ndarray, own: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
         """Per test row: the cells besides its own that may hold a training row within ``bound``."""
         points, ring = self.points[key], self.rings[key]
-        d = _distances(z, points)
-        apart = _distances(points, points)
+        d = distances(z, points)
+        apart = self.apart.get(key)
+        if apart is None:
+            apart = self.apart[key] = distances(points, points)
         least = np.maximum(ring[None, :, 0] - d, d - ring[None, :, 1])
         near = d.min(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):  # rows of a cell are nearer to its pivot than to any other
@@ -98,12 +98,14 @@ class Pivots:
 
 
 def _visits(test: DataFrame, train: DataFrame, split: list[str], cells: DataFrame, k: int, types: dict[str, str], cell_rows: int) -> DataFrame:
-    """split, _id, d: up to k least distances of each test row (with a cell) for each tile of that cell it visits."""
-    by = [*split, "cell"]
-    tiles = settle_parameters(cells.select(*by, F.ceil(F.col("n") / cell_rows).cast("int").alias("tiles")))
-    guests = settle_parameters(test.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts")))
+    """split, _id, d: up to k least distances of each test row (z, lot, cells, bound) for each tile of the lot it visits;
+    distances above the bound may be missing."""
+    by = [*split, "lot"]
+    lot = F.floor(F.col("cell") / LOT_CELLS).cast("int").alias("lot")
+    tiles = settle_parameters(cells.groupBy(*split, lot).agg(F.ceil(F.sum("n") / (cell_rows * LOT_CELLS)).cast("int").alias("tiles")))
+    guests = settle_parameters(test.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("parts")))
     lots = tiles.join(guests, by)
-    tr = train.join(lots, by).withColumn("tile", F.pmod(F.xxhash64("z"), "tiles").cast("int"))
+    tr = train.select(*split, lot, "cell", "z", "copies").join(lots, by).withColumn("tile", F.pmod(F.xxhash64("z"), "tiles").cast("int"))
     tr = tr.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("tiles", "parts")
     te = test.join(lots, by).withColumn("part", F.pmod(F.xxhash64("_id"), "parts").cast("int"))
     te = te.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles", "parts")
@@ -113,12 +115,17 @@ def _visits(test: DataFrame, train: DataFrame, split: list[str], cells: DataFram
         head = dict(zip(split, keys))
         if left.empty or right.empty:
             return pd.DataFrame({"_id": [], "d": []}).assign(**head)[[*split, "_id", "d"]]
-        asked, known, copies = np.vstack(right["z"].to_list()), np.vstack(left["z"].to_list()), left["copies"].to_numpy()
-        nearest = np.full((len(asked), k), np.inf)
-        for a in range(0, len(known), CHUNK):
-            d = np.repeat(_distances(asked, known[a : a + CHUNK]), np.minimum(copies[a : a + CHUNK], k), axis=1)
-            nearest = np.partition(np.concatenate([nearest, d], axis=1), k - 1, axis=1)[:, :k]
-        out = pd.DataFrame({"_id": np.repeat(right["_id"].to_numpy(), k), "d": nearest.ravel()})
+        left = left.sort_values("cell", kind="stable")
+        asked, bound, copies = np.vstack(right["z"].to_list()), right["bound"].to_numpy(), left["copies"].to_numpy()
+        known, in_cell = Known(np.vstack(left["z"].to_list())), left["cell"].to_numpy()
+        visits = right["cells"].to_list()
+        row, cell = np.repeat(np.arange(len(asked)), [len(c) for c in visits]), np.concatenate(visits)
+        best = np.full((len(asked), k), np.inf)
+        for c in np.unique(cell):
+            a, b = np.searchsorted(in_cell, [c, c + 1])
+            at = row[cell == c]
+            best[at] = nearest(asked[at], known, copies, best[at], bound[at], a, b)
+        out = pd.DataFrame({"_id": np.repeat(right["_id"].to_numpy(), k), "d": best.ravel()})
         return out[np.isfinite(out["d"])].assign(**head)[[*split, "_id", "d"]]
 
     schema = ", ".join(f"{c} {types[c]}" for c in split) + f", _id {types['_id']}, d double"
@@ -147,19 +154,21 @@ class Neighbours:
         self.train = placed(train.select(*split, "z", "copies"), "z array<double>, copies long")
         self.test = placed(test.select(*split, "z", "_id"), f"z array<double>, _id {types['_id']}")
         self.cells = settle_parameters(self.train.groupBy(*split, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")))
-        near = _visits(self.test, self.train, split, self.cells, k, types, cell_rows)
+        home = self.test.select(*split, "_id", "z", F.floor(F.col("cell") / LOT_CELLS).cast("int").alias("lot"), F.array("cell").alias("cells"), F.lit(float("inf")).alias("bound"))
+        near = _visits(home, self.train, split, self.cells, k, types, cell_rows)
         self.first, self.second = self.test.select(*split, "_id", "cell"), None
         if wanted > 1:
             near = settle(self._best(near))
-            self.second = settle(self._others(near, Pivots(split, points, self.cells.collect()), f"{schema}_id {types['_id']}, z array<double>, cell int"))
-            near = near.unionByName(_visits(self.second, self.train, split, self.cells, k, types, cell_rows))
+            more = settle(self._others(near, Pivots(split, points, self.cells.collect()), f"{schema}_id {types['_id']}, z array<double>, bound double, lot int, cells array<int>"))
+            self.second = more.select(*split, "_id", F.explode("cells").alias("cell"))
+            near = near.unionByName(_visits(more, self.train, split, self.cells, k, types, cell_rows))
         self.distances = self._best(near)
 
     def _best(self, near: DataFrame) -> DataFrame:
         return first_k_per_group(near, [*self.split, "_id"], [F.col("d").asc()], self.k).select(*self.split, "_id", "d")
 
     def _others(self, near: DataFrame, pivots: Pivots, schema: str) -> DataFrame:
-        """The visits of the second round: one row per test row and cell."""
+        """The visits of the second round: one row per test row and lot, with the cells to visit there."""
         split, by = self.split, [*self.split, "_id"]
         bound = near.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= self.k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
         rows = self.test.join(bound, by, "left").select(*split, "_id", "z", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
@@ -170,14 +179,18 @@ class Neighbours:
                     batch = whole.slice(a, CHUNK)
                     keys, z = pivots.keys(batch), _matrix(batch.column("z"))
                     own, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
-                    row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                    row, lot, ends, cell = [], [], [0], [np.zeros(0, np.int32)]
                     for key in set(keys):
                         at = np.flatnonzero([k == key for k in keys])
                         for i, c in zip(at, pivots.others(key, z[at], own[at], bound[at])):
-                            row.append(np.full(len(c), i)), cell.append(c)
-                    row, cell = np.concatenate(row), np.concatenate(cell)
-                    kept = [batch.column(c).take(pa.array(row)) for c in (*split, "_id", "z")]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(cell, pa.int32())], names=[*split, "_id", "z", "cell"])
+                            lots, start = np.unique(c // LOT_CELLS, return_index=True)
+                            row += [i] * len(lots)
+                            lot += lots.tolist()
+                            ends += (ends[-1] + np.append(start[1:], len(c))).tolist() if len(c) else []
+                            cell.append(c.astype(np.int32))
+                    kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in (*split, "_id", "z", "bound")]
+                    cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cell)))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(lot, pa.int32()), cells], names=[*split, "_id", "z", "bound", "lot", "cells"])
 
         return rows.mapInArrow(run, schema)
 

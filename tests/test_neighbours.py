@@ -54,6 +54,32 @@ def test_far_cells_are_not_visited(spark):
     assert pairs < 0.25 * 2 * test.sum() * (~test).sum()
 
 
+def test_lots_of_cells_tiles_and_parts(spark, monkeypatch):
+    """A row far from zero loses no digits in the products; lots of few cells, several parts, at most one trip per lot."""
+    from cohera.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LOT_CELLS", 2)
+    monkeypatch.setattr(neighbours, "GUESTS", 9)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), 1e7 + rng.normal(0, 1e-3, (40, 3)), np.tile([[0.5, 0.5, 0.5]], (30, 1))])
+    test = np.arange(len(x)) % 4 == 0
+    train, asked = tables(spark, x, test)
+    got = {(r.seed, r.id): r.dist for r in knn_mean_distance(train, asked, ["seed"], "id", "v", 5, 12, 40).collect()}
+    want = brute(x, test, 5)
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], rel=1e-7, abs=1e-12) for key in want)
+
+
+def test_block_distances_equal_pair_by_pair():
+    from cohera.operators.distances import Known, distances, nearest
+
+    rng = np.random.default_rng(1)
+    x, y = 1e6 + rng.normal(0, 1, (300, 7)), 1e6 + rng.normal(0, 1, (9000, 7))
+    copies = rng.integers(1, 4, len(y))
+    got = nearest(x, Known(y), copies, np.full((300, 5), np.inf), np.full(300, np.inf), 10, 8990)
+    want = np.sort(np.repeat(distances(x, y[10:8990]), copies[10:8990], axis=1), axis=1)[:, :5]
+    assert np.array_equal(got, want)
+
+
 def test_no_rows(spark):
     x = np.ones((3, 2))
     train, asked = tables(spark, x, np.zeros(3, bool))
