@@ -89,13 +89,17 @@ def override_edges(names: DataFrame, merges: list[list[str]]) -> tuple[DataFrame
 
 
 # ---------------------------------------------------------------- radius links
+BOUND = 1e-9  # relative: computed bounds may be this far from the true ones
+
+
 def radius_links(df: DataFrame, node: str, lat: str, lon: str, km: float) -> DataFrame:
     """Links that give the same components as all pairs of points within ``km``, without making all pairs.
 
     Points are put into small squares of diagonal at most km / 4. (1) Points of a square are linked to its smallest
-    node. (2) Two squares whose farthest corners are within km are linked by their smallest nodes. (3) Squares that may
-    or may not hold a close pair are compared point by point, but only if (1) and (2) left them in different components.
-    Output: src, dst.
+    node. (2) Two squares that lie within km / 2 as a whole are linked by their smallest nodes. The components so far stand
+    for their links: one link from each node to its component. (3) Two components with squares that lie within km as a
+    whole are linked once. (4) Squares that may or may not hold a close pair are compared point by point, but only if
+    (1) to (3) did not link their components. Output: src, dst.
     """
     side = km / 4 / math.sqrt(2)
     pts = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
@@ -114,15 +118,19 @@ def radius_links(df: DataFrame, node: str, lat: str, lon: str, km: float) -> Dat
     inner = pts.join(squares.select("_b", "_c", "hub"), ["_b", "_c"]).where(F.col("node") != F.col("hub")).select(
         F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
     pairs = settle(_square_pairs(squares, km))
-    sure = pairs.where(F.col("far") <= km).select(F.col("hub_a").alias("src"), F.col("hub_b").alias("dst")).where("src <> dst")
-    links = settle(inner.unionByName(sure).distinct())
-    comps = settle(connected_components(links)) if links.limit(1).count() else None
-    open_ = pairs.where(F.col("far") > km)
-    if comps is not None:
+    hubs = lambda df: df.select(F.col("hub_a").alias("src"), F.col("hub_b").alias("dst")).where("src <> dst")
+    links = settle(inner.unionByName(hubs(pairs.where("half"))).distinct())
+    rest = pairs.where("NOT half")
+    if links.limit(1).count():
+        comps = settle(connected_components(links))
+        links = comps.where("node <> component").select(F.col("component").alias("src"), F.col("node").alias("dst"))
         for s in "ab":
             c = comps.select(F.col("node").alias(f"hub_{s}"), F.col("component").alias(f"comp_{s}"))
-            open_ = open_.join(c, f"hub_{s}", "left").withColumn(f"comp_{s}", F.coalesce(f"comp_{s}", f"hub_{s}"))
-        open_ = open_.where(F.col("comp_a") != F.col("comp_b"))
+            rest = rest.join(c, f"hub_{s}", "left").withColumn(f"hub_{s}", F.coalesce(f"comp_{s}", f"hub_{s}")).drop(f"comp_{s}")
+    rest = settle(rest.where(F.col("hub_a") != F.col("hub_b")).withColumns({"hub_a": F.least("hub_a", "hub_b"), "hub_b": F.greatest("hub_a", "hub_b")}))
+    sure = settle(hubs(rest.where("sure")).distinct())
+    links = links.unionByName(sure)
+    open_ = rest.where("NOT sure").join(sure.toDF("hub_a", "hub_b"), ["hub_a", "hub_b"], "left_anti")
     pa = pts.select(F.col("_b").alias("b_a"), F.col("_c").alias("c_a"), F.col("node").alias("src"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
     pb = pts.select(F.col("_b").alias("b_b"), F.col("_c").alias("c_b"), F.col("node").alias("dst"), F.col("lat").alias("lb"), F.col("lon").alias("lob"))
     near = open_.select("b_a", "c_a", "b_b", "c_b").join(pa, ["b_a", "c_a"]).join(pb, ["b_b", "c_b"])
@@ -132,9 +140,10 @@ def radius_links(df: DataFrame, node: str, lat: str, lon: str, km: float) -> Dat
 
 
 def _square_pairs(squares: DataFrame, km: float) -> DataFrame:
-    """Pairs of occupied squares that may hold points within km, with an upper bound of all their distances.
+    """Pairs of occupied squares that may hold points within km; ``sure``: all their points are, ``half``: within km / 2.
 
-    Candidates come from a coarse grid equi-join (cells of at least km plus a square) on the square's corner.
+    Candidates come from a coarse grid equi-join (cells of at least km plus a square) on the square's corner. The bounds are
+    the least and greatest differences of latitude and longitude, put into the haversine with the least and greatest cosines.
     """
     reach = km * 1.5
     step = reach / KM_PER_DEGREE
@@ -143,18 +152,29 @@ def _square_pairs(squares: DataFrame, km: float) -> DataFrame:
         far = F.greatest(F.abs(band * step - 90), F.abs((band + 1) * step - 90)) + step
         return F.when(far >= 89.0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.floor(F.lit(360.0) * F.cos(F.radians(far)) / F.lit(step))))
 
+    cosines = [F.cos(F.radians(c)) for c in ("s", "t")]
+    over = (F.col("s") <= 0) & (F.col("t") >= 0)
+    squares = squares.withColumn("cl", F.greatest(F.least(*cosines), F.lit(0.0))).withColumn("ch", F.when(over, 1.0).otherwise(F.greatest(*cosines)))
     sq = squares.withColumn("_kb", F.floor((F.col("s") + 90) / step).cast("long"))
     right = sq.withColumn("_n", coarse(F.col("_kb"))).withColumn("_kc", F.pmod(F.floor((F.col("w") + 180) / (F.lit(360.0) / F.col("_n"))), F.col("_n")).cast("long"))
-    right = right.select("_kb", "_kc", *[F.col(c).alias(f"{c.strip('_')}_b") for c in ("_b", "_c", "hub", "s", "t", "w", "e")])
+    right = right.select("_kb", "_kc", *[F.col(c).alias(f"{c.strip('_')}_b") for c in ("_b", "_c", "hub", "s", "t", "w", "e", "cl", "ch")])
     left = sq.withColumn("_kb", F.explode(F.array(F.col("_kb") - 1, F.col("_kb"), F.col("_kb") + 1))).withColumn("_n", coarse(F.col("_kb")))
     own = F.floor((F.col("w") + 180) / (F.lit(360.0) / F.col("_n")))
     left = left.withColumn("_kc", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(own + i, F.col("_n")).cast("long")))))
-    left = left.select("_kb", "_kc", *[F.col(c).alias(f"{c.strip('_')}_a") for c in ("_b", "_c", "hub", "s", "t", "w", "e")])
-    j = left.join(right, ["_kb", "_kc"]).where(F.struct("b_a", "c_a") < F.struct("b_b", "c_b"))
-    corners = [haversine_km(F.col(a), F.col(b), F.col(c), F.col(e)) for a in ("s_a", "t_a") for b in ("w_a", "e_a") for c in ("s_b", "t_b") for e in ("w_b", "e_b")]
-    j = j.withColumn("low", F.least(*corners)).withColumn("far", F.greatest(*corners))
-    slack = km / 2 + km * km / EARTH_RADIUS_KM  # two square diagonals, plus the curvature of the corner bound
-    return j.where(F.col("low") <= km + slack).withColumn("far", F.col("far") + km * km / EARTH_RADIUS_KM)
+    left = left.select("_kb", "_kc", *[F.col(c).alias(f"{c.strip('_')}_a") for c in ("_b", "_c", "hub", "s", "t", "w", "e", "cl", "ch")])
+    between = lambda low, high: (  # noqa: E731  least and greatest difference of two intervals
+        F.greatest(F.lit(0.0), F.col(f"{low}_b") - F.col(f"{high}_a"), F.col(f"{low}_a") - F.col(f"{high}_b")),
+        F.greatest(F.col(f"{high}_b") - F.col(f"{low}_a"), F.col(f"{high}_a") - F.col(f"{low}_b")))
+    (north0, north1), (east0, east1) = between("s", "t"), between("w", "e")
+    around0 = F.least(east0, F.lit(360.0) - east1)
+    around1 = F.when(east1 <= 180, east1).when(east0 >= 180, F.lit(360.0) - east0).otherwise(180.0)
+    half_sine = lambda c: F.pow(F.sin(F.radians(c) / 2), F.lit(2.0))
+    within = lambda d: math.sin(min(d / (2 * EARTH_RADIUS_KM), math.pi / 2)) ** 2
+    j = left.join(right, ["_kb", "_kc"]).where((F.struct("b_a", "c_a") < F.struct("b_b", "c_b")) & (north0 <= km / KM_PER_DEGREE * (1 + BOUND)))
+    j = j.where(half_sine(north0) + F.col("cl_a") * F.col("cl_b") * half_sine(around0) <= within(km) * (1 + BOUND))
+    far = half_sine(north1) + F.col("ch_a") * F.col("ch_b") * half_sine(around1)
+    j = j.select("b_a", "c_a", "hub_a", "b_b", "c_b", "hub_b", far.alias("far"))
+    return j.withColumn("sure", F.col("far") <= within(km) * (1 - BOUND)).withColumn("half", F.col("far") <= within(km / 2) * (1 - BOUND)).drop("far")
 
 
 def group_key(df: DataFrame, node: str, lat: str, lon: str, km: float | None, prefix: str, out: str, extra: DataFrame | None = None) -> DataFrame:

@@ -55,6 +55,16 @@ def test_radius_links_give_the_components_of_all_close_pairs(spark, radius):
     assert len(links) < max(60, len(close))
 
 
+def test_radius_links_stay_few_where_squares_hold_one_point_each(spark):
+    rng = np.random.default_rng(4)
+    pts = [(f"n{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 1, (400, 2)) * [2.0, 2.0] + [-1.0, 179.0])]
+    pts = [(n, a, (b + 180) % 360 - 180) for n, a, b in pts]
+    links = G.radius_links(spark.createDataFrame(pts, "node string, lat double, lon double"), "node", "lat", "lon", 25.0).collect()
+    close = [(a[0], b[0]) for a, b in itertools.combinations(pts, 2) if km(a[1:], b[1:]) <= 25.0]
+    names = [p[0] for p in pts]
+    assert components(names, [(r.src, r.dst) for r in links]) == components(names, close) and len(links) < 500 < len(close)
+
+
 def test_points_within_matches_brute_force(spark):
     pts = [p for p in places(1)]
     df = spark.createDataFrame(pts, "node string, lat double, lon double")
