@@ -34,7 +34,7 @@ def metric_interval(spark, sf):
     sql("SELECT protocol, seed, id, role FROM job WHERE protocol='group'", "job"),
 )
 def split_group_shuffle(spark, sf):
-    return d.job(spark, sf, protocols=("group",)).select("protocol", "seed", "id", "role")
+    return d.job(spark, sf, protocols=("group",), keep=False).select("protocol", "seed", "id", "role")
 
 
 @query(

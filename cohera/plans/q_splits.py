@@ -73,7 +73,7 @@ def split_non_nested(spark, sf):
     sql("SELECT id, protocol, seed::SMALLINT AS seed, fold::SMALLINT AS fold, protocol AS test_unit, false AS descriptive_only, role FROM job", "job"),
 )
 def emit_long(spark, sf):
-    return T.emit_long(d.job(spark, sf), "id")
+    return T.emit_long(d.job(spark, sf, keep=False), "id")
 
 
 @query(
@@ -81,7 +81,7 @@ def emit_long(spark, sf):
     sql("SELECT DISTINCT protocol, seed, fold, protocol AS test_unit, false AS descriptive_only FROM job WHERE seed IN (0,2)", "job"),
 )
 def split_iteration(spark, sf):
-    return T.split_iterator(d.job(spark, sf), [s for s in SEEDS if s in T.parse_seed_range("0,2-2")])
+    return T.split_iterator(d.job(spark, sf, keep=False), [s for s in SEEDS if s in T.parse_seed_range("0,2-2")])
 
 
 @query(

@@ -225,3 +225,15 @@ def test_bootstrap_draws_and_law(spark):
     assert (many["b"].cov_lo, many["b"].cov_hi) == pytest.approx(tuple(want), abs=0.01)
     shares = [EV._share(5, 50, 60, i, 7) for i in range(9)]
     assert (sum(shares) == 60).all() and len(set(map(tuple, shares))) == 9
+
+
+def test_job_rows_are_derived_once(spark):
+    """Fits, cuts and scores read the written rows: no later plan hashes groups or parses the events again."""
+    from cohera.plans import data as d
+    from tests.conftest import SF
+
+    kept = d.scored_wide(d.job(spark, SF))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "regexp_extract" not in plan
+    lazy = d.job(spark, SF, keep=False)
+    assert sorted(kept.select("seed", "id", "role").collect()) == sorted(lazy.where("role <> 'train'").select("seed", "id", "role").collect())
