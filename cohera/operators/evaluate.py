@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohera.functions.keys import hash52
 from cohera.functions.numeric import INF, conformal_rank, is_infinite, pow10
 from cohera.functions.special import beta_quantile_udf
-from cohera.operators.selection import median
+from cohera.operators.selection import aggregates_with_median, median
 
 LN10 = math.log(10.0)
 
@@ -74,15 +74,10 @@ def group_coverage(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
 
 def interval_metrics(rows: DataFrame, keys: list[str], group: str, min_group_n: int = 10) -> DataFrame:
     """All interval metrics per key. Group means are means of within-group means, never pooled."""
-    r = interval_rows(rows)
     by = [*keys, group]
-    per = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("hit").alias("hits"),
-        F.sum("score").alias("scores"),
-        F.sum("is_inf").alias("infs"),
-    )
-    per = per.join(median(r, by, "width", "med_w").drop("n"), by)
+    r = interval_rows(rows).select(*by, "hit", "width", "score", "is_inf")
+    sums = {"n": F.count(F.lit(1)), "hits": F.sum("hit"), "scores": F.sum("score"), "infs": F.sum("is_inf")}
+    per = aggregates_with_median(r, by, "width", "med_w", sums)
     cov = F.col("hits") / F.col("n")
     big = F.col("n") >= min_group_n
     out = per.groupBy(*keys).agg(

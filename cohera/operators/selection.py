@@ -111,6 +111,38 @@ def median(df: DataFrame, keys: list[str], value: str, name: str = "median") ->
     return quantiles(df, keys, value, {name: 0.5})
 
 
+CROWD = 100_000  # rows of a bucket of groups that meet in one task
+BUCKETS = 1 << 16
+
+
+def aggregates_with_median(df: DataFrame, keys: list[str], value: str, name: str, aggs: dict[str, Column], crowd: int = CROWD) -> DataFrame:
+    """``aggs`` and the median of ``value`` of many groups that are mostly small: keys, the aggregates, ``name``.
+
+    Rows of small groups are ordered in their group and meet their aggregates there: one shuffle, no sketch per group.
+    Groups are counted by hash buckets, a few numbers a task; those of a bucket with more than ``crowd`` rows go by the
+    exact order statistics, so no large group is ordered in one task. Missing values count in the aggregates only.
+    """
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    large = settle_parameters(rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > crowd).select("_b"))
+    some = not large.isEmpty()
+    small = (rows.join(large, "_b", "left_anti") if some else rows).drop("_b")
+    group = Window.partitionBy(*keys)
+    small = small.withColumn("_i", F.row_number().over(group.orderBy(F.col(value).asc_nulls_last()))).withColumn("_m", F.count(value).over(group))
+    at = F.col("_i") * 2 - F.col("_m")  # 1 for the middle of an odd number, 0 and 2 around the middle of an even one
+    middle = {"_lo": F.min(F.when(at.isin(0, 1), F.col(value))), "_hi": F.min(F.when(at.isin(1, 2), F.col(value)))}
+    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    got = small.groupBy(*keys).agg(*[c.alias(n) for n, c in {**aggs, **middle}.items()])
+    got = got.select(*keys, *aggs, F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.lit(0.5)).alias(name))
+    if not some:
+        return got
+    rest = rows.join(large, "_b", "left_semi").drop("_b")
+    exact = median(rest, keys, value, name).drop("n")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    exact = exact.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
+    whole = rest.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]).join(exact, same, "left")
+    return got.unionByName(whole.select(*keys, *aggs, name))
+
+
 def one_per_group(df: DataFrame, keys: list[str], order: Column, payload: list[str]) -> DataFrame:
     """The row with the smallest order value per group, combined on the map side (no window over the group)."""
     rows = df.withColumn("_o", order)

@@ -84,3 +84,19 @@ def test_running_totals_over_many_tasks(spark):
     assert got == want
     total = S.running_total(df, [], ["v"], {"t": "a"}).where("v = 299").first().t
     assert total == sum(a for _, _, a in rows)
+
+
+def test_aggregates_with_median_of_small_and_large_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = [("hot", float(v)) for v in rng.integers(0, 50, 3_000)] + [(f"g{i % 400}", float(v)) for i, v in enumerate(rng.exponential(1.0, 2_001))]
+    rows += [("inf", float("inf")), ("inf", float("inf")), ("inf", 1.0), ("gap", 2.0), (None, 4.0), (None, 5.0)]
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    df = spark.createDataFrame(rows + [("gap", None)], "g string, v double").repartition(7)
+    aggs = {"n": F.count(F.lit(1)), "total": F.sum("v")}
+    one, split = (S.aggregates_with_median(df, ["g"], "v", "m", aggs, crowd=c) for c in (1_000_000, 1_000))
+    for out in (one, split):
+        got = {r.g: r for r in out.collect()}
+        assert len(got) == out.count() == df.select("g").distinct().count()
+        for g, part in pdf.groupby("g", dropna=False):
+            r = got[None if pd.isna(g) else g]
+            assert r.n == len(part) + (g == "gap") and np.isclose(r.total, part.v.sum()) and r.m == np.median(part.v)
