@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import normal_cdf
 from cohera.operators.selection import quantiles
-from cohera.session import settle_parameters
+from cohera.session import settle, settle_parameters
 
 LOG_FLOOR = 1e-5  # fixed value: non-positive inputs are floored here before logs
 RIDGE_GRID = tuple(float(v) for v in np.logspace(-3, 3, 13))
@@ -141,13 +141,19 @@ def leave_fold_out(fold_moments: DataFrame, split: list[str], p: int, k: int) ->
 
 
 # ---------------------------------------------------------------- saturating form
+def moments_at(df: DataFrame, by: list, y: str) -> DataFrame:
+    """Per key the number, mean and sum of squares about the mean of ``y``: by, _n, _mean, _ss (missing y do not count)."""
+    return df.groupBy(*by).agg(F.count(y).alias("_n"), F.avg(y).alias("_mean"), (F.var_pop(y) * F.count(y)).alias("_ss"))
+
+
 def fit_saturating(train: DataFrame, split: list[str], r: str, y: str = "y", points: int = 40, rounds: int = 3):
     """log10 y = log10(A r / (1 - r / C)): for each C the best log10 A is a mean, so C is searched on a grid.
 
-    Each pass is one aggregation over rows x grid; later passes refine between the neighbours of the best C. C stays
-    above 1.01 max(r). Output: split columns, ``log_a``, ``c``.
+    The error of a C depends on y only through its moments at each r, so rows of one r are added up once and each pass is
+    one aggregation over distinct r x grid; later passes refine between the neighbours of the best C. C stays above
+    1.01 max(r). Output: split columns, ``log_a``, ``c``.
     """
-    rows = train.where(F.col(r) > 0).select(*split, F.col(r).alias("_r"), F.col(y).alias("_y"))
+    rows = settle(moments_at(train.where(F.col(r) > 0), [*split, F.col(r).alias("_r")], y))
     lim = rows.groupBy(*split).agg((F.max("_r") * 1.01).alias("lo"))
     lim = settle_parameters(lim.withColumn("hi", F.col("lo") * 1e4))
     best = None
@@ -157,9 +163,10 @@ def fit_saturating(train: DataFrame, split: list[str], r: str, y: str = "y", poi
         grid = lim.select(*split, "lo", "hi", steps).withColumn(
             "c", F.col("lo") * F.pow(ratio, F.col("i") / F.lit(float(points)))
         )
-        e = F.col("_y") - F.log10(F.col("_r") / F.greatest(F.lit(1.0) - F.col("_r") / F.col("c"), F.lit(1e-6)))
+        e = F.col("_mean") - F.log10(F.col("_r") / F.greatest(F.lit(1.0) - F.col("_r") / F.col("c"), F.lit(1e-6)))
+        n, ne = F.sum("_n"), F.sum(F.col("_n") * e)
         sse = rows.join(grid, split).groupBy(*split, "i", "c", "lo", "hi").agg(
-            F.avg(e).alias("log_a"), (F.var_pop(e) * F.count(e)).alias("sse")
+            (ne / n).alias("log_a"), (F.sum("_ss") + F.sum(F.col("_n") * e * e) - ne * ne / n).alias("sse")
         )
         best = sse.groupBy(*split).agg(F.min_by(F.struct("i", "c", "lo", "hi", "log_a"), F.struct("sse", "i")).alias("b"))
         best = settle_parameters(best.select(*split, "b.*"))

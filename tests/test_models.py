@@ -68,6 +68,25 @@ def test_saturating_form_recovers_parameters(spark):
     assert got.c == pytest.approx(0.5, rel=0.03) and 10**got.log_a == pytest.approx(300, rel=0.01)
 
 
+def test_saturating_form_of_repeated_inputs(spark):
+    """Rows of one input are one row of the search, with the same best grid point as over all rows."""
+    rng = np.random.default_rng(6)
+    r = rng.integers(1, 30, 2_000) / 100
+    y = np.log10(40 * r / (1 - r / 0.6)) + rng.normal(0, 0.2, len(r))
+    df = spark.createDataFrame(pd.DataFrame({"s": 0, "r": r, "y": y}))
+    at = M.moments_at(df, ["s", "r"], "y").toPandas()
+    assert len(at) == 29 and at._n.sum() == 2_000
+    got = M.fit_saturating(df, ["s"], "r").first()
+    lo, hi = 1.01 * r.max(), 1.01e4 * r.max()
+    for _ in range(3):
+        c = lo * (hi / lo) ** (np.arange(41) / 40)
+        e = y - np.log10(r / np.maximum(1 - r / c[:, None], 1e-6))
+        best = int(np.argmin(e.var(axis=1)))
+        step = (hi / lo) ** (1 / 40)
+        lo, hi = max(lo, c[best] / step), min(hi, c[best] * step)
+    assert got.c == pytest.approx(c[best], rel=1e-9) and got.log_a == pytest.approx(e[best].mean(), rel=1e-9)
+
+
 def test_fallback_for_invalid_input(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, False), (None, True)], "p double, ok boolean")
     got = [x.v for x in df.select(M.with_fallback(F.col("p"), F.col("ok"), F.lit(9.0)).alias("v")).collect()]
