@@ -10,6 +10,7 @@ probability, and the share of a text's subwords that no learned text has (its no
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ DIM = 16
 SEEN_BITS = 22  # 2^SEEN_BITS places of the set of learned subwords (half a megabyte)
 PRIOR = 8  # subwords taken as known in every text, so that one new word does not make a short text foreign
 UNKNOWN = "und"
-SMALL = 1 << 18  # bytes of a slice in the driver, where training has little memory
+SMALL = 1 << 18  # bytes of a slice in training, which shares its executor with other tasks
 #: Letters (a-z and bytes of letters outside ASCII) stay, everything else is a word border.
 AS_LETTER = np.full(256, 32, dtype=np.uint8)
 AS_LETTER[97:123] = np.arange(97, 123)
@@ -215,10 +216,20 @@ def sample_by_class(rows: DataFrame, label: str, key: Column, per_class: int, to
 
 def train(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int = 800, total: int = 8_000, max_chars: int = 20_000) -> LanguageModel | None:
     """Fit on a bounded sample of the rows that ``may_learn`` allows: at most ``per_lang`` rows a language and ``total``
-    rows in all, of texts up to ``max_chars`` characters. None if there is nothing to learn from."""
+    rows in all, of texts up to ``max_chars`` characters. None if there is nothing to learn from.
+
+    One task learns from the sample; the driver only gets the finished model, about a megabyte for four languages."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = sample_by_class(rows, "lang", F.col("i"), per_lang, total).select("text", "lang").orderBy("lang", "text").toArrow()
-    return fit(got["text"], got["lang"].to_pylist()) if len(got) else None
+    sample = sample_by_class(rows, "lang", F.col("i"), per_lang, total).select("text", "lang").coalesce(1).sortWithinPartitions("lang", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            whole = pa.Table.from_batches(got)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(whole["text"], whole["lang"].to_pylist()))], pa.binary())], names=["model"])
+
+    made = sample.mapInArrow(learn, "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

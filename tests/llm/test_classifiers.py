@@ -1,5 +1,6 @@
 """Language ID, toxicity and token counts: held-out accuracy, counterfactual behaviour, brute-force segmentation."""
 
+import os
 import random
 import re
 
@@ -36,6 +37,19 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in lid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_training_runs_in_a_task_not_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the the and of", "en"), (2, "der die und das", "de"), (3, "a", "en")], "doc_id long, text string, lang string")
+
+    def learned(texts, langs):
+        import os
+
+        return lid.LanguageModel((str(os.getpid()), *texts.to_pylist(), *langs), np.zeros((1, 1)), 1.0, 0.0)
+
+    monkeypatch.setattr(lid, "fit", learned)
+    where, *seen = lid.train(docs, F.lit(True), "doc_id", "text", "lang").langs
+    assert int(where) != os.getpid() and seen == ["der die und das", "a", "the the and of", "de", "en", "en"]
+
+
 FOREIGN = [
     "asdkjh qwoieu zxmcn bvlaks jdhfg qpwoei rutyal skdjfh gzmxn", "zzzzqqqq xxyyzz", "Това е изречение на български език за времето",
     "日本語の文章はここにあります", "questo è un testo scritto in italiano per la prova", "ωραία μέρα σήμερα στην πόλη"]
