@@ -9,7 +9,7 @@ the probability of their weighted Jaccard similarity.
 Bags that are equal are one node. Shingles that a node of a crowded bucket has alone bound what it can share with any
 other, so nodes with too many of them are out; the node with the fewest is the centre of its bucket, and the others meet
 it, not each other. The likeliest pairs are verified first, and only nodes of a bucket that are not connected by then, and
-could share enough, are paired. So every pair that shares a band ends up connected, verified or excluded by a bound,
+could share enough, are paired: a bit that only one of two bags sets is a shingle that the other has not. So every pair that shares a band ends up connected, verified or excluded by a bound,
 without all pairs of a group of copies.
 """
 
@@ -33,6 +33,7 @@ REGISTERS = BANDS * ROWS
 LANES = 4  # longs of one-bit registers
 #: Two signatures at 0.8 differ in 24 of 240 one-bit registers on average, standard deviation 4.6; six of them above.
 MOST_BITS = 52
+WORDS = 32  # longs of a bag's shingle marks
 STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -143,6 +144,23 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
     return single.groupBy("node").agg(F.sum("c").alias("own"))
 
 
+def _shingle_marks(texts: DataFrame) -> DataFrame:
+    """Per node a bit set of its shingles, one of 64 ``WORDS`` places each: node, marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_slices(batch.column(1)):
+                n = t.hi - t.lo
+                row, h, _ = bags(words(t))
+                place = (mix(h) >> U(64 - (64 * WORDS).bit_length() + 1)).astype(np.int64)
+                bit = np.zeros((n, 64 * WORDS), dtype=np.uint8)
+                bit[row, place] = 1
+                marks = np.packbits(bit, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[t.lo : t.hi], list_column(marks.ravel(), np.arange(n + 1) * WORDS, pa.int64())], names=["node", "marks"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, marks array<long>")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b) whose texts are at least that similar."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -172,6 +190,11 @@ def _differing_bits(x: str, y: str):
     return sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(LANES)), F.lit(0))
 
 
+def _marked_only(x: str, y: str):
+    """How many shingles the first bag has, at least, that the second has not."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), similarity: float = SIMILARITY) -> DataFrame:
     """The ``keep`` columns of every row with ``class`` (long): rows of one class are connected by links of texts whose
     weighted Jaccard similarity over five-word shingles is at least ``similarity`` (0.8 or more, for which the bands are
@@ -229,12 +252,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     # nodes of one crowded bucket that are still apart: pair them with each other, not only with the ends
     tagged = crowd.df.select("bucket", "node", "own", "size").join(_label(label, nodes.df), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = tagged.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    loose = Stored(tagged.join(split, "bucket").join(bits, "node"), "near-loose")
-    left, right = (loose.df.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "bits", "own", "size")]) for x in "ab")
-    most = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b"))  # what the two can share
-    could = most >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    cross = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & could & (_differing_bits("bits_a", "bits_b") <= MOST_BITS))
-    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    open_rows = tagged.join(split, "bucket").join(bits, "node")
+    marks = _shingle_marks(texts.df.join(open_rows.select("node").distinct(), "node", "left_semi"))
+    places = open_rows.groupBy("node").agg(F.collect_list("bucket").alias("places"))  # at most one a band
+    loose = Stored(open_rows.join(marks.join(places, "node"), "node"), "near-loose")
+    left, right = (loose.df.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "bits", "own", "size", "marks", "places")]) for x in "ab")
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    could = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b")) >= enough  # what the two can share
+    also = F.least(F.col("size_a") - _marked_only("marks_a", "marks_b"), F.col("size_b") - _marked_only("marks_b", "marks_a")) >= enough
+    once = F.get(F.array_intersect("places_a", "places_b"), F.lit(0)) == F.col("bucket")  # at the first bucket that they share
+    cross = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & could & (_differing_bits("bits_a", "bits_b") <= MOST_BITS) & once & also)
+    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     settle_links(untried(cross))
     named = rows.df.select(*[F.col(f"k{j}") for j in range(len(keep))], "bag").join(nodes.df.select("bag", "node"), "bag").join(_label(label, nodes.df), "node", "left")
     return named.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], F.coalesce("component", "node").alias("class"))

@@ -69,6 +69,54 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {min(c) for c in classes_of(texts)}
 
 
+def test_marks_bound_what_two_bags_share():
+    """No bag holds fewer foreign shingles than the marks say, and a pair below the similarity is left out by them."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(edits):
+        out = list(base)
+        for i in rng.choice(150, edits, replace=False):
+            out[i] = f"x{rng.integers(1 << 40)}"
+        return " ".join(out)
+
+    texts = [copy(e) for e in (0, 1, 2, 5, 5, 6, 6, 8, 8)]
+    bag = [dict(zip(h.tolist(), c.tolist())) for h, c in ((x[1], x[2]) for x in (nd.bags(nd.words(next(nd.text_slices(pa.array([t]))))) for t in texts))]
+    places = [{h: int((nd.mix(np.array([h], np.uint64)) >> nd.U(53))[0]) for h in b} for b in bag]
+    assert nd.WORDS * 64 == 1 << 11
+    left_out = 0
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            seen = len({p for p in places[i].values()} - set(places[j].values()))
+            alone = sum(n for h, n in bag[i].items() if h not in bag[j])
+            assert seen <= alone
+            left_out += nd.overlap(texts[i], texts[j]) < 0.8 and len(bag[i]) - seen < (0.8 / 1.8) * (len(bag[i]) + len(bag[j])) - 1e-6
+    assert left_out >= 10
+
+
+def test_pairs_of_a_crowd_that_is_not_similar_enough_are_not_verified(spark, monkeypatch):
+    """Copies of one text with many own edits each: about 0.66 alike, no links, and hardly a pair gets as far as its texts."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(100):
+        words_ = list(base)
+        for i in rng.sample(range(150), 3):
+            words_[i] = f"x{n}y{i % 7}"
+        rows.append((n, " ".join(words_)))
+    verified, real = [], nd._verify
+
+    def counted(pairs, texts, least):
+        verified.append(pairs.count())
+        return real(pairs, texts, least)
+
+    monkeypatch.setattr(nd, "_verify", counted)
+    got = {r.doc_id: r["class"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = [(i, j) for i in range(100) for j in range(i) if nd.overlap(rows[i][1], rows[j][1]) >= 0.8]
+    assert all(got[i] == got[j] for i, j in true)
+    assert verified[-1] < 300
+
+
 def test_near_duplicates_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(none).count() == 0 and nd.keep_one(none).count() == 0
