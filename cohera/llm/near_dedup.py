@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     keep = tuple(keep)
     rows = Stored(sketch(docs, text_col, keep), "near-rows")
     nodes = Stored(rows.df.select("bag", "size", "bands", "bits").dropDuplicates(["bag"]).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    member = nodes.df.select("node", F.explode("bands").alias("bucket"))
+    member = nodes.df.select("node", "size", F.explode("bands").alias("bucket"))
     buckets = Stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"), "near-buckets")
     bits = nodes.df.select("node", "bits")
     near = lambda p: p.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").withColumn("d", _differing_bits("x", "y")).where(F.col("d") <= MOST_BITS).drop("x", "y")
@@ -218,10 +218,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     involved = alone.df.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.df.select("node")).distinct().join(nodes.df.select("node", "bag"), "node")
     texts = Stored(join_checked(rows.df.select("bag", "text"), involved, ["bag"], "inner").select("node", "text").dropDuplicates(["node"]), "near-texts")
     # what a node of a crowded bucket has alone bounds what it can share: beyond a fifth of its bag it has no link there
+    # a node is joined once, not once a bucket: its buckets (at most one a band) travel with it
     own = Stored(_own_shingles(texts.df.join(crowd.df.select("node").distinct(), "node", "left_semi")), "near-own").df
-    crowd = Stored(crowd.df.join(nodes.df.select("node", "size"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= F.lit(1 - similarity) * F.col("size") + 1e-6), "near-linkable")
-    centre = crowd.df.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
-    star = crowd.df.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    placed = crowd.df.groupBy("node", "size").agg(F.collect_list("bucket").alias("places")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    linkable = Stored(placed.where(F.col("own") <= F.lit(1 - similarity) * F.col("size") + 1e-6), "near-linkable")
+    crowd = linkable.df.select("node", "own", F.explode("places").alias("bucket"))
+    centre = crowd.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    star = crowd.join(centre, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     likely = Stored(alone.df.unionByName(near(star)).distinct(), "near-pairs")
     tried: list[Stored] = []
     label: DataFrame | None = None
@@ -250,13 +253,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     settle_links(best)
     settle_links(untried(_apart(likely.df, label)))
     # nodes of one crowded bucket that are still apart: pair them with each other, not only with the ends
-    tagged = crowd.df.select("bucket", "node", "own", "size").join(_label(label, nodes.df), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = tagged.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    open_rows = tagged.join(split, "bucket").join(bits, "node")
-    marks = _shingle_marks(texts.df.join(open_rows.select("node").distinct(), "node", "left_semi"))
-    places = open_rows.groupBy("node").agg(F.collect_list("bucket").alias("places"))  # at most one a band
-    loose = Stored(open_rows.join(marks.join(places, "node"), "node"), "near-loose")
-    left, right = (loose.df.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "bits", "own", "size", "marks", "places")]) for x in "ab")
+    tagged = linkable.df.join(_label(label, nodes.df), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = tagged.select("node", "component", F.explode("places").alias("bucket"))
+    split = apart.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    places = Stored(apart.join(split, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("places")), "near-places").df
+    marks = _shingle_marks(texts.df.join(places, "node", "left_semi"))
+    loose = Stored(tagged.drop("places").join(places, "node").join(bits, "node").join(marks, "node"), "near-loose")
+    left, right = (loose.df.select(F.explode("places").alias("bucket"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "bits", "own", "size", "marks", "places")]) for x in "ab")
     enough = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
     could = F.least(F.col("size_a") - F.col("own_a"), F.col("size_b") - F.col("own_b")) >= enough  # what the two can share
     also = F.least(F.col("size_a") - _marked_only("marks_a", "marks_b"), F.col("size_b") - _marked_only("marks_b", "marks_a")) >= enough

@@ -117,6 +117,34 @@ def test_pairs_of_a_crowd_that_is_not_similar_enough_are_not_verified(spark, mon
     assert verified[-1] < 300
 
 
+def test_nodes_of_crowded_buckets_are_joined_once_not_once_a_bucket(spark, monkeypatch):
+    """Near copies that meet in many buckets: tables that are joined by node have one row a node."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for n in range(40):
+        words_ = list(base)
+        for i in rng.sample(range(10, 110), 1 + n % 3):
+            words_[i] = f"x{n}y{i}"
+        rows.append((n, " ".join(words_)))
+    sizes, real = {}, nd.Stored
+
+    def stored(df, name):
+        out = real(df, name)
+        if "node" in out.df.columns:
+            sizes[name] = (out.df.count(), out.df.select("node").distinct().count())
+        return out
+
+    monkeypatch.setattr(nd, "Stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in nd.near_duplicates(docs).collect():
+        got.setdefault(r["class"], set()).add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == classes_of([t for _, t in rows])
+    assert sizes["near-crowd"][0] > 5 * sizes["near-crowd"][1]  # the buckets' rows, where a node has many
+    assert all(sizes[x][0] == sizes[x][1] for x in ("near-linkable", "near-loose"))
+
+
 def test_near_duplicates_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(none).count() == 0 and nd.keep_one(none).count() == 0
