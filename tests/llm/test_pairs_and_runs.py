@@ -244,6 +244,25 @@ def test_repeated_bytes_against_brute_force(spark, crowd):
     assert rb.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_crowd_compares_only_strings_that_its_neighbours_allow(spark, monkeypatch):
+    """A passage in 60 texts that differ on both sides of it: a fragment leaves a few open strings, not one for each start."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgé ", k=150))
+    texts = [t + passage + t[::-1] for t in ("".join(rng.choices("abcdefgé ", k=120)) for _ in range(60))] + [passage[:130], passage[20:]]
+    seen, real = {}, rb.Stored
+
+    def stored(df, name):
+        out = real(df, name)
+        seen[name] = out.df.count()
+        return out
+
+    monkeypatch.setattr(rb, "Stored", stored)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = rb.remove_repeats(docs, length=128, crowd=6).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got] == brute_repeats(texts, 128)
+    assert 0 < seen["repeat-solved"] < 12 * seen["repeat-shared"]
+
+
 def test_copies_of_a_text_send_their_fragments_once(spark, monkeypatch):
     rng, sent = random.Random(4), spark.sparkContext.accumulator(0)
     cut = rb._cut
