@@ -239,14 +239,25 @@ def contributor_folds(
     tests = per_fold.where(is_test).select("seed", "fold", "unit", F.lit("test").alias("role"))
     rest = cal.select("seed", "fold", "unit", F.when(F.col("is_cal"), "cal").otherwise("train").alias("role"))
     roles = tests.unionByName(rest).withColumnRenamed("unit", "_unit")
-    rows = df.join(roles, F.col(unit).cast("string") == F.col("_unit")).drop("_unit")
     if drop_leaks:
-        rows = _drop_leaks(rows, group)
+        rows = _leak_free(df, unit, group, roles)
+    else:
+        rows = df.join(roles, F.col(unit).cast("string") == F.col("_unit")).drop("_unit")
     return rows.withColumn("protocol", F.lit(protocol)).withColumn(
         "test_unit", F.concat(F.lit("fold"), F.col("fold").cast("string"))
     )
 
 
+def _leak_free(df: DataFrame, unit: str, group: str, roles: DataFrame) -> DataFrame:
+    """Rows with the roles that leaks leave them. A role depends on unit and group alone, so leaks are found on the distinct
+    pairs of them; a row is shuffled once and meets the roles of its pair, of all seeds and folds, where it lies."""
+    pairs = df.select(F.col(unit).cast("string").alias("_unit"), F.col(group).alias("_group")).distinct()
+    marked = _drop_leaks(pairs.join(roles, "_unit"), "_group")
+    plan = marked.groupBy("_unit", "_group").agg(F.collect_list(F.struct("seed", "fold", "role")).alias("_roles"))
+    rows = df.join(plan, (F.col(unit).cast("string") == F.col("_unit")) & (F.col(group) == F.col("_group")))
+    return rows.select(*df.columns, F.explode("_roles").alias("_r")).select(*df.columns, "_r.*")
+
+
 def _drop_leaks(rows: DataFrame, group: str) -> DataFrame:
     keys = ["seed", "fold", group]
     seen = rows.groupBy(*keys).agg(

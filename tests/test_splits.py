@@ -160,3 +160,27 @@ def test_holdout_size_and_draws(spark):
 def test_seed_ranges():
     assert T.parse_seed_range("0-3,7") == [0, 1, 2, 3, 7]
     assert T.parse_seed_range("all") is None
+
+
+def test_leaks_are_found_on_pairs_of_unit_and_group_not_on_repeated_rows(spark, monkeypatch):
+    rows = [(i, f"u{(i * 7 + i // 60) % 12}", f"g{i % 30}" if i % 11 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, unit string, grp string")
+    sizes, real = [], T._drop_leaks
+
+    def counted(x, group):
+        sizes.append((x.count(), df.select("unit", "grp").distinct().count()))
+        return real(x, group)
+
+    monkeypatch.setattr(T, "_drop_leaks", counted)
+    got = T.contributor_folds(df, "unit", "grp", [0, 1], "p", k=3, min_test=1, drop_leaks=True).collect()
+    assert sizes[0][0] <= sizes[0][1] * 2 * 3  # a row for each pair, seed and fold
+    plain = T.contributor_folds(df, "unit", "grp", [0, 1], "p", k=3, min_test=1).where("grp IS NOT NULL").collect()
+    seen = {}
+    for r in plain:
+        seen.setdefault((r.seed, r.fold, r.grp), set()).add(r.role)
+    want = set()
+    for r in plain:
+        here = seen[r.seed, r.fold, r.grp]
+        lost = r.role != "test" and "test" in here or r.role == "cal" and "train" in here
+        want.add((r.id, r.seed, r.fold, "dropped" if lost else r.role))
+    assert len(got) == len(want) and {(r.id, r.seed, r.fold, r.role) for r in got} == want
