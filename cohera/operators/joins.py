@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohera.functions.numeric import EARTH_RADIUS_KM, haversine_km
@@ -134,35 +135,59 @@ def merge_candidates(near: DataFrame, links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- near duplicates
 TILE_ROWS = 4_096  # rows of a side that meet in one task at once
+BATCH_ROWS = 65_536  # pairs that leave a task at once, in round figures
+HUGE = 1e150  # components from here on overflow in a matrix product
+COMPONENTS = 1 << 20  # of the pairs whose exact sums lie in memory at once
 
 
 def near_duplicates(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links between rows of equal block key whose root-mean-square vector difference is below ``limit``.
-
-    Rows with the same vector are one member. A difference below the limit over p components implies a first-component
-    difference below ``limit * sqrt(p)``, so a block of more than ``tile_rows`` rows is cut into cells of at least that
-    width, and only the own and the next cell can hold a partner; a cell with more rows is cut into tiles. Tiles meet in
-    pairs, in tasks of bounded memory; small blocks share a task. Inside, rows lie in the order of the first component, a
-    matrix product leaves out most pairs in reach, and the rest is summed exactly. Where all vectors of a block are in
-    reach (no structure, wide limit), every pair of its tiles is visited.
+    """Links, for grouping, between distinct complete vectors of equal block key and size whose root-mean-square difference
+    is below ``limit``; rows with the same vector are one member, named by its smallest id.
+
+    For all pairs of rows, copies included, use :func:`near_duplicate_pairs`.
     """
     finite = F.forall(vec, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.where(finite & (F.size(vec) > 0))
+    rows = df.where(finite).groupBy(*block, vec).agg(F.min(id_col).alias("_id"))
+    return _near_rows(rows.withColumn("_over", F.size(vec)), "_id", vec, block, limit, tile_rows)
+
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float, components: int,
+                         tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Every pair of rows (a < b) of equal block key whose root-mean-square difference over ``components`` is below ``limit``.
+
+    Copies of a vector are rows like any other. A component that a side lacks (null, or beyond its size) adds nothing; a
+    pair needs one that both have.
+    """
+    return _near_rows(df.withColumn("_over", F.lit(components)), id_col, vec, block, limit, tile_rows)
+
+
+def _near_rows(df: DataFrame, id_col: str, vec: str, block: list[str], limit: float, tile_rows: int) -> DataFrame:
+    """Pairs of rows of equal block key and ``_over`` (what the squares are divided by) below the limit: block, a, b, rms.
+
+    A difference below the limit implies a first-component difference below ``limit * sqrt(_over)``, so a block of more
+    than ``tile_rows`` rows is cut into cells of at least that width, and only the own and the next cell can hold a
+    partner; a cell with more rows is cut into tiles, and a block with a row that lacks the first component is one cell.
+    Tiles meet in pairs, in tasks of bounded memory, whose pairs leave in batches; small blocks share a task. Inside, rows
+    lie in the order of the first component, a matrix product leaves out most pairs in reach, and the rest is summed
+    exactly. Where all vectors of a block are in reach (no structure, wide limit), every pair of its tiles is visited.
+    """
+    rows = df.where((F.size(vec) > 0) & F.col(id_col).isNotNull())
     for c in block:
         rows = rows.where(F.col(c).isNotNull())
-    rows = rows.groupBy(*block, vec).agg(F.min(id_col).alias("_id"))
-    p = F.size(vec)
-    rows = settle(rows.select(*block, "_id", F.transform(vec, lambda v: v.cast("double")).alias("_v"), p.alias("_p")))
-    own = [*block, "_p"]
+    rows = settle(rows.select(*block, "_over", F.col(id_col).alias("_id"), F.transform(vec, lambda v: v.cast("double")).alias("_v")))
+    own = [*block, "_over"]
     first = F.get("_v", F.lit(0))
-    sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_low"), F.max(first).alias("_high"))
+    known = F.when(F.abs(first) < F.lit(float("inf")), first)
+    sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min(known).alias("_low"), F.max(known).alias("_high"),
+                                   F.bool_or(first.isNull()).alias("_open"))
     sizes = settle_parameters(sizes.where("_n > 1"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     big = F.col("_n") > tile_rows
-    width = F.greatest(F.lit(limit * (1 + 1e-9)) * F.sqrt("_p"), (F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / tile_rows))
+    width = F.greatest(F.lit(limit * (1 + 1e-9)) * F.sqrt("_over"), (F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / tile_rows))
     lot = F.when(big, F.xxhash64(*own).bitwiseOR(F.lit(-(2**63)))).otherwise(F.pmod(F.xxhash64(*own), F.lit(-(-total // tile_rows) or 1)))
-    cell = F.when(big, F.floor((first - F.col("_low")) / width)).otherwise(F.lit(0)).cast("long")
-    rows = rows.join(sizes, own).withColumn("_lot", lot).withColumn("_cell", cell).drop("_n", "_low", "_high")
+    cell = F.when(big & ~F.col("_open"), F.floor((first - F.col("_low")) / width)).otherwise(F.lit(0)).cast("long")
+    rows = rows.join(sizes, own).where(F.col("_open") | known.isNotNull())
+    rows = rows.withColumn("_lot", lot).withColumn("_cell", cell).drop("_n", "_low", "_high", "_open")
     tiles = rows.groupBy("_lot", "_cell").agg(F.when(F.col("_lot") >= 0, 1).otherwise(F.ceil(F.count(F.lit(1)) / tile_rows)).cast("int").alias("_tiles"))
     tiles = settle_parameters(tiles)
     rows = rows.join(tiles, ["_lot", "_cell"]).withColumn("_tile", F.pmod(F.xxhash64("_id"), "_tiles").cast("int")).drop("_tiles")
@@ -172,34 +197,91 @@ def near_duplicates(df: DataFrame, id_col: str, vec: str, block: list[str], limi
     meet = settle_parameters(meet)
     key = ["_lot", "_cell_a", "_tile_a", "_cell_b", "_tile_b"]
     place = lambda s: rows.withColumnsRenamed({"_cell": f"_cell_{s}", "_tile": f"_tile_{s}"}).join(
-        meet, ["_lot", f"_cell_{s}", f"_tile_{s}"])
-    left = place("a")
+        meet, ["_lot", f"_cell_{s}", f"_tile_{s}"]).withColumn("_right", F.lit(s == "b"))
     right = place("b").where("_cell_a <> _cell_b OR _tile_a <> _tile_b")  # a tile that meets itself comes once
-    right = right.toDF(*right.columns)  # columns of its own for the cogroup
     types = dict(rows.dtypes)
-    out = [*block, "a", "b", "rms"]
-
-    def links(_, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        others = dict(list(two.groupby(own, sort=False))) if len(two) else {}
-        for name, x in one.groupby(own, sort=False):
-            alone = two.empty
-            y = x if alone else others.get(name)
-            if y is None:
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches)).combine_chunks()
+        side, ids = tile["_right"].to_numpy(), tile["_id"]
+        rank = pd.factorize(ids.to_pandas(), sort=True)[0]
+        alone, vectors = not side.any(), tile["_v"].combine_chunks()
+        found, n = [], 0
+
+        def batch() -> pa.RecordBatch:
+            i, j, rms = (np.concatenate(c) for c in zip(*found))
+            swap = rank[i] > rank[j]
+            columns = [tile[c].take(i) for c in block] + [ids.take(np.where(swap, j, i)), ids.take(np.where(swap, i, j)), pa.array(rms)]
+            return pa.table(columns, names=[*block, "a", "b", "rms"]).combine_chunks().to_batches()[0]
+
+        keys = tile.select(own).to_pandas()
+        code = keys.groupby(own, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+            one, two = at[~side[at]], at if alone else at[side[at]]
+            if not len(one) or not len(two):
                 continue
-            for i, j, rms in near_pairs(np.vstack(x["_v"].to_list()), np.vstack(y["_v"].to_list()), limit, alone):
-                m, n = x["_id"].to_numpy()[i], y["_id"].to_numpy()[j]
-                swap = m > n
-                found.append(pd.DataFrame({"a": np.where(swap, n, m), "b": np.where(swap, m, n), "rms": rms}).assign(**dict(zip(block, name))))
-        return pd.concat(found)[out] if found else pd.DataFrame({c: [] for c in out})
+            for i, j, rms in near_pairs(*_matrices(vectors, one, two), limit, alone, int(keys["_over"][at[0]])):
+                i, j = one[i], two[j]
+                other = rank[i] != rank[j]
+                found.append((i[other], j[other], rms[other]))
+                n += len(found[-1][0])
+                if n >= BATCH_ROWS:
+                    yield batch()
+                    found, n = [], 0
+        if n:
+            yield batch()
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in block), f"a {types['_id']}", f"b {types['_id']}", "rms double"])
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(links, schema)
+    return place("a").unionByName(right).groupBy(*key).applyInArrow(links, schema)
+
 
+def _matrices(vectors: pa.ListArray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Vectors at two lists of places as matrices of equal width, and which of their components are there."""
+    size = vectors.value_lengths().to_numpy()
+    width, out = max(size[one].max(), size[two].max()), []
+    for at in (one, two):
+        flat, there = vectors.take(pa.array(at)).flatten(), np.arange(width) < size[at][:, None]
+        x, has = np.zeros(there.shape), np.zeros(there.shape, bool)
+        x[there], has[there] = flat.to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+        out += [x, has]
+    return out[0], out[2], out[1], out[3]
 
-def near_pairs(x: np.ndarray, y: np.ndarray, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and root-mean-square differences of the pairs below ``limit``; of one block with itself, each pair once."""
-    reach = limit * math.sqrt(x.shape[1])
+
+def near_pairs(x: np.ndarray, y: np.ndarray, has_x: np.ndarray, has_y: np.ndarray, limit: float, same: bool,
+               over: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and root-mean-square differences of the pairs below ``limit``; of one block with itself, each pair once.
+
+    Rows with all components, whose squares are finite, go by matrix products; any other meets each row of the other side.
+    """
+    full_x, full_y = ((has & (np.abs(v) < HUGE)).all(axis=1) for v, has in ((x, has_x), (y, has_y)))
+    at, to = np.flatnonzero(full_x), np.flatnonzero(full_y)
+    for i, j, rms in _full_pairs(x[at], y[to], limit, same, over):
+        yield at[i], to[j], rms
+    for i in np.flatnonzero(~full_x):
+        j = np.flatnonzero(full_y | (np.arange(len(y)) > i)) if same else np.arange(len(y))
+        rms = _part_rms(x[i], has_x[i], y[j], has_y[j], over)
+        j, rms = j[rms < limit], rms[rms < limit]
+        yield np.full(len(j), i), j, rms
+    for j in np.flatnonzero(~full_y) if not same else ():
+        rms = _part_rms(y[j], has_y[j], x[at], has_x[at], over)
+        i, rms = at[rms < limit], rms[rms < limit]
+        yield i, np.full(len(i), j), rms
+
+
+def _part_rms(one: np.ndarray, has_one: np.ndarray, y: np.ndarray, has_y: np.ndarray, over: int) -> np.ndarray:
+    """Differences over the components that both sides have, summed in order; NaN where there is none."""
+    square = np.where((has_one & has_y).any(axis=1), 0.0, np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for j in np.flatnonzero(has_one):
+            square += np.where(has_y[:, j], np.square(one[j] - y[:, j]), 0.0)
+    return np.sqrt(square / over)
+
+
+def _full_pairs(x: np.ndarray, y: np.ndarray, limit: float, same: bool, over: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    if not len(x) or not len(y):
+        return
+    reach = limit * math.sqrt(over)
     at, to = np.argsort(x[:, 0], kind="stable"), np.argsort(y[:, 0], kind="stable")
     x, y = x[at], y[to]
     known, wide = Known(y), reach * (1 + 1e-9)
@@ -214,8 +296,11 @@ def near_pairs(x: np.ndarray, y: np.ndarray, limit: float, same: bool) -> Iterat
         i, j = known.within(some, np.full(len(some), reach), start, end)
         if same:
             i, j = i[r + i < j], j[r + i < j]
-        rms = np.sqrt(squares(some[i], y[j]) / x.shape[1])
-        yield at[r + i[rms < limit]], to[j[rms < limit]], rms[rms < limit]
+        pairs = max(1, COMPONENTS // x.shape[1])
+        for k in range(0, len(i), pairs):
+            m, n = i[k : k + pairs], j[k : k + pairs]
+            rms = np.sqrt(squares(some[m], y[n]) / over)
+            yield at[r + m[rms < limit]], to[n[rms < limit]], rms[rms < limit]
 
 
 # ---------------------------------------------------------------- set operations

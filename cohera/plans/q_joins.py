@@ -117,7 +117,7 @@ lambda t: pow(t[1]::DOUBLE-t[2]::DOUBLE,2)))/64) AS rms FROM embeddings x JOIN e
 )
 def join_near_duplicates(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return J.near_duplicates(e, "vec_id", "embedding", ["label"], 0.14).withColumn("rms", rnd("rms", 6))
+    return J.near_duplicate_pairs(e, "vec_id", "embedding", ["label"], 0.14, 64).withColumn("rms", rnd("rms", 6))
 
 
 def vec_split(spark, sf):

@@ -53,3 +53,18 @@ def test_array_hash_equals_its_sql_on_ties_and_odd_elements(spark, tmp_path, kin
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     assert len(got) == len(vecs) and canon(got).equals(canon(want))
+
+
+def test_near_duplicate_query_equals_its_sql_on_copies_and_odd_vectors(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 0.125, (120, 64)).astype(np.float32).tolist()
+    vecs = base + base[:30] + [base[0]] * 10 + [[None, *base[1][1:]], [None] * 64, base[2][:40], base[2] + [3.0], [], None]
+    vecs += [[float("inf"), *base[1][1:]], [float("nan"), *base[1][1:]]]
+    ids = [*range(len(vecs) - 1), 0]
+    e = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vecs, pa.list_(pa.float32())), "label": pa.array([i % 2 for i in range(len(vecs))], pa.int32())})
+    pq.write_table(e, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    name = "join_near_duplicates__J9"
+    got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    assert (want["rms"] == 0).sum() > 50 and canon(got).equals(canon(want))

@@ -131,6 +131,27 @@ def test_near_duplicates_in_tiles_match_all_pairs(spark, tile_rows):
     assert len(got) == len(want) > 100 and all(d == pytest.approx(want[k, a, b], rel=1e-12) for k, a, b, d in got)
 
 
+@pytest.mark.parametrize("tile_rows", [7, 40, 4096])
+def test_near_duplicate_pairs_keep_copies_and_incomplete_vectors(spark, tile_rows):
+    """A hot vector, copies of near ones, repeated ids, missing, infinite and absent components."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, (60, 6)).tolist()
+    vecs = base + [base[0]] * 30 + base[:20] + [(np.array(v) + rng.normal(0, 0.1, 6)).tolist() for v in base[:20]]
+    odd = [[0.25] * 5, [], None, [None] * 6, [None, *base[3][1:]], [*base[4][:5], None], [*base[5], 9.0], [float("inf"), *base[3][1:]], [float("nan")] * 6, [1e200] * 6, [1e200] * 6]
+    rows = [(i, i % 3 and 1, v) for i, v in enumerate(vecs)] + [(500 + i, k, v) for i, v in enumerate(odd) for k in (0, 1)]
+    rows += [(3, 0, base[3]), (3, 0, base[3]), (None, 0, base[3]), (900, None, base[3])]
+    df = spark.createDataFrame(rows, "id int, k int, v array<double>").repartition(3)
+    got = [(r.k, r.a, r.b, round(r.rms, 9)) for r in J.near_duplicate_pairs(df, "id", "v", ["k"], 0.5, 6, tile_rows).collect()]
+
+    def rms(v, w):
+        d = [(p - q) * (p - q) for p, q in zip(v or [], w or []) if p is not None and q is not None]
+        return math.sqrt(sum(d) / 6) if d else math.nan
+
+    known = [r for r in rows if None not in r[:2]]
+    want = [(p[1], p[0], q[0], round(rms(p[2], q[2]), 9)) for p, q in itertools.product(known, known) if p[1] == q[1] and p[0] < q[0] and rms(p[2], q[2]) < 0.5]
+    assert sorted(got) == sorted(want) and sum(w[3] == 0 for w in want) > 200
+
+
 def test_checked_joins_fail_on_repeated_keys(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "p"), (1, "q")], "k int, w string")
